@@ -95,6 +95,7 @@ def mix(docs: DataFrame, key: str, source: str, weights: DataFrame | None = None
     of ``docs`` named as one of ADDED is replaced.
     """
     docs = docs.drop(*(c for c in ADDED if c not in (key, source)))
+    columns, order_by = docs.columns, F.xxhash64(*docs.columns)
     if weights is None:
         weights = count_weights(docs, source)
     sources = docs.select(F.coalesce(F.col(source), F.lit("")).alias("mix_source")).distinct()
@@ -106,7 +107,8 @@ def mix(docs: DataFrame, key: str, source: str, weights: DataFrame | None = None
     upper = max(1, math.isqrt(math.ceil(total / BUCKET_ROWS)))
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     place = F.conv(F.substring("mix_hash", 1, 8), 16, 10).cast("long")
-    rows = docs.withColumn("mix_source", F.coalesce(F.col(source), F.lit(""))).withColumn("mix_hash", digest)
+    # The row travels as one struct, so that none of its columns clashes with those below.
+    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(source), F.lit("")).alias("mix_source"), digest.alias("mix_hash"), F.col(key).alias("mix_key"), order_by.alias("mix_tie"))
     bucket = F.floor(place * (upper * upper) / F.lit(1 << 32)).cast("long")
     rows = rows.withColumn("mix_bucket", bucket)
     counts = rows.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("n")).withColumn("mix_upper", F.floor(F.col("mix_bucket") / upper))
@@ -116,7 +118,7 @@ def mix(docs: DataFrame, key: str, source: str, weights: DataFrame | None = None
     earlier = Window.partitionBy("mix_source").orderBy("mix_upper").rowsBetween(Window.unboundedPreceding, -1)
     uppers = uppers.select("mix_source", "mix_upper", F.coalesce(F.sum("n_upper").over(earlier), F.lit(0)).alias("before_upper"))
     starts = counts.join(uppers, ["mix_source", "mix_upper"]).select("mix_source", "mix_bucket", (F.col("before") + F.col("before_upper")).alias("start"))
-    order = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", key, F.xxhash64(*docs.columns))
+    order = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "mix_key", "mix_tie")
     rows = rows.withColumn("mix_row", F.row_number().over(order)).join(starts, ["mix_source", "mix_bucket"])
     rows = rows.withColumn("block_no", F.floor((F.col("start") + F.col("mix_row") - 1) / block).cast("long") + 1)
     plan = period_slots(weights)
@@ -126,7 +128,7 @@ def mix(docs: DataFrame, key: str, source: str, weights: DataFrame | None = None
     release = F.floor((F.col("block_no") - 1) * F.col("period") / F.col("weight"))
     deadline = F.ceil(F.col("block_no") * F.col("period") / F.col("weight"))
     out = joined.withColumns({"release": release, "deadline": deadline, "slot": cycle * F.col("period") + F.col("turn_slot")})
-    return out.select(*docs.columns, *ADDED)
+    return out.select("row.*", *ADDED)
 
 
 def in_mixed_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
