@@ -12,7 +12,7 @@ is many rows and is never held whole by the reader. The row that ends a record
 holds the digest of all of it.
 
 Null payloads count as empty; empty ones are responses of no bytes (one chunk
-row). Repeated rows give one record each. Archives carry a random part in their
+row). Repeated rows give one record each; rows without an id are responses. Archives carry a random part in their
 names and only those that a finished task reports are read, so a retried task
 leaves no second copy in the result.
 """
@@ -50,8 +50,8 @@ def with_roles(pages: DataFrame, key: str, payload: str) -> DataFrame:
     return each.join(first, "digest", "left").select("record_id", "digest", "size", F.when(F.col("record_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 
-def _head(kind: str, record_id: int, refers: int | None, digest: str, url: str | None, size: int) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{record_id}>", f"WARC-Payload-Digest: sha256:{digest}"]
+def _head(kind: str, record_id: int | None, refers: int | None, digest: str, url: str | None, size: int) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if record_id is None else record_id}>", f"WARC-Payload-Digest: sha256:{digest}"]
     lines += [f"WARC-Target-URI: {url.replace(chr(13), '').replace(chr(10), '')}"] if url else []
     lines += [f"WARC-Refers-To: <urn:page:{refers}>"] if refers is not None else []
     return "\r\n".join([*lines, "Content-Type: text/html", f"Content-Length: {size}", "", ""]).encode()
@@ -59,11 +59,11 @@ def _head(kind: str, record_id: int, refers: int | None, digest: str, url: str |
 
 def write_archives(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
     """Write every row as a WARC record; the result lists the archives written."""
-    roles = with_roles(pages, key, payload).filter(F.col("refers_to").isNotNull()).select(F.col("record_id").alias("role_id"), "refers_to").distinct()
+    roles = with_roles(pages, key, payload).filter(F.col("refers_to").isNotNull()).select("record_id", "digest", "refers_to").distinct()
     folder = fresh_path(pages.sparkSession, "warc")
     data = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).alias("record_id"), F.col(url).alias("url"), data.alias("payload"), F.sha2(data, 256).alias("digest"))
-    rows = rows.join(roles, rows["record_id"] == roles["role_id"], "left").drop("role_id")
+    rows = rows.join(roles, ["record_id", "digest"], "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = place(folder)
@@ -133,7 +133,7 @@ def read_records(path: str, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
             while text := line():
                 name_, _, value = text.decode().partition(": ")
                 head[name_.lower()] = value
-            number = lambda s: int(s.rpartition(":")[2].rstrip(">"))
+            number = lambda s: int(n) if (n := s.rpartition(":")[2].rstrip(">")) else None
             refers = number(head["warc-refers-to"]) if "warc-refers-to" in head else None
             size, digest, done, no = int(head["content-length"]), hashlib.sha256(), 0, 0
             while True:
@@ -177,8 +177,8 @@ def read_chunks(manifest: DataFrame) -> DataFrame:
 def records(chunks: DataFrame) -> DataFrame:
     """One row per record: its bytes, digest and type; a revisit takes bytes and digest from the response it names."""
     ends = chunks.filter("last").select("record_id", "record_type", "refers_to", F.col("bytes_so_far").alias("own_bytes"), F.col("digest_so_far").alias("own_digest"), "declared_digest")
-    heads = ends.filter("record_type = 'response'").groupBy(F.col("record_id").alias("head_id")).agg(F.first("own_bytes").alias("head_bytes"), F.first("own_digest").alias("head_digest"))
-    whole = ends.join(heads, ends["refers_to"] == heads["head_id"], "left")
+    heads = ends.filter("record_type = 'response'").groupBy(F.col("record_id").alias("head_id"), F.col("own_digest").alias("head_digest")).agg(F.first("own_bytes").alias("head_bytes"))
+    whole = ends.join(heads, (ends["refers_to"] == heads["head_id"]) & (ends["declared_digest"] == heads["head_digest"]), "left")
     revisit = F.col("record_type") == "revisit"
     return whole.select(
         "record_id",
