@@ -4,7 +4,7 @@
    each, in the order of a hash of the id) gives the document frequencies of
    word forms (the lower-cased word without edge punctuation, and its first four,
    five and six characters) in toxic and clean documents. Forms whose
-   log-likelihood ratio is at least twice the log of the number of sampled rows
+   log-likelihood ratio is at least twice the log of the number of forms tested
    keep their log-odds, at most FORMS.
 2. Tokens get labels: in toxic documents those whose form is strongly toxic. A
    two-state chain with the log-odds as features is fitted on CRF_DOCS short
@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.store import cut
+
 SAMPLE_DOCS, SAMPLE_BYTES, FORMS = 16_000, 40_000, 20_000
 CRF_DOCS, CRF_BYTES, STEPS = 1_200, 4_000, 150
 LEAST_ODDS, LABEL_ODDS = 1.5, 3.0
@@ -215,14 +217,15 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     model = Model()
     if not n1 or not n0:
-        model.layer = (math.log((n1 + 0.5) / (n0 + 0.5)), 0.0, 0.0)
+        model.layer = (math.log((n1 + 0.1) / (n0 + 1.0)), 0.0, 0.0)
         return model
-    found = sample.select("label", F.explode(_forms("text")).alias("form")).groupBy("form").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).filter("a >= 3")
+    found = cut(sample.select("label", F.explode(_forms("text")).alias("form")).groupBy("form").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).filter("a >= 3"), "toxic-forms")
+    least = 2 * math.log(max(2, found.count()))
     a, b = F.col("a"), F.col("b")
     share = F.lit(n1 / (n1 + n0))
     llr = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
     odds = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
-    kept = found.select("form", odds.alias("odds"), llr.alias("llr")).filter((F.col("llr") >= 2 * math.log(n1 + n0)) & (F.col("odds") >= LEAST_ODDS))
+    kept = found.select("form", odds.alias("odds"), llr.alias("llr")).filter((F.col("llr") >= least) & (F.col("odds") >= LEAST_ODDS))
     model.odds = {r["form"]: r["odds"] for r in kept.orderBy(F.desc("llr"), "form").limit(FORMS).collect()}
     short = sample.filter(F.octet_length("text") <= CRF_BYTES)
     chosen = [r for k in (0, 1) for r in short.filter(F.col("label") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(CRF_DOCS // 2).collect()]
