@@ -98,9 +98,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     counts = cut(text_counts(docs, [key, lang, source], text), "quality-counts")
     groups = limits(counts, [lang, source]).filter(F.col("group_rows") >= LEAST_ROWS)
     groups = groups.select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), *(F.col(c) for r in RATIOS for c in (f"lo_{r}", f"hi_{r}")))
-    overall = limits(counts, []).select(*(F.col(c).alias(f"all_{c}") for r in RATIOS for c in (f"lo_{r}", f"hi_{r}")))
-    joined = counts.withColumns(ratios()).join(groups, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left").join(F.broadcast(overall), how="left")
+    overall = limits(counts, []).first()
+    joined = counts.withColumns(ratios()).join(groups, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     within = F.lit(True)
     for r in RATIOS:
-        within &= F.col(r).between(F.coalesce(f"lo_{r}", f"all_lo_{r}"), F.coalesce(f"hi_{r}", f"all_hi_{r}"))
+        within &= F.col(r).between(F.coalesce(f"lo_{r}", F.lit(overall[f"lo_{r}"])), F.coalesce(f"hi_{r}", F.lit(overall[f"hi_{r}"])))
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False))).select(key, lang, source, *COUNTS, "base_failed", "kept")
