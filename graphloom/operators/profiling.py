@@ -64,7 +64,7 @@ def malformed(df: DataFrame, column: str, mark: str = ":", samples: int = 5) ->
     """Rows whose non-blank column lacks ``mark``: their number and the least ``samples`` values."""
     bad = df.filter(F.col(column).isNotNull() & (F.col(column) != "") & ~F.contains(F.col(column), F.lit(mark)))
     least = bad.select(column).distinct().orderBy(column).limit(samples).agg(F.array_sort(F.collect_list(column)).alias("samples"))
-    return bad.agg(F.count("*").alias("n_bad")).join(F.broadcast(least), how="left")
+    return bad.agg(F.count("*").alias("n_bad")).withColumn("samples", least.scalar())
 
 
 def summary(df: DataFrame, flags: dict[str, Column]) -> DataFrame:

@@ -181,7 +181,7 @@ def u9_merge_groups(c: Catalog) -> DataFrame:
 def w15_recent_history(c: Catalog) -> DataFrame:
     events = c.table("events")
     last = events.agg(F.max("ts").alias("now"))
-    fresh = events.join(F.broadcast(last)).filter(F.col("ts") > F.col("now") - F.expr("INTERVAL 2 DAYS"))
+    fresh = events.filter(F.col("ts") > last.scalar() - F.expr("INTERVAL 2 DAYS"))
     return fresh.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.max("ts").alias("ts"))
 
 
@@ -196,7 +196,7 @@ def w13_ordered_dedupe(c: Catalog) -> DataFrame:
 def j22_enriched_rows(c: Catalog) -> DataFrame:
     good = c.table("labels").filter("quality = 1").select("doc_id")
     n = c.table("benchmark").agg(F.count("*").alias("n_items"))
-    return c.table("documents").join(good, "doc_id", "left_semi").join(F.broadcast(n)).select("doc_id", "n_items", F.length("text").alias("n"))
+    return c.table("documents").join(good, "doc_id", "left_semi").select("doc_id", n.scalar().alias("n_items"), F.length("text").alias("n"))
 
 
 @query("SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, max(n_chars) AS longest FROM documents GROUP BY source, lang", prelude=False)
