@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, lattice_lm, media, mixing, quality, secrets, simhash, substring_dedup, toxicity, warc
+from graphloom.llm import bpe, lattice_lm, media, mixing, oracles, quality, secrets, simhash, substring_dedup, toxicity, warc
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -103,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op2_substring_dedup": oracles.OP2, "op5_mixing": oracles.OP5, "op7_warc": oracles.OP7, "op10_quality": oracles.op10()}
