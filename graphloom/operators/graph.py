@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as X
+from graphloom.sources.scratch import settled
 
 
 def node_upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -96,6 +97,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 6) -> Dat
             return hit.select(F.lit(hops).alias("hops"), "path")
         step = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         front = step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti")
+        front = settled(front, "frontier")
         seen = seen.union(front.select("node"))
     return spark.createDataFrame([], "hops int, path array<string>")
 

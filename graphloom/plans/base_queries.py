@@ -372,3 +372,17 @@ def a40_top_and_other(c: Catalog) -> DataFrame:
 def a33_role_merge(c: Catalog) -> DataFrame:
     grouped = c.table("conversations").groupBy("conv_id")
     return grouped.agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.min_by("text", "turn").alias("opening"))
+
+
+@query("SELECT mid, name FROM movies WHERE contains(lower(name), 'red') AND contains(lower(name), 'ring')")
+def pf2_title_search(c: Catalog) -> DataFrame:
+    from graphloom.operators.search import search
+
+    return search(c.movie_keys.select("mid", "name"), ["name", "content_type"], "ring, RED")
+
+
+@query("SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<h1>((?s:.)*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title FROM pages", prelude=False)
+def x20_page_headings(c: Catalog) -> DataFrame:
+    from graphloom.functions.pages import inner
+
+    return c.table("pages").select("page_id", inner(F.col("html"), "h1").alias("title"))

@@ -223,3 +223,15 @@ def e4_content_metrics(c: Catalog) -> DataFrame:
 @query(f"WITH {SEEDS}, {SEEN}, {SIM}, {CF_SCORES}, t AS (SELECT uid, mid FROM (SELECT uid, mid, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS k FROM (SELECT uid, mid, floor(raw / max(raw) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score FROM (SELECT s.* FROM scores s WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid))) WHERE score > 0) WHERE k <= 20) SELECT floor(CAST(count(DISTINCT mid) AS DOUBLE) / (SELECT count(*) FROM movies) * 10000 + 0.5) / 10000 AS coverage FROM t")
 def e4_coverage(c: Catalog) -> DataFrame:
     return E.coverage(R.top_per_user(R.item_cf(seeds(c), R.item_similarity(c.ratings)), 20, "raw", seen(c)), c.movie_keys)
+
+
+@query()
+def r14_transe(c: Catalog) -> DataFrame:
+    """Vectors of films, genres, directors and regions after a few rounds."""
+    from graphloom.operators.graph import triples
+    from graphloom.operators.transe import train
+
+    m = c.movie_keys
+    facts = triples({"DIRECTED": (c.directed, "pid", "person", "mid", "movie"), "HAS_GENRE": (c.genre_edges, "mid", "movie", "genre", "genre"), "IN_REGION": (m, "mid", "movie", "region", "region")}, inverse=False)
+    vectors, _ = train(facts, size=8, rounds=2)
+    return vectors.select("name", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))

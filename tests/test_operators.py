@@ -105,3 +105,42 @@ def test_streams(spark, tmp_path):
     query = activity.activity_windows(activity.event_stream(spark, source, 100)).writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(60)
     assert spark.table("windows").agg(F.sum("n")).first()[0] >= 12
+
+
+def test_transe_lowers_loss(spark):
+    from graphloom.operators.transe import train
+
+    facts = spark.createDataFrame([(f"m{i}", "r", f"g{i % 4}") for i in range(60)] + [(f"p{i % 6}", "d", f"m{i}") for i in range(60)], "h string, r string, t string")
+    vectors, losses = train(facts, size=8, rounds=3)
+    assert vectors.count() == 60 + 4 + 6 + 2 and losses[-1] < losses[0]
+
+
+def test_pages_and_search(spark):
+    from graphloom.functions.pages import movie_fields, person_fields
+    from graphloom.operators.search import search, tokens
+
+    html = '<h1><span>A &amp; B</span></h1> <span class="year">(1999)</span><span property="v:genre">x</span><span property="v:genre">y</span><strong property="v:average">7.5</strong><a href="https://e.org/celebrity/12/" rel="v:directedBy">Jo</a>'
+    row = spark.createDataFrame([(html,)], "html string").select(*(c.alias(k) for k, c in movie_fields(F.col("html")).items())).first()
+    assert (row["title"], row["year"], row["genres"], row["score"], row["director_ids"], row["votes"]) == ("A & B", 1999, "x/y", 7.5, "Jo:12", None)
+    person = spark.createDataFrame([("<h1>Jo</h1><li>Sex: F</li><li>Born: 1970-1-2</li>",)], "html string").select(*(c.alias(k) for k, c in person_fields(F.col("html")).items())).first()
+    assert (person["name"], person["sex"], person["birth"]) == ("Jo", "F", "1970-01-02")
+    assert tokens("黑客帝国 the x") == ["黑客", "客帝", "帝国", "the"]
+    names = spark.createDataFrame([("red ring",), ("ring",)], "name string")
+    assert search(names, ["name"], "ring red").count() == 1 and search(names, ["name"], "RING").count() == 2
+
+
+def test_files(spark, tmp_path):
+    from graphloom.sources import readers, writers
+
+    (tmp_path / "ids.txt").write_text("1, 2 x # 9\n2\n3")
+    assert values(readers.id_list(spark, str(tmp_path / "ids.txt")), "id") == [("1",), ("2",), ("3",)]
+    (tmp_path / "u.json").write_text('{"users": [{"profile_url": "a"}, {"import_username": "b"}]}')
+    assert values(readers.user_specs(spark, str(tmp_path / "u.json")), "profile_url") == [("a",)]
+    for name, n in (("eval_results_x.json", 99), ("eval_results_y.json", 499), ("eval_results_legacy.json", 999)):
+        (tmp_path / name).write_text('{"algorithms": ["a", "b"], "num_negatives": %d, "generated_at": "t"}' % n)
+    assert readers.best_report(readers.report_files(spark, str(tmp_path / "eval_*.json"))).first()["num_negatives"] == 499
+    df = spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int")
+    assert writers.duplicate_keys(df, ["k"]).count() == 1 and writers.markdown_table(df).count("\n") == 3
+    writers.write_nodes(df, "k", str(tmp_path / "nodes"))
+    assert spark.read.parquet(str(tmp_path / "nodes")).count() == 1
+    assert writers.scope_name(True, "x").startswith("expanded-")
