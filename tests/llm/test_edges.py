@@ -125,7 +125,7 @@ def test_wide_radius_finds_near_copies(spark):
         edited = [rng.choice(words) if rng.random() < 0.01 else x for x in w]
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, masks=simhash.PARTS, radius=12).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, masks=simhash.PARTS, radius=14, similarity=0.8).collect()}
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(60)) >= 54
     assert all(got[2 * i] == 2 * i for i in range(60))
 
