@@ -128,3 +128,26 @@ def visible_degrees(edges: DataFrame) -> DataFrame:
 def merged_edges(edges: DataFrame) -> DataFrame:
     """Parallel edges as one with the sorted list of their labels."""
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+
+
+#: Properties that each kind of node shows.
+PUBLIC_PROPERTIES = {"movie": ["name", "year", "score"], "person": ["name", "birthplace"], "genre": ["name"]}
+
+
+def node_payload(nodes: DataFrame) -> DataFrame:
+    """(id, kind, label, properties) from (kind, key, properties): only public properties; the label is the name or else the key."""
+    props = F.map_filter("properties", lambda k, v: _public(F.col("kind"), k) & v.isNotNull())
+    label = F.coalesce(F.try_element_at("properties", F.lit("name")), F.col("key"))
+    return nodes.select(F.concat_ws("_", "kind", "key").alias("id"), "kind", label.alias("label"), props.alias("properties"))
+
+
+def _public(kind, name):
+    shown = F.lit(False)
+    for k, names in PUBLIC_PROPERTIES.items():
+        shown = shown | ((kind == k) & name.isin(names))
+    return shown
+
+
+def truncated(df: DataFrame, limit: int, *order: str) -> tuple[DataFrame, DataFrame]:
+    """The first ``limit`` rows, and one row (n, truncated) about all."""
+    return df.orderBy(*order).limit(limit), df.agg(F.count("*").alias("n"), (F.count("*") > limit).alias("truncated"))

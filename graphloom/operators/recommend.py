@@ -65,15 +65,17 @@ def entity_idf(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("rel", "entity").agg(F.count("*").alias("degree")).select("rel", "entity", micro(X.idf(F.col("degree"))).alias("idf6"))
 
 
-def one_hop(tokens: DataFrame, limits: dict[str, int] = PATH_LIMITS) -> DataFrame:
+def one_hop(tokens: DataFrame, limits: dict[str, int] = PATH_LIMITS, allowed: DataFrame | None = None) -> DataFrame:
     """(seed, rel, mid, hits, penalty6): for each seed item and relation the candidates that share most entities.
 
     The penalty is the mean idf of the first five shared entities (three of genres).
-    It doesn't depend on the user, so it is made once for all.
+    It doesn't depend on the user, so it is made once for all. A shortlist
+    ``allowed`` (mid) holds before the best are taken, not after.
     """
     weighted = tokens.join(entity_idf(tokens), ["rel", "entity"])
     left = weighted.select("rel", "entity", F.col("mid").alias("seed"), "idf6")
-    shared = left.join(tokens, ["rel", "entity"]).filter("seed != mid")
+    reached = tokens if allowed is None else tokens.join(allowed, "mid", "left_semi")
+    shared = left.join(reached, ["rel", "entity"]).filter("seed != mid")
     grouped = shared.groupBy("seed", "rel", "mid").agg(F.count("*").alias("hits"), F.array_sort(F.collect_list(F.struct("entity", "idf6"))).alias("es"))
     first = F.slice("es", 1, F.when(F.col("rel") == "genre", 3).otherwise(5))
     total = F.aggregate(first, F.lit(0).cast("long"), lambda a, e: a + e["idf6"])
@@ -191,3 +193,46 @@ def explain(user_seeds: DataFrame, targets: DataFrame, tokens: DataFrame, top: i
     shared = goal.join(own, ["uid", "rel", "entity"]).withColumn("value", F.col("weight100") * weight * F.col("idf6"))
     order = Window.partitionBy("uid", "target").orderBy(F.desc("value"), "seed", "rel", "entity")
     return shared.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= top).select("uid", "target", "seed", "rel", "entity", "value", "k")
+
+
+def rare_entities(tokens: DataFrame, rel: str, most_degree: int, take: int) -> DataFrame:
+    """(mid, entity): of each item the ``take`` rarest entities of a relation, those above ``most_degree`` only if there are no others."""
+    one = tokens.filter(F.col("rel") == rel)
+    degree = one.groupBy("entity").agg(F.count("*").alias("degree"))
+    order = Window.partitionBy("mid").orderBy(F.col("degree") > most_degree, "degree", "entity")
+    return one.join(degree, "entity").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= take).select("mid", "entity")
+
+
+def path_reasons(seeds: DataFrame, evidence: DataFrame, top: int = 3) -> DataFrame:
+    """(uid, mid, rel, seed, worth, k): the strongest evidence of each candidate, one seed per relation, at most ``top``."""
+    joined = seeds.select("uid", F.col("mid").alias("seed"), "weight100").join(evidence, "seed")
+    worth = F.col("weight100") * F.col("hits") * F.col("penalty6")
+    best = joined.groupBy("uid", "mid", "rel").agg(F.min(F.struct((-worth).alias("w"), "seed")).alias("b"))
+    order = Window.partitionBy("uid", "mid").orderBy("b.w", "rel")
+    ranked = best.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= top)
+    return ranked.select("uid", "mid", "rel", F.col("b.seed").alias("seed"), (-F.col("b.w")).alias("worth"), "k")
+
+
+def cold_routing(users: DataFrame, personal: DataFrame, popular: DataFrame, n: int) -> DataFrame:
+    """(uid, mid, rank, how): cold users get the popular list (mid, rank), the others their own (uid, mid, rank).
+
+    ``users`` has (uid, cold); warm users without a list of their own get the popular one, too.
+    """
+    own = personal.join(users.filter("NOT cold").select("uid"), "uid", "left_semi").filter(F.col("rank") <= n)
+    rest = users.join(own.select("uid").distinct(), "uid", "left_anti").select("uid")
+    shared = rest.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(n)))).join(popular, "rank")
+    return own.select("uid", "mid", "rank", F.lit("personal").alias("how")).union(shared.select("uid", "mid", "rank", F.lit("popular")))
+
+
+def fallback_reasons(targets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(mid, rel, entity): two directors, three actors and three genres of items without shared entities."""
+    cap = F.when(F.col("rel") == "director", 2).when(F.col("rel").isin("actor", "genre"), 3).otherwise(0)
+    order = Window.partitionBy("mid", "rel").orderBy("entity")
+    own = tokens.join(targets.select("mid").distinct(), "mid", "left_semi")
+    return own.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cap).select("mid", "rel", "entity")
+
+
+#: The recommenders by name, with whether they use the graph.
+ALGORITHMS = {"content": False, "item_cf": False, "kg_path": True, "kg_embed": True, "fused": True}
+#: Values tried for the path recommender's weights.
+PATH_GRID = [{"shared_audience": a, "director": d, "actor": d, "genre": g} for a in (40, 60, 80) for d in (30, 40) for g in (10, 20)]

@@ -235,3 +235,61 @@ def r14_transe(c: Catalog) -> DataFrame:
     facts = triples({"DIRECTED": (c.directed, "pid", "person", "mid", "movie"), "HAS_GENRE": (c.genre_edges, "mid", "movie", "genre", "genre"), "IN_REGION": (m, "mid", "movie", "region", "region")}, inverse=False)
     vectors, _ = train(facts, size=8, rounds=2)
     return vectors.select("name", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query(f"WITH {TOKENS}, deg AS (SELECT entity, count(*) AS d FROM tokens WHERE rel = 'genre' GROUP BY 1) SELECT mid, entity FROM (SELECT t.mid, t.entity, row_number() OVER (PARTITION BY t.mid ORDER BY d > 25, d, t.entity) AS k FROM tokens t JOIN deg USING (entity) WHERE rel = 'genre') WHERE k <= 1")
+def w7_rare_genres(c: Catalog) -> DataFrame:
+    return R.rare_entities(tokens(c), "genre", 25, 1)
+
+
+@query(f"WITH {SEEDS}, {HOPS}, w AS (SELECT s.uid, h.mid, h.rel, h.seed, s.weight100 * h.hits * h.penalty6 AS worth FROM seeds s JOIN hops h ON h.seed = s.mid), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid, mid, rel ORDER BY worth DESC, seed) AS j FROM w) WHERE j = 1) SELECT uid, mid, rel, seed, CAST(worth AS BIGINT) AS worth, k FROM (SELECT *, row_number() OVER (PARTITION BY uid, mid ORDER BY worth DESC, rel) AS k FROM b) WHERE k <= 3")
+def a37_path_reasons(c: Catalog) -> DataFrame:
+    return R.path_reasons(seeds(c), R.one_hop(tokens(c)))
+
+
+CF_TOP = "ranked AS (SELECT uid, mid, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS rank FROM (SELECT uid, mid, floor(raw / max(raw) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score FROM (SELECT s.* FROM scores s WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid))) WHERE score > 0)"
+
+
+def item_cf_top(c: Catalog, n: int) -> DataFrame:
+    return R.top_per_user(R.item_cf(seeds(c), R.item_similarity(c.ratings)), n, "raw", seen(c))
+
+
+@query(f"WITH {SEEDS}, {SEEN}, {SIM}, {CF_SCORES}, {CF_TOP} SELECT r.uid, r.rank, r.mid, m.name, m.year, m.score AS rating, r.score FROM ranked r JOIN movies m ON m.mid = r.mid WHERE rank <= 5")
+def j22_enriched_recommendations(c: Catalog) -> DataFrame:
+    details = c.movies.select("mid", "name", "year", F.col("score").alias("rating"))
+    return item_cf_top(c, 5).join(details, "mid").select("uid", "rank", "mid", "name", "year", "rating", "score")
+
+
+@query(f"WITH {SEEDS}, {SEEN}, {SIM}, {CF_SCORES}, {CF_TOP}, eff AS (SELECT u.uid, count(DISTINCT s.mid) < 3 AS cold FROM users u LEFT JOIN seen s ON s.uid = u.uid GROUP BY 1), own AS (SELECT r.uid, r.mid, r.rank FROM ranked r JOIN eff e ON e.uid = r.uid WHERE NOT e.cold AND rank <= 5), pop AS (SELECT mid, row_number() OVER (ORDER BY v DESC, mid) AS rank FROM (SELECT mid, floor(((50000 * 7 + coalesce(votes, 0) * score) / (50000 + coalesce(votes, 0))) * 1e6 + 0.5) / 1e6 AS v FROM movies WHERE score IS NOT NULL) ORDER BY rank LIMIT 5) SELECT uid, mid, rank, 'personal' AS how FROM own UNION ALL SELECT e.uid, p.mid, p.rank, 'popular' FROM eff e JOIN pop p ON true WHERE e.uid NOT IN (SELECT uid FROM own)")
+def pf22_cold_routing(c: Catalog) -> DataFrame:
+    from pyspark.sql import Window
+
+    v, s = F.coalesce("votes", F.lit(0)), F.col("score")
+    best = c.movies.filter("score IS NOT NULL").select("mid", X.rounded((50000 * 7 + v * s) / (50000 + v), 6).alias("v")).orderBy(F.desc("v"), "mid").limit(5)
+    popular = best.select("mid", F.row_number().over(Window.orderBy(F.desc("v"), "mid")).alias("rank"))  # five rows
+    users = S.activity(c.users, c.ratings, c.prefs).select("uid", "cold")
+    return R.cold_routing(users, item_cf_top(c, 5), popular, 5)
+
+
+@query(f"WITH {TOKENS} SELECT mid, rel, entity FROM (SELECT *, row_number() OVER (PARTITION BY mid, rel ORDER BY entity) AS k FROM tokens WHERE mid IN (SELECT mid FROM movies WHERE year = 1985)) WHERE k <= CASE rel WHEN 'director' THEN 2 WHEN 'actor' THEN 3 WHEN 'genre' THEN 3 ELSE 0 END")
+def r28_fallback_reasons(c: Catalog) -> DataFrame:
+    return R.fallback_reasons(c.movie_keys.filter("year = 1985"), tokens(c))
+
+
+ALLOWED_HOPS = HOPS.replace("AND x.entity = y.entity AND x.mid <> y.mid", "AND x.entity = y.entity AND x.mid <> y.mid AND y.mid IN (SELECT mid FROM movies WHERE year > 2000)")
+
+
+@query(f"WITH {ALLOWED_HOPS} SELECT * FROM hops")
+def r13_shortlist_evidence(c: Catalog) -> DataFrame:
+    return R.one_hop(tokens(c), allowed=c.movie_keys.filter("year > 2000").select("mid"))
+
+
+@query()
+def e7_suite(c: Catalog) -> DataFrame:
+    """Two algorithms on two draws of negatives."""
+    t = tests(c)
+    hidden = t.select("uid", F.col("test_mid").alias("mid"))
+    visible = c.ratings.join(hidden, ["uid", "mid"], "left_anti")
+    known = S.capped_signals(S.positive_signals(visible, c.prefs), {"rating": 30, "like": 10, "want_to_watch": 0}).select("uid", "mid", "weight100")
+    cf = R.item_cf(known, R.item_similarity(visible)).select("uid", "mid", F.col("raw").cast("double").alias("score"))
+    return E.suite({"content": R.content_scores(known, content_tokens(c)), "item_cf": cf}, t, {s: E.negatives(t, c.movie_keys, c.ratings, 49, s) for s in (42, 52)})

@@ -221,3 +221,33 @@ def u6_jaccard(c: Catalog) -> DataFrame:
     one = sets.select(F.col("mid").alias("a"), F.col("g").alias("ga"), (F.col("mid").cast("bigint") + 1).alias("k"))
     two = sets.select(F.col("mid").alias("b"), F.col("g").alias("gb"), F.col("mid").cast("bigint").alias("k"))
     return one.join(two, "k").select("a", "b", X.rounded(F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))).alias("jaccard"))
+
+
+@query("SELECT mid, name, score, votes FROM movies WHERE mid = '17'")
+def pf15_point_lookup(c: Catalog) -> DataFrame:
+    return c.movies.filter("mid = '17'").select("mid", "name", "score", "votes")
+
+
+@query("SELECT 'movie_' || mid AS id, 'movie' AS kind, name AS label, CAST(year AS VARCHAR) AS year, (score IS NOT NULL) AS has_score, false AS has_votes FROM movies")
+def pf17_node_payload(c: Catalog) -> DataFrame:
+    from graphloom.operators.graph import node_payload
+
+    properties = F.create_map(F.lit("name"), F.col("name"), F.lit("year"), F.col("year").cast("string"), F.lit("score"), F.col("score").cast("string"), F.lit("votes"), F.col("votes").cast("string"))
+    shown = node_payload(c.movies.select(F.lit("movie").alias("kind"), F.col("mid").alias("key"), properties.alias("properties")))
+    p = F.col("properties")
+    return shown.select("id", "kind", "label", F.try_element_at(p, F.lit("year")).alias("year"), F.map_contains_key(p, "score").alias("has_score"), F.map_contains_key(p, "votes").alias("has_votes"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (k IN (SELECT mid FROM movies)) AS matched, floor(count(*) FILTER (k IN (SELECT mid FROM movies)) * 10000.0 / count(*) + 0.5) / 10000 AS rate FROM (SELECT DISTINCT mid AS k FROM prefs)")
+def j25_match_rate(c: Catalog) -> DataFrame:
+    ids = c.prefs.select("mid").distinct()
+    marked = ids.join(c.movie_keys.select("mid", F.lit(1).alias("hit")), "mid", "left")
+    return marked.agg(F.count("*").alias("n"), F.count("hit").alias("matched"), X.rounded(F.count("hit") / F.count("*")).alias("rate"))
+
+
+@query("WITH e AS (SELECT pid, mid FROM directed), c AS (SELECT count(*) AS n FROM e) SELECT pid, mid, n, n > 100 AS truncated FROM (SELECT * FROM e ORDER BY pid, mid LIMIT 100), c")
+def l8_truncation(c: Catalog) -> DataFrame:
+    from graphloom.operators.graph import truncated
+
+    first, about = truncated(c.directed.select("pid", "mid"), 100, "pid", "mid")
+    return first.select("pid", "mid", about.select("n").scalar().alias("n"), about.select("truncated").scalar().alias("truncated"))

@@ -144,3 +144,22 @@ def test_files(spark, tmp_path):
     writers.write_nodes(df, "k", str(tmp_path / "nodes"))
     assert spark.read.parquet(str(tmp_path / "nodes")).count() == 1
     assert writers.scope_name(True, "x").startswith("expanded-")
+
+
+def test_profile_and_list_pages(spark):
+    from graphloom.functions.pages import list_items, profile_fields
+
+    html = '<h1>Ann</h1><div>Lives in: Oslo <p>2020-01-02 joined</p> 7 seen 3 wished</div>'
+    row = spark.createDataFrame([(html,)], "html string").select(*(c.alias(k) for k, c in profile_fields(F.col("html"), F.lit("ann")).items())).first()
+    assert tuple(row) == ("Ann", "Oslo", "2020-01-02", None, 3, 7)
+    page = '<ul><li class="item"><a href="https://e.org/subject/5/">T &amp; U</a><span class="rating4-t"></span>2021-05-06</li><li class="item">no link</li></ul>'
+    items = spark.createDataFrame([(page,)], "html string").select(list_items(F.col("html")).alias("i")).first()["i"]
+    assert [tuple(i) for i in items] == [("5", "T & U", 4, "2021-05-06")]
+
+
+def test_cohort_parts(spark):
+    people = spark.createDataFrame([("me", '<a href="https://e.org/people/you/"><a href="https://e.org/people/me/"><a href="https://e.org/people/deleted9/"><a href="https://e.org/people/you/">')], "owner string, html string")
+    assert values(cohort.contacts(people, F.col("owner")), "slug") == [("you",)]
+    totals = spark.createDataFrame([(5, 2), (50, 10), (600, 10), (2000, 900), (30, 0)], "c int, w int")
+    got = values(cohort.classify(totals, F.col("c"), F.col("w")).na.fill(-1, ["max_collect", "max_wish"]), "c", "category", "max_collect", "max_wish")
+    assert got == [(5, "too_light", -1, -1), (30, "light_native", 30, -1), (50, "light_native", 50, 10), (600, "medium_native", 300, 10), (2000, "heavy_capped", 300, 200)]
