@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.store import cut
 
 SAMPLE_DOCS, SAMPLE_BYTES, FORMS = 16_000, 40_000, 20_000
-CRF_DOCS, CRF_BYTES, STEPS = 1_200, 4_000, 150
+CRF_DOCS, CRF_BYTES, STEPS = 600, 3_000, 80
 LEAST_ODDS, LABEL_ODDS = 1.5, 3.0
 EDGE = ".,;:!?\"'()[]{}<>«»*#-"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
