@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
-1. A bounded sample of labelled rows (SAMPLE_DOCS rows of at most SAMPLE_BYTES
-   each, in the order of a hash of the id) gives the document frequencies of
+1. A bounded sample of labelled rows (those of at most SAMPLE_BYTES in a share of
+   a hash's range that holds SAMPLE_DOCS ids on average) gives the document frequencies of
    word forms (the lower-cased word without edge punctuation, and its first four,
    five and six characters) in toxic and clean documents. Forms whose
    log-likelihood ratio is at least twice the log of the number of forms tested
@@ -205,7 +205,9 @@ def _fit_layer(model: Model, sums: np.ndarray, labels: np.ndarray) -> None:
 def fit(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model of the labelled rows for which ``training`` (on the labels' key) holds."""
     known = labels.filter(training & F.col(label).isNotNull()).groupBy(F.col(key).alias("label_id")).agg(F.max(label).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE_DOCS)
+    # A share of a hash's range instead of an ordered limit, which would send a full sample from each task to the driver.
+    share_taken = min(1.0, SAMPLE_DOCS / max(1, known.count()))
+    known = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < round(share_taken * (1 << 20)))
     texts = docs.select(F.col(key).alias("label_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
     sample = texts.join(F.broadcast(known), "label_id")  # at most SAMPLE_DOCS rows of two numbers
 
