@@ -19,13 +19,16 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from graphloom.llm.text import slices
 
 SHORT = 96
 CACHE = 250_000
+SLICE_BYTES = 1 << 20
 #: Fixed pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 1 << 62
@@ -140,25 +143,26 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(text: Column, path: str) -> Column:
-    """Binary column of the packed ids of a text column."""
-
-    @F.pandas_udf("binary")
-    def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = load(path)
-        for texts in batches:
-            yield texts.map(bpe.encode)
-
-    return _encode(F.coalesce(text, F.lit("")))
-
+def with_ids(df: DataFrame, text: str, path: str, decoded: str | None = None) -> DataFrame:
+    """``df`` with the binary column ``ids`` (packed ids) and, if named, a column of the text decoded from them.
 
-def decode(ids: Column, path: str) -> Column:
-    """Text column of packed ids."""
+    Rows go through one Python worker in slices of about SLICE_BYTES of text, so
+    its memory is the vocabulary, the cache and a few times a slice or the
+    longest text. Columns of the same names are replaced.
+    """
+    added = [T.StructField("ids", T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    names = {f.name for f in added}
+    kept = df.select([c for c in df.columns if c not in names or c == text])
+    schema = T.StructType([*(f for f in kept.schema if f.name not in names), *added])
 
-    @F.pandas_udf("string")
-    def _decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for packed in batches:
-            yield packed.map(bpe.decode)
-
-    return _decode(ids)
+        for batch in slices(batches, text, SLICE_BYTES):
+            ids = [bpe.encode(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in schema if f.name not in names]
+            columns.append(pa.array(ids, pa.binary()))
+            if decoded:
+                columns.append(pa.array([bpe.decode(i) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return kept.mapInArrow(run, schema)

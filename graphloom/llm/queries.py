@@ -59,9 +59,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to ids and decoded again."""
-    ids = _table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), tokenizer()).alias("ids"))
-    both = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), tokenizer()).alias("text"))
-    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), _sha(F.col("text")).alias("decoded_sha256"))
+    both = bpe.with_ids(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", tokenizer(), "decoded")
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

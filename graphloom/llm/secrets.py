@@ -112,22 +112,22 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-@F.pandas_udf(T.StringType())
-def _redact(texts: pd.Series, marks: pd.Series) -> pd.Series:
-    def one(text: str | None, spans) -> str | None:
-        if text is None or spans is None or not len(spans):
-            return text
-        out, done = [], 0
-        for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-            if s["end"] > done:
-                if s["start"] >= done:
-                    out += [text[done : s["start"]], "[SECRET]"]
-                done = s["end"]
-        return "".join([*out, text[done:]])
+def mask(text: str | None) -> str | None:
+    """The text with each run of overlapping spans replaced by a mark."""
+    out, done = [], 0
+    for _, start, end in sorted(scan(text), key=lambda s: s[1:]):
+        if end > done:
+            if start >= done:
+                out += [text[done:start], "[SECRET]"]
+            done = end
+    return "".join([*out, text[done:]]) if out else text
+
 
-    return pd.Series([one(t, s) for t, s in zip(texts, marks, strict=True)], dtype=object)
+@F.pandas_udf(T.StringType())
+def _mask(texts: pd.Series) -> pd.Series:
+    return texts.map(mask)
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with every span of ``text`` replaced by ``[SECRET]``; a null text stays null."""
-    return df.withColumn(text, _redact(F.col(text), secret_spans(F.col(text))))
+    return df.withColumn(text, _mask(F.col(text)))

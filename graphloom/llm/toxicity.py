@@ -29,10 +29,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.store import cut
+from graphloom.llm.text import slices
 
 SAMPLE_DOCS, SAMPLE_BYTES, FORMS = 16_000, 40_000, 20_000
 CRF_DOCS, CRF_BYTES, STEPS = 600, 3_000, 80
@@ -246,18 +249,22 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id
     return model
 
 
-TAGGED = "score double, spans array<struct<start:int,end:int,p:double>>"
+SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
+TAGGED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))])
+_ARROW = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))])
 
 
-def tag(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``toxicity``: score and offending spans of each text."""
+def tag(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
+    """``docs`` with the struct column ``out`` (score and offending spans of each text); a column of that name is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.drop(out)
+    schema = T.StructType([*kept.schema, T.StructField(out, TAGGED)])
 
-    @F.pandas_udf(TAGGED)
-    def _tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.scorer()
-        for batch in batches:
-            got = [scorer.tag(t) for t in batch]
-            yield pd.DataFrame({"score": [s for s, _ in got], "spans": [[{"start": a, "end": b, "p": p} for a, b, p in x] for _, x in got]})
+        for batch in slices(batches, text, 1 << 20):
+            got = [scorer.tag(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            tagged = pa.array([{"score": s, "spans": [{"start": a, "end": b, "p": p} for a, b, p in x]} for s, x in got], _ARROW)
+            yield pa.RecordBatch.from_arrays([*batch.columns, tagged], schema.names)
 
-    return docs.withColumn("toxicity", _tag(F.coalesce(F.col(text), F.lit(""))))
+    return kept.mapInArrow(run, schema)
