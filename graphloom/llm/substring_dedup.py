@@ -7,7 +7,7 @@
    one or more, cells at two or more) in a stream, and only the bits "two or
    more" are broadcast: WIDTH / 4 bytes in all, whatever the input.
 2. Exact pass. Windows whose minimizer is estimated repeated (none that repeats
-   is missed) are grouped by a 128-bit hash. Each task first groups its own: a
+   is missed) are grouped by a 95-bit hash. Each task first groups its own: a
    hash that it has more than once is known to repeat, and one row stands for
    all of them, so that a hot window sends a row per task. Rows of a hash meet
    sorted in one partition and are compared with their neighbours in a stream.
@@ -143,10 +143,10 @@ def repeated_starts(texts: DataFrame, width: int = WIDTH) -> DataFrame:
         fresh = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)) if len(i) else np.zeros(0, bool)
         at = np.flatnonzero(fresh)
         k = np.flatnonzero(lone)
-        none = np.zeros(len(at), np.int64)
+        none = np.zeros(len(at), np.int32)
         cols = [
             np.concatenate((h1[k], h1[reps], d[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64),
-            np.concatenate((h2[k], h2[reps], none.view(np.uint64))).view(np.int64),
+            np.concatenate((h2[k], h2[reps], none)),
             np.concatenate((doc[k], np.zeros(len(reps), np.int64), d[at])),
             np.concatenate((text[k], np.zeros(len(reps), np.int32), t[at])),
             np.concatenate((start[k], np.zeros(len(reps), np.int32), s[at])),
@@ -169,7 +169,7 @@ def repeated_starts(texts: DataFrame, width: int = WIDTH) -> DataFrame:
             begin, row, word = begin[hit], row[hit], word[hit].astype(np.int32)
             ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
             marks = batch.column(batch.schema.get_field_index("text_hash")).to_numpy(zero_copy_only=False)
-            kept.append((rolling(hashes, WINDOW, 2)[begin], rolling(hashes, WINDOW, 3)[begin], ids[row], marks[row], word))
+            kept.append((rolling(hashes, WINDOW, 2)[begin], (rolling(hashes, WINDOW, 3)[begin] >> np.uint64(33)).astype(np.int32), ids[row], marks[row], word))
             held += len(begin)
             if held >= FLUSH:
                 yield group(*(np.concatenate(x) for x in zip(*kept, strict=True)))
@@ -194,7 +194,7 @@ def repeated_starts(texts: DataFrame, width: int = WIDTH) -> DataFrame:
         if held is not None:
             yield _settled(held, len(held[0]) - 1, len(held[0]))
 
-    rows = texts.mapInArrow(find, "h1 long, h2 long, doc_id long, text_hash int, start int, n int")
+    rows = texts.mapInArrow(find, "h1 long, h2 int, doc_id long, text_hash int, start int, n int")
     rows = rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2")
     return rows.mapInArrow(meet, "doc_id long, text_hash int, start int, n int")
 
