@@ -9,8 +9,8 @@ its bytes; its probability is the sum over all segmentations of the product of
 the pieces' probabilities, by a forward recursion in log space. A text is the
 product over its words and one end.
 
-Counts of words stay in tables. The TOP most frequent words are broadcast (a
-bounded number) for the add-one baseline; all others meet their counts in a
+Counts of words stay in tables. The most frequent words, at most TOP, are
+broadcast for the add-one baseline; all others meet their counts in a
 join, which no hot word can skew, as the hot ones are not in it.
 
 Null and empty texts are one end token. With no training documents the prior
@@ -139,6 +139,18 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int = TOP) -> DataFrame:
+    """The words above a count that at most ``most`` words reach, from a histogram of an eighth of a power of two per bin."""
+    bins = counts.groupBy(F.floor(F.log2("c") * 8).alias("bin")).agg(F.count("*").alias("n"))
+    total, least = 0, None
+    for r in bins.orderBy(F.desc("bin")).collect():  # at most 8 * 63 rows
+        total += r["n"]
+        if total > most:
+            break
+        least = r["bin"]
+    return counts.filter(F.lit(False)) if least is None else counts.filter(F.floor(F.log2("c") * 8) >= least)
+
+
 def fit(counts: DataFrame, n_docs: int, path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Natural log-probabilities of the pieces (the last: -inf, for no piece) and, before it, of the end."""
     lat, spark = lattice(path), counts.sparkSession
@@ -176,8 +188,7 @@ def score(docs: DataFrame, training: Column, path: str, key: str = "doc_id", tex
     n, v = sums["n"] + n_docs, sums["v"] + (1 if n_docs else 0)
     below = float(n + v + 1)
     logp = spark.sparkContext.broadcast(fit(counts, n_docs, path))
-    hot = counts.orderBy(F.desc("c"), "word").limit(TOP)
-    top = spark.sparkContext.broadcast({r["word"].encode(): r["c"] for r in hot.collect()})  # at most TOP rows
+    top = spark.sparkContext.broadcast({r["word"].encode(): r["c"] for r in frequent(counts).collect()})  # at most TOP rows
     names = ["doc_id", "training", "n_words", "top_known", "top_base", "score", "rare", "rare_n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
