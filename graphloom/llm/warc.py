@@ -1,7 +1,7 @@
 """WARC archives written and read as streams of chunks.
 
-Writing: each task appends records to archive files of about ARCHIVE_BYTES,
-copying the payload chunk by chunk. Of equal payloads of at least 100 bytes the
+Writing: each task appends records, each a gzip member, to archive files of about
+ARCHIVE_BYTES, compressing the payload chunk by chunk. Of equal payloads of at least 100 bytes the
 one with the smallest id is written whole (response), the others as revisit
 records that name it. The digest that finds equals is native; only ids and
 digests are shuffled, never payloads, and hot digests are split by skew joins.
@@ -19,8 +19,10 @@ leaves no second copy in the result.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,16 +75,17 @@ def write_archives(pages: DataFrame, key: str, url: str, payload: str) -> DataFr
             for i in range(batch.num_rows):
                 if out is None:
                     files.create_dir(root, recursive=True)
-                    path = f"{root}/{uuid.uuid4().hex}.warc"
-                    out, records, size = files.open_output_stream(path), 0, 0
+                    path = f"{root}/{uuid.uuid4().hex}.warc.gz"
+                    out, records, size = files.open_output_stream(path, compression=None), 0, 0
                 to = refers[i].as_py()
                 body = datas[i].as_buffer() if to is None else pa.py_buffer(b"")
                 head = _head("response" if to is None else "revisit", ids[i].as_py(), to, digests[i].as_py(), urls[i].as_py(), body.size)
-                out.write(head)
+                packer = zlib.compressobj(1, zlib.DEFLATED, 31)  # a gzip member for each record
+                size += out.write(packer.compress(head))
                 for at in range(0, body.size, CHUNK_BYTES):
-                    out.write(body.slice(at, min(CHUNK_BYTES, body.size - at)))
-                out.write(b"\r\n\r\n")
-                records, size = records + 1, size + len(head) + body.size + 4
+                    size += out.write(packer.compress(body.slice(at, min(CHUNK_BYTES, body.size - at))))
+                size += out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+                records += 1
                 if size >= ARCHIVE_BYTES:
                     out.close()
                     done.append((path, records, size))
@@ -99,7 +102,7 @@ def write_archives(pages: DataFrame, key: str, url: str, payload: str) -> DataFr
 def read_records(path: str, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
     """Chunk rows of one archive, in file order."""
     files, name = place(path)
-    with files.open_input_stream(name, buffer_size=1 << 20) as f:
+    with files.open_input_stream(name, compression=None, buffer_size=1 << 20) as packed, gzip.GzipFile(fileobj=packed, mode="rb") as f:
         left = b""
 
         def line() -> bytes:
