@@ -17,9 +17,8 @@ connected components.
   and 15 % of the bits.
 
 Equal fingerprints are one node, so groups of exact copies of any size cost one
-node. A bucket of more than SMALL nodes emits a spanning forest of its links
-found by breadth-first search, one at the radius and one at half of it, never all
-pairs; its memory is one array of the bucket's distinct fingerprints.
+node. A bucket emits a spanning forest of its links found by breadth-first search,
+for a wide radius one at the radius and one at half of it, never all pairs; its memory is one array of the bucket's distinct fingerprints.
 
 Null and empty texts have the fingerprint 0 and link like any other. Repeated
 ids keep their rows and take the smallest component of their fingerprint.
@@ -95,7 +94,7 @@ def with_fingerprint(docs: DataFrame, key: str, text: str, shingle: int, lanes:
     names = ["fp", *(f"fp{k}" for k in range(1, lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             got = fingerprints(batch.column(1), shingle, lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(lanes))], ["doc_id", *names])
 
@@ -114,18 +113,22 @@ def variants(fp: Column, mask: int, part: int) -> Column:
 
 
 def _bucket_links(fp: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links within buckets given by their starts: all in small ones, a spanning forest in larger ones."""
+    """Verified links within buckets given by their starts: a spanning forest of each, rooted in its smallest fingerprints.
+
+    Buckets of up to SMALL nodes are first tested all at once for any link.
+    """
     size = np.diff(np.append(starts, len(fp)))
     group = np.repeat(np.arange(len(starts)), size)
     small = np.repeat(size <= SMALL, size)
-    left, right = [], []
+    left, right, linked = [], [], [np.flatnonzero(size > SMALL)]
     for lag in range(1, int(min(SMALL, size.max(initial=1)))):
         i = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
-        a, b = fp[i], fp[i + lag]
-        near = np.bitwise_count(a ^ b) <= radius
-        left.append(a[near])
-        right.append(b[near])
-    for g in np.flatnonzero(size > SMALL):
+        near = i[np.bitwise_count(fp[i] ^ fp[i + lag]) <= radius]
+        pair = size[group[near]] == 2
+        left.append(fp[near[pair]])
+        right.append(fp[near[pair] + lag])
+        linked.append(group[near[~pair]])
+    for g in np.unique(np.concatenate(linked)):
         for reach in {radius, radius // 2} if radius > 3 else {radius}:
             rest = np.unique(fp[starts[g] : starts[g] + size[g]])
             while len(rest):
