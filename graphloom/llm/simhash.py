@@ -11,10 +11,8 @@ connected components.
 - HALVES: two parts of 32 bits. With a radius of 3 bits one half differs in at
   most one, so that no link is lost.
 - PARTS: eight overlapping parts of 22 bits, for a radius of 14 bits; the search
-  is probabilistic there. With LANES fingerprints of 64 bits (of differently mixed
-  hashes) candidates are verified on all their bits: a Jaccard similarity j of the
-  shingle sets shows as a cosine of 2j / (1 + j), so 0.8 is an angle of 27 degrees
-  and 15 % of the bits.
+  is probabilistic there. Texts of a given Jaccard similarity are found exactly by
+  jaccard.py instead.
 
 Equal fingerprints are one node, so groups of exact copies of any size cost one
 node. A bucket emits a spanning forest of its links found by breadth-first search,
@@ -49,13 +47,6 @@ def _parts(count: int, bits: int) -> tuple[int, ...]:
 
 
 PARTS = _parts(8, 22)
-LANES = 8
-
-
-def most_differing(similarity: float, bits: int) -> int:
-    """Bits that may differ at a Jaccard similarity: the expected number and one standard deviation."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(bits * p + (bits * p * (1 - p)) ** 0.5)
 
 
 def fingerprints(batch: pa.Array, shingle: int, lanes: int = 1) -> np.ndarray:
@@ -196,31 +187,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "root")
 
 
-def verified(edges: DataFrame, nodes: DataFrame, lanes: int, most: int) -> DataFrame:
-    """Edges (a, b) whose fingerprints differ in at most ``most`` bits of all lanes; ``nodes`` has fp and the lanes."""
-    rest = [f"fp{k}" for k in range(1, lanes)]
-    one = nodes.select(F.col("fp").alias("a"), *(F.col(c).alias(f"a_{c}") for c in rest))
-    two = nodes.select(F.col("fp").alias("b"), *(F.col(c).alias(f"b_{c}") for c in rest))
-    joined = edges.join(one, "a").join(two, "b")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    for c in rest:
-        apart = apart + F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
-    return joined.filter(apart <= most).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, masks: tuple = HALVES, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest id that links reach.
 
-    With ``similarity`` links are verified on LANES fingerprints to be at least so
-    similar by the shingle sets' Jaccard measure, as estimated from their bits.
+    With ``similarity`` links are those of the exact Jaccard measure of the shingle
+    sets (see jaccard.py); masks and radius play no part then.
     """
-    lanes = 1 if similarity is None else LANES
-    prints = cut(with_fingerprint(docs, key, text, shingle, lanes), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *(F.min_by(f"fp{k}", F.col("doc_id")).alias(f"fp{k}") for k in range(1, lanes)))
-    edges = links(nodes.select("fp"), masks, radius)
     if similarity is not None:
-        edges = verified(edges, nodes, lanes, most_differing(similarity, 64 * lanes))
-    roots = components(edges)
+        from graphloom.llm import jaccard
+
+        return jaccard.near_duplicates(docs, key, text, shingle, similarity)
+    prints = cut(with_fingerprint(docs, key, text, shingle), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(nodes.select("fp"), masks, radius))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = cut(named, "nodes")
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
