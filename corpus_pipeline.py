@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, mixing, secrets, simhash, toxicity
+from graphloom.llm import bpe, jaccard, mixing, secrets, toxicity
 from graphloom.llm.queries import not_mod_5, tokenizer
 from graphloom.llm.store import cut
 
-#: Near-duplicates of this stage: five-word shingles, Jaccard similarity, and the radius of the candidate search.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 14
+#: Near-duplicates of this stage: five-word shingles and Jaccard similarity.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Rows without an id stay; of repeated ids one row stays."""
-    found = simhash.near_duplicates(docs, shingle=SHINGLE, masks=simhash.PARTS, radius=RADIUS, similarity=SIMILARITY)
+    found = jaccard.near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY)
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))

@@ -7,9 +7,9 @@ n - ceil(t * n) + 1 of each, whatever the order is (prefix filter), so that no p
 is lost; the places of their first common shingle bound the overlap (position
 filter). The sample only changes how many pairs are tested.
 
-Links are tested on the whole sets, and only accepted ones join groups: first the
-neighbours within each bucket of a shingle, which joins most of a large group of
-near copies; then all pairs of a bucket that are not in one group yet. The groups
+Links are tested on the whole sets, and only accepted ones join groups: first those
+of near neighbours in an order of each bucket of a shingle (once for each of REACHES), which
+joins most of a large group of near copies; then all pairs of a bucket that are not in one group yet. The groups
 are the connected components of all pairs at or above the similarity.
 
 Equal sets are one node, named by a 64-bit hash of the set. Texts shorter than a
@@ -33,6 +33,8 @@ from graphloom.llm.text import raw, rolling, slices, spans, word_hashes
 
 #: One text of so many is sampled for common shingles; those of at least LEAST sampled texts count, at most COMMON of them.
 SAMPLE, LEAST, COMMON = 16, 8, 1 << 17
+#: The distance of neighbours in each round before that of all pairs.
+REACHES = (4, 32)
 FLUSH = 1 << 20
 
 
@@ -122,8 +124,8 @@ def shared(nodes: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, size int, pos int")
 
 
-def candidates(buckets: DataFrame, least: Fraction, neighbours: bool) -> DataFrame:
-    """(a, b), a < b: pairs of nodes of a bucket (key, node, size, pos, root) with different roots that may be similar enough; of ``neighbours`` only those next to each other."""
+def candidates(buckets: DataFrame, least: Fraction, reach: int | None = None, order: int = 0) -> DataFrame:
+    """(a, b), a < b: pairs of nodes of a bucket (key, node, size, pos, root) with different roots that may be similar enough; only those within ``reach`` in a bucket's ``order``, if given."""
     up, down = least.numerator, least.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +146,7 @@ def candidates(buckets: DataFrame, least: Fraction, neighbours: bool) -> DataFra
                 a, b = node[i[near]], node[j[near]]
                 pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
                 held += len(a)
-                if neighbours:
+                if lag == reach:
                     break
                 if held > FLUSH:
                     yield out(pairs)
@@ -152,7 +154,7 @@ def candidates(buckets: DataFrame, least: Fraction, neighbours: bool) -> DataFra
                 lag += 1
             yield out(pairs)
 
-    rows = buckets.select("key", "node", "size", "pos", "root").repartition("key").sortWithinPartitions("key", "node")
+    rows = buckets.select("key", "node", "size", "pos", "root").repartition("key").sortWithinPartitions("key", F.xxhash64("node", F.lit(order)), "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -179,11 +181,15 @@ def groups(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     wanted = texts.select("row", "text").join(asked, "row", "left_semi").dropDuplicates(["row"]).select("text")
     sets = cut(wanted.mapInArrow(run, "node long, shingles array<long>"), "sets")
-    first = cut(accepted(candidates(buckets.withColumn("root", F.col("node")), least, True), sets, least), "accepted")
-    roots = components(first)
-    labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = accepted(candidates(labelled, least, False), sets, least)
-    roots = components(first.union(second))
+    roots = None
+    for order, reach in enumerate((*REACHES, None)):
+        labelled = buckets.withColumn("root", F.col("node"))
+        if roots is not None:
+            labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = accepted(candidates(labelled, least, reach, order), sets, least)
+        if roots is not None:
+            found = found.union(roots.filter("node != root").select("root", "node"))
+        roots = components(found)
     return prints.select("doc_id", "row", "node").join(roots, "node", "left").select("doc_id", "row", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -61,3 +61,26 @@ def test_a_dissimilar_neighbour_separates_no_pair(spark):
     want = roots(sets)
     assert sum(want[10 * g + 1] == want[10 * g + 2] != want[10 * g] for g in range(40)) >= 30
     assert found(spark, texts) == want
+
+
+def test_the_stage_finds_all_pairs_down_to_the_similarity(spark):
+    """Pairs just above 0.8 and just below it, and texts that share a repeated line or differ only in one."""
+    import corpus_pipeline as P
+
+    rng = random.Random(22)
+    fresh = lambda r: f"w{r.randrange(10**6)}"
+    texts = {}
+    for g in range(80):
+        a = [fresh(rng) for _ in range(300)]
+        texts |= {10 * g: " ".join(a), 10 * g + 1: " ".join(edited(rng, a, 5 + g % 4, fresh))}
+    line = " ".join(fresh(rng) for _ in range(12))
+    for g in range(80, 100):
+        a = " ".join(fresh(rng) for _ in range(60))
+        b = " ".join(fresh(rng) for _ in range(60))
+        many = f" {line}" * 40
+        texts |= {10 * g: a + many, 10 * g + 1: b + many, 10 * g + 2: a}
+    texts |= {2000: "", 2001: " \n", 2002: "one two", 2003: "One  TWO", 2004: None}
+    want = roots(sets_of(texts))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in P.drop_near_duplicates(spark, df, None).collect()}
+    assert kept == {i for i, r in want.items() if i == r}
