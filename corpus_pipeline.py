@@ -2,7 +2,7 @@
 
 Stages: documents scored as toxic go; of each group of near-duplicates (five-word
 shingles, a similarity of 0.8 or more) the one with the smallest id stays; secrets are replaced by a mark; the rest is put in the order
-of the mix of sources; every document is encoded and decoded.
+of the mix of sources; every document is encoded and decoded, and carries its slot in the mix.
 """
 
 from __future__ import annotations
@@ -50,9 +50,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed ids of every document, with digests of them and of the text decoded from them."""
-    both = bpe.with_ids(docs.select("doc_id", "text"), "text", tokenizer(), "decoded")
-    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    """The packed ids of every document, with digests of them and of the text decoded from them, and its slot in the mix.
+
+    A table that is read again has no order, so the slot is made anew: it follows
+    from the documents alone.
+    """
+    placed = mixing.mix(docs, "doc_id", "source").select("doc_id", "text", "slot")
+    both = bpe.with_ids(placed, "text", tokenizer(), "decoded")
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "slot")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("secrets", mask_secrets), ("mixing", mix_sources), ("bpe", encode)]
