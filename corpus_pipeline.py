@@ -1,7 +1,7 @@
 """A corpus pipeline of five of the operators, each stage written and read again.
 
 Stages: documents scored as toxic go; of each group of near-duplicates (five-word
-shingles, a similarity of 0.8 or more) the one with the smallest id stays; secrets are replaced by a mark; the rest is put in the order
+shingles, a similarity of 0.8 or more) the row with the smallest id stays; secrets are replaced by a mark; the rest is put in the order
 of the mix of sources; every document is encoded and decoded, and carries its slot in the mix.
 """
 
@@ -29,13 +29,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Rows without an id stay; of repeated ids one row stays."""
-    found = jaccard.near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY)
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.row_number().over(order)).otherwise(1))
-    return kept.filter("_row = 1").select(*docs.columns)
+    """One row of each group: the one with the smallest id, then text hash. Rows without an id stay; of repeated rows of id and text one stays."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    found = cut(jaccard.groups(keyed.select(F.col("id").alias("doc_id"), "row", "text"), SHINGLE, SIMILARITY).filter("doc_id IS NOT NULL"), "groups")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    gone = found.join(first, "root").filter(F.struct("doc_id", "row") != F.col("first")).select(F.col("doc_id").alias("id"), "row").distinct()
+    kept = keyed.join(gone, ["id", "row"], "left_anti")
+    order = Window.partitionBy("id", "row").orderBy(F.xxhash64("doc"))
+    kept = kept.withColumn("place", F.when(F.col("id").isNotNull(), F.row_number().over(order)).otherwise(1))
+    return kept.filter("place = 1").select("doc.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,3 +16,13 @@ def test_rows_keep_their_place_in_the_mix(spark, tmp_path):
     out = P.encode(spark, spark.read.parquet(f"{tmp_path}/mixed"), None)
     assert {r.doc_id: r.slot for r in out.select("doc_id", "slot").collect()} == want
     assert P.run(spark, "/root/testdata/sf0.001").filter(F.col("slot").isNull()).count() == 0
+
+
+def test_rows_of_a_repeated_id_are_judged_by_their_texts(spark):
+    rng = random.Random(23)
+    one, two, three = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, one, "a"), (2, one, "a"), (2, two, "a"), (3, two + " end", "a"), (4, three, "a"), (4, three, "a"), (5, three, "a"), (None, one, "a"), (None, one, "a"), (6, None, "a"), (7, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = P.drop_near_duplicates(spark, docs, None)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, one), (2, two), (4, three), (None, one), (None, one), (6, None)], key=repr)
