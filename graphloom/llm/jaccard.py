@@ -4,13 +4,15 @@ Every text is the set of the 64-bit hashes of its distinct word shingles. All se
 are put in one order, the shingles that are common in a sample last. Two sets of a
 similarity of at least t have a shingle in common among the first
 n - ceil(t * n) + 1 of each, whatever the order is (prefix filter), so that no pair
-is lost; the places of their first common shingle bound the overlap (position
-filter). The sample only changes how many pairs are tested.
+is lost. The common shingles after the prefix that ends first are at most the rest of
+its set, which gives the least number of shingles that both prefixes must share for
+the similarity. The sample only changes how many pairs are tested.
 
 Links are tested on the whole sets, and only accepted ones join groups: first those
-of near neighbours in an order of each bucket of a shingle (once for each of REACHES), which
-joins most of a large group of near copies; then all pairs of a bucket that are not in one group yet. The groups
-are the connected components of all pairs at or above the similarity.
+of near neighbours in an order of each bucket of a shingle (once for each of
+REACHES), which joins most of a large group of near copies; then all pairs of a
+bucket that are not in one group yet. The groups are the connected components of all
+pairs at or above the similarity.
 
 Equal sets are one node, named by a 64-bit hash of the set. Texts shorter than a
 shingle are one shingle; texts without words are one node.
@@ -35,6 +37,8 @@ from graphloom.llm.text import raw, rolling, slices, spans, word_hashes
 SAMPLE, LEAST, COMMON = 16, 8, 1 << 17
 #: The distance of neighbours in each round before that of all pairs.
 REACHES = (4, 32)
+#: Neighbours are tested that share at least one in so many of the needed shingles within reach.
+LIKELY = 4
 FLUSH = 1 << 20
 
 
@@ -112,29 +116,29 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarra
 
 
 def shared(nodes: DataFrame) -> DataFrame:
-    """(key, node, size, pos): the prefix shingles of ``nodes`` (node, size, prefix) that several nodes have."""
-    rows = nodes.select(F.posexplode("prefix").alias("pos", "key"), "node", "size").select("key", "node", "size", "pos")
+    """(key, node, size): the prefix shingles of ``nodes`` (node, size, prefix) that several nodes have."""
+    rows = nodes.select(F.explode("prefix").alias("key"), "node", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_buckets(batches):
             same = columns[0][1:] == columns[0][:-1]
             keep = np.append(same, False) | np.append(False, same)
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["key", "node", "size", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["key", "node", "size"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, size int, pos int")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, size int")
 
 
 def candidates(buckets: DataFrame, least: Fraction, reach: int | None = None, order: int = 0) -> DataFrame:
-    """(a, b), a < b: pairs of nodes of a bucket (key, node, size, pos, root) with different roots that may be similar enough; only those within ``reach`` in a bucket's ``order``, if given."""
+    """(a, b), a < b: pairs of nodes of a bucket (key, node, size, root) with different roots that may be similar enough; only those within ``reach`` in a bucket's ``order``, if given."""
     up, down = least.numerator, least.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(pairs: list[np.ndarray]) -> pa.RecordBatch:
-            both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], ["a", "b"])
+            each, n = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *pairs]), axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(each[:, k])) for k in range(3)), pa.array(n.astype(np.int64))], ["a", "b", "needed", "n"])
 
-        for key, node, size, pos, root in _whole_buckets(batches):
-            size, rest = size.astype(np.int64), size.astype(np.int64) - pos
+        for key, node, size, root in _whole_buckets(batches):
+            size = size.astype(np.int64)
             i, lag, pairs, held = np.arange(len(key)), 1, [], 0
             while True:
                 i = i[i + lag < len(key)]
@@ -142,9 +146,12 @@ def candidates(buckets: DataFrame, least: Fraction, reach: int | None = None, or
                 if not len(i):
                     break
                 j = i + lag
-                near = (root[i] != root[j]) & (np.minimum(rest[i], rest[j]) * (up + down) >= up * (size[i] + size[j]))
-                a, b = node[i[near]], node[j[near]]
-                pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                near = (root[i] != root[j]) & (np.minimum(size[i], size[j]) * down >= np.maximum(size[i], size[j]) * up)
+                i_, j_ = i[near], j[near]
+                a, b = node[i_], node[j_]
+                overlap = -(-up * (size[i_] + size[j_]) // (up + down))
+                needed = overlap + 1 - -(-up * np.maximum(size[i_], size[j_]) // down)
+                pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b), needed], 1))
                 held += len(a)
                 if lag == reach:
                     break
@@ -154,12 +161,26 @@ def candidates(buckets: DataFrame, least: Fraction, reach: int | None = None, or
                 lag += 1
             yield out(pairs)
 
-    rows = buckets.select("key", "node", "size", "pos", "root").repartition("key").sortWithinPartitions("key", F.xxhash64("node", F.lit(order)), "node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = buckets.select("key", "node", "size", "root").repartition("key").sortWithinPartitions("key", F.xxhash64("node", F.lit(order)), "node")
+    counts = rows.mapInArrow(run, "a long, b long, needed long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("needed").alias("needed"))
+    share = 1 if reach is None else LIKELY
+    return counts.filter(F.col("n") * share >= F.col("needed")).select("a", "b")
 
 
-def accepted(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets (node, shingles) are at least so similar."""
+def accepted(pairs: DataFrame, texts: DataFrame, named: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets are at least so similar; ``named`` (node, row) has a row of ``texts`` for each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            sets = shingle_sets(batch.column(0), shingle)
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), _lists(sets)], ["node", "shingles"])
+
+    pairs = cut(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = cut(named.join(nodes, "node", "left_semi").select("row"), "asked")
+    wanted = texts.select("row", "text").join(asked, "row", "left_semi").dropDuplicates(["row"]).select("text")
+    sets = cut(wanted.mapInArrow(run, "node long, shingles array<long>"), "sets")
     one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     every = F.size("sa") + F.size("sb") - both
@@ -171,22 +192,13 @@ def groups(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     least = Fraction(str(similarity))
     prints = cut(with_prefix(texts, shingle, least, common_shingles(texts, shingle)), "prefixes")
     buckets = cut(shared(prints.select("node", "size", "prefix").dropDuplicates(["node"])), "shared")
-    asked = buckets.select("node").distinct().join(prints.groupBy("node").agg(F.min("row").alias("row")), "node").select("row")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            sets = shingle_sets(batch.column(0), shingle)
-            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), _lists(sets)], ["node", "shingles"])
-
-    wanted = texts.select("row", "text").join(asked, "row", "left_semi").dropDuplicates(["row"]).select("text")
-    sets = cut(wanted.mapInArrow(run, "node long, shingles array<long>"), "sets")
+    named = cut(prints.groupBy("node").agg(F.min("row").alias("row")), "named")
     roots = None
     for order, reach in enumerate((*REACHES, None)):
         labelled = buckets.withColumn("root", F.col("node"))
         if roots is not None:
             labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = accepted(candidates(labelled, least, reach, order), sets, least)
+        found = accepted(candidates(labelled, least, reach, order), texts, named, shingle, least)
         if roots is not None:
             found = found.union(roots.filter("node != root").select("root", "node"))
         roots = components(found)
