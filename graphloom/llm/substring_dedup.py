@@ -7,17 +7,22 @@
    one or more, cells at two or more) in a stream, and only the bits "two or
    more" are broadcast: WIDTH / 4 bytes in all, whatever the input.
 2. Exact pass. Windows whose minimizer is estimated repeated (none that repeats
-   is missed) are grouped by a 95-bit hash. Each task first groups its own: a
+   is missed) are grouped by 128 bits: two 64-bit hashes, each over its own 64-bit
+   hash of every word's bytes. Each task first groups its own: a
    hash that it has more than once is known to repeat, and one row stands for
    all of them, so that a hot window sends a row per task. Rows of a hash meet
    sorted in one partition and are compared with their neighbours in a stream.
-3. The starts of repeated windows are gathered per document as 64-bit blocks and
-   joined to the texts, whose covered words are dropped.
+3. The starts of repeated windows are gathered as 64-bit blocks in the tasks that
+   find them, then per document, and joined to the texts, whose covered words are
+   dropped.
 
 A wider sketch than the data needs costs memory, a narrower one sends more rows
-to the exact pass; the result is the same. Null and empty texts have no words.
-Repeated rows are elsewhere for each other, so their windows all repeat. Rows are
-told apart by their id and a hash of their text. Texts are processed whole.
+to the exact pass; the result is the same. Null and empty texts have no words; an
+empty table gives an empty one. Ids are integers (or cast to them). Repeated rows
+are elsewhere for each other, so their windows all repeat. Rows without an id or
+with a repeated one are told apart by a 64-bit hash of their text as well. Only
+the id and the text of ``docs`` are read, whatever other columns are named. Texts
+are processed whole.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ WIDTH, SLICES = 1 << 25, 32
 SEGMENT = 1 << 22
 #: Windows that a task groups at a time before it sends them.
 FLUSH = 1 << 20
+#: Stands for a missing id in joins.
+NO_ID = -(1 << 62)
 
 
 def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,31 +131,46 @@ def _set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _blocks(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Runs of n starts as the bits of blocks of 64 words."""
+    n = n.astype(np.int64)
+    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    doc, mark, block = np.repeat(doc, n), np.repeat(mark, n), at >> 6
+    order = np.lexsort((block, mark, doc))
+    doc, mark, block, bit = doc[order], mark[order], block[order], np.uint64(1) << (at[order] & 63).astype(np.uint64)
+    new = np.append(True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (block[1:] != block[:-1])) if len(doc) else np.zeros(0, bool)
+    k = np.flatnonzero(new)
+    bits = np.bitwise_or.reduceat(bit, k) if len(k) else bit
+    return pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(mark[k]), pa.array(block[k].astype(np.int32)), pa.array(bits.view(np.int64))], ["doc_id", "mark", "block", "bits"])
+
+
 def repeated_starts(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_hash, start, n): runs of n window starts, in words of the text, whose windows also start elsewhere."""
+    """(doc_id, mark, block, bits) of ``texts`` (doc_id, mark, text): the window starts 64 * block + bit, in words of the text, whose windows also start elsewhere.
+
+    A block may have several rows, whose bits are to be joined; a null doc_id is NO_ID.
+    """
     bits = texts.sparkSession.sparkContext.broadcast(sketch(texts, width))
-    names = ["h1", "h2", "doc_id", "text_hash", "start", "n"]
+    names = ["h1", "h2", "doc_id", "mark", "start", "n"]
 
-    def group(h1, h2, doc, text, start) -> pa.RecordBatch:
+    def group(h1, h2, doc, mark, start) -> pa.RecordBatch:
         """One row for each hash of a task: with its place if it came once, else with n = 0 and its places as runs without hash."""
         order = np.lexsort((h2, h1))
-        h1, h2, doc, text, start = (x[order] for x in (h1, h2, doc, text, start))
+        h1, h2, doc, mark, start = (x[order] for x in (h1, h2, doc, mark, start))
         new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
         size = np.diff(np.append(np.flatnonzero(new), len(h1)))
         lone = np.repeat(size == 1, size)
         reps = np.flatnonzero(new & ~lone)
         i = np.flatnonzero(~lone)
-        i = i[np.lexsort((start[i], text[i], doc[i]))]
-        d, t, s = doc[i], text[i], start[i]
+        i = i[np.lexsort((start[i], mark[i], doc[i]))]
+        d, t, s = doc[i], mark[i], start[i]
         fresh = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)) if len(i) else np.zeros(0, bool)
         at = np.flatnonzero(fresh)
         k = np.flatnonzero(lone)
-        none = np.zeros(len(at), np.int32)
         cols = [
             np.concatenate((h1[k], h1[reps], d[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64),
-            np.concatenate((h2[k], h2[reps], none)),
+            np.concatenate((h2[k], h2[reps], np.zeros(len(at), np.uint64))).view(np.int64),
             np.concatenate((doc[k], np.zeros(len(reps), np.int64), d[at])),
-            np.concatenate((text[k], np.zeros(len(reps), np.int32), t[at])),
+            np.concatenate((mark[k], np.zeros(len(reps), np.int64), t[at])),
             np.concatenate((start[k], np.zeros(len(reps), np.int32), s[at])),
             np.concatenate((np.ones(len(k), np.int32), np.zeros(len(reps), np.int32), -np.diff(np.append(at, len(i))).astype(np.int32))),
         ]
@@ -158,18 +180,17 @@ def repeated_starts(texts: DataFrame, width: int = WIDTH) -> DataFrame:
         kept: list[tuple] = []
         held = 0
         for batch in slices(batches, "text"):
-            column = batch.column(batch.schema.get_field_index("text"))
+            ids, marks, column = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "mark", "text"))
             begin, row, word, grams, _ = windows(column)
             one, two = _cells(grams, width)
             hit = _set(bits.value[0], one) & _set(bits.value[1], two)
             if not hit.any():
                 continue
             data, offsets = raw(column)
-            hashes = word_hashes(data, *spans(data, offsets)[:2])
+            start, end, _ = spans(data, offsets)
             begin, row, word = begin[hit], row[hit], word[hit].astype(np.int32)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
-            marks = batch.column(batch.schema.get_field_index("text_hash")).to_numpy(zero_copy_only=False)
-            kept.append((rolling(hashes, WINDOW, 2)[begin], (rolling(hashes, WINDOW, 3)[begin] >> np.uint64(33)).astype(np.int32), ids[row], marks[row], word))
+            own = [rolling(word_hashes(data, start, end, k), WINDOW, 2 + k)[begin] for k in (0, 1)]
+            kept.append((*own, ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)[row], marks.to_numpy(zero_copy_only=False)[row], word))
             held += len(begin)
             if held >= FLUSH:
                 yield group(*(np.concatenate(x) for x in zip(*kept, strict=True)))
@@ -181,6 +202,8 @@ def repeated_starts(texts: DataFrame, width: int = WIDTH) -> DataFrame:
         # A row is judged with both neighbours, so a batch's last row waits for the
         # next batch and takes the row before it along.
         held: list[np.ndarray] | None = None
+        found: list[list[np.ndarray]] = []
+        n = 0
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             if not len(cols[0]):
@@ -189,37 +212,42 @@ def repeated_starts(texts: DataFrame, width: int = WIDTH) -> DataFrame:
             if held is not None:
                 low = len(held[0]) - 1
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            yield _settled(cols, low, len(cols[0]) - 1)
+            found.append(_settled(cols, low, len(cols[0]) - 1))
+            n += int(found[-1][3].sum())
+            if n >= FLUSH:
+                yield _blocks(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                found, n = [], 0
             held = [c[-2:] for c in cols]
         if held is not None:
-            yield _settled(held, len(held[0]) - 1, len(held[0]))
+            found.append(_settled(held, len(held[0]) - 1, len(held[0])))
+            yield _blocks(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    rows = texts.mapInArrow(find, "h1 long, h2 int, doc_id long, text_hash int, start int, n int")
+    rows = texts.mapInArrow(find, "h1 long, h2 long, doc_id long, mark long, start int, n int")
     rows = rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-    return rows.mapInArrow(meet, "doc_id long, text_hash int, start int, n int")
+    return rows.mapInArrow(meet, "doc_id long, mark long, block int, bits long")
 
 
-def _settled(cols: list[np.ndarray], low: int, high: int) -> pa.RecordBatch:
-    """Repeated starts among the rows low..high of sorted rows; the rows around serve as neighbours."""
-    h1, h2, doc, text, start, n = cols
+def _settled(cols: list[np.ndarray], low: int, high: int) -> list[np.ndarray]:
+    """(doc_id, mark, start, n) of repeated starts among the rows low..high of sorted rows; the rows around serve as neighbours."""
+    h1, h2, doc, mark, start, n = cols
     same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]) & (n[1:] >= 0) & (n[:-1] >= 0)
     twin = np.append(False, same) | np.append(same, False)
     take = (n < 0) | (twin & (n == 1))
     take[:low], take[high:] = False, False
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[take], text[take], start[take], np.abs(n[take]))], ["doc_id", "text_hash", "start", "n"])
+    return [doc[take], mark[take], start[take], np.abs(n[take])]
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row."""
-    id_ = F.col(key).cast("long")
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    texts = docs.select(id_.alias("doc_id"), F.col(text).alias("text"), mark.alias("text_hash"))
-    runs = repeated_starts(texts, width)
-    each = runs.select("doc_id", "text_hash", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("start")).repartition("doc_id")
-    blocks = each.groupBy("doc_id", "text_hash", F.shiftright("start", 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, start & 63)")).alias("bits"))
-    blocks = blocks.groupBy(F.col("doc_id").alias("run_id"), F.col("text_hash").alias("run_hash")).agg(F.collect_list(F.struct("block", "bits")).alias("blocks"))
-    known = F.coalesce("doc_id", F.lit(-(1 << 62)))
-    joined = texts.join(blocks, (known == F.col("run_id")) & (F.col("text_hash") == F.col("run_hash")), "left").select("doc_id", "text", "blocks")
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    again = own.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
+    mark = F.when(F.col("doc_id").isNull() | F.col("again").isNotNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(0)
+    texts = own.join(cut(again, "repeated-ids"), F.col("doc_id") == F.col("again"), "left").select("doc_id", "text", mark.alias("mark"))
+    found = repeated_starts(texts, width).repartition("doc_id", "mark")
+    blocks = found.groupBy("doc_id", "mark", "block").agg(F.bit_or("bits").alias("bits"))
+    blocks = blocks.groupBy(F.col("doc_id").alias("run_id"), F.col("mark").alias("run_mark")).agg(F.collect_list(F.struct("block", "bits")).alias("blocks"))
+    known = F.coalesce("doc_id", F.lit(NO_ID))
+    joined = texts.join(blocks, (known == F.col("run_id")) & (F.col("mark") == F.col("run_mark")), "left").select("doc_id", "text", "blocks")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

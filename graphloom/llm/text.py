@@ -17,9 +17,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[[9, 10, 11, 12, 13, 32]] = 0
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = [_RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+_BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)]
 _ROLL = np.uint64(0xD1342543DE82EF95)
 _ROLL_INV = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 
@@ -65,15 +64,15 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; ``which`` chooses one of two hashes that don't depend on each other."""
     if not len(start):
         return np.zeros(0, np.uint64)
     size = end - start
-    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(size.max()), _BASE))), dtype=np.uint64)
+    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(size.max()), _BASES[which]))), dtype=np.uint64)
     within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     at = within + np.repeat(start, size)
-    return mix(np.add.reduceat(_BYTE[data[at]] * powers[within], np.cumsum(size) - size) + size.astype(np.uint64))
+    return mix(np.add.reduceat(_BYTES[which][data[at]] * powers[within], np.cumsum(size) - size) + size.astype(np.uint64))
 
 
 def rolling(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
