@@ -3,12 +3,16 @@
 Encoding: the payload becomes rows of 64 RGB pixels (192 bytes), each row gets
 the filter (None, Sub or Up) with the least sum of absolute differences, and the
 rows are deflated into IDAT chunks. Decoding walks the chunks, tests every CRC,
-inflates and undoes all five PNG filters with numpy. The feature is a perceptual
-hash: luma averaged to 32 x 32, low-frequency 8 x 8 cosine transform, one bit for
-each coefficient above the median.
-
-A null text counts as empty. Equal texts give equal bytes and features. Memory is
-a few times the longest text.
+inflates and undoes all five PNG filters: None, Sub and runs of Up with numpy,
+Average and Paeth, which the encoder here never chooses, pixel by pixel. The feature
+is a perceptual hash: luma averaged to 32 x 32 by area (for every height by the same
+rule), low-frequency 8 x 8 cosine transform, one bit for each coefficient above the
+median.
+
+A null text counts as empty; an empty table gives an empty one. Equal texts give
+equal bytes and features. Columns named ``stored`` and ``read`` are replaced, all
+others pass through. Rows go through in slices of about a megabyte, so memory is a
+few times a slice or the longest text.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.text import slices
+
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
 #: Fixed values of the PNG format.
@@ -62,11 +67,17 @@ def _unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
     sub = np.flatnonzero(kinds == 1)
     pixels[sub] = np.cumsum(pixels[sub], axis=1, dtype=np.uint8)
     zero = np.zeros(width, np.uint8)
-    for y in np.flatnonzero(kinds >= 2):
-        above, row = (out[y - 1] if y else zero), out[y]
-        if kinds[y] == 2:
-            row += above
-        elif kinds[y] in (3, 4):
+    later = np.flatnonzero(kinds >= 2)
+    runs = np.split(later, np.flatnonzero((np.diff(later) != 1) | (kinds[later[1:]] != kinds[later[:-1]])) + 1) if len(later) else []
+    for run in runs:  # consecutive rows of one filter
+        if kinds[run[0]] == 2:
+            first = max(0, run[0] - 1)
+            out[first : run[-1] + 1] = np.cumsum(out[first : run[-1] + 1], axis=0, dtype=np.uint8)
+            continue
+        if kinds[run[0]] not in (3, 4):
+            raise ValueError(f"unknown filter {kinds[run[0]]}")
+        for y in run:
+            above, row = (out[y - 1] if y else zero), out[y]
             for x in range(width):
                 a = int(row[x - bpp]) if x >= bpp else 0
                 b = int(above[x])
@@ -77,8 +88,6 @@ def _unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
                     pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
                     guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
                 row[x] = (int(row[x]) + guess) & 255
-        else:
-            raise ValueError(f"unknown filter {kinds[y]}")
     return out
 
 
@@ -115,20 +124,25 @@ def _averages(size: int) -> np.ndarray:
     return cover / cover.sum(1, keepdims=True)
 
 
+def area_rows(samples: np.ndarray, count: int = 32) -> np.ndarray:
+    """``samples`` (rows, columns) averaged to ``count`` rows, each over its share of all rows, parts of rows included."""
+    height = len(samples)
+    edges = np.arange(count + 1) * height
+    whole, part = edges // count, (edges % count / count)[:, None]
+    below = np.concatenate((np.zeros((1, samples.shape[1])), np.cumsum(samples, axis=0, dtype=np.float64)))
+    up_to = below[whole] + part * samples[np.minimum(whole, height - 1)]
+    return np.diff(up_to, axis=0) * (count / height)
+
+
 _COSINE = np.cos(np.pi * np.arange(8)[:, None] * (2 * np.arange(32)[None] + 1) / 64)
 _ACROSS = _averages(WIDTH)
+_LUMA = np.array([299, 587, 114])
 
 
 def image_hash(samples: np.ndarray) -> str:
     """16 hexadecimal digits: a bit for each of the 64 lowest frequencies."""
-    height = len(samples)
-    luma = samples.reshape(height, WIDTH, CHANNELS) @ np.array([0.299, 0.587, 0.114])
-    if height <= 64:
-        small = _averages(height) @ luma
-    else:  # whole rows by cumulative sums, so that long images need no wide matrix
-        edges = np.arange(33) * height // 32
-        small = np.add.reduceat(luma, edges[:-1], axis=0) / np.diff(edges)[:, None]
-    low = _COSINE @ (small @ _ACROSS.T) @ _COSINE.T
+    luma = samples.reshape(len(samples), WIDTH, CHANNELS) @ _LUMA
+    low = _COSINE @ (area_rows(luma) / 1000 @ _ACROSS.T) @ _COSINE.T
     bits = (np.round(low, 6) > np.round(np.median(low.ravel()[1:]), 6)).ravel()
     return np.packbits(bits).tobytes().hex()
 
@@ -141,27 +155,40 @@ STORED = _struct(media=T.BinaryType(), n_bytes=T.LongType())
 FEATURES = _struct(payload_bytes=T.LongType(), payload_sha256=T.StringType(), tail_crc32=T.LongType(), media_bytes=T.LongType(), media_sha256=T.StringType(), feature=T.StringType())
 
 
-@F.pandas_udf(STORED)
-def _store(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"media": [encode_png(payload(t)) for t in texts], "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]})
+_STORED = pa.struct([("media", pa.binary()), ("n_bytes", pa.int64())])
+_FEATURES = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
-@F.pandas_udf(FEATURES)
-def _read(media: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for blobs in media:
-        rows = []
-        for blob in blobs:
-            samples = decode_png(blob)
-            data = samples.tobytes()
-            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), image_hash(samples)))
-        yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+def _read(blob: bytes) -> dict:
+    samples = decode_png(blob)
+    data = samples.tobytes()
+    return {"payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-16:]), "media_bytes": len(blob), "media_sha256": hashlib.sha256(blob).hexdigest(), "feature": image_hash(samples)}
 
 
 def to_media(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the struct column ``stored`` (media, n_bytes) of its texts."""
-    return df.withColumn("stored", _store(F.coalesce(F.col(text), F.lit(""))))
+    kept = df.drop("stored")
+    schema = T.StructType([*kept.schema, T.StructField("stored", STORED)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, 1 << 20):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            stored = [{"media": encode_png(payload(t)), "n_bytes": len((t or "").encode("utf-8", "surrogatepass"))} for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stored, _STORED)], schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def media_features(df: DataFrame, stored: str = "stored") -> DataFrame:
     """``df`` with the struct column ``read`` of what the stored bytes give when read back."""
-    return df.withColumn("read", _read(F.col(stored)["media"]))
+    kept = df.drop("read")
+    schema = T.StructType([*kept.schema, T.StructField("read", FEATURES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column(batch.schema.get_field_index(stored)).field("media")
+            for at in range(0, batch.num_rows, 500):
+                read = pa.array([_read(b.as_py()) for b in blobs.slice(at, 500)], _FEATURES)
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, 500) for c in batch.columns), read], schema.names)
+
+    return kept.mapInArrow(run, schema)

@@ -85,8 +85,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a PNG image, read back and hashed."""
-    stored = media.media_features(media.to_media(_table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return stored.select("doc_id", "stored.n_bytes", "read.*")
+    stored = media.to_media(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "stored")
+    return media.media_features(stored).select("doc_id", "stored.n_bytes", "read.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
