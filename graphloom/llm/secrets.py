@@ -5,12 +5,19 @@ spans of kind entropy: in every candidate string (a run of 20 or more key-like
 characters) a window moves over the characters of each class; the counts of its
 characters are changed by the one that enters and the one that leaves, and so is
 the sum of c*log2(c), which gives the Shannon entropy of each window in O(1).
-Windows at or above the class's threshold are merged. The allow-list suppresses
-added spans only, never base spans.
-
-Null and empty texts have no spans. Repeated rows each give their row. Spans are
-in code points, the end exclusive. Long texts are scanned whole; memory is a few
-times the longest text of a batch.
+Windows at or above the class's threshold are merged. The sum is kept in whole
+numbers (units of 2^-40), so that it doesn't drift over a long candidate.
+
+The allow-list suppresses added spans only, never base spans: a candidate that is a
+UUID, and of a merged span the leading and closing parts between slashes that are a
+repeated group, a number, name a placeholder or read like words. What is left is
+kept if it still fills a window, so that a secret is found in an address whose other
+parts are allowed.
+
+Null and empty texts have no spans; an empty table gives an empty one. Repeated
+rows each give their row. Spans are in code points, the end exclusive. Only the text
+column is read or replaced, whatever other columns are named. Long texts are scanned
+whole; memory is a few times the longest text of a batch.
 """
 
 from __future__ import annotations
@@ -34,20 +41,53 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: Class, window, least entropy in bits. A window of 20 random hexadecimal digits has about 3.3 bits, one of 20 random base-64 characters about 4.1.
 CLASSES = ((frozenset("0123456789abcdef"), 20, 3.0), (frozenset("0123456789ABCDEF"), 20, 3.0), (None, 20, 3.75))
-#: Candidates that are no secrets: a UUID, one repeated group, and words that name a placeholder.
-ALLOW = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|(.{1,4}?)\2+|.*(example|placeholder|changeme|dummy).*|[A-Za-z/_=+-]+|[0-9/_=+-]+", re.I)
-
-_XLOGX = [0.0, *(c * math.log2(c) for c in range(1, 257))]
+#: Characters that an added span has at least.
+LEAST_SPAN = 20
+#: Candidates that are no secrets.
+UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
+#: Parts of spans that are no secrets: none, one repeated group, numbers, and words that name a placeholder.
+ALLOW = re.compile(r"|(.{1,4}?)\1+|[0-9_=+-]+|.*(example|placeholder|changeme|dummy).*", re.I)
+LETTERS = re.compile(r"[A-Za-z_=+-]+")
+#: Parts of letters read like words with a share of vowels within these limits, and few or all letters in upper case.
+VOWELS, LEAST_VOWELS, MOST_VOWELS, MOST_UPPER = frozenset("aeiouyAEIOUY"), 0.22, 0.65, 0.3
+
+UNIT = 1 << 40
+_XLOGX = [0, *(round(c * math.log2(c) * UNIT) for c in range(1, 257))]
+
+
+def like_words(s: str) -> bool:
+    """Whether a string of letters and separators looks like words: enough vowels, few or all letters in upper case."""
+    letters = [c for c in s if c.isalpha()]
+    if not letters or not LETTERS.fullmatch(s):
+        return False
+    vowels, upper = (sum(f) / len(letters) for f in ([c in VOWELS for c in letters], [c.isupper() for c in letters]))
+    return LEAST_VOWELS <= vowels <= MOST_VOWELS and (upper <= MOST_UPPER or upper == 1)
+
+
+def without_allowed(s: str, a: int, b: int) -> tuple[int, int]:
+    """The span a:b of ``s`` less the parts at its ends that the allow-list suppresses."""
+    allowed = lambda part: bool(ALLOW.fullmatch(part)) or like_words(part)
+    while a < b:
+        cut = s.find("/", a, b)
+        if not allowed(s[a : cut if cut >= 0 else b]):
+            break
+        a = cut + 1 if cut >= 0 else b
+    while a < b:
+        cut = s.rfind("/", a, b)
+        if not allowed(s[cut + 1 if cut >= 0 else a : b]):
+            break
+        b = max(a, cut)
+    return a, b
 
 
 def entropy_runs(s: str, allowed: frozenset | None, window: int, least: float) -> Iterator[tuple[int, int]]:
     """Merged spans of ``s`` whose windows hold only ``allowed`` characters and reach ``least`` bits."""
     counts: dict[str, int] = {}
-    total, size, begin, end = 0.0, 0, -1, -1
-    norm = math.log2(window)
+    total, size, begin, end = 0, 0, -1, -1
+    most = math.floor((math.log2(window) - least) * window * UNIT)
     for i, c in enumerate(s):
         if allowed is not None and c not in allowed:
-            counts, total, size = {}, 0.0, 0
+            counts, total, size = {}, 0, 0
             continue
         k = counts.get(c, 0)
         counts[c] = k + 1
@@ -59,7 +99,7 @@ def entropy_runs(s: str, allowed: frozenset | None, window: int, least: float) -
             counts[out] = k - 1
             total -= _XLOGX[k] - _XLOGX[k - 1]
             size = window
-        if size == window and norm - total / window >= least:
+        if size == window and total <= most:
             if i + 1 - window > end:
                 if end > 0:
                     yield begin, end
@@ -83,12 +123,13 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     for at, s in candidates:  # a hexadecimal run of 32 lies in such a run
         found += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(s) if m.end() - m.start() >= 32]
     for at, s in candidates:
-        if ALLOW.fullmatch(s):
+        if UUID.fullmatch(s):
             continue
         runs = sorted({run for known, window, least in CLASSES for run in entropy_runs(s, known, window, least)})
         end = -1
         for a, b in runs:
-            if b > end:
+            a, b = without_allowed(s, a, b)
+            if b > end and b - a >= LEAST_SPAN:
                 found.append((at + a, 3, at + b))
                 end = b
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
