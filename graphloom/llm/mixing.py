@@ -13,12 +13,17 @@ block.
 A source that has run out leaves its slots empty; the rest keep their relative
 weights. No row is dropped or repeated. Sources without a target weight (null is
 a source of its own, named '') get the least weight, 1. More than MAX_SOURCES
-sources raise an error, which bounds the tables of weights and slots that are
-broadcast. Block numbers come from a
-two-level prefix sum over hash buckets, so that no task holds a whole source.
+sources raise an error before any list of them is made, which bounds the tables of
+weights and slots that are broadcast.
 
-Empty tables give empty results; repeated rows are kept and ordered by their
-hash and the remaining columns of the key. Extra columns pass through.
+Rows are in the order of the hash of their id, rows of one id in that of a hash of
+all their columns. Block numbers come from prefix sums: over the ids of a hash bucket
+(an id that many rows share is counted in parts, by the hash of their columns), over
+buckets, and over groups of buckets. So no task holds a whole source, or all rows of a
+missing or repeated id.
+
+Empty tables give empty results; repeated rows are kept. Extra columns of any type
+pass through, whatever they are named.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.store import cut, hashable
+
 PERIOD = 1000
 BLOCK = 4
 MAX_SOURCES = 5000
@@ -36,14 +43,22 @@ BUCKET_ROWS = 2000
 ADDED = ("mix_source", "block_no", "release", "deadline", "slot")
 
 
-def count_weights(docs: DataFrame, source: str, period: int = PERIOD) -> DataFrame:
-    """Integer target weights (mix_source, weight) in proportion to the square root of the sources' sizes, summing to ``period``.
+def source_counts(docs: DataFrame, source: str) -> DataFrame:
+    """(mix_source, n) of at most MAX_SOURCES sources; more raise an error."""
+    counts = cut(docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("mix_source")).agg(F.count("*").alias("n")), "source-counts")
+    n = counts.count()
+    if n > MAX_SOURCES:
+        raise ValueError(f"{n} sources; at most {MAX_SOURCES} are provided for")
+    return counts
+
+
+def count_weights(counts: DataFrame, period: int = PERIOD) -> DataFrame:
+    """Integer target weights (mix_source, weight) in proportion to the square root of the sources' sizes (mix_source, n), summing to ``period``.
 
     Largest remainders round them; each is at least 1. With more than half as many
     sources the period is twice their number.
     """
-    counts = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("mix_source")).agg(F.count("*").alias("n"))
-    packed = counts.agg(F.array_sort(F.collect_list(F.struct("mix_source", "n"))).alias("all"))
+    packed = counts.agg(F.array_sort(F.collect_list(F.struct("mix_source", "n"))).alias("all"))  # at most MAX_SOURCES
     packed = packed.filter(F.size("all") > 0).withColumn("period", F.greatest(F.lit(period), 2 * F.size("all")))
     roots = F.transform("all", lambda s: F.floor(F.sqrt(s["n"].cast("double")) * 1000).cast("long"))
     packed = packed.withColumn("roots", roots).withColumn("total", F.aggregate("roots", F.lit(0).cast("long"), lambda a, x: a + x))
@@ -87,39 +102,43 @@ def _place(state, t):
     )
 
 
-def mix(docs: DataFrame, key: str, source: str, weights: DataFrame | None = None, block: int = BLOCK, total: int | None = None) -> DataFrame:
+def _before(counts: DataFrame, groups: list[str], order: list[str], n: str = "n"):
+    """The sum of ``n`` over the earlier rows of the same groups."""
+    within = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(n).over(within), F.lit(0))
+
+
+def mix(docs: DataFrame, key: str, source: str, weights: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """``docs`` with the columns ADDED: each row's source, block, release, deadline and slot.
 
     ``weights`` has (mix_source, weight) with integer weights; by default those of
-    count_weights. ``total`` is the number of rows, counted if not given. A column
-    of ``docs`` named as one of ADDED is replaced.
+    count_weights. A column of ``docs`` named as one of ADDED is replaced.
     """
     docs = docs.drop(*(c for c in ADDED if c not in (key, source)))
-    columns, order_by = docs.columns, F.xxhash64(*docs.columns)
+    sources = source_counts(docs, source)
     if weights is None:
-        weights = count_weights(docs, source)
-    sources = docs.select(F.coalesce(F.col(source), F.lit("")).alias("mix_source")).distinct()
-    weights = sources.join(weights, "mix_source", "left").select("mix_source", F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1)).alias("weight"))
-    n = weights.count()
-    if n > MAX_SOURCES:
-        raise ValueError(f"{n} sources; at most {MAX_SOURCES} are provided for")
-    total = docs.count() if total is None else total
+        weights = count_weights(sources)
+    total = sources.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    weights = sources.select("mix_source").join(weights, "mix_source", "left").select("mix_source", F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1)).alias("weight"))
     upper = max(1, math.isqrt(math.ceil(total / BUCKET_ROWS)))
+    parts = max(1, math.isqrt(total))
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    place = F.conv(F.substring("mix_hash", 1, 8), 16, 10).cast("long")
     # The row travels as one struct, so that none of its columns clashes with those below.
-    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(source), F.lit("")).alias("mix_source"), digest.alias("mix_hash"), F.col(key).alias("mix_key"), order_by.alias("mix_tie"))
-    bucket = F.floor(place * (upper * upper) / F.lit(1 << 32)).cast("long")
-    rows = rows.withColumn("mix_bucket", bucket)
-    counts = rows.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("n")).withColumn("mix_upper", F.floor(F.col("mix_bucket") / upper))
-    within = Window.partitionBy("mix_source", "mix_upper").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    uppers = counts.groupBy("mix_source", "mix_upper").agg(F.sum("n").alias("n_upper"))
-    earlier = Window.partitionBy("mix_source").orderBy("mix_upper").rowsBetween(Window.unboundedPreceding, -1)
-    uppers = uppers.select("mix_source", "mix_upper", F.coalesce(F.sum("n_upper").over(earlier), F.lit(0)).alias("before_upper"))
-    starts = counts.join(uppers, ["mix_source", "mix_upper"]).select("mix_source", "mix_bucket", (F.col("before") + F.col("before_upper")).alias("start"))
-    order = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "mix_key", "mix_tie")
-    rows = rows.withColumn("mix_row", F.row_number().over(order)).join(starts, ["mix_source", "mix_bucket"])
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.coalesce(F.col(source), F.lit("")).alias("mix_source"), digest.alias("mix_hash"), F.xxhash64(*hashable(docs)).alias("mix_tie"))
+    part = F.floor((F.shiftright("mix_tie", 32) + F.lit(1 << 31)) * parts / F.lit(1 << 32)).cast("int")
+    rows = rows.withColumn("mix_part", part)
+    # An id's parts, each at most a few rows unless rows are repeated; ids of a bucket; buckets of a group.
+    each = rows.groupBy("mix_source", "mix_hash", "mix_part").agg(F.count("*").alias("n"))
+    bucket = F.floor(F.conv(F.substring("mix_hash", 1, 8), 16, 10).cast("long") * (upper * upper) / F.lit(1 << 32)).cast("long")
+    each = each.withColumn("mix_bucket", bucket).withColumn("before", _before(each, ["mix_source", "mix_bucket"], ["mix_hash", "mix_part"]))
+    counts = each.groupBy("mix_source", "mix_bucket").agg(F.sum("n").alias("n")).withColumn("mix_upper", F.floor(F.col("mix_bucket") / upper))
+    uppers = counts.groupBy("mix_source", "mix_upper").agg(F.sum("n").alias("n"))
+    uppers = uppers.select("mix_source", "mix_upper", _before(uppers, ["mix_source"], ["mix_upper"]).alias("before_upper"))
+    counts = counts.withColumn("before_bucket", _before(counts, ["mix_source", "mix_upper"], ["mix_bucket"]))
+    starts = counts.join(uppers, ["mix_source", "mix_upper"]).select("mix_source", "mix_bucket", (F.col("before_bucket") + F.col("before_upper")).alias("start"))
+    each = each.join(starts, ["mix_source", "mix_bucket"]).select("mix_source", "mix_hash", "mix_part", (F.col("before") + F.col("start")).alias("start"))
+    order = Window.partitionBy("mix_source", "mix_hash", "mix_part").orderBy("mix_tie")
+    rows = rows.withColumn("mix_row", F.row_number().over(order)).join(each, ["mix_source", "mix_hash", "mix_part"])
     rows = rows.withColumn("block_no", F.floor((F.col("start") + F.col("mix_row") - 1) / block).cast("long") + 1)
     plan = period_slots(weights)
     joined = rows.join(F.broadcast(weights.withColumnRenamed("weight", "mix_weight")), "mix_source").withColumn("turn", F.pmod(F.col("block_no") - 1, F.col("mix_weight")))
@@ -134,4 +153,3 @@ def mix(docs: DataFrame, key: str, source: str, weights: DataFrame | None = None
 def in_mixed_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows sorted by slot, as a range-partitioned sort: written files follow the schedule."""
     return mixed.orderBy("slot", *columns[:1]).select(*columns)
-

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -33,6 +34,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` in a form that can be hashed: those that hold maps or variants as JSON."""
+    return [F.to_json(F.struct(df[f"`{f.name}`"])) if any(x in f.dataType.simpleString() for x in ("map<", "variant")) else df[f"`{f.name}`"] for f in df.schema]
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read back from there."""
     path = fresh_path(df.sparkSession, name)
