@@ -1,18 +1,23 @@
-"""WARC archives written and read as streams of chunks.
+"""WARC/1.1 archives written and read as streams of chunks.
 
 Writing: each task appends records, each a gzip member, to archive files of about
-ARCHIVE_BYTES, compressing the payload chunk by chunk. Of equal payloads of at least 100 bytes the
-one with the smallest id is written whole (response), the others as revisit
-records that name it. The digest that finds equals is native; only ids and
-digests are shuffled, never payloads, and hot digests are split by skew joins.
-
-Reading: a task streams an archive and yields a row per chunk: record id, chunk
-number, chunk bytes, bytes and SHA-256 digest so far. An oversized payload thus
+ARCHIVE_BYTES, compressing the payload chunk by chunk. A record is an HTTP response
+(a head and the payload). Of equal payloads of at least 100 bytes the one with the
+smallest id is written whole (response), the others as revisit records with the
+profile of identical payload digests, an empty block and the id that they refer to.
+The digest that finds equals is native: ids and digests are shuffled to find them, and
+each payload once to meet its role; hot digests are split by skew joins. Ids of records are random UUIDs; the
+key of the row and the one it refers to stand in extension fields.
+
+Reading: a task streams an archive and yields a row per chunk of payload: record id,
+chunk number, chunk bytes, bytes and SHA-256 digest so far. An oversized payload thus
 is many rows and is never held whole by the reader. The row that ends a record
-holds the digest of all of it.
+holds the digest of all of it; one that differs from the declared digest is an error.
 
 Null payloads count as empty; empty ones are responses of no bytes (one chunk
-row). Repeated rows give one record each; rows without an id are responses. Archives carry a random part in their
+row). Repeated rows give one record each; rows without an id are responses. Keys are
+integers. An empty table gives no archive. Only the three named columns are read.
+Archives carry a random part in their
 names and only those that a finished task reports are read, so a retried task
 leaves no second copy in the result.
 """
@@ -21,9 +26,12 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -34,6 +42,10 @@ from graphloom.llm.store import cut, fresh_path
 
 CHUNK_BYTES = 1 << 18
 ARCHIVE_BYTES = 16 << 20
+#: Bytes of archives that a reading task gets.
+TASK_BYTES = 64 << 20
+#: Fixed values of the format.
+VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_SHARED = 100
 MANIFEST = "path string, records long, bytes long"
 CHUNKS = "record_id long, record_type string, refers_to long, declared_digest string, chunk_no int, chunk binary, bytes_so_far long, digest_so_far string, last boolean"
@@ -52,15 +64,19 @@ def with_roles(pages: DataFrame, key: str, payload: str) -> DataFrame:
     return each.join(first, "digest", "left").select("record_id", "digest", "size", F.when(F.col("record_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 
-def _head(kind: str, record_id: int | None, refers: int | None, digest: str, url: str | None, size: int) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if record_id is None else record_id}>", f"WARC-Payload-Digest: sha256:{digest}"]
-    lines += [f"WARC-Target-URI: {url.replace(chr(13), '').replace(chr(10), '')}"] if url else []
-    lines += [f"WARC-Refers-To: <urn:page:{refers}>"] if refers is not None else []
-    return "\r\n".join([*lines, "Content-Type: text/html", f"Content-Length: {size}", "", ""]).encode()
+def _head(key: int | None, refers: int | None, digest: str, url: str | None, size: int, date: str) -> bytes:
+    """The head of a record and, of a response, that of its HTTP message."""
+    http = b"" if refers is not None else f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    target = quote(url or f"urn:page:{'' if key is None else key}", safe="!#$%&'()*+,/:;=?@[]~")
+    lines = [VERSION, f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
+    lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Key: {refers}"] if refers is not None else []
+    lines += [f"X-Key: {key}"] if key is not None else []
+    return "\r\n".join([*lines, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + size if refers is None else 0}", "", ""]).encode() + http
 
 
-def write_archives(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
-    """Write every row as a WARC record; the result lists the archives written."""
+def write_archives(pages: DataFrame, key: str, url: str, payload: str, date: str | None = None) -> DataFrame:
+    """Write every row as a WARC record of ``date`` (now, if not given); the result lists the archives written."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     roles = with_roles(pages, key, payload).filter(F.col("refers_to").isNotNull()).select("record_id", "digest", "refers_to").distinct()
     folder = fresh_path(pages.sparkSession, "warc")
     data = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
@@ -79,7 +95,7 @@ def write_archives(pages: DataFrame, key: str, url: str, payload: str) -> DataFr
                     out, records, size = files.open_output_stream(path, compression=None), 0, 0
                 to = refers[i].as_py()
                 body = datas[i].as_buffer() if to is None else pa.py_buffer(b"")
-                head = _head("response" if to is None else "revisit", ids[i].as_py(), to, digests[i].as_py(), urls[i].as_py(), body.size)
+                head = _head(ids[i].as_py(), to, digests[i].as_py(), urls[i].as_py(), body.size, date)
                 packer = zlib.compressobj(1, zlib.DEFLATED, 31)  # a gzip member for each record
                 size += out.write(packer.compress(head))
                 for at in range(0, body.size, CHUNK_BYTES):
@@ -130,20 +146,27 @@ def read_records(path: str, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
                 left = f.read(1 << 12)
                 if not left:
                     return
-            if line() != b"WARC/1.1":
+            if line().decode() != VERSION:
                 raise ValueError(f"{path}: a record does not begin with its version")
             head: dict[str, str] = {}
             while text := line():
-                name_, _, value = text.decode().partition(": ")
-                head[name_.lower()] = value
-            number = lambda s: int(n) if (n := s.rpartition(":")[2].rstrip(">")) else None
-            refers = number(head["warc-refers-to"]) if "warc-refers-to" in head else None
-            size, digest, done, no = int(head["content-length"]), hashlib.sha256(), 0, 0
+                name_, _, value = text.decode().partition(":")
+                head[name_.strip().lower()] = value.strip()
+            size, http = int(head["content-length"]), 0
+            if size and head["content-type"].startswith("application/http"):
+                while text := line():
+                    http += len(text) + 2
+                http += 2
+            size, digest, done, no = size - http, hashlib.sha256(), 0, 0
+            key, refers = (int(head[k]) if k in head else None for k in ("x-key", "x-refers-to-key"))
+            declared = head["warc-payload-digest"].partition(":")[2]
             while True:
                 chunk = take(min(chunk_bytes, size - done))
                 done += len(chunk)
                 digest.update(chunk)
-                yield number(head["warc-record-id"]), head["warc-type"], refers, head["warc-payload-digest"].partition(":")[2], no, chunk, done, digest.hexdigest(), done == size
+                if done == size and head["warc-type"] == "response" and digest.hexdigest() != declared:
+                    raise ValueError(f"{path}: the payload of {head['warc-record-id']} does not have the declared digest")
+                yield key, head["warc-type"], refers, declared, no, chunk, done, digest.hexdigest(), done == size
                 no += 1
                 if done == size:
                     break
@@ -173,13 +196,19 @@ def read_chunks(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    tasks = manifest.sparkSession.sparkContext.defaultParallelism * 2
-    return manifest.repartition(tasks, "path").mapInArrow(read, CHUNKS)
+    files, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    least = manifest.sparkSession.sparkContext.defaultParallelism * 2
+    return manifest.repartition(max(1, min(files, max(least, math.ceil(size / TASK_BYTES)))), "path").mapInArrow(read, CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
-    """One row per record: its bytes, digest and type; a revisit takes bytes and digest from the response it names."""
+    """One row per record: its bytes, digest and type; a revisit takes bytes and digest from the response it names.
+
+    The ends of the records are written first, so that the archives are read once and
+    the join is planned by their true size.
+    """
     ends = chunks.filter("last").select("record_id", "record_type", "refers_to", F.col("bytes_so_far").alias("own_bytes"), F.col("digest_so_far").alias("own_digest"), "declared_digest")
+    ends = cut(ends, "record-ends")
     heads = ends.filter("record_type = 'response'").groupBy(F.col("record_id").alias("head_id"), F.col("own_digest").alias("head_digest")).agg(F.first("own_bytes").alias("head_bytes"))
     whole = ends.join(heads, (ends["refers_to"] == heads["head_id"]) & (ends["declared_digest"] == heads["head_digest"]), "left")
     revisit = F.col("record_type") == "revisit"
