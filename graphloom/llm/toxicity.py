@@ -6,9 +6,10 @@
    five and six characters) in toxic and clean documents. Forms whose
    log-likelihood ratio is at least twice the log of the number of forms tested
    keep their log-odds, at most FORMS.
-2. Tokens get labels: in toxic documents those whose form is strongly toxic. A
-   two-state chain with the log-odds as features is fitted on CRF_DOCS short
-   documents of the sample by gradient ascent of the conditional likelihood.
+2. Tokens get labels: in toxic documents those whose form has log-odds of at least
+   LABEL_ODDS, as only documents are labelled. A two-state chain with the log-odds as
+   features is fitted on CRF_DOCS short documents of the sample: its conditional
+   likelihood is maximised until the gradient vanishes.
 3. Every text: forward-backward marginals of the tokens with a form. Runs of
    tokens without any have one transition matrix, whose power is taken in closed
    form, so the marginals are exact at a cost of the number of forms. A logistic
@@ -16,8 +17,9 @@
    tokens with a marginal of 0.5 or more are the offending offsets.
 
 Null and empty texts have no tokens and get the score of none. Without labels of
-both kinds every score is the smoothed share of toxic labels. If an id has several
-labels the largest counts. Repeated rows are scored each.
+both kinds every score is the smoothed share of toxic labels; an empty table gives an
+empty one. If an id has several labels the largest counts. Repeated rows are scored
+each. Extra columns pass through, whatever they are named.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ from graphloom.llm.store import cut
 from graphloom.llm.text import slices
 
 SAMPLE_DOCS, SAMPLE_BYTES, FORMS = 16_000, 40_000, 20_000
-CRF_DOCS, CRF_BYTES, STEPS = 600, 3_000, 80
+CRF_DOCS, CRF_BYTES = 600, 3_000
+#: The fit ends when no part of the mean gradient is larger, or no step improves it.
+FLAT, RIDGE = 1e-6, 1e-4
 LEAST_ODDS, LABEL_ODDS = 1.5, 3.0
 EDGE = ".,;:!?\"'()[]{}<>«»*#-"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -150,7 +154,7 @@ class Scorer:
 
 
 def _fit_chain(model: Model, texts: list[str], labels: list[int]) -> None:
-    """Weights and transitions by gradient ascent on the documents' token labels, all documents side by side."""
+    """Weights and transitions at the largest likelihood of the documents' token labels, all documents side by side."""
     docs = []
     for text, toxic in zip(texts, labels, strict=True):
         x = [f if (f := model.features(w)) is not None else None for w in WORD.findall(text)]
@@ -165,21 +169,23 @@ def _fit_chain(model: Model, texts: list[str], labels: list[int]) -> None:
         x[: len(f), i], y[: len(f), i] = f, l
     active = [sum(len(d[0]) > t for d in docs) for t in range(longest)]
     live = np.arange(longest)[:, None] < np.array([len(d[0]) for d in docs])[None]
-    seen_x = (x * (y * live)[..., None]).sum((0, 1))
     seen_t = np.zeros((2, 2))
     np.add.at(seen_t, (y[:-1][live[1:]], y[1:][live[1:]]), 1)
-    theta, m, v = np.zeros(10), np.zeros(10), np.zeros(10)
-    theta[0] = -4.0
-    for it in range(1, STEPS + 1):
+
+    def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """The negative mean log-likelihood with a ridge, and its gradient, by forward-backward over all documents."""
         w, trans = theta[:6], np.exp(theta[6:].reshape(2, 2))
-        e = np.exp(np.clip(x @ w, -30, 30))
-        own = np.stack([np.ones_like(e), e], 2)
-        alpha, beta = np.zeros((longest, count, 2)), np.ones((longest, count, 2))
+        scores = np.clip(x @ w, -30, 30)
+        own = np.stack([np.ones_like(scores), np.exp(scores)], 2)
+        alpha, beta, norm = np.zeros((longest, count, 2)), np.ones((longest, count, 2)), np.zeros(count)
         alpha[0] = own[0] / own[0].sum(1, keepdims=True)
+        norm += np.log(own[0].sum(1))
         for t in range(1, longest):
             k = active[t]
             s = (alpha[t - 1, :k] @ trans) * own[t, :k]
-            alpha[t, :k] = s / s.sum(1, keepdims=True)
+            total = s.sum(1, keepdims=True)
+            alpha[t, :k] = s / total
+            norm[:k] += np.log(total[:, 0])
         for t in range(longest - 2, -1, -1):
             k = active[t + 1]
             s = (own[t + 1, :k] * beta[t + 1, :k]) @ trans.T
@@ -188,12 +194,38 @@ def _fit_chain(model: Model, texts: list[str], labels: list[int]) -> None:
         p = both[..., 1] / np.maximum(both.sum(2), 1e-300) * live
         pair = alpha[:-1, :, :, None] * trans[None, None] * (own[1:] * beta[1:])[:, :, None, :]
         pair = pair / np.maximum(pair.sum((2, 3), keepdims=True), 1e-300) * live[1:, :, None, None]
-        grad = np.concatenate((seen_x - (x * p[..., None]).sum((0, 1)), (seen_t - pair.sum((0, 1))).ravel())) / live.sum() - 1e-4 * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta = theta + 0.1 * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-9)
+        free = live & (np.abs(scores) < 30)  # a clipped score doesn't move
+        grad = np.concatenate(((x * (((y == 1) - p) * free)[..., None]).sum((0, 1)), (seen_t - pair.sum((0, 1))).ravel())) / live.sum()
+        gained = (scores * y * live).sum() + (seen_t * theta[6:].reshape(2, 2)).sum() - norm.sum()
+        return RIDGE * float(theta @ theta) / 2 - gained / live.sum(), RIDGE * theta - grad
+
+    theta = np.zeros(10)
+    theta[0] = -4.0
+    theta = _minimum(value, theta)
     model.weights, model.trans = theta[:6], theta[6:].reshape(2, 2)
 
 
+def _minimum(value, theta: np.ndarray) -> np.ndarray:
+    """The minimum of a smooth function that gives its value and gradient, by quasi-Newton steps (BFGS) until the gradient is flat."""
+    inverse, (f, grad) = np.eye(len(theta)), value(theta)
+    while np.abs(grad).max() > FLAT:
+        step = -inverse @ grad
+        if step @ grad >= 0:
+            inverse, step = np.eye(len(theta)), -grad
+        size = 1.0
+        while not (new := value(theta + size * step))[0] <= f + 1e-4 * size * (step @ grad):
+            size /= 2
+            if size < 1e-10:
+                return theta
+        s, d = size * step, new[1] - grad
+        theta, f, grad = theta + s, *new
+        if s @ d > 1e-14:
+            rho = 1 / (s @ d)
+            left = np.eye(len(theta)) - rho * np.outer(s, d)
+            inverse = left @ inverse @ left.T + rho * np.outer(s, s)
+    return theta
+
+
 def _fit_layer(model: Model, sums: np.ndarray, labels: np.ndarray) -> None:
     """The document layer by Newton steps with a ridge."""
     x = np.stack([np.ones(len(sums)), np.log1p(sums[:, 0]), sums[:, 1]], 1)
