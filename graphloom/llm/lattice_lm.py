@@ -11,10 +11,13 @@ product over its words and one end.
 
 Counts of words stay in tables. The most frequent words, at most TOP, are
 broadcast for the add-one baseline; all others meet their counts in a
-join, which no hot word can skew, as the hot ones are not in it.
+join, which no hot word can skew, as the hot ones are not in it. A task keeps the
+scores of words that it has met, as words repeat.
 
 Null and empty texts are one end token. With no training documents the prior
-scores hold and all counts are 0. Repeated rows are scored, and counted, each.
+scores hold and all counts are 0; an empty table gives an empty one. Repeated rows
+are scored, and counted, each. Only the id and the text are read, whatever other
+columns are named.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from graphloom.llm.text import SPACE, raw, slices, spans, word_hashes
 
 EM_ROUNDS = 2
 TOP = 1 << 16
+#: Words whose scores a worker keeps, and the bytes that such a word has at most.
+CACHE, LONGEST_CACHED = 400_000, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _B = 0xC2B2AE3D27D4EB4F
 _BASE, _INV = np.uint64(_B), np.uint64(pow(_B, -1, 2**64))
@@ -194,6 +199,17 @@ def score(docs: DataFrame, training: Column, path: str, key: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, given = lattice(path), logp.value
         pieces = np.append(given[:-2], -np.inf)
+        cache: dict[bytes, float] = {}
+
+        def word_scores(words: list[bytes]) -> np.ndarray:
+            new = [w for w in words if w not in cache]
+            scores = dict(zip(new, lat.word_scores(new, pieces).tolist(), strict=True))
+            out = np.fromiter((cache[w] if w in cache else scores[w] for w in words), float, len(words))
+            if len(cache) + len(new) > CACHE:
+                cache.clear()
+            cache.update((w, x) for w, x in scores.items() if len(w) <= LONGEST_CACHED)
+            return out
+
         for batch in slices(batches, "text"):
             data, offsets = raw(batch.column(1))
             start, end, first = spans(data, offsets)
@@ -206,7 +222,7 @@ def score(docs: DataFrame, training: Column, path: str, key: str = "doc_id", tex
             size = len(offsets) - 1
             with np.errstate(invalid="ignore", divide="ignore"):
                 base = np.where(known >= 0, np.log10((known + 1) / below), 0.0)
-            sums_ = [np.bincount(doc, x[which], size) if len(which) else np.zeros(size) for x in ((known >= 0).astype(float), base, lat.word_scores(words, pieces))]
+            sums_ = [np.bincount(doc, x[which], size) if len(which) else np.zeros(size) for x in ((known >= 0).astype(float), base, word_scores(words))]
             rare = np.flatnonzero(known[which] < 0) if len(which) else np.zeros(0, np.int64)
             pair, n_pair = np.unique(doc[rare] * np.int64(len(words) or 1) + which[rare], return_counts=True)
             owner, word = pair // (len(words) or 1), pair % (len(words) or 1)
