@@ -6,16 +6,21 @@ they don't depend on the order of summation; one division at the end scales them
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as X
 
 MICRO = 1_000_000
-#: Relation weights in percent of path evidence.
-PATH_WEIGHTS = {"shared_audience": 60, "director": 40, "actor": 40, "genre": 20, "actor_actor": 10, "region": 10, "content_type": 5, "year_bucket": 5}
-PATH_LIMITS = {"director": 30, "actor": 50, "genre": 50, "region": 15, "content_type": 5, "year_bucket": 10}
-OVERLAP_WEIGHTS = {"director": 100, "actor": 60, "genre": 40, "region": 20, "content_type": 10, "year_bucket": 10}
+#: Relation weights in percent of path evidence, and the candidates that each seed keeps of a relation.
+PATH_WEIGHTS = {"shared_audience": 60, "director": 40, "actor": 40, "genre": 20, "actor_actor": 10, "region": 10, "language": 10, "content_type": 5, "year_bucket": 5}
+PATH_LIMITS = {"shared_audience": 120, "director": 30, "actor": 50, "genre": 50, "actor_actor": 30, "region": 15, "language": 15, "content_type": 5, "year_bucket": 10}
+OVERLAP_WEIGHTS = {"director": 100, "actor": 60, "genre": 40, "region": 20, "language": 20, "content_type": 10, "year_bucket": 10}
+#: Relations of people, and those of which a seed has one entity (of its genres the rarest).
+PEOPLE, SINGLE = ("director", "actor"), ("genre", "region", "language", "content_type", "year_bucket")
+GENRE_DEGREE = 15_000
 
 
 def micro(c: Column) -> Column:
@@ -34,14 +39,18 @@ def top_per_user(scores: DataFrame, n: int, score: str = "score", seen: DataFram
 
 
 def item_similarity(ratings: DataFrame, least_common: int = 2) -> DataFrame:
-    """(a, b, sim6): cosine over co-raters of items with enough of them, both ways round."""
+    """(a, b, sim6): cosine over co-raters of items with enough of them, both ways round.
+
+    The work is the sum of squares of the users' list lengths; heavy users are split by skew joins.
+    """
     norms = ratings.groupBy("mid").agg(F.sum(F.col("h").cast("long") * F.col("h")).alias("n"))
     one, two = ratings.select("uid", F.col("mid").alias("a"), F.col("h").alias("ha")), ratings.select("uid", F.col("mid").alias("b"), F.col("h").alias("hb"))
     both = one.join(two, "uid").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ha").cast("long") * F.col("hb")).alias("dot"), F.count("*").alias("common"))
     both = both.filter(F.col("common") >= least_common)
     both = both.join(norms.select(F.col("mid").alias("a"), F.col("n").alias("na")), "a").join(norms.select(F.col("mid").alias("b"), F.col("n").alias("nb")), "b")
-    sim = both.select("a", "b", micro(F.col("dot") / F.sqrt(F.col("na") * F.col("nb"))).alias("sim6"))
-    return sim.union(sim.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim6"))
+    sim = micro(F.col("dot") / F.sqrt(F.col("na") * F.col("nb"))).alias("sim6")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return both.select(ways.alias("w"), sim).select("w.a", "w.b", "sim6")
 
 
 def item_cf(seeds: DataFrame, similarity: DataFrame) -> DataFrame:
@@ -51,64 +60,137 @@ def item_cf(seeds: DataFrame, similarity: DataFrame) -> DataFrame:
     return joined.groupBy("uid", F.col("b").alias("mid")).agg(F.sum(F.col("weight100") * F.col("sim6")).alias("raw"), best.alias("best_seed"))
 
 
-def content_scores(seeds: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(uid, mid, score): cosine of a user's weighted mean of unit token vectors and each item's."""
-    unit = tokens.withColumn("u4", F.floor(10000 / F.sqrt(F.count("*").over(Window.partitionBy("mid")).cast("double")) + 0.5).cast("long"))
+def unit_tokens(tokens: DataFrame) -> DataFrame:
+    """(mid, token, u4): token vectors of length 10^4."""
+    return tokens.withColumn("u4", F.floor(10000 / F.sqrt(F.count("*").over(Window.partitionBy("mid")).cast("double")) + 0.5).cast("long"))
+
+
+def content_taste(seeds: DataFrame, unit: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uid, token, t) and (uid, n2): a user's weighted sum of token vectors, and its squared length."""
     taste = seeds.join(unit, "mid").groupBy("uid", "token").agg(F.sum(F.col("weight100") * F.col("u4")).alias("t"))
-    norm = taste.groupBy("uid").agg(F.sum(F.col("t") * F.col("t")).alias("n2"))
-    dots = taste.join(unit, "token").groupBy("uid", "mid").agg(F.sum(F.col("t") * F.col("u4")).alias("dot"))
+    return taste, taste.groupBy("uid").agg(F.sum(F.col("t") * F.col("t")).alias("n2"))
+
+
+def content_scores(seeds: DataFrame, tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uid, mid, score): cosine of a user's weighted mean of unit token vectors and each item's, for given candidate pairs (uid, mid)."""
+    unit = unit_tokens(tokens)
+    taste, norm = content_taste(seeds, unit)
+    dots = pairs.select("uid", "mid").join(unit, "mid").join(taste, ["uid", "token"]).groupBy("uid", "mid").agg(F.sum(F.col("t") * F.col("u4")).alias("dot"))
     return dots.join(norm, "uid").select("uid", "mid", X.rounded(F.col("dot") / F.sqrt(F.col("n2")) / 10000.0).alias("score")).filter("score > 0")
 
 
+def content_top(seeds: DataFrame, tokens: DataFrame, n: int, seen: DataFrame) -> DataFrame:
+    """(uid, mid, score, rank): each user's ``n`` best unseen items by the same cosine.
+
+    Items with the same tokens score alike, so users meet classes of items, of which
+    there are as many as combinations of tokens, and only the best classes' first items
+    are listed: those that a user needs to have n unseen ones.
+    """
+    unit = unit_tokens(tokens)
+    taste, norm = content_taste(seeds, unit)
+    classed = unit.groupBy("mid").agg(F.array_join(F.array_sort(F.collect_list("token")), "\n").alias("class"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("mid"))
+    members = classed.withColumn("place", place)
+    sizes = classed.groupBy("class").agg(F.count("*").alias("size"))
+    of_class = unit.join(classed.groupBy("class").agg(F.min("mid").alias("mid")), "mid").select("class", "token", "u4")
+    dots = taste.join(of_class, "token").groupBy("uid", "class").agg(F.sum(F.col("t") * F.col("u4")).alias("dot"))
+    scored = dots.join(norm, "uid").select("uid", "class", X.rounded(F.col("dot") / F.sqrt(F.col("n2")) / 10000.0).alias("score")).filter("score > 0")
+    known = seen.join(classed, "mid").groupBy("uid", "class").agg(F.count("*").alias("known"))
+    whole = scored.join(sizes, "class").join(known, ["uid", "class"], "left").na.fill(0, ["known"])
+    better = Window.partitionBy("uid").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    level = Window.partitionBy("uid", "score")
+    whole = whole.withColumn("fresh", F.col("size") - F.col("known"))
+    before = F.sum("fresh").over(better) - F.sum("fresh").over(level)
+    whole = whole.withColumn("before", before).filter((F.col("before") < n) & (F.col("fresh") > 0))
+    listed = whole.join(members, "class").filter(F.col("place") <= n + F.col("known")).join(seen, ["uid", "mid"], "left_anti")
+    order = Window.partitionBy("uid").orderBy(F.desc("score"), "mid")
+    return listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("uid", "mid", "score", "rank")
+
+
 def entity_idf(tokens: DataFrame) -> DataFrame:
     """(rel, entity, idf6) from (mid, rel, entity)."""
     return tokens.groupBy("rel", "entity").agg(F.count("*").alias("degree")).select("rel", "entity", micro(X.idf(F.col("degree"))).alias("idf6"))
 
 
-def one_hop(tokens: DataFrame, limits: dict[str, int] = PATH_LIMITS, allowed: DataFrame | None = None) -> DataFrame:
+def seed_entities(tokens: DataFrame, most_degree: int = GENRE_DEGREE) -> DataFrame:
+    """(mid, rel, entity) of seeds: all entities, but of the genres the rarest one."""
+    rare = rare_entities(tokens, "genre", most_degree, 1).select("mid", F.lit("genre").alias("rel"), "entity")
+    return tokens.filter("rel <> 'genre'").select("mid", "rel", "entity").union(rare)
+
+
+def _cap(limits: dict[str, int]) -> Column:
+    cap = F.lit(0)
+    for rel, n in limits.items():
+        cap = F.when(F.col("rel") == rel, n).otherwise(cap)
+    return cap
+
+
+def one_hop(tokens: DataFrame, limits: dict[str, int] = PATH_LIMITS, allowed: DataFrame | None = None, most_degree: int = GENRE_DEGREE) -> DataFrame:
     """(seed, rel, mid, hits, penalty6): for each seed item and relation the candidates that share most entities.
 
-    The penalty is the mean idf of the first five shared entities (three of genres).
-    It doesn't depend on the user, so it is made once for all. A shortlist
-    ``allowed`` (mid) holds before the best are taken, not after.
+    The penalty is the mean idf of the first five shared entities. It doesn't depend on
+    the user, so it is made once for all. A shortlist ``allowed`` (mid) holds before the
+    best are taken, not after. Of a relation with one entity per seed every candidate
+    has one hit, so that the best are the last ids of that entity: these are listed once
+    per entity, one more than the limit because of the seed itself.
     """
-    weighted = tokens.join(entity_idf(tokens), ["rel", "entity"])
-    left = weighted.select("rel", "entity", F.col("mid").alias("seed"), "idf6")
+    idf, cap = entity_idf(tokens), _cap(limits)
+    left = seed_entities(tokens, most_degree).join(idf, ["rel", "entity"]).select("rel", "entity", F.col("mid").alias("seed"), "idf6")
     reached = tokens if allowed is None else tokens.join(allowed, "mid", "left_semi")
-    shared = left.join(reached, ["rel", "entity"]).filter("seed != mid")
+    shared = left.filter(F.col("rel").isin(*PEOPLE)).join(reached, ["rel", "entity"]).filter("seed != mid")
     grouped = shared.groupBy("seed", "rel", "mid").agg(F.count("*").alias("hits"), F.array_sort(F.collect_list(F.struct("entity", "idf6"))).alias("es"))
-    first = F.slice("es", 1, F.when(F.col("rel") == "genre", 3).otherwise(5))
-    total = F.aggregate(first, F.lit(0).cast("long"), lambda a, e: a + e["idf6"])
-    grouped = grouped.select("seed", "rel", "mid", "hits", F.floor(total / F.size(first)).cast("long").alias("penalty6"))
-    cap = F.lit(0)
-    for rel, n in limits.items():
-        cap = F.when(F.col("rel") == rel, n).otherwise(cap)
+    first = F.slice("es", 1, 5)
+    people = grouped.select("seed", "rel", "mid", "hits", F.floor(F.aggregate(first, F.lit(0).cast("long"), lambda a, e: a + e["idf6"]) / F.size(first)).cast("long").alias("penalty6"))
     order = Window.partitionBy("seed", "rel").orderBy(F.desc("hits"), F.desc("mid"))
-    return grouped.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cap).drop("k")
+    people = people.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cap).drop("k")
+    last = Window.partitionBy("rel", "entity").orderBy(F.desc("mid"))
+    listed = reached.filter(F.col("rel").isin(*SINGLE)).withColumn("k", F.row_number().over(last)).filter(F.col("k") <= cap + 1).select("rel", "entity", "mid")
+    single = left.filter(F.col("rel").isin(*SINGLE)).join(listed, ["rel", "entity"]).filter("seed != mid")
+    order = Window.partitionBy("seed", "rel").orderBy(F.desc("mid"))
+    single = single.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cap)
+    return people.union(single.select("seed", "rel", "mid", F.lit(1).cast("long").alias("hits"), F.col("idf6").alias("penalty6")))
 
 
-def two_hop(actors: DataFrame, per_seed: int = 30, few: int = 3) -> DataFrame:
-    """(seed, mid, hits): candidates over seed actor, bridge film and bridge actor; of each film the ``few`` rarest actors."""
+def informative_actors(actors: DataFrame, few: int = 3) -> DataFrame:
+    """(mid, pid): of each item the ``few`` actors (mid, pid, ord) of least degree, then billing."""
     degree = actors.groupBy("pid").agg(F.count("*").alias("degree"))
-    rare = Window.partitionBy("mid").orderBy("degree", "pid")
-    kept = actors.join(degree, "pid").withColumn("k", F.row_number().over(rare)).filter(F.col("k") <= few).select("mid", "pid")
-    step = kept.select(F.col("mid").alias("seed"), F.col("pid").alias("a")).join(kept.select(F.col("mid").alias("bridge"), F.col("pid").alias("a")), "a").filter("seed != bridge")
-    reach = step.select("seed", "a", "bridge").join(kept.select(F.col("mid").alias("bridge"), F.col("pid").alias("b")), "bridge").filter("a != b").select("seed", "b", "bridge").distinct()
-    far = reach.join(kept.select("mid", F.col("pid").alias("b")), "b").filter("mid != seed AND mid != bridge")
-    hits = far.groupBy("seed", "mid").agg(F.count_distinct("b").alias("hits"))
+    rare = Window.partitionBy("mid").orderBy("degree", "ord", "pid")
+    return actors.join(degree, "pid").withColumn("k", F.row_number().over(rare)).filter(F.col("k") <= few).select("mid", "pid")
+
+
+def two_hop(actors: DataFrame, per_seed: int = PATH_LIMITS["actor_actor"], few: int = 3, named: int = 3) -> DataFrame:
+    """(seed, mid, hits, penalty6): candidates over seed actor, bridge film and bridge actor, from actors (mid, pid, ord).
+
+    Seeds and bridges go through their most informative actors. hits counts bridge
+    actors; the penalty is the mean idf of the ``named`` ones that the candidate bills
+    first. The bridge films of a seed and a bridge actor only matter by their number
+    and, if there is one, by which it is, as it is no candidate.
+    """
+    kept = informative_actors(actors, few)
+    step = kept.select(F.col("mid").alias("seed"), F.col("pid").alias("a")).join(actors.select(F.col("mid").alias("bridge"), F.col("pid").alias("a")), "a").filter("seed != bridge")
+    reach = step.join(kept.select(F.col("mid").alias("bridge"), F.col("pid").alias("b")), "bridge").filter("a != b")
+    reach = reach.groupBy("seed", "b").agg(F.min("bridge").alias("low"), F.max("bridge").alias("high"))
+    far = reach.join(actors.select("mid", F.col("pid").alias("b"), "ord"), "b").filter("mid != seed AND (low != high OR mid != low)")
+    hits = far.groupBy("seed", "mid").agg(F.count("*").alias("hits"))
     order = Window.partitionBy("seed").orderBy(F.desc("hits"), F.desc("mid"))
-    return hits.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_seed).drop("k")
+    best = hits.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_seed).drop("k")
+    degree = actors.groupBy(F.col("pid").alias("b")).agg(F.count("*").alias("degree"))
+    over = best.join(actors.select("mid", F.col("pid").alias("b"), "ord"), "mid").join(reach, ["seed", "b"]).filter("low != high OR mid != low").join(degree, "b")
+    first = F.row_number().over(Window.partitionBy("seed", "mid").orderBy("ord", "b"))
+    worth = over.withColumn("k", first).filter(F.col("k") <= named).groupBy("seed", "mid", "hits").agg(F.floor(F.sum(micro(X.idf(F.col("degree")))) / F.count("*")).cast("long").alias("penalty6"))
+    return worth.select("seed", "mid", "hits", "penalty6")
 
 
-def shared_audience(index: DataFrame, bridges: int = 200, per_seed: int = 120) -> DataFrame:
+def shared_audience(index: DataFrame, bridges: int = 200, per_seed: int = PATH_LIMITS["shared_audience"]) -> DataFrame:
     """(seed, mid, strength, hits): through users who like both, from (uid, mid, weight100, degree).
 
     Each seed keeps its strongest ``bridges`` users; strength sums weight * weight *
-    idf of the user's degree, in millionths of 10^4.
+    idf of the user's degree, in millionths of 10^4. The evidence is made once for all
+    users, so a user is a bridge for the own seeds, too; that leads to seen items only.
     """
     pen = micro(X.idf(F.col("degree")))
     each = index.select("uid", "mid", "weight100", pen.alias("pen6"))
-    order = Window.partitionBy("mid").orderBy(F.desc(F.col("weight100") * F.col("pen6")), "uid")
+    order = Window.partitionBy("mid").orderBy(F.desc(F.col("weight100") * F.col("pen6")), F.desc(F.col("uid").cast("string")))
     lead = each.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= bridges).select("uid", F.col("mid").alias("seed"), F.col("weight100").alias("w"), "pen6")
     joined = lead.join(each.select("uid", "mid", "weight100"), "uid").filter("seed != mid")
     grouped = joined.groupBy("seed", "mid").agg(F.sum(F.col("w") * F.col("weight100") * F.col("pen6")).alias("strength"), F.count("*").alias("hits"))
@@ -116,72 +198,147 @@ def shared_audience(index: DataFrame, bridges: int = 200, per_seed: int = 120) -
     return grouped.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= per_seed).drop("k")
 
 
-def path_scores(seeds: DataFrame, evidence: DataFrame, weights: dict[str, int] = PATH_WEIGHTS) -> DataFrame:
-    """(uid, mid, raw, paths): evidence (seed, rel, mid, hits, penalty6) of a user's seeds, weighted by relation."""
-    weight = F.lit(0)
-    for rel, w in weights.items():
-        weight = F.when(F.col("rel") == rel, w).otherwise(weight)
-    hits = F.when(F.col("rel") == "genre", F.least(F.col("hits") * 100, F.lit(300)) / 3).otherwise(F.col("hits") * 100)
-    worth = evidence.select("seed", "mid", "hits", F.floor(hits * weight * F.col("penalty6") / 10000).cast("long").alias("worth"))
-    joined = seeds.select("uid", F.col("mid").alias("seed"), "weight100").join(worth, "seed")
+def path_evidence(hops: DataFrame, far: DataFrame | None = None, audience: DataFrame | None = None, weights: dict[str, int] = PATH_WEIGHTS) -> DataFrame:
+    """(seed, rel, mid, hits, worth): evidence of all relations with what it is worth to a seed of weight 1, in millionths of percent."""
+    rows = hops.select("seed", "rel", "mid", "hits", F.when(F.col("rel") == "genre", F.least(F.col("hits") * 100, F.lit(300)) / 3).otherwise(F.col("hits") * 100).alias("strength"), "penalty6")
+    if far is not None:
+        rows = rows.union(far.select("seed", F.lit("actor_actor"), "mid", "hits", (F.col("hits") * 100).cast("double"), "penalty6"))
+    worth = F.floor(F.col("strength") * _cap(weights) * F.col("penalty6") / 10000).cast("long").alias("worth")
+    rows = rows.select("seed", "rel", "mid", "hits", worth)
+    if audience is not None:
+        worth = F.floor(F.col("strength") * weights["shared_audience"] / 1000000).cast("long")
+        rows = rows.union(audience.select("seed", F.lit("shared_audience"), "mid", "hits", worth))
+    return rows.filter("worth > 0")
+
+
+def path_scores(seeds: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(uid, mid, raw, paths): evidence (seed, rel, mid, hits, worth) of a user's seeds."""
+    joined = seeds.select("uid", F.col("mid").alias("seed"), "weight100").join(evidence, "seed")
     return joined.groupBy("uid", "mid").agg(F.sum(F.col("weight100") * F.col("worth")).alias("raw"), F.sum("hits").alias("paths"))
 
 
-def overlap_scores(seeds: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(uid, mid, overlap): shared entities of a user's seeds, by relation weight and idf."""
-    weight = F.lit(0)
-    for rel, w in OVERLAP_WEIGHTS.items():
-        weight = F.when(F.col("rel") == rel, w).otherwise(weight)
-    valued = tokens.join(entity_idf(tokens), ["rel", "entity"]).withColumn("v", weight * F.col("idf6"))
-    taste = seeds.join(valued, "mid").groupBy("uid", "rel", "entity").agg(F.sum(F.col("weight100") * F.col("v")).alias("t"))
-    return taste.join(tokens, ["rel", "entity"]).groupBy("uid", "mid").agg(F.sum("t").alias("overlap"))
+def path_top(scores: DataFrame, n: int, seen: DataFrame) -> DataFrame:
+    """(uid, mid, score, rank): each user's best unseen items by raw score, number of paths and id, the largest first."""
+    fresh = scores.join(seen, ["uid", "mid"], "left_anti").filter("raw > 0")
+    fresh = fresh.withColumn("score", X.rounded(F.col("raw") / F.max("raw").over(Window.partitionBy("uid"))))
+    order = Window.partitionBy("uid").orderBy(F.desc("raw"), F.desc("paths"), F.desc("mid"))
+    return fresh.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("uid", "mid", "score", "rank")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def overlap_taste(seeds: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(uid, rel, entity, t): what an entity of a user's seeds is worth, by relation weight and idf."""
+    valued = tokens.join(entity_idf(tokens), ["rel", "entity"]).withColumn("v", _cap(OVERLAP_WEIGHTS) * F.col("idf6"))
+    return seeds.join(valued, "mid").groupBy("uid", "rel", "entity").agg(F.sum(F.col("weight100") * F.col("v")).alias("t"))
 
 
-def unit_vectors(vectors: DataFrame, vec: str = "vec") -> DataFrame:
-    """The same rows with vectors of length one."""
-    length = F.sqrt(dot(F.col(vec), F.col(vec)))
-    return vectors.withColumn(vec, F.transform(vec, lambda x: x / F.greatest(length, F.lit(1e-12))))
+def overlap_scores(taste: DataFrame, tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uid, mid, overlap): the worth of all entities that candidates (uid, mid) share with the user's seeds."""
+    return pairs.select("uid", "mid").join(tokens, "mid").join(taste, ["uid", "rel", "entity"]).groupBy("uid", "mid").agg(F.sum("t").alias("overlap"))
 
 
-def centroids(seeds: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
-    """(uid, centre): unit weighted mean of the vectors (mid, vec) of a user's seeds."""
-    joined = seeds.join(vectors, "mid")
-    sums = joined.groupBy("uid").agg(F.array(*(F.sum(F.col("weight100") * F.get("vec", F.lit(i))) for i in range(size))).alias("centre"))
-    return unit_vectors(sums, "centre")
+def overlap_recall(taste: DataFrame, tokens: DataFrame, n: int = 400) -> DataFrame:
+    """(uid, mid): each user's ``n`` candidates that share most with the seeds by people; ties by id.
+
+    Directors and actors are few films each; genres, regions and periods, of which
+    everyone has some, only add to the scores of candidates that are found.
+    """
+    found = taste.join(tokens.filter(F.col("rel").isin(*PEOPLE)), ["rel", "entity"]).groupBy("uid", "mid").agg(F.sum("t").alias("s"))
+    order = Window.partitionBy("uid").orderBy(F.desc("s"), "mid")
+    return found.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).select("uid", "mid")
+
 
+#: Vectors are whole numbers of so many parts of their length, so that every engine gets the same products.
+PARTS = 10_000
 
-def embedding_scores(pairs: DataFrame, centres: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(uid, mid, centroid): cosine of the user's centre and the item, for the given candidate pairs (uid, mid)."""
-    joined = pairs.select("uid", "mid").join(centres, "uid").join(vectors, "mid")
-    return joined.select("uid", "mid", X.rounded(dot(F.col("centre"), F.col("vec"))).alias("centroid"))
 
+def whole_vectors(vectors: DataFrame, vec: str = "vec") -> DataFrame:
+    """The same rows with unit vectors as whole numbers of PARTS."""
+    length = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return vectors.withColumn(vec, F.transform(vec, lambda x: F.floor(x.cast("double") / F.greatest(length, F.lit(1e-12)) * PARTS + 0.5).cast("int")))
 
-def min_max(df: DataFrame, column: str) -> Column:
+
+EMBEDDED = "uid long, mid string, centroid6 long, most_seed6 long, relation6 long"
+
+
+def embedding_components(pairs: DataFrame, seeds: DataFrame, vectors: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """(uid, mid, centroid6, most_seed6, relation6): of candidates (uid, mid) the cosine with the weighted mean of the seeds' vectors, the largest cosine times weight with a seed, and the cosine with the user's own target (``users``: uid, vec), all in millionths and at least 0.
+
+    ``vectors`` has (mid, vec) of whole_vectors; items without one have no row. A
+    user's seeds and candidates are bounded, so each user is one group of numpy.
+    """
+    target = F.lit(None).cast("array<int>").alias("target")
+    rows = seeds.join(vectors, "mid").select("uid", "mid", "weight100", "vec").union(pairs.select("uid", "mid", F.lit(0).cast("long")).join(vectors, "mid").select("uid", "mid", F.lit(0).cast("long"), "vec"))
+    rows = rows.select("*", target) if users is None else rows.join(users.select("uid", F.col("vec").alias("target")), "uid", "left")
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        weight = pdf["weight100"].to_numpy()
+        all_ = np.stack(pdf["vec"].to_numpy()).astype(np.int64)
+        own, cand = all_[weight > 0], all_[weight == 0]
+        mids = pdf["mid"][weight == 0]
+        if not len(own) or not len(cand):
+            return pd.DataFrame({"uid": [], "mid": [], "centroid6": [], "most_seed6": [], "relation6": []}).astype({"uid": "int64", "mid": "str", "centroid6": "int64", "most_seed6": "int64", "relation6": "int64"})
+        w = weight[weight > 0]
+
+        def cosine6(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            long = np.sqrt((a * a).sum(1).astype(float))[:, None] * np.sqrt((b * b).sum(1).astype(float))[None]
+            return np.maximum(np.floor((a @ b.T) / np.maximum(long, 1e-9) * MICRO + 0.5), 0).astype(np.int64)
+
+        goal = pdf["target"].iloc[0]
+        relation = cosine6(cand, np.asarray(goal, np.int64)[None])[:, 0] if goal is not None else np.zeros(len(cand), np.int64)
+        return pd.DataFrame({"uid": pdf["uid"].iloc[0], "mid": mids, "centroid6": cosine6(cand, (own * w[:, None]).sum(0)[None])[:, 0], "most_seed6": (cosine6(cand, own) * w[None]).max(1), "relation6": relation})
+
+    return rows.groupBy("uid").applyInPandas(score, EMBEDDED)
+
+
+def min_max(column: str) -> Column:
     """A column scaled to 0..1 within each user; 0 where it doesn't vary."""
     w = Window.partitionBy("uid")
     low, high = F.min(column).over(w), F.max(column).over(w)
     return F.when(high > low, (F.col(column) - low) / (high - low)).otherwise(F.lit(0.0))
 
 
-def fuse_embedding(centroid: DataFrame, overlap: DataFrame, centroid_weight: float = 0.4, overlap_weight: float = 0.4) -> DataFrame:
-    """(uid, mid, score): weighted scaled components."""
-    both = centroid.join(overlap, ["uid", "mid"])
-    both = both.withColumn("c", min_max(both, "centroid")).withColumn("o", min_max(both, "overlap"))
-    return both.select("uid", "mid", X.rounded(F.col("c") * centroid_weight + F.col("o") * overlap_weight).alias("score")).filter("score > 0")
+#: Weights of the embedding ranking's components.
+EMBED_WEIGHTS = {"relation6": 0.0, "centroid6": 0.4, "most_seed6": 0.2, "overlap": 0.4}
+
+
+def fuse_embedding(pairs: DataFrame, components: DataFrame, overlap: DataFrame, weights: dict[str, float] = EMBED_WEIGHTS, fusion: bool = True) -> DataFrame:
+    """(uid, mid, score): weighted sum of each user's scaled components over the candidates (uid, mid); what a candidate lacks is 0. Without fusion the centroid alone."""
+    both = pairs.select("uid", "mid").join(components, ["uid", "mid"], "left").join(overlap, ["uid", "mid"], "left").na.fill(0, list(EMBED_WEIGHTS))
+    total = F.lit(0.0)
+    for name, weight in (weights if fusion else {"centroid6": 1.0}).items():
+        total = total + min_max(name) * weight
+    return both.select("uid", "mid", X.rounded(total).alias("score")).filter("score > 0")
+
+
+#: Weights of the main ranking, and how many candidates each branch recalls.
+FUSED = {"kg_weight": 0.7, "cf_weight": 0.3, "bonus": 0.02, "consensus": 0.0}
+RECALL = {"item_cf": 400, "kg_embed": 300}
 
 
 def fuse_branches(kg: DataFrame, cf: DataFrame, kg_weight: float = 0.7, cf_weight: float = 0.3, bonus: float = 0.02, consensus: float = 0.0) -> DataFrame:
-    """(uid, mid, score, sources): the main ranking of an embedding branch and a co-rating branch of (uid, mid, score)."""
+    """(uid, mid, raw, sources): the main ranking of an embedding branch and a co-rating branch of (uid, mid, score); sources by contribution, the largest first, then name, the last first."""
     both = kg.select("uid", "mid", F.col("score").alias("k")).join(cf.select("uid", "mid", F.col("score").alias("c")), ["uid", "mid"], "full").na.fill(0.0, ["k", "c"])
     k, c = F.col("k"), F.col("c")
-    with_both = k + c * (cf_weight / kg_weight) + F.least(k, c) * consensus + bonus
-    score = F.when((k > 0) & (c > 0), with_both).when(k > 0, k).otherwise(c * cf_weight)
-    sources = F.array_compact(F.array(F.when(k > 0, F.lit("kg_embed")), F.when(c > 0, F.lit("item_cf"))))
-    return both.select("uid", "mid", X.rounded(score, 6).alias("score"), sources.alias("sources")).filter("score > 0")
+    share = F.when(k > 0, c * (cf_weight / kg_weight)).otherwise(c * cf_weight)
+    score = F.when((k > 0) & (c > 0), k + share + F.least(k, c) * consensus + bonus).when(k > 0, k).otherwise(share)
+    parts = F.filter(F.array(F.struct(k.alias("part"), F.lit("kg_embed").alias("name")), F.struct(share.alias("part"), F.lit("item_cf").alias("name"))), lambda p: p["part"] > 0)
+    sources = F.transform(F.reverse(F.array_sort(parts)), lambda p: p["name"])
+    return both.select("uid", "mid", X.rounded(score, 6).alias("raw"), sources.alias("sources")).filter("raw > 0")
+
+
+def fused_top(fused: DataFrame, n: int, fallback: DataFrame | None = None) -> DataFrame:
+    """(uid, mid, score, sources, rank): each user's best by score, number of sources and id, the largest first.
+
+    Users without any get the rows of ``fallback`` (uid, mid, score, rank), scaled by their best.
+    """
+    best = lambda c: F.max(c).over(Window.partitionBy("uid"))
+    order = Window.partitionBy("uid").orderBy(F.desc("raw"), F.desc(F.size("sources")), F.desc("mid"))
+    top = fused.withColumn("score", X.rounded(F.col("raw") / best("raw"))).withColumn("rank", F.row_number().over(order))
+    top = top.filter(F.col("rank") <= n).select("uid", "mid", "score", "sources", "rank")
+    if fallback is None:
+        return top
+    rest = fallback.filter(F.col("rank") <= n).join(top.select("uid").distinct(), "uid", "left_anti")
+    return top.union(rest.select("uid", "mid", X.rounded(F.col("score") / best("score")), F.array(F.lit("content")), "rank"))
 
 
 def explain(user_seeds: DataFrame, targets: DataFrame, tokens: DataFrame, top: int = 6) -> DataFrame:
@@ -203,16 +360,37 @@ def rare_entities(tokens: DataFrame, rel: str, most_degree: int, take: int) -> D
     return one.join(degree, "entity").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= take).select("mid", "entity")
 
 
-def path_reasons(seeds: DataFrame, evidence: DataFrame, top: int = 3) -> DataFrame:
-    """(uid, mid, rel, seed, worth, k): the strongest evidence of each candidate, one seed per relation, at most ``top``."""
-    joined = seeds.select("uid", F.col("mid").alias("seed"), "weight100").join(evidence, "seed")
-    worth = F.col("weight100") * F.col("hits") * F.col("penalty6")
-    best = joined.groupBy("uid", "mid", "rel").agg(F.min(F.struct((-worth).alias("w"), "seed")).alias("b"))
+def path_reasons(evidence: DataFrame, top: int = 3) -> DataFrame:
+    """(uid, mid, rel, seed, worth, k): the strongest evidence (uid, seed, weight100, rel, mid, worth) of each candidate, one seed per relation, at most ``top``."""
+    best = evidence.groupBy("uid", "mid", "rel").agg(F.min(F.struct((-F.col("weight100") * F.col("worth")).alias("w"), "seed")).alias("b"))
     order = Window.partitionBy("uid", "mid").orderBy("b.w", "rel")
     ranked = best.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= top)
     return ranked.select("uid", "mid", "rel", F.col("b.seed").alias("seed"), (-F.col("b.w")).alias("worth"), "k")
 
 
+def shortlist_paths(seeds: DataFrame, tokens: DataFrame, pairs: DataFrame, audience: DataFrame | None = None, limits: dict[str, int] = PATH_LIMITS, weights: dict[str, int] = PATH_WEIGHTS) -> DataFrame:
+    """(uid, mid, raw, paths): path scores of candidates (uid, mid), the shortlist held before each seed's best are taken.
+
+    ``audience`` has (seed, mid, strength, hits) without a limit per seed.
+    """
+    idf = entity_idf(tokens)
+    own = seeds.select("uid", F.col("mid").alias("seed"), "weight100").join(seed_entities(tokens).withColumnRenamed("mid", "seed"), "seed")
+    cand = pairs.select("uid", "mid").join(tokens, "mid")
+    shared = own.join(cand, ["uid", "rel", "entity"]).filter("seed != mid").join(idf, ["rel", "entity"])
+    grouped = shared.groupBy("uid", "seed", "weight100", "rel", "mid").agg(F.count("*").alias("hits"), F.array_sort(F.collect_list(F.struct("entity", "idf6"))).alias("es"))
+    first = F.slice("es", 1, 5)
+    penalty = F.floor(F.aggregate(first, F.lit(0).cast("long"), lambda a, e: a + e["idf6"]) / F.size(first)).cast("long")
+    strength = F.when(F.col("rel") == "genre", F.least(F.col("hits") * 100, F.lit(300)) / 3).otherwise(F.col("hits") * 100)
+    rows = grouped.select("uid", "seed", "weight100", "rel", "mid", "hits", F.floor(strength * _cap(weights) * penalty / 10000).cast("long").alias("worth"))
+    if audience is not None:
+        near = seeds.select("uid", F.col("mid").alias("seed"), "weight100").join(audience, "seed").join(pairs.select("uid", "mid"), ["uid", "mid"])
+        rows = rows.union(near.select("uid", "seed", "weight100", F.lit("shared_audience"), "mid", "hits", F.floor(F.col("strength") * weights.get("shared_audience", 0) / 1000000).cast("long")))
+    by = F.when(F.col("rel") == "shared_audience", F.col("worth")).otherwise(F.col("hits"))
+    order = Window.partitionBy("uid", "seed", "rel").orderBy(F.desc(by), F.desc("hits"), F.desc("mid"))
+    kept = rows.filter("worth > 0").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= _cap(limits))
+    return kept.groupBy("uid", "mid").agg(F.sum(F.col("weight100") * F.col("worth")).alias("raw"), F.sum("hits").alias("paths"))
+
+
 def cold_routing(users: DataFrame, personal: DataFrame, popular: DataFrame, n: int) -> DataFrame:
     """(uid, mid, rank, how): cold users get the popular list (mid, rank), the others their own (uid, mid, rank).
 
@@ -232,7 +410,30 @@ def fallback_reasons(targets: DataFrame, tokens: DataFrame) -> DataFrame:
     return own.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cap).select("mid", "rel", "entity")
 
 
-#: The recommenders by name, with whether they use the graph.
-ALGORITHMS = {"content": False, "item_cf": False, "kg_path": True, "kg_embed": True, "fused": True}
-#: Values tried for the path recommender's weights.
-PATH_GRID = [{"shared_audience": a, "director": d, "actor": d, "genre": g} for a in (40, 60, 80) for d in (30, 40) for g in (10, 20)]
+#: The recommenders by name: whether they use the graph, and the caps of the signals that they start from.
+KG_SIGNALS = {"rating": 30, "like": 10, "want_to_watch": 0}
+ALGORITHMS = {"cfkg": (True, KG_SIGNALS), "content": (False, KG_SIGNALS), "item_cf": (False, KG_SIGNALS), "kg_embed": (True, KG_SIGNALS), "kg_path": (True, KG_SIGNALS)}
+#: Smaller settings for single requests.
+ONLINE_SIGNALS = {"kg_path": {"rating": 8, "like": 4, "want_to_watch": 0}, "kg_embed": {"rating": 12, "like": 4, "want_to_watch": 0}}
+ONLINE_PATH_WEIGHTS = {"shared_audience": 80, "director": 20, "actor": 10, "genre": 10}
+ONLINE_PATH_LIMITS = {"shared_audience": 40, "director": 12, "actor": 16, "genre": 12}
+ONLINE_BRIDGES = 60
+
+
+def path_grid() -> list[dict[str, int]]:
+    """Path weights that tuning tries."""
+    return [PATH_WEIGHTS | {"shared_audience": a, "director": d, "actor": c} for a in (40, 60, 80) for d in (20, 40) for c in (20, 40)]
+
+
+def embed_grid() -> list[dict[str, float]]:
+    """Component weights that tuning tries: those that sum to one."""
+    grid = [{"relation6": r, "centroid6": c, "most_seed6": round(1.0 - r - o - c, 4), "overlap": o} for r in (0.4, 0.6, 0.8) for o in (0.1, 0.2, 0.3) for c in (0.0, 0.1, 0.2)]
+    return [g for g in grid if g["most_seed6"] >= 0]
+
+
+#: Ablations: path relations in use, component weights, and fused weights with or without path explanations.
+ABLATIONS = {
+    "kg_path": {"structure": {k: PATH_WEIGHTS[k] for k in ("director", "actor", "genre", "actor_actor")}, "with_audience": {k: PATH_WEIGHTS[k] for k in ("shared_audience", "director", "actor", "genre", "actor_actor")}, "full": PATH_WEIGHTS},
+    "kg_embed": {"structure": EMBED_WEIGHTS, "with_user": {"relation6": 1.0}, "full": {"relation6": 0.6, "centroid6": 0.1, "most_seed6": 0.1, "overlap": 0.2}},
+    "cfkg": {"kg_embed": FUSED | {"kg_weight": 1.0, "cf_weight": 0.0, "bonus": 0.0}, "with_item_cf": FUSED, "full": FUSED},
+}

@@ -40,12 +40,12 @@ def tokens(c: Catalog, most_ord: int = 5) -> DataFrame:
     """(mid, rel, entity) of all relations; actors up to a billing position."""
     t = lambda df, rel, col: df.select("mid", F.lit(rel).alias("rel"), F.col(col).alias("entity"))
     m = c.movie_keys.withColumn("bucket", X.year_bucket(F.col("year")))
-    return stacked([t(c.directed, "director", "pid"), t(c.acted.filter(F.col("ord") <= most_ord), "actor", "pid"), t(c.genre_edges, "genre", "genre"), t(m, "region", "region"), t(m, "content_type", "content_type"), t(m, "year_bucket", "bucket")])
+    return stacked([t(c.directed, "director", "pid"), t(c.acted.filter(F.col("ord") <= most_ord), "actor", "pid"), t(c.genre_edges, "genre", "genre"), t(m, "region", "region"), t(m, "language", "language"), t(m, "content_type", "content_type"), t(m, "year_bucket", "bucket")])
 
 
 TOKENS = """tokens AS (
   SELECT mid, 'director' AS rel, pid AS entity FROM directed UNION ALL SELECT mid, 'actor', pid FROM acted WHERE ord <= 5
-  UNION ALL SELECT mid, 'genre', genre FROM genre_edges UNION ALL SELECT mid, 'region', region FROM movies UNION ALL SELECT mid, 'content_type', content_type FROM movies
+  UNION ALL SELECT mid, 'genre', genre FROM genre_edges UNION ALL SELECT mid, 'region', region FROM movies UNION ALL SELECT mid, 'language', language FROM movies UNION ALL SELECT mid, 'content_type', content_type FROM movies
   UNION ALL SELECT mid, 'year_bucket', CASE WHEN year < 1990 THEN 'before_1990' WHEN year < 2000 THEN '1990s' WHEN year < 2010 THEN '2000s' WHEN year < 2020 THEN '2010s' ELSE '2020s' END FROM movies)"""
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as X
 from graphloom.operators import evaluate as E
 from graphloom.operators import recommend as R
 from graphloom.operators import signals as S
+from graphloom.operators.graph import triples
+from graphloom.operators.transe import train
 from graphloom.plans.graph_queries import INDEX, SIGNALS, TOKENS, tokens
 from graphloom.plans.registry import query
 from graphloom.sources.catalog import Catalog
+from graphloom.sources.scratch import settled
 
 SEEDS = f"{SIGNALS}, seeds AS (SELECT uid, mid, weight100 FROM (SELECT *, row_number() OVER (PARTITION BY uid, kind ORDER BY weight100 DESC, at_ DESC, mid) AS k FROM signals) WHERE k <= CASE kind WHEN 'rating' THEN 30 WHEN 'like' THEN 10 ELSE 0 END)"
 SEEN = "seen AS (SELECT uid, mid FROM ratings UNION SELECT uid, mid FROM prefs)"
@@ -60,18 +65,15 @@ def content_tokens(c: Catalog) -> DataFrame:
 
 @query(f"WITH {SEEDS}, {SEEN}, {TOKENS}, {CONTENT}, fresh AS (SELECT s.* FROM cosine s WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid)) SELECT uid, mid, score FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS k FROM fresh) WHERE k <= 10")
 def r6_content(c: Catalog) -> DataFrame:
-    from pyspark.sql import Window
-
-    fresh = R.content_scores(seeds(c), content_tokens(c)).join(seen(c), ["uid", "mid"], "left_anti")
-    order = Window.partitionBy("uid").orderBy(F.desc("score"), "mid")
-    return fresh.withColumn("k", F.row_number().over(order)).filter("k <= 10").select("uid", "mid", "score")
+    return R.content_top(seeds(c), content_tokens(c), 10, seen(c)).select("uid", "mid", "score")
 
 
 IDF = "idfs AS (SELECT rel, entity, CAST(floor(1 / ln(2.0 + greatest(count(*), 1)) * 1000000.0 + 0.5) AS BIGINT) AS idf6 FROM tokens GROUP BY 1, 2)"
 HOPS = f"""{TOKENS}, {IDF},
-shared AS (SELECT x.mid AS seed, x.rel, y.mid, x.entity, i.idf6, row_number() OVER (PARTITION BY x.mid, x.rel, y.mid ORDER BY x.entity) AS e FROM tokens x JOIN tokens y ON x.rel = y.rel AND x.entity = y.entity AND x.mid <> y.mid JOIN idfs i ON i.rel = x.rel AND i.entity = x.entity),
-grouped AS (SELECT seed, rel, mid, count(*) AS hits, CAST(floor(CAST(sum(idf6) FILTER (e <= CASE WHEN rel = 'genre' THEN 3 ELSE 5 END) AS DOUBLE) / count(*) FILTER (e <= CASE WHEN rel = 'genre' THEN 3 ELSE 5 END)) AS BIGINT) AS penalty6 FROM shared GROUP BY 1, 2, 3),
-hops AS (SELECT seed, rel, mid, hits, penalty6 FROM (SELECT *, row_number() OVER (PARTITION BY seed, rel ORDER BY hits DESC, mid DESC) AS k FROM grouped) WHERE k <= CASE rel WHEN 'director' THEN 30 WHEN 'actor' THEN 50 WHEN 'genre' THEN 50 WHEN 'region' THEN 15 WHEN 'content_type' THEN 5 ELSE 10 END)"""
+seedtok AS (SELECT mid, rel, entity FROM tokens WHERE rel <> 'genre' UNION ALL SELECT mid, rel, entity FROM (SELECT t.*, row_number() OVER (PARTITION BY t.mid ORDER BY d > 15000, d, t.entity) AS k FROM tokens t JOIN (SELECT entity, count(*) AS d FROM tokens WHERE rel = 'genre' GROUP BY 1) USING (entity) WHERE rel = 'genre') WHERE k = 1),
+shared AS (SELECT x.mid AS seed, x.rel, y.mid, x.entity, i.idf6, row_number() OVER (PARTITION BY x.mid, x.rel, y.mid ORDER BY x.entity) AS e FROM seedtok x JOIN tokens y ON x.rel = y.rel AND x.entity = y.entity AND x.mid <> y.mid JOIN idfs i ON i.rel = x.rel AND i.entity = x.entity),
+grouped AS (SELECT seed, rel, mid, count(*) AS hits, CAST(floor(CAST(sum(idf6) FILTER (e <= 5) AS DOUBLE) / count(*) FILTER (e <= 5)) AS BIGINT) AS penalty6 FROM shared GROUP BY 1, 2, 3),
+hops AS (SELECT seed, rel, mid, hits, penalty6 FROM (SELECT *, row_number() OVER (PARTITION BY seed, rel ORDER BY hits DESC, mid DESC) AS k FROM grouped) WHERE k <= CASE rel WHEN 'director' THEN 30 WHEN 'actor' THEN 50 WHEN 'genre' THEN 50 WHEN 'region' THEN 15 WHEN 'language' THEN 15 WHEN 'content_type' THEN 5 ELSE 10 END)"""
 
 
 @query(f"WITH {HOPS} SELECT * FROM hops")
@@ -79,90 +81,148 @@ def r9_one_hop(c: Catalog) -> DataFrame:
     return R.one_hop(tokens(c))
 
 
-TWO = """deg AS (SELECT pid, count(*) AS d FROM acted WHERE ord <= 2 GROUP BY 1),
-kept AS (SELECT mid, pid FROM (SELECT a.mid, a.pid, row_number() OVER (PARTITION BY a.mid ORDER BY d, a.pid) AS k FROM acted a JOIN deg USING (pid) WHERE ord <= 2) WHERE k <= 3),
-reach AS (SELECT DISTINCT s.mid AS seed, z.pid AS b, y.mid AS bridge FROM kept s JOIN kept y ON y.pid = s.pid AND y.mid <> s.mid JOIN kept z ON z.mid = y.mid AND z.pid <> s.pid),
-far AS (SELECT seed, k.mid, count(DISTINCT b) AS hits FROM reach JOIN kept k ON k.pid = b WHERE k.mid <> seed AND k.mid <> bridge GROUP BY 1, 2)
-SELECT seed, mid, hits FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hits DESC, mid DESC) AS k FROM far) WHERE k <= 30"""
+TWO = """billed AS (SELECT mid, pid, ord FROM acted WHERE ord <= 1), deg AS (SELECT pid, count(*) AS d FROM billed GROUP BY 1),
+kept AS (SELECT mid, pid FROM (SELECT a.mid, a.pid, row_number() OVER (PARTITION BY a.mid ORDER BY d, a.ord, a.pid) AS k FROM billed a JOIN deg USING (pid)) WHERE k <= 3),
+reach AS MATERIALIZED (SELECT s.mid AS seed, z.pid AS b, min(y.mid) AS low, max(y.mid) AS high FROM kept s JOIN billed y ON y.pid = s.pid AND y.mid <> s.mid JOIN kept z ON z.mid = y.mid AND z.pid <> s.pid GROUP BY 1, 2),
+far AS (SELECT seed, mid, count(*) AS hits FROM reach JOIN billed k ON k.pid = b WHERE k.mid <> seed AND (low <> high OR k.mid <> low) GROUP BY 1, 2),
+best AS MATERIALIZED (SELECT seed, mid, hits FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hits DESC, mid DESC) AS k FROM far) WHERE k <= 30),
+named AS (SELECT t.seed, t.mid, t.hits, CAST(floor(1 / ln(2.0 + greatest(d, 1)) * 1000000.0 + 0.5) AS BIGINT) AS idf6, row_number() OVER (PARTITION BY t.seed, t.mid ORDER BY k.ord, k.pid) AS p FROM best t JOIN billed k ON k.mid = t.mid JOIN reach r ON r.seed = t.seed AND r.b = k.pid JOIN deg ON deg.pid = k.pid WHERE low <> high OR t.mid <> low),
+twohop AS (SELECT seed, mid, hits, CAST(floor(CAST(sum(idf6) AS DOUBLE) / count(*)) AS BIGINT) AS penalty6 FROM named WHERE p <= 3 GROUP BY 1, 2, 3)"""
+
+
+def first_billed(c: Catalog) -> DataFrame:
+    """(mid, pid, ord) of the actors that two-hop paths use; the domain's items have many of each position."""
+    return c.acted.filter("ord <= 1").select("mid", "pid", "ord")
 
 
-@query(f"WITH {TWO}")
+@query(f"WITH {TWO} SELECT * FROM twohop")
 def r10_two_hop(c: Catalog) -> DataFrame:
-    return R.two_hop(c.acted.filter("ord <= 2").select("pid", "mid"))
+    return R.two_hop(first_billed(c))
 
 
 AUDIENCE = f"""{INDEX}, each_ AS (SELECT *, CAST(floor(1 / ln(2.0 + greatest(degree, 1)) * 1000000.0 + 0.5) AS BIGINT) AS pen6 FROM index_),
-lead_ AS (SELECT uid, mid AS seed, weight100 AS w, pen6 FROM (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY weight100 * pen6 DESC, uid) AS k FROM each_) WHERE k <= 200),
-aud AS (SELECT seed, e.mid, CAST(sum(w * e.weight100 * l.pen6) AS BIGINT) AS strength, count(*) AS hits FROM lead_ l JOIN each_ e ON e.uid = l.uid WHERE e.mid <> seed GROUP BY 1, 2)"""
+lead_ AS (SELECT uid, mid AS seed, weight100 AS w, pen6 FROM (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY weight100 * pen6 DESC, CAST(uid AS VARCHAR) DESC) AS k FROM each_) WHERE k <= 200),
+aud AS (SELECT seed, e.mid, CAST(sum(w * e.weight100 * l.pen6) AS BIGINT) AS strength, count(*) AS hits FROM lead_ l JOIN each_ e ON e.uid = l.uid WHERE e.mid <> seed GROUP BY 1, 2),
+audience AS (SELECT seed, mid, strength, hits FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY strength DESC, hits DESC, mid DESC) AS k FROM aud) WHERE k <= 120)"""
 
 
-@query(f"WITH {AUDIENCE} SELECT seed, mid, strength, hits FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY strength DESC, hits DESC, mid DESC) AS k FROM aud) WHERE k <= 120")
+@query(f"WITH {AUDIENCE} SELECT * FROM audience")
 def r11_shared_audience(c: Catalog) -> DataFrame:
     return R.shared_audience(S.weight_index(c.ratings, c.prefs))
 
 
-WEIGHT = "CASE rel WHEN 'director' THEN 40 WHEN 'actor' THEN 40 WHEN 'genre' THEN 20 WHEN 'region' THEN 10 WHEN 'content_type' THEN 5 WHEN 'year_bucket' THEN 5 ELSE 0 END"
+WEIGHT = "CASE rel WHEN 'director' THEN 40 WHEN 'actor' THEN 40 WHEN 'genre' THEN 20 WHEN 'region' THEN 10 WHEN 'language' THEN 10 WHEN 'content_type' THEN 5 WHEN 'year_bucket' THEN 5 ELSE 0 END"
+EVIDENCE = f"""{HOPS}, {TWO}, {AUDIENCE}, evidence AS (
+  SELECT seed, rel, mid, hits, CAST(floor((CASE WHEN rel = 'genre' THEN least(hits * 100, 300) / 3 ELSE hits * 100 END) * {WEIGHT} * penalty6 / 10000) AS BIGINT) AS worth FROM hops
+  UNION ALL SELECT seed, 'actor_actor', mid, hits, CAST(floor(CAST(hits * 100 AS DOUBLE) * 10 * penalty6 / 10000) AS BIGINT) FROM twohop
+  UNION ALL SELECT seed, 'shared_audience', mid, hits, CAST(floor(strength * 60 / 1000000) AS BIGINT) FROM audience)"""
+PATH_TOP = """pathraw AS (SELECT s.uid, e.mid, CAST(sum(weight100 * worth) AS BIGINT) AS raw, CAST(sum(hits) AS BIGINT) AS paths FROM seeds s JOIN evidence e ON e.seed = s.mid WHERE worth > 0 GROUP BY 1, 2),
+pathfresh AS (SELECT s.* FROM pathraw s WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid)),
+pathtop AS (SELECT uid, mid, floor(raw / max(raw) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score, row_number() OVER (PARTITION BY uid ORDER BY raw DESC, paths DESC, mid DESC) AS rank FROM pathfresh)"""
 
 
-@query(f"WITH {SEEDS}, {SEEN}, {HOPS}, worth AS (SELECT seed, mid, CAST(floor((CASE WHEN rel = 'genre' THEN least(hits * 100, 300) / 3 ELSE hits * 100 END) * {WEIGHT} * penalty6 / 10000) AS BIGINT) AS w FROM hops), scores AS (SELECT s.uid, w.mid, CAST(sum(weight100 * w) AS BIGINT) AS raw FROM seeds s JOIN worth w ON w.seed = s.mid GROUP BY 1, 2) {TOP}")
+def evidence(c: Catalog) -> DataFrame:
+    """Path evidence of all relations, for every seed item."""
+    return R.path_evidence(R.one_hop(tokens(c)), R.two_hop(first_billed(c)), R.shared_audience(S.weight_index(c.ratings, c.prefs)))
+
+
+@query(f"WITH {SEEDS}, {SEEN}, {EVIDENCE}, {PATH_TOP} SELECT uid, mid, score, rank FROM pathtop WHERE rank <= 10")
 def r12_kg_path(c: Catalog) -> DataFrame:
-    return R.top_per_user(R.path_scores(seeds(c), R.one_hop(tokens(c))), 10, "raw", seen(c))
+    return R.path_top(R.path_scores(seeds(c), evidence(c)), 10, seen(c))
 
 
-OVER = """valued AS (SELECT t.mid, t.rel, t.entity, CASE t.rel WHEN 'director' THEN 100 WHEN 'actor' THEN 60 WHEN 'genre' THEN 40 WHEN 'region' THEN 20 ELSE 10 END * idf6 AS v FROM tokens t JOIN idfs i ON i.rel = t.rel AND i.entity = t.entity),
+OVER = """valued AS (SELECT t.mid, t.rel, t.entity, CASE t.rel WHEN 'director' THEN 100 WHEN 'actor' THEN 60 WHEN 'genre' THEN 40 WHEN 'region' THEN 20 WHEN 'language' THEN 20 ELSE 10 END * idf6 AS v FROM tokens t JOIN idfs i ON i.rel = t.rel AND i.entity = t.entity),
 liking AS (SELECT uid, rel, entity, CAST(sum(weight100 * v) AS BIGINT) AS t FROM seeds JOIN valued USING (mid) GROUP BY 1, 2, 3),
-overlap_ AS (SELECT l.uid, k.mid, CAST(sum(l.t) AS BIGINT) AS overlap FROM liking l JOIN tokens k ON k.rel = l.rel AND k.entity = l.entity GROUP BY 1, 2)"""
+recalled AS MATERIALIZED (SELECT uid, mid FROM (SELECT uid, mid, row_number() OVER (PARTITION BY uid ORDER BY s DESC, mid) AS k FROM (SELECT l.uid, k.mid, CAST(sum(l.t) AS BIGINT) AS s FROM liking l JOIN tokens k ON k.rel = l.rel AND k.entity = l.entity WHERE l.rel IN ('director', 'actor') GROUP BY 1, 2)) WHERE k <= 400),
+overlap_ AS MATERIALIZED (SELECT r.uid, r.mid, CAST(sum(l.t) AS BIGINT) AS overlap FROM recalled r JOIN tokens k ON k.mid = r.mid JOIN liking l ON l.uid = r.uid AND l.rel = k.rel AND l.entity = k.entity GROUP BY 1, 2)"""
 
 
 @query(f"WITH {SEEDS}, {TOKENS}, {IDF}, {OVER} SELECT uid, mid, overlap FROM overlap_")
 def r19_entity_overlap(c: Catalog) -> DataFrame:
-    return R.overlap_scores(seeds(c), tokens(c))
+    taste = R.overlap_taste(seeds(c), tokens(c))
+    return R.overlap_scores(taste, tokens(c), R.overlap_recall(taste, tokens(c)))
 
 
 def vectors(c: Catalog) -> DataFrame:
-    """(mid, vec): unit item vectors."""
-    raw = c.table("embeddings").select(F.col("vec_id").cast("string").alias("mid"), F.col("embedding").cast("array<double>").alias("vec"))
-    return R.unit_vectors(raw)
+    """(mid, vec): item vectors of length R.PARTS in whole numbers."""
+    return R.whole_vectors(c.table("embeddings").select(F.col("vec_id").cast("string").alias("mid"), F.col("embedding").alias("vec")))
 
 
-@query()
-def r16_embedding_centroid(c: Catalog) -> DataFrame:
-    v, s = vectors(c), seeds(c)
-    pairs = R.overlap_scores(s, tokens(c)).select("uid", "mid")
-    return R.embedding_scores(pairs, R.centroids(s, v, 64), v)
+EMBED = """raws AS (SELECT CAST(vec_id AS VARCHAR) AS mid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+lens AS (SELECT mid, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM raws),
+vecs AS MATERIALIZED (SELECT mid, list_transform(v, lambda x: floor(x / greatest(n, 1e-12) * 10000 + 0.5)) AS v FROM lens),
+own AS (SELECT s.uid, s.weight100 AS w, v.v, sqrt(list_dot_product(v.v, v.v)) AS n FROM seeds s JOIN vecs v USING (mid)),
+dims AS (SELECT uid, i, sum(w * v[i]) AS x FROM own, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY 1, 2),
+centre AS (SELECT uid, list(x ORDER BY i) AS v FROM dims GROUP BY 1),
+cands AS (SELECT r.uid, r.mid, v.v, sqrt(list_dot_product(v.v, v.v)) AS n FROM recalled r JOIN vecs v USING (mid)),
+cent AS (SELECT k.uid, k.mid, CAST(greatest(floor(list_dot_product(k.v, c.v) / greatest(k.n * sqrt(list_dot_product(c.v, c.v)), 1e-9) * 1000000 + 0.5), 0) AS BIGINT) AS centroid6 FROM cands k JOIN centre c ON c.uid = k.uid),
+most AS (SELECT k.uid, k.mid, max(CAST(greatest(floor(list_dot_product(k.v, o.v) / greatest(k.n * o.n, 1e-9) * 1000000 + 0.5), 0) AS BIGINT) * o.w) AS most_seed6 FROM cands k JOIN own o ON o.uid = k.uid GROUP BY 1, 2),
+parts AS MATERIALIZED (SELECT uid, mid, centroid6, CAST(most_seed6 AS BIGINT) AS most_seed6 FROM cent JOIN most USING (uid, mid))"""
 
 
-def kg_embed(c: Catalog) -> DataFrame:
-    v, s = vectors(c), seeds(c)
-    overlap = R.overlap_scores(s, tokens(c))
-    return R.fuse_embedding(R.embedding_scores(overlap, R.centroids(s, v, 64), v), overlap)
+def embed_parts(c: Catalog, users: DataFrame | None = None, v: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The recalled candidates, their embedding components, and their overlap."""
+    s, t = seeds(c), tokens(c)
+    taste = R.overlap_taste(s, t)
+    pairs = settled(R.overlap_recall(taste, t), "recalled")
+    return pairs, R.embedding_components(pairs, s, vectors(c) if v is None else v, users), R.overlap_scores(taste, t, pairs)
 
 
-@query()
+@query(f"WITH {SEEDS}, {TOKENS}, {IDF}, {OVER}, {EMBED} SELECT uid, mid, centroid6, most_seed6 FROM parts")
+def r16_embedding_components(c: Catalog) -> DataFrame:
+    return embed_parts(c)[1].select("uid", "mid", "centroid6", "most_seed6")
+
+
+def _scaled(column: str) -> str:
+    w = "OVER (PARTITION BY uid)"
+    return f"CASE WHEN max({column}) {w} > min({column}) {w} THEN CAST({column} - min({column}) {w} AS DOUBLE) / (max({column}) {w} - min({column}) {w}) ELSE 0.0 END"
+
+
+KG = f"""gathered AS (SELECT r.uid, r.mid, coalesce(centroid6, 0) AS centroid6, coalesce(most_seed6, 0) AS most_seed6, coalesce(overlap, 0) AS overlap FROM recalled r LEFT JOIN parts p ON p.uid = r.uid AND p.mid = r.mid LEFT JOIN overlap_ o ON o.uid = r.uid AND o.mid = r.mid),
+kgraw AS (SELECT uid, mid, floor((0.0 + 0.0 * 0.0 + {_scaled('centroid6')} * 0.4 + {_scaled('most_seed6')} * 0.2 + {_scaled('overlap')} * 0.4) * 10000.0 + 0.5) / 10000.0 AS score FROM gathered),
+kgfresh AS (SELECT k.* FROM kgraw k WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = k.uid AND seen.mid = k.mid)),
+kg AS (SELECT uid, mid, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS rank FROM (SELECT uid, mid, floor(score / max(score) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score FROM kgfresh) WHERE score > 0)"""
+
+
+def kg_embed(c: Catalog, n: int, users: DataFrame | None = None, v: DataFrame | None = None, weights: dict[str, float] = R.EMBED_WEIGHTS) -> DataFrame:
+    pairs, parts, overlap = embed_parts(c, users, v)
+    return R.top_per_user(R.fuse_embedding(pairs, parts, overlap, weights), n, "score", seen(c))
+
+
+@query(f"WITH {SEEDS}, {SEEN}, {TOKENS}, {IDF}, {OVER}, {EMBED}, {KG} SELECT uid, mid, score, rank FROM kg WHERE rank <= 10")
 def r18_kg_embed(c: Catalog) -> DataFrame:
-    return R.top_per_user(kg_embed(c), 10, "score", seen(c))
+    return kg_embed(c, 10)
 
 
-@query(
-    f"WITH {SEEDS}, {SEEN}, {SIM}, {CF_SCORES}, {TOKENS}, {CONTENT}, "
-    "cf AS (SELECT uid, mid, floor(raw / max(raw) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS c FROM (SELECT s.* FROM scores s WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid))), "
-    "kg AS (SELECT uid, mid, score AS k FROM cosine s WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid)), "
-    "j AS (SELECT coalesce(kg.uid, cf.uid) AS uid, coalesce(kg.mid, cf.mid) AS mid, coalesce(k, 0) AS k, coalesce(c, 0) AS c FROM kg FULL JOIN (SELECT * FROM cf WHERE c > 0) cf ON kg.uid = cf.uid AND kg.mid = cf.mid), "
-    "f AS (SELECT uid, mid, floor(CASE WHEN k > 0 AND c > 0 THEN k + c * (0.3 / 0.7) + least(k, c) * 0 + 0.02 WHEN k > 0 THEN k ELSE c * 0.3 END * 1000000.0 + 0.5) / 1000000.0 AS raw FROM j) "
-    "SELECT uid, mid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS rank FROM (SELECT uid, mid, floor(raw / max(raw) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score FROM f WHERE raw > 0) WHERE score > 0) WHERE rank <= 10"
-)
+CF_BRANCH = "cfall AS (SELECT uid, mid, floor(raw / max(raw) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score FROM (SELECT s.* FROM scores s WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid))), cf AS (SELECT uid, mid, score AS c FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS k FROM cfall WHERE score > 0) WHERE k <= 400)"
+FUSE = """j AS (SELECT coalesce(kgb.uid, cf.uid) AS uid, coalesce(kgb.mid, cf.mid) AS mid, coalesce(k, 0) AS k, coalesce(c, 0) AS c FROM kgb FULL JOIN cf ON kgb.uid = cf.uid AND kgb.mid = cf.mid),
+f AS (SELECT uid, mid, floor(CASE WHEN k > 0 AND c > 0 THEN k + c * (0.3 / 0.7) + least(k, c) * 0 + 0.02 WHEN k > 0 THEN k ELSE c * 0.3 END * 1000000.0 + 0.5) / 1000000.0 AS raw,
+  CASE WHEN k > 0 AND c > 0 THEN CASE WHEN k >= c * (0.3 / 0.7) THEN 'kg_embed,item_cf' ELSE 'item_cf,kg_embed' END WHEN k > 0 THEN 'kg_embed' ELSE 'item_cf' END AS sources, CASE WHEN k > 0 AND c > 0 THEN 2 ELSE 1 END AS n FROM j),
+fused AS (SELECT uid, mid, floor(raw / max(raw) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score, sources, row_number() OVER (PARTITION BY uid ORDER BY raw DESC, n DESC, mid DESC) AS rank FROM f WHERE raw > 0)"""
+
+
+@query(f"WITH {SEEDS}, {SEEN}, {SIM}, {CF_SCORES}, {TOKENS}, {CONTENT}, {CF_BRANCH}, kgb AS (SELECT uid, mid, score AS k FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS k FROM cosine s WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid)) WHERE k <= 300), {FUSE} SELECT uid, mid, score, sources, rank FROM fused WHERE rank <= 10")
 def r23_fused_ranking(c: Catalog) -> DataFrame:
     """The fusion formulas over the content and co-rating branches."""
-    cf = R.top_per_user(R.item_cf(seeds(c), R.item_similarity(c.ratings)), 1 << 30, "raw", seen(c))
-    kg = R.content_scores(seeds(c), content_tokens(c)).join(seen(c), ["uid", "mid"], "left_anti")
-    return R.top_per_user(R.fuse_branches(kg, cf), 10)
+    cf = R.top_per_user(R.item_cf(seeds(c), R.item_similarity(c.ratings)), R.RECALL["item_cf"], "raw", seen(c))
+    kg = R.content_top(seeds(c), content_tokens(c), R.RECALL["kg_embed"], seen(c))
+    return R.fused_top(R.fuse_branches(kg, cf), 10).withColumn("sources", F.array_join("sources", ","))
 
 
-@query()
+def main_ranking(c: Catalog, n: int) -> DataFrame:
+    cf = R.top_per_user(R.item_cf(seeds(c), R.item_similarity(c.ratings)), R.RECALL["item_cf"], "raw", seen(c))
+    return R.fused_top(R.fuse_branches(kg_embed(c, R.RECALL["kg_embed"]), cf), n, R.content_top(seeds(c), content_tokens(c), n, seen(c)))
+
+
+MAIN = f"""{SEEDS}, {SEEN}, {SIM}, {CF_SCORES}, {CF_BRANCH}, {TOKENS}, {IDF}, {OVER}, {EMBED}, {KG}, kgb AS (SELECT uid, mid, score AS k FROM kg WHERE rank <= 300), {FUSE}, {CONTENT},
+conall AS (SELECT s.uid, s.mid, s.score, row_number() OVER (PARTITION BY s.uid ORDER BY score DESC, mid) AS rank FROM cosine s WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid)),
+contop AS (SELECT uid, mid, floor(score / max(score) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score, 'content' AS sources, rank FROM conall WHERE rank <= 10 AND uid NOT IN (SELECT uid FROM fused)),
+main AS (SELECT * FROM fused WHERE rank <= 10 UNION ALL SELECT * FROM contop)"""
+
+
+@query(f"WITH {MAIN} SELECT uid, mid, score, sources, rank FROM main")
 def r22_main_ranker(c: Catalog) -> DataFrame:
-    cf = R.top_per_user(R.item_cf(seeds(c), R.item_similarity(c.ratings)), 400, "raw", seen(c))
-    kg = R.top_per_user(kg_embed(c), 300, "score", seen(c))
-    return R.top_per_user(R.fuse_branches(kg, cf), 10)
+    return main_ranking(c, 10).withColumn("sources", F.array_join("sources", ","))
 
 
 @query(
@@ -176,10 +236,15 @@ def r27_explanations(c: Catalog) -> DataFrame:
 
 
 TESTS = "el AS (SELECT uid FROM ratings GROUP BY uid HAVING count(*) >= 3 AND count(*) FILTER (h >= 7) >= 2), tests AS (SELECT uid, mid AS test_mid FROM (SELECT r.*, row_number() OVER (PARTITION BY uid ORDER BY rated_at DESC, mid) AS k FROM ratings r WHERE h >= 7 AND uid IN (SELECT uid FROM el)) WHERE k = 1)"
+NEGATIVES = 99
 NEG = """places AS (SELECT mid, row_number() OVER (ORDER BY md5(mid), mid) - 1 AS place FROM movies),
-tries AS (SELECT uid, test_mid, unnest(generate_series(0, 195)) AS t FROM tests),
-drawn AS (SELECT t.uid, p.mid, min(t) AS t FROM (SELECT *, CAST('0x' || substr(md5('42:' || uid || ':' || t), 1, 8) AS BIGINT) % (SELECT count(*) FROM movies) AS place FROM tries) t JOIN places p USING (place) WHERE p.mid <> t.test_mid GROUP BY 1, 2),
-negs AS (SELECT uid, mid FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY t) AS k FROM drawn d WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.uid = d.uid AND r.mid = d.mid)) WHERE k <= 49)"""
+tries AS (SELECT uid, test_mid, unnest(generate_series(0, 4 * {n} - 1)) AS t FROM tests),
+drawn AS (SELECT t.uid, p.mid, min(t) AS t FROM (SELECT *, CAST('0x' || substr(md5('{seed}:' || uid || ':' || t), 1, 8) AS BIGINT) % (SELECT count(*) FROM movies) AS place FROM tries) t JOIN places p USING (place) WHERE p.mid <> t.test_mid GROUP BY 1, 2),
+free AS MATERIALIZED (SELECT uid, mid, t FROM drawn d WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.uid = d.uid AND r.mid = d.mid)),
+enough AS (SELECT uid FROM free GROUP BY uid HAVING count(*) >= {n}),
+short AS (SELECT t.uid, m.mid, md5('{seed}:' || t.uid || ':' || m.mid) AS d FROM tests t, movies m WHERE t.uid NOT IN (SELECT uid FROM enough) AND m.mid <> t.test_mid AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.uid = t.uid AND r.mid = m.mid)),
+negs AS MATERIALIZED (SELECT uid, mid FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY t) AS k FROM free WHERE uid IN (SELECT uid FROM enough)) WHERE k <= {n}
+  UNION ALL SELECT uid, mid FROM (SELECT *, count(*) OVER (PARTITION BY uid) AS n FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY d, mid) AS k FROM short) WHERE k <= {n}) WHERE n = {n})""".replace("{n}", str(NEGATIVES)).replace("{seed}", "42")
 
 
 def tests(c: Catalog) -> DataFrame:
@@ -198,24 +263,34 @@ def e2_user_split(c: Catalog) -> DataFrame:
 
 @query(f"WITH {TESTS}, {NEG} SELECT * FROM negs")
 def l10_negatives(c: Catalog) -> DataFrame:
-    return E.negatives(tests(c), c.movie_keys, c.ratings, 49, 42)
+    return E.negatives(tests(c), c.movie_keys, c.ratings, NEGATIVES, 42)
 
 
 CUT = "CAST(count(*) FILTER (rank <= {k}) AS DOUBLE) / count(*)"
 METRICS = ", ".join(f"floor({CUT.format(k=k)} * 10000 + 0.5) / 10000 AS hr_{k}, floor({CUT.format(k=k)} / {k} * 10000 + 0.5) / 10000 AS precision_{k}, floor({CUT.format(k=k)} * 10000 + 0.5) / 10000 AS recall_{k}, floor(sum(CASE WHEN rank <= {k} THEN CAST(floor(1e9 / log2(rank + 1.0) + 0.5) AS BIGINT) ELSE 0 END) / (count(*) * 1e9) * 10000 + 0.5) / 10000 AS ndcg_{k}" for k in (5, 10, 20))
 
 
+def visible_ratings(c: Catalog, t: DataFrame) -> DataFrame:
+    """Ratings without the users' test items."""
+    return c.ratings.join(t.select("uid", F.col("test_mid").alias("mid")), ["uid", "mid"], "left_anti")
+
+
+def known_seeds(c: Catalog, visible: DataFrame) -> DataFrame:
+    """The signals that recommenders start from when test items are hidden."""
+    return S.capped_signals(S.positive_signals(visible, c.prefs), R.KG_SIGNALS).select("uid", "mid", "weight100")
+
+
 def content_metrics(c: Catalog) -> DataFrame:
     t = tests(c)
-    visible = c.ratings.join(t.select("uid", F.col("test_mid").alias("mid")), ["uid", "mid"], "left_anti")
-    known = S.capped_signals(S.positive_signals(visible, c.prefs), {"rating": 30, "like": 10, "want_to_watch": 0}).select("uid", "mid", "weight100")
-    return E.metrics(E.ranks(t, E.negatives(t, c.movie_keys, c.ratings, 49, 42), R.content_scores(known, content_tokens(c))))
+    sampled = settled(E.negatives(t, c.movie_keys, c.ratings, NEGATIVES, 42), "sampled")
+    scores = R.content_scores(known_seeds(c, visible_ratings(c, t)), content_tokens(c), E.shortlists(t, sampled))
+    return E.metrics(E.ranks(t, sampled, scores))
 
 
 VISIBLE = SEEDS.replace("ratings", "visible")
 
 
-@query(f"WITH {TESTS}, {NEG}, visible AS (SELECT r.* FROM ratings r WHERE NOT EXISTS (SELECT 1 FROM tests t WHERE t.uid = r.uid AND t.test_mid = r.mid)), {VISIBLE}, {TOKENS}, {CONTENT}, cand AS (SELECT uid, mid FROM negs UNION ALL SELECT uid, test_mid FROM tests), ranked AS (SELECT c.uid, c.mid, row_number() OVER (PARTITION BY c.uid ORDER BY coalesce(CASE WHEN s.score > 0 THEN s.score END, 0) DESC, c.mid) AS rank FROM cand c LEFT JOIN cosine s ON s.uid = c.uid AND s.mid = c.mid), r AS (SELECT ranked.* FROM ranked JOIN tests t ON t.uid = ranked.uid AND t.test_mid = ranked.mid) SELECT count(*) AS n_users, {METRICS} FROM r")
+@query(f"WITH {TESTS}, {NEG}, visible AS (SELECT r.* FROM ratings r WHERE NOT EXISTS (SELECT 1 FROM tests t WHERE t.uid = r.uid AND t.test_mid = r.mid)), {VISIBLE}, {TOKENS}, {CONTENT}, cand AS (SELECT uid, mid FROM negs UNION ALL SELECT uid, test_mid FROM tests WHERE uid IN (SELECT uid FROM negs)), ranked AS (SELECT c.uid, c.mid, row_number() OVER (PARTITION BY c.uid ORDER BY coalesce(CASE WHEN s.score > 0 THEN s.score END, 0) DESC, c.mid) AS rank FROM cand c LEFT JOIN cosine s ON s.uid = c.uid AND s.mid = c.mid), r AS (SELECT ranked.* FROM ranked JOIN tests t ON t.uid = ranked.uid AND t.test_mid = ranked.mid) SELECT count(*) AS n_users, {METRICS} FROM r")
 def e4_content_metrics(c: Catalog) -> DataFrame:
     return content_metrics(c)
 
@@ -225,16 +300,38 @@ def e4_coverage(c: Catalog) -> DataFrame:
     return E.coverage(R.top_per_user(R.item_cf(seeds(c), R.item_similarity(c.ratings)), 20, "raw", seen(c)), c.movie_keys)
 
 
+def graph_facts(c: Catalog, ratings: DataFrame) -> DataFrame:
+    """Triples of all relations of items, and of users' positive ratings."""
+    m = c.movie_keys.withColumn("bucket", X.year_bucket(F.col("year")))
+    relations = {
+        "DIRECTED": (c.directed, "pid", "person", "mid", "movie"),
+        "ACTED_IN": (c.acted.filter("ord <= 5"), "pid", "person", "mid", "movie"),
+        "HAS_GENRE": (c.genre_edges, "mid", "movie", "genre", "genre"),
+        "IN_REGION": (m, "mid", "movie", "region", "region"),
+        "IN_LANGUAGE": (m, "mid", "movie", "language", "language"),
+        "HAS_TYPE": (m, "mid", "movie", "content_type", "type"),
+        "IN_PERIOD": (m, "mid", "movie", "bucket", "period"),
+        "RATED_POSITIVE": (ratings.filter("h >= 7"), "uid", "user", "mid", "movie"),
+    }
+    return triples(relations, inverse=False)
+
+
 @query()
 def r14_transe(c: Catalog) -> DataFrame:
-    """Vectors of films, genres, directors and regions after a few rounds."""
-    from graphloom.operators.graph import triples
-    from graphloom.operators.transe import train
+    """Vectors of all entities and relations, trained until the validation tenth gets no better."""
+    vectors_, _ = train(graph_facts(c, c.ratings))
+    return vectors_.select("name", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
-    m = c.movie_keys
-    facts = triples({"DIRECTED": (c.directed, "pid", "person", "mid", "movie"), "HAS_GENRE": (c.genre_edges, "mid", "movie", "genre", "genre"), "IN_REGION": (m, "mid", "movie", "region", "region")}, inverse=False)
-    vectors, _ = train(facts, size=8, rounds=2)
-    return vectors.select("name", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+@query()
+def r18_trained_embed(c: Catalog) -> DataFrame:
+    """The embedding ranking on trained vectors, with the users' own relation to items."""
+    trained, _ = train(graph_facts(c, c.ratings))
+    trained = settled(trained, "trained")
+    v = R.whole_vectors(trained.filter(F.startswith("name", F.lit("movie_"))).select(F.substring("name", 7, 100).alias("mid"), "vec"))
+    rated = trained.filter("name = 'RATED_POSITIVE'").select(F.col("vec").alias("r"))
+    users = trained.filter(F.startswith("name", F.lit("user_"))).select(F.substring("name", 6, 100).cast("long").alias("uid"), F.zip_with("vec", rated.scalar(), lambda u, r: u + r).alias("vec"))
+    return kg_embed(c, 10, R.whole_vectors(users), v, R.ABLATIONS["kg_embed"]["full"])
 
 
 @query(f"WITH {TOKENS}, deg AS (SELECT entity, count(*) AS d FROM tokens WHERE rel = 'genre' GROUP BY 1) SELECT mid, entity FROM (SELECT t.mid, t.entity, row_number() OVER (PARTITION BY t.mid ORDER BY d > 25, d, t.entity) AS k FROM tokens t JOIN deg USING (entity) WHERE rel = 'genre') WHERE k <= 1")
@@ -242,9 +339,13 @@ def w7_rare_genres(c: Catalog) -> DataFrame:
     return R.rare_entities(tokens(c), "genre", 25, 1)
 
 
-@query(f"WITH {SEEDS}, {HOPS}, w AS (SELECT s.uid, h.mid, h.rel, h.seed, s.weight100 * h.hits * h.penalty6 AS worth FROM seeds s JOIN hops h ON h.seed = s.mid), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid, mid, rel ORDER BY worth DESC, seed) AS j FROM w) WHERE j = 1) SELECT uid, mid, rel, seed, CAST(worth AS BIGINT) AS worth, k FROM (SELECT *, row_number() OVER (PARTITION BY uid, mid ORDER BY worth DESC, rel) AS k FROM b) WHERE k <= 3")
+@query(f"WITH {SEEDS}, {SEEN}, {EVIDENCE}, {PATH_TOP}, w AS (SELECT s.uid, e.mid, e.rel, e.seed, s.weight100 * e.worth AS worth FROM seeds s JOIN evidence e ON e.seed = s.mid JOIN (SELECT uid, mid FROM pathtop WHERE rank <= 20) t ON t.uid = s.uid AND t.mid = e.mid WHERE e.worth > 0), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid, mid, rel ORDER BY worth DESC, seed) AS j FROM w) WHERE j = 1) SELECT uid, mid, rel, seed, CAST(worth AS BIGINT) AS worth, k FROM (SELECT *, row_number() OVER (PARTITION BY uid, mid ORDER BY worth DESC, rel) AS k FROM b) WHERE k <= 3")
 def a37_path_reasons(c: Catalog) -> DataFrame:
-    return R.path_reasons(seeds(c), R.one_hop(tokens(c)))
+    """The reasons of each user's 20 best candidates by paths."""
+    s, found = seeds(c), settled(evidence(c), "evidence")
+    top = R.path_top(R.path_scores(s, found), 20, seen(c)).select("uid", "mid")
+    own = s.select("uid", F.col("mid").alias("seed"), "weight100").join(found, "seed").join(top, ["uid", "mid"], "left_semi")
+    return R.path_reasons(own)
 
 
 CF_TOP = "ranked AS (SELECT uid, mid, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS rank FROM (SELECT uid, mid, floor(raw / max(raw) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score FROM (SELECT s.* FROM scores s WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid))) WHERE score > 0)"
@@ -262,8 +363,6 @@ def j22_enriched_recommendations(c: Catalog) -> DataFrame:
 
 @query(f"WITH {SEEDS}, {SEEN}, {SIM}, {CF_SCORES}, {CF_TOP}, eff AS (SELECT u.uid, count(DISTINCT s.mid) < 3 AS cold FROM users u LEFT JOIN seen s ON s.uid = u.uid GROUP BY 1), own AS (SELECT r.uid, r.mid, r.rank FROM ranked r JOIN eff e ON e.uid = r.uid WHERE NOT e.cold AND rank <= 5), pop AS (SELECT mid, row_number() OVER (ORDER BY v DESC, mid) AS rank FROM (SELECT mid, floor(((50000 * 7 + coalesce(votes, 0) * score) / (50000 + coalesce(votes, 0))) * 1e6 + 0.5) / 1e6 AS v FROM movies WHERE score IS NOT NULL) ORDER BY rank LIMIT 5) SELECT uid, mid, rank, 'personal' AS how FROM own UNION ALL SELECT e.uid, p.mid, p.rank, 'popular' FROM eff e JOIN pop p ON true WHERE e.uid NOT IN (SELECT uid FROM own)")
 def pf22_cold_routing(c: Catalog) -> DataFrame:
-    from pyspark.sql import Window
-
     v, s = F.coalesce("votes", F.lit(0)), F.col("score")
     best = c.movies.filter("score IS NOT NULL").select("mid", X.rounded((50000 * 7 + v * s) / (50000 + v), 6).alias("v")).orderBy(F.desc("v"), "mid").limit(5)
     popular = best.select("mid", F.row_number().over(Window.orderBy(F.desc("v"), "mid")).alias("rank"))  # five rows
@@ -284,12 +383,71 @@ def r13_shortlist_evidence(c: Catalog) -> DataFrame:
     return R.one_hop(tokens(c), allowed=c.movie_keys.filter("year > 2000").select("mid"))
 
 
+#: Users that test and that validate, and the draws of negatives.
+TEST_USERS, VALIDATION_USERS, SEED_DRAWS = 400, 100, (42, 52, 62, 72, 82)
+
+
+def drawn_users(t: DataFrame, n: int, part: str) -> DataFrame:
+    """The first ``n`` users of a part of the split, in hash order."""
+    own = t.join(E.split_users(t).filter(F.col("part") == part).select("uid"), "uid", "left_semi")
+    return own.orderBy(E.draw(F.lit(42), F.col("uid")), "uid").limit(n)
+
+
+def shortlist_scores(c: Catalog, t: DataFrame, sampled: DataFrame, configs: dict[str, dict]) -> dict[str, DataFrame]:
+    """Scores (uid, mid, score) of the shortlists by each algorithm named in ``configs`` with its settings."""
+    visible = settled(visible_ratings(c, t), "visible")
+    s, toks = settled(known_seeds(c, visible).join(t.select("uid"), "uid", "left_semi"), "seeds"), tokens(c)
+    pairs = settled(E.shortlists(t, sampled), "shortlists")
+    sims = R.item_similarity(visible).join(s.select(F.col("mid").alias("a")).distinct(), "a", "left_semi")
+    cf = R.item_cf(s, sims).join(pairs, ["uid", "mid"], "left_semi").select("uid", "mid", F.col("raw").cast("double").alias("score"))
+    audience = R.shared_audience(S.weight_index(visible, c.prefs), per_seed=1 << 30)
+    parts = settled(R.embedding_components(pairs, s, vectors(c)), "parts")
+    overlap = settled(R.overlap_scores(R.overlap_taste(s, toks), toks, pairs), "overlap")
+    embed = lambda w: R.fuse_embedding(pairs, parts, overlap, w)
+    scaled = lambda df: df.withColumn("score", X.rounded(F.col("score") / F.max("score").over(Window.partitionBy("uid"))))
+    make = {
+        "content": lambda k: R.content_scores(s, content_tokens(c), pairs),
+        "item_cf": lambda k: cf,
+        "kg_path": lambda k: R.shortlist_paths(s, toks, pairs, audience, weights=k.get("weights", R.PATH_WEIGHTS)).select("uid", "mid", F.col("raw").cast("double").alias("score")),
+        "kg_embed": lambda k: embed(k.get("weights", R.EMBED_WEIGHTS)),
+        "cfkg": lambda k: R.fuse_branches(scaled(embed(R.EMBED_WEIGHTS)), scaled(cf), **(R.FUSED | k.get("weights", {}))).select("uid", "mid", F.col("raw").alias("score")),
+    }
+    return {name: make[name.partition(":")[0]](config) for name, config in configs.items()}
+
+
+def suite_rows(c: Catalog, t: DataFrame, negatives: int, draws: tuple[int, ...], configs: dict[str, dict]) -> DataFrame:
+    """Metrics of every configuration and draw."""
+    t = settled(t, "tests")
+    sampled = {d: settled(E.negatives(t, c.movie_keys, c.ratings, negatives, d), "sampled") for d in draws}
+    scores = {(name, d): df for d in draws for name, df in shortlist_scores(c, t, sampled[d], configs).items()}
+    return E.suite(scores, t, sampled)
+
+
 @query()
 def e7_suite(c: Catalog) -> DataFrame:
-    """Two algorithms on two draws of negatives."""
-    t = tests(c)
-    hidden = t.select("uid", F.col("test_mid").alias("mid"))
-    visible = c.ratings.join(hidden, ["uid", "mid"], "left_anti")
-    known = S.capped_signals(S.positive_signals(visible, c.prefs), {"rating": 30, "like": 10, "want_to_watch": 0}).select("uid", "mid", "weight100")
-    cf = R.item_cf(known, R.item_similarity(visible)).select("uid", "mid", F.col("raw").cast("double").alias("score"))
-    return E.suite({"content": R.content_scores(known, content_tokens(c)), "item_cf": cf}, t, {s: E.negatives(t, c.movie_keys, c.ratings, 49, s) for s in (42, 52)})
+    """The five algorithms on the test users with five draws of negatives: mean and deviation of each metric."""
+    rows = suite_rows(c, drawn_users(tests(c), TEST_USERS, "test"), NEGATIVES, SEED_DRAWS, {name: {} for name in R.ALGORITHMS})
+    return E.summary(rows, ["algorithm"])
+
+
+@query()
+def e6_tuned(c: Catalog) -> DataFrame:
+    """The best path weights of the grid on the validation users, by NDCG and hit rate."""
+    configs = {f"kg_path:{json.dumps({k: w[k] for k in ('shared_audience', 'director', 'actor')})}": {"weights": w} for w in R.path_grid()}
+    rows = suite_rows(c, drawn_users(tests(c), VALIDATION_USERS, "validation"), NEGATIVES, SEED_DRAWS[:1], configs)
+    return E.best_config(rows.withColumnRenamed("algorithm", "config"))
+
+
+@query()
+def e7_ablation(c: Catalog) -> DataFrame:
+    """Each ablation of the graph algorithms on the validation users."""
+    configs = {f"{name}:{label}": {"weights": w} for name, forms in R.ABLATIONS.items() for label, w in forms.items()}
+    rows = suite_rows(c, drawn_users(tests(c), VALIDATION_USERS, "validation"), NEGATIVES, SEED_DRAWS[:1], configs)
+    return rows.select("algorithm", "n_users", "hr_10", "ndcg_10")
+
+
+@query(f"WITH {SEEDS}, {SEEN}, {TOKENS}, {CONTENT}, top AS (SELECT uid, mid FROM (SELECT uid, mid, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS k FROM cosine s WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid)) WHERE k <= 10), bag AS (SELECT mid, list(token) AS b FROM units GROUP BY 1) SELECT x.uid, floor(avg(1 - CAST(len(list_intersect(bx.b, by_.b)) AS DOUBLE) / len(list_distinct(list_concat(bx.b, by_.b)))) * 10000.0 + 0.5) / 10000.0 AS diversity FROM top x JOIN top y ON y.uid = x.uid AND x.mid < y.mid JOIN bag bx ON bx.mid = x.mid JOIN bag by_ ON by_.mid = y.mid GROUP BY 1")
+def e4_diversity(c: Catalog) -> DataFrame:
+    """One minus the mean Jaccard of the tokens of each user's ten items by content."""
+    top = R.content_top(seeds(c), content_tokens(c), 10, seen(c)).select("uid", "mid")
+    return E.diversity(top, content_tokens(c))

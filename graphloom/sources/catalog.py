@@ -32,12 +32,13 @@ class Catalog:
             (F.col("p_size") + 1970).alias("year"),
             F.replace("p_name", F.lit(" "), F.lit("/")).alias("genres"),
             F.col("p_brand").alias("region"),
+            F.concat(F.lit("l"), F.col("p_partkey") % 8).alias("language"),
         )
         return part.join(scored, "mid", "left")
 
     @cached_property
     def movie_keys(self) -> DataFrame:
-        return self.table("part").select(F.col("p_partkey").cast("string").alias("mid"), F.col("p_name").alias("name"), (F.col("p_size") + 1970).alias("year"), F.col("p_type").alias("content_type"), F.col("p_brand").alias("region"))
+        return self.table("part").select(F.col("p_partkey").cast("string").alias("mid"), F.col("p_name").alias("name"), (F.col("p_size") + 1970).alias("year"), F.col("p_type").alias("content_type"), F.col("p_brand").alias("region"), F.concat(F.lit("l"), F.col("p_partkey") % 8).alias("language"))
 
     @cached_property
     def genre_edges(self) -> DataFrame:
@@ -82,7 +83,7 @@ class Catalog:
 PRELUDE = """
 WITH movies AS (
   SELECT CAST(p_partkey AS VARCHAR) AS mid, p_name AS name, p_type AS content_type, p_size + 1970 AS year,
-         replace(p_name, ' ', '/') AS genres, p_brand AS region, votes, score
+         replace(p_name, ' ', '/') AS genres, p_brand AS region, 'l' || (p_partkey % 8) AS language, votes, score
   FROM part LEFT JOIN (SELECT l_partkey, count(*) AS votes, floor(sum(l_quantity) * 2 / count(*) + 0.5) / 10 AS score
                        FROM lineitem GROUP BY l_partkey) s ON s.l_partkey = p_partkey),
 genre_edges AS (SELECT DISTINCT mid, unnest(string_split(genres, '/')) AS genre FROM movies),

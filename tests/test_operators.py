@@ -47,19 +47,86 @@ def test_item_cf_masks_seen(spark):
     assert values(top, "mid", "score") == [("c1", 1.0)]
 
 
-def test_embedding_centre(spark):
-    vectors = recommend.unit_vectors(spark.createDataFrame([("m1", [1.0, 0.0]), ("m2", [1.0, 1.0]), ("m3", [0.0, 0.0])], "mid string, vec array<double>"))
-    seeds = spark.createDataFrame([(1, "m1", 100)], "uid long, mid string, weight100 long")
-    pairs = spark.createDataFrame([(1, "m1"), (1, "m2"), (1, "m3")], "uid long, mid string")
-    assert values(recommend.embedding_scores(pairs, recommend.centroids(seeds, vectors, 2), vectors), "mid", "centroid") == [("m1", 1.0), ("m2", 0.7071), ("m3", 0.0)]
+def test_embedding_components(spark):
+    """Centre, strongest seed and the user's own target, against numbers worked out by hand."""
+    vectors = recommend.whole_vectors(spark.createDataFrame([("m1", [1.0, 0.0]), ("m2", [1.0, 1.0]), ("m3", [0.0, 0.0]), ("m4", [0.0, 3.0]), ("m5", [-1.0, 0.0])], "mid string, vec array<double>"))
+    seeds = spark.createDataFrame([(1, "m1", 100), (1, "m4", 50)], "uid long, mid string, weight100 long")
+    pairs = spark.createDataFrame([(1, m) for m in ("m1", "m2", "m3", "m4", "m5", "none")] + [(2, "m1")], "uid long, mid string")
+    users = spark.createDataFrame([(1, [0, 10_000])], "uid long, vec array<int>")
+    got = {r.mid: (r.centroid6 / 1e6, r.most_seed6 / 1e6, r.relation6 / 1e6) for r in recommend.embedding_components(pairs, seeds, vectors, users).collect()}
+    half = 0.5**0.5
+    want = {"m1": (2 / 5**0.5, 100, 0), "m2": (3 * half / 5**0.5, 100 * half, half), "m3": (0, 0, 0), "m4": (1 / 5**0.5, 50, 1), "m5": (0, 0, 0)}
+    assert set(got) == set(want) and all(got[m] == pytest.approx(want[m], abs=1e-4 if m != "m2" else 1e-2) for m in want)
+    flat = recommend.fuse_embedding(pairs.filter("uid = 1"), recommend.embedding_components(pairs, seeds, vectors), spark.createDataFrame([(1, "m1", 7)], "uid long, mid string, overlap long"))
+    assert values(flat, "mid", "score")[0] == ("m1", pytest.approx(0.4 * (2 / 5**0.5) / (3 * half / 5**0.5) + 0.2 + 0.4, abs=1e-3))
 
 
 def test_fusion_formulas(spark):
     schema = "uid long, mid string, score double"
     kg_branch = spark.createDataFrame([(1, "m1", 1.0), (1, "m3", 0.9)], schema)
     cf = spark.createDataFrame([(1, "m1", 0.4), (1, "m2", 1.0)], schema)
-    got = values(recommend.fuse_branches(kg_branch, cf, 0.6, 0.4, 0.05), "mid", "score", "sources")
+    fused = recommend.fuse_branches(kg_branch, cf, 0.6, 0.4, 0.05)
+    got = values(fused, "mid", "raw", "sources")
     assert got == [("m1", pytest.approx(1 + 0.4 * 0.4 / 0.6 + 0.05, abs=1e-6), ["kg_embed", "item_cf"]), ("m2", 0.4, ["item_cf"]), ("m3", 0.9, ["kg_embed"])]
+    fallback = spark.createDataFrame([(1, "m9", 0.5, 1), (2, "m8", 0.5, 1), (2, "m9", 0.25, 2)], "uid long, mid string, score double, rank int")
+    assert values(recommend.fused_top(fused, 2, fallback), "uid", "mid", "score", "sources", "rank") == [(1, "m1", 1.0, ["kg_embed", "item_cf"], 1), (1, "m3", pytest.approx(0.9 / 1.316667, abs=1e-4), ["kg_embed"], 2), (2, "m8", 1.0, ["content"], 1), (2, "m9", 0.5, ["content"], 2)]
+
+
+def tokens_of(spark, rows):
+    return spark.createDataFrame([(m, rel, e) for m, rel, es in rows for e in es], "mid string, rel string, entity string")
+
+
+def test_paths_of_all_relations(spark):
+    """A candidate that only an audience or a bridge actor reaches is found; the strongest relation leads the reasons."""
+    tokens = tokens_of(spark, [("s", "director", ["d"]), ("x", "director", ["d"]), ("s", "genre", ["rare", "common"]), ("y", "genre", ["common"]), ("z", "genre", ["common"])])
+    hops = recommend.one_hop(tokens)
+    assert values(hops.filter("seed = 's'"), "rel", "mid") == [("director", "x")]  # only the rarest genre of a seed counts
+    acted = spark.createDataFrame([("s", "a", 1), ("b", "a", 1), ("b", "k", 2), ("t", "k", 1), ("b", "q", 3), ("t", "q", 2)], "mid string, pid string, ord int")
+    far = recommend.two_hop(acted)
+    assert values(far.filter("seed = 's'"), "mid", "hits") == [("t", 2)]
+    index = spark.createDataFrame([(1, "s", 100, 2), (1, "u", 100, 2), (2, "s", 70, 3), (2, "u", 70, 3), (2, "v", 100, 3)], "uid long, mid string, weight100 long, degree long")
+    audience = recommend.shared_audience(index)
+    found = recommend.path_evidence(hops, far, audience)
+    seeds = spark.createDataFrame([(9, "s", 100)], "uid long, mid string, weight100 long")
+    scores = {r.mid: r.raw for r in recommend.path_scores(seeds, found).collect()}
+    assert set(scores) == {"x", "t", "u", "v"} and scores["u"] > scores["x"] > scores["t"]
+    reasons = recommend.path_reasons(seeds.withColumnRenamed("mid", "seed").join(found, "seed"))
+    assert values(reasons.filter("mid = 'u'"), "rel", "k") == [("shared_audience", 1)]
+
+
+def test_one_entity_relations_keep_the_last_ids(spark):
+    """The lists of an entity give the same candidates as all pairs, with a shortlist held before the cut."""
+    tokens = tokens_of(spark, [(f"m{k:03}", "content_type", [f"t{k % 2}"]) for k in range(40)])
+    got = {}
+    for r in recommend.one_hop(tokens).collect():
+        got.setdefault(r.seed, set()).add(r.mid)
+    for k in range(40):
+        same = sorted((f"m{j:03}" for j in range(40) if j % 2 == k % 2 and j != k), reverse=True)
+        assert got[f"m{k:03}"] == set(same[:5])
+    allowed = spark.createDataFrame([("m000",), ("m002",)], "mid string")
+    assert values(recommend.one_hop(tokens, allowed=allowed).filter("seed = 'm038'"), "mid") == [("m000",), ("m002",)]
+
+
+def test_negatives_are_always_as_many(spark):
+    """Who rated much gets the rest by rank; who has fewer unrated items than asked for is left out."""
+    catalogue = spark.range(30).select(F.concat(F.lit("m"), "id").alias("mid"))
+    ratings = spark.createDataFrame([(1, f"m{k}") for k in range(22)] + [(2, "m3")] + [(3, f"m{k}") for k in range(25)], "uid long, mid string")
+    tests = spark.createDataFrame([(1, "m0"), (2, "m3"), (3, "m1")], "uid long, test_mid string")
+    got = {}
+    for r in evaluate.negatives(tests, catalogue, ratings, 8, 42, oversample=1).collect():
+        got.setdefault(r.uid, set()).add(r.mid)
+    assert got[1] == {f"m{k}" for k in range(22, 30)} and len(got[2]) == 8 and 3 not in got
+    ranked = evaluate.ranks(tests, evaluate.negatives(tests, catalogue, ratings, 8, 42), spark.createDataFrame([(1, "m0", 1.0)], "uid long, mid string, score double"))
+    assert values(ranked, "uid") == [(1,), (2,)] and ranked.filter("uid = 1").first().rank == 1
+
+
+def test_shortlist_paths_match_the_evidence(spark):
+    """On a shortlist of all items the scores are those of the full evidence without audience and bridges."""
+    tokens = tokens_of(spark, [(f"m{k}", rel, es) for k in range(12) for rel, es in (("director", [f"d{k % 3}"]), ("actor", [f"a{k % 4}", f"a{k % 5}"]), ("genre", [f"g{k % 2}"]))]).distinct()
+    seeds = spark.createDataFrame([(1, "m0", 100), (1, "m5", 70)], "uid long, mid string, weight100 long")
+    pairs = spark.range(12).select(F.lit(1).cast("long").alias("uid"), F.concat(F.lit("m"), "id").alias("mid"))
+    full = values(recommend.path_scores(seeds, recommend.path_evidence(recommend.one_hop(tokens))), "mid", "raw", "paths")
+    assert values(recommend.shortlist_paths(seeds, tokens, pairs), "mid", "raw", "paths") == full
 
 
 def test_metrics_of_perfect_ranking(spark):
@@ -107,12 +174,15 @@ def test_streams(spark, tmp_path):
     assert spark.table("windows").agg(F.sum("n")).first()[0] >= 12
 
 
-def test_transe_lowers_loss(spark):
-    from graphloom.operators.transe import train
+def test_transe_stops_and_tells_triples_apart(spark):
+    """The validation loss falls, training ends early, and most held-out triples are nearer than wrong ones."""
+    from graphloom.operators.transe import train, validation
 
-    facts = spark.createDataFrame([(f"m{i}", "r", f"g{i % 4}") for i in range(60)] + [(f"p{i % 6}", "d", f"m{i}") for i in range(60)], "h string, r string, t string")
-    vectors, losses = train(facts, size=8, rounds=3)
-    assert vectors.count() == 60 + 4 + 6 + 2 and losses[-1] < losses[0]
+    rows = [(f"m{k}", r, f"{r}{k % 6}") for k in range(120) for r in "gcl"]
+    triples = spark.createDataFrame(rows, "h string, r string, t string")
+    vectors, losses = train(triples, size=16, rounds=12, check_every=2, patience=2, rate=0.05)
+    assert len(losses) <= 6 and min(losses) < losses[0]
+    assert vectors.count() == 120 + 3 + 18 and validation(triples, vectors, 141)[1] > 0.75
 
 
 def test_pages_and_search(spark):
