@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.pages import feed_item
+
 #: Fixed thresholds of the cohort's classes and the caps for capped users.
 USABLE_COLLECT, USABLE_TOTAL = 20, 80
 LIGHT_WISH_MIN, LIGHT_COLLECT_MIN, LIGHT_COLLECT_MAX, LIGHT_WISH_MAX = 5, 20, 300, 200
@@ -57,13 +59,13 @@ def contacts(pages: DataFrame, owner: Column) -> DataFrame:
     return rows.filter((F.col("slug") != F.col("owner")) & ~F.startswith("slug", F.lit("deleted")))
 
 
-def merge_groups(groups: list[DataFrame], key: str) -> DataFrame:
+def merge_groups(groups: list[DataFrame], key: str | list[str]) -> DataFrame:
     """Union in which the first group that has a key wins."""
     out = None
     for i, g in enumerate(groups):
         one = g.withColumn("_g", F.lit(i))
         out = one if out is None else out.unionByName(one)
-    order = Window.partitionBy(key).orderBy("_g")
+    order = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy("_g")
     return out.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_g", "_k")
 
 
@@ -73,9 +75,29 @@ def harvest_complete(df: DataFrame) -> Column:
 
 
 def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """(slug, mid, action, title) of the items of landed RSS feeds (slug, xml)."""
-    item = F.explode(F.regexp_extract_all(F.col(xml), F.lit("(?s)<item>(.*?)</item>"), F.lit(1))).alias("item")
-    rows = feeds.select("slug", item)
-    title = F.regexp_extract("item", "<title>([^<]*)</title>", 1)
-    action = F.when(F.startswith(title, F.lit("seen")), "collect").when(F.startswith(title, F.lit("wish")), "wish").otherwise("do")
-    return rows.select("slug", F.regexp_extract("item", r"subject/(\d+)", 1).alias("mid"), action.alias("action"), title.alias("title")).filter("mid <> ''")
+    """(slug and the fields of pages.feed_item) of the items of landed RSS feeds (slug, xml) that have a title, a known action and a film."""
+    rows = feeds.select("slug", F.explode(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<item\b[^>]*>(.*?)</item>"), F.lit(1))).alias("item"))
+    fields = rows.select("slug", *(c.alias(k) for k, c in feed_item(F.col("item")).items()))
+    return fields.filter("title IS NOT NULL AND action IS NOT NULL AND mid IS NOT NULL")
+
+
+def capped_items(items: DataFrame, owner: str, order: list, most: int) -> DataFrame:
+    """The first ``most`` items of each owner, with the flag ``capped``: whether the owner has more."""
+    n = F.count("*").over(Window.partitionBy(owner))
+    k = F.row_number().over(Window.partitionBy(owner).orderBy(*order))
+    return items.withColumns({"_k": k, "capped": n > most}).filter(F.col("_k") <= most).drop("_k")
+
+
+def merged_harvest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The existing output and a new run's, the new row where both have a key."""
+    return merge_groups([new, old], keys)
+
+
+def growth_summary(seeds: DataFrame, discovered: DataFrame, screened: DataFrame, selected: DataFrame, imported: DataFrame) -> DataFrame:
+    """One row: how many users each step of a growth run had."""
+    steps = {"seeds": seeds, "discovered": discovered, "screened": screened, "selected": selected, "imported": imported}
+    out = None
+    for name, df in steps.items():
+        one = df.select(F.lit(name).alias("step"))
+        out = one if out is None else out.union(one)
+    return out.agg(*(F.count_if(F.col("step") == name).alias(name) for name in steps))

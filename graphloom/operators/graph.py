@@ -28,6 +28,11 @@ def valid_edges(edges: DataFrame, ends: dict[str, DataFrame]) -> DataFrame:
     return edges
 
 
+def lookup_edges(items: DataFrame, key: str, column: str, sep: str = "/") -> DataFrame:
+    """(key, name, rel) from items to the tokens of a delimited column, one per pair."""
+    return items.select(key, F.explode(X.split_tokens(F.col(column), sep)).alias("name")).distinct().withColumn("rel", F.lit(column))
+
+
 def credits_of(raw: DataFrame, key: str, column: str) -> DataFrame:
     """(pid, key, ord) from 'name:id|…': the largest position of repeated credits."""
     items = raw.select(key, F.explode(X.named_ids(F.col(column))).alias("c"))
@@ -84,21 +89,26 @@ def neighbourhood(edges: DataFrame, centre: str, node_limit: int, per_node: int)
 def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 6) -> DataFrame:
     """One row (hops, path) of a shortest undirected path of at most ``most`` edges; no row if there is none.
 
-    A frontier grows from the start a level at a time; each level keeps one parent
-    per node, the smallest path. The loop stops when the goal is in the frontier.
+    The undirected edges are written once. A frontier grows from the start a level at a
+    time; each new node keeps its smallest parent. The loop stops when the goal is in the
+    frontier; the path is read back over one row of each level.
     """
     spark = edges.sparkSession
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    front = spark.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("path"))
-    seen = front.select("node")
+    both = settled(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "undirected")
+    levels = [spark.range(1).select(F.lit(start).alias("node"), F.lit(None).cast("string").alias("parent"))]
+    seen = levels[0].select("node")
     for hops in range(most + 1):
-        hit = front.filter(F.col("node") == goal)
-        if hit.take(1):
-            return hit.select(F.lit(hops).alias("hops"), "path")
-        step = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        front = step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti")
-        front = settled(front, "frontier")
-        seen = seen.union(front.select("node"))
+        row = levels[-1].filter(F.col("node") == goal).first()
+        if row is not None:
+            path = [goal]
+            for level in reversed(levels[:-1]):
+                path.append(row["parent"])
+                row = level.filter(F.col("node") == row["parent"]).first()
+            return spark.createDataFrame([(hops, path[::-1])], "hops int, path array<string>")
+        if hops < most:
+            step = both.join(levels[-1].select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+            levels.append(settled(step.join(seen, "node", "left_anti"), "frontier"))
+            seen = seen.union(levels[-1].select("node"))
     return spark.createDataFrame([], "hops int, path array<string>")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as X
@@ -75,3 +75,28 @@ def summary(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
 def stacked(frames: list[DataFrame]) -> DataFrame:
     """Union of frames by column name."""
     return reduce(DataFrame.unionByName, frames)
+
+
+def blank(c: Column) -> Column:
+    """Whether a value is null or the empty string."""
+    return c.isNull() | (c == "")
+
+
+def incomplete_films(films: DataFrame, least_votes: int = 50) -> DataFrame:
+    """Rated films with enough votes whose cover or storyline is blank."""
+    return films.filter(F.col("score").isNotNull() & (F.col("votes") >= least_votes) & (blank(F.col("cover")) | blank(F.col("storyline"))))
+
+
+def incomplete_persons(persons: DataFrame) -> DataFrame:
+    """Persons of whom sex, birthplace, profession and biography are all blank."""
+    return persons.filter(blank(F.col("sex")) & blank(F.col("birthplace")) & blank(F.col("profession")) & blank(F.col("biography")))
+
+
+def progress(days: DataFrame, goal: Column) -> DataFrame:
+    """(day, done, added, rate, days_left) from (day, n): totals so far, the change since the last snapshot, items a day, and the days to reach ``goal`` at that rate (null: never)."""
+    w = Window.orderBy("day")  # one row per snapshot
+    total = days.withColumn("done", F.sum("n").over(w)).withColumn("last", F.lag("day").over(w))
+    added = F.col("done") - F.lag("done").over(w)
+    rows = total.withColumn("added", added).withColumn("rate", F.floor(F.col("added") / F.date_diff("day", "last") * 100.0 + 0.5) / 100.0)
+    left = F.when(F.col("rate") > 0, F.ceil(F.greatest(goal - F.col("done"), F.lit(0)) / F.col("rate")).cast("long"))
+    return rows.select("day", "done", "added", "rate", left.alias("days_left"))

@@ -39,6 +39,12 @@ def claim(tasks: DataFrame, n: int, key: str = "id") -> DataFrame:
     return tasks.filter("status = 0").orderBy(F.desc(key)).limit(n).withColumn("status", F.lit(1))
 
 
+def claim_one(tasks: DataFrame, wanted: Column, key: str = "id") -> DataFrame:
+    """All tasks, the wanted one claimed if it is still open; ``claimed`` marks it."""
+    hit = F.coalesce((F.col(key) == wanted) & (F.col("status") == 0), F.lit(False))
+    return tasks.withColumn("claimed", hit).withColumn("status", F.when(hit, 1).otherwise(F.col("status")))
+
+
 def release_stale(tasks: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
     """Claims older than some minutes are open again."""
     stale = (F.col("status") == 1) & (F.col("locked_at") < now - F.expr(f"INTERVAL {minutes} MINUTES"))

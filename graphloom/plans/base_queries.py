@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as X
 from graphloom.operators import profiling as P
+from graphloom.functions.pages import list_items, movie_fields, person_fields, profile_fields
+from graphloom.operators.cohort import capped_items
 from graphloom.plans.registry import query
 from graphloom.sources.catalog import Catalog
+from graphloom.sources.readers import digit_ids
 
 R1 = "floor({} * 10 + 0.5) / 10"
 R2 = "floor({} * 100 + 0.5) / 100"
@@ -215,12 +218,10 @@ def a24_status_pivot(c: Catalog) -> DataFrame:
     return c.table("lineitem").groupBy("l_returnflag").agg(n("O").alias("n_open"), n("F").alias("n_done"), F.count("*").alias("n"))
 
 
-@query(f"WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT day, sum(n) OVER (ORDER BY day) AS done FROM d) SELECT day, CAST(done AS BIGINT) AS done, CAST(done - lag(done) OVER (ORDER BY day) AS BIGINT) AS added FROM s", prelude=False)
+@query(f"WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT day, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS done FROM d), t AS (SELECT day, done, CAST(done - lag(done) OVER (ORDER BY day) AS BIGINT) AS added, lag(day) OVER (ORDER BY day) AS last FROM s), r AS (SELECT *, floor(CAST(added AS DOUBLE) / (day - last) * 100.0 + 0.5) / 100.0 AS rate FROM t) SELECT day, done, added, rate, CASE WHEN rate > 0 THEN CAST(ceil(greatest((SELECT count(*) FROM lineitem) - done, 0) / rate) AS BIGINT) END AS days_left FROM r", prelude=False)
 def a25_progress_deltas(c: Catalog) -> DataFrame:
     days = c.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("day")  # one row per day
-    total = days.withColumn("done", F.sum("n").over(w))
-    return total.select("day", "done", (F.col("done") - F.lag("done").over(w)).alias("added"))
+    return P.progress(days, c.table("lineitem").agg(F.count("*").alias("n")).scalar())
 
 
 @query("SELECT mid, name, floor(((50000 * 7 + coalesce(votes, 0) * score) / (50000 + coalesce(votes, 0))) * 1e6 + 0.5) / 1e6 AS rank_score FROM movies WHERE score IS NOT NULL ORDER BY rank_score DESC, mid LIMIT 50")
@@ -264,10 +265,25 @@ def pf21_genres(c: Catalog) -> DataFrame:
     return c.genre_edges.select("genre").distinct()
 
 
-@query("SELECT mid, votes FROM movies WHERE score IS NOT NULL AND votes >= 20 AND contains(name, 'old') ORDER BY votes DESC, mid LIMIT 100")
+LANDED = "landed AS (SELECT *, CASE WHEN contains(name, 'old') THEN '' ELSE 'c' || mid END AS cover, CASE WHEN year % 7 > 0 THEN name END AS storyline FROM movies)"
+
+
+def landed_films(c: Catalog) -> DataFrame:
+    """Films with covers and storylines, some of them blank."""
+    return c.movies.withColumns({"cover": F.when(F.contains("name", F.lit("old")), "").otherwise(F.concat(F.lit("c"), "mid")), "storyline": F.when(F.col("year") % 7 > 0, F.col("name"))})
+
+
+@query(f"WITH {LANDED} SELECT mid, votes FROM landed WHERE score IS NOT NULL AND votes >= 20 AND (cover = '' OR storyline IS NULL) ORDER BY votes DESC, mid LIMIT 100")
 def pf8_incomplete_items(c: Catalog) -> DataFrame:
-    blank = F.contains("name", F.lit("old"))
-    return c.movies.filter(F.col("score").isNotNull() & (F.col("votes") >= 20) & blank).orderBy(F.desc("votes"), "mid").limit(100).select("mid", "votes")
+    return P.incomplete_films(landed_films(c), 20).orderBy(F.desc("votes"), "mid").limit(100).select("mid", "votes")
+
+
+@query("SELECT pid FROM persons WHERE CAST(pid AS BIGINT) % 3 = 0 AND starts_with(profession, 'A') AND contains(birthplace, 'I')")
+def pf9_incomplete_persons(c: Catalog) -> DataFrame:
+    drop = lambda name, hit: F.when(~hit, F.col(name))
+    number = F.col("pid").cast("long") % 3 == 0
+    people = c.persons.withColumns({"sex": F.when(~number, "x"), "biography": F.when(number, "").otherwise(F.col("name")), "profession": drop("profession", F.startswith("profession", F.lit("A"))), "birthplace": drop("birthplace", F.contains("birthplace", F.lit("I")))})
+    return P.incomplete_persons(people).select("pid")
 
 
 @query("SELECT o_orderkey, CASE WHEN year(o_orderdate) > 1998 THEN false WHEN year(o_orderdate) = 1998 THEN strftime(o_orderdate, '%Y-%m-%d') <= '1998-06-30' ELSE true END AS released FROM orders", prelude=False)
@@ -293,17 +309,14 @@ def sc5_entities_by_item(c: Catalog) -> DataFrame:
     return c.genre_edges.groupBy("mid").agg(F.array_sort(F.collect_set("genre")).alias("genres"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 30", prelude=False)
+@query("SELECT user_id, event_id, n > 30 AS capped FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k <= 30", prelude=False)
 def sc7_capped_lists(c: Catalog) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return c.table("events").select("user_id", "event_id", k.alias("k")).filter("k <= 30").drop("k")
+    return capped_items(c.table("events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], 30).select("user_id", "event_id", "capped")
 
 
 @query("SELECT doc_id, t AS id FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '#[^\\n]*', '', 'g'), '[\\s,]+')) AS t FROM documents) WHERE regexp_matches(t, '^[0-9]+$')", prelude=False)
 def sc8_id_lists(c: Catalog) -> DataFrame:
-    plain = F.regexp_replace("text", r"#[^\n]*", "")
-    ids = c.table("documents").select("doc_id", F.explode(F.split(plain, r"[\s,]+")).alias("id"))
-    return ids.filter(F.col("id").rlike("^[0-9]+$"))
+    return c.table("documents").select("doc_id", F.explode(digit_ids(F.col("text"))).alias("id"))
 
 
 @query("SELECT tag, sort, n * 20 AS start FROM (SELECT DISTINCT genre AS tag FROM genre_edges), (SELECT unnest(['R', 'S', 'T']) AS sort), (SELECT unnest([0, 1, 2]) AS n)")
@@ -315,13 +328,13 @@ def sc12_work_list(c: Catalog) -> DataFrame:
 
 @query(
     "SELECT p_partkey, CASE WHEN year < 1990 THEN 'before_1990' WHEN year < 2000 THEN '1990s' WHEN year < 2010 THEN '2000s' WHEN year < 2020 THEN '2010s' ELSE '2020s' END AS bucket, "
-    "md5(name) AS h, CASE WHEN contains(name, 'old') THEN NULL ELSE replace(name, 'plate', 'rod') END AS cover, floor(1 / ln(2.0 + greatest(p_size, 1)) * 1e6 + 0.5) / 1e6 AS idf "
+    "md5(name) AS h, CASE WHEN NOT contains(name, 'old') THEN 'https://e.org/lpst/lpic/' || name END AS cover, floor(1 / ln(2.0 + greatest(p_size, 1)) * 1e6 + 0.5) / 1e6 AS idf "
     "FROM (SELECT p_partkey, p_name AS name, p_size, p_size + 1970 AS year FROM part)",
     prelude=False,
 )
 def x2_item_scalars(c: Catalog) -> DataFrame:
     part = c.table("part")
-    cover = F.when(~F.contains("p_name", F.lit("old")), F.replace("p_name", F.lit("plate"), F.lit("rod")))
+    cover = X.large_cover(F.concat(F.lit("https://e.org/spst/"), F.when(F.contains("p_name", F.lit("old")), "default/").otherwise("mpic/"), "p_name"))
     return part.select("p_partkey", X.year_bucket(F.col("p_size") + 1970).alias("bucket"), F.md5("p_name").alias("h"), cover.alias("cover"), X.rounded(X.idf(F.col("p_size")), 6).alias("idf"))
 
 
@@ -332,10 +345,52 @@ def x21_page_links(c: Catalog) -> DataFrame:
     return c.table("pages").select("page_id", host.alias("host"), links.alias("links"), F.md5(host).alias("code"))
 
 
-@query("SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title, CASE WHEN y BETWEEN 1900 AND 2100 THEN y END AS year FROM (SELECT *, CAST(nullif(regexp_extract(url, '([0-9]{4})', 1), '') AS INTEGER) AS y FROM pages)", prelude=False)
-def x19_page_fields(c: Catalog) -> DataFrame:
-    title = X.clean_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
-    return c.table("pages").select("page_id", title.alias("title"), X.match_year(F.col("url")).alias("year"))
+@query("SELECT mid, name AS title, year, CASE WHEN year % 5 = 0 THEN 'tv' ELSE 'movie' END AS content_type, genres, region AS regions, language AS languages, name || '/' || region AS alias, score, votes, 'P1/P2' AS actors, 'P1:' || mid || '|P2:' || year AS actor_ids, CAST(year AS INTEGER) % 90 + 60 AS mins, year || '-03-01' AS day, 'tt' || mid AS imdb_id, name || ' and' AS storyline FROM movies")
+def x19_film_pages(c: Catalog) -> DataFrame:
+    """The fields of a film's page, from pages that the films are written into."""
+    genres = F.array_join(F.transform(F.split("genres", "/"), lambda g: F.concat(F.lit('<span property="v:genre">'), g, F.lit("</span>"))), " / ")
+    bits = [
+        F.lit('<h1><span property="v:itemreviewed">'), F.col("name"), F.lit('</span> <span class="year">('), F.col("year"), F.lit(')</span></h1><div id="info">'), genres, F.lit("<br/>"),
+        F.lit('<a href="/celebrity/'), F.col("mid"), F.lit('/" rel="v:starring">P1</a> / <a href="/celebrity/'), F.col("year"), F.lit('/" rel="v:starring">P2</a><br/><span class="pl">制片国家/地区:</span> '), F.col("region"),
+        F.lit('<br/><span class="pl">语言:</span> '), F.col("language"), F.when(F.col("year") % 5 == 0, '<br/><span class="pl">集数:</span> 12').otherwise(""), F.lit('<br/><span class="pl">又名:</span> '), F.col("name"), F.lit(" // "), F.col("region"),
+        F.lit('<br/><span property="v:initialReleaseDate" content="'), F.col("year"), F.lit('-3">x</span><span property="v:runtime" content="'), F.col("year") % 90 + 60, F.lit('">y</span><br/><a href="https://www.e.org/title/tt'), F.col("mid"), F.lit('/">IMDb</a></div>'),
+        F.when(F.col("score").isNotNull(), F.concat(F.lit('<strong property="v:average">'), F.col("score").cast("string"), F.lit('</strong><span property="v:votes">'), F.col("votes"), F.lit("</span>"))).otherwise(""), F.lit('<span class="all hidden"> '), F.col("name"), F.lit("  and </span>"),
+    ]
+    made = c.movies.select("mid", F.concat(*bits).alias("html"))
+    fields = movie_fields(F.col("html"))
+    wanted = ("title", "year", "content_type", "genres", "regions", "languages", "score", "votes", "actors", "actor_ids", "mins", "imdb_id", "storyline")
+    return made.select("mid", *(fields[k].alias(k) for k in wanted), F.replace(fields["alias"], F.lit(" / "), F.lit("/")).alias("alias"), F.date_format(fields["release_date"], "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT pid, name, CASE WHEN CAST(pid AS BIGINT) % 2 = 0 THEN '男' ELSE '女' END AS sex, birthplace, profession, '19' || (10 + CAST(pid AS BIGINT) % 90) || '-01-01' AS born, 'A person of ' || birthplace AS biography FROM persons")
+def x20_person_pages(c: Catalog) -> DataFrame:
+    """The fields of a person's page, from pages that the persons are written into."""
+    n = F.col("pid").cast("long")
+    bits = [F.lit("<h1>"), F.col("name"), F.lit('</h1><div class="info"><li><span>性别</span>: '), F.when(n % 2 == 0, "男").otherwise("女"), F.lit("</li><li><span>出生日期</span>: 19"), n % 90 + 10, F.lit("年</li><li><span>出生地</span>: "), F.col("birthplace"), F.lit("</li><li><span>职业</span>： "), F.col("profession"), F.lit('</li></div><div id="intro"><div class="bd"><span class="all">A person of '), F.col("birthplace"), F.lit(" · · · (展开全部)</span></div></div>")]
+    made = c.persons.select("pid", F.concat(*bits).alias("html"))
+    fields = person_fields(F.col("html"))
+    return made.select("pid", *(fields[k].alias(k) for k in ("name", "sex", "birthplace", "profession", "biography")), F.date_format(fields["birth"], "yyyy-MM-dd").alias("born"))
+
+
+@query("SELECT uid, 'U' || uid AS display_name, 'hi' AS tagline, split_part(username, '_', 1) AS location, '2007-10-12' AS joined_at, CAST(uid AS VARCHAR) AS profile_id, CAST((SELECT count(*) FROM ratings r WHERE r.uid = users.uid) AS INTEGER) AS n_collect FROM users")
+def x24_profile_pages(c: Catalog) -> DataFrame:
+    """The fields of a user's profile page, from pages that the users are written into."""
+    n = c.ratings.groupBy("uid").agg(F.count("*").alias("n"))
+    users = c.users.join(n, "uid", "left").na.fill(0, ["n"])
+    slug = F.concat(F.lit("u"), "uid")
+    bits = [F.lit("<h1>U"), F.col("uid"), F.lit(" <span>hi</span></h1><h2>U的电影 · ( "), F.col("n"), F.lit("部看过 )</h2><div>常居: <a>"), F.split("username", "_")[0], F.lit("</a> "), F.col("uid"), F.lit(" ("), slug, F.lit(") 2007-10-12加入</div>")]
+    made = users.select("uid", slug.alias("slug"), F.concat(*bits).alias("html"))
+    fields = profile_fields(F.col("html"), F.col("slug"))
+    return made.select("uid", *(fields[k].alias(k) for k in ("display_name", "tagline", "location", "joined_at", "profile_id", "n_collect")))
+
+
+@query("SELECT uid, mid, CAST(h + 1 AS INTEGER) // 2 * 1.0 AS rating, CASE CAST(h + 1 AS INTEGER) // 2 WHEN 1 THEN '很差' WHEN 2 THEN '较差' WHEN 3 THEN '还行' WHEN 4 THEN '推荐' ELSE '力荐' END AS rating_label, strftime(rated_at, '%Y-%m-%d') AS day, 'c' || mid AS comment FROM ratings")
+def x25_list_pages(c: Catalog) -> DataFrame:
+    """The rows of users' list pages, from pages that the ratings are written into."""
+    stars = F.floor((F.col("h") + 1) / 2).cast("int")
+    bits = [F.lit('<li id="list'), F.col("mid"), F.lit('" class="item"><div class="item-show"><div class="title"><a href="https://e.org/subject/'), F.col("mid"), F.lit('/">T</a></div><div class="date"><span class="rating'), stars, F.lit('-t"></span>&nbsp; '), F.date_format("rated_at", "yyyy-MM-dd"), F.lit('</div></div><div data-cid="1" class="comment-item"><div class="comment"> c'), F.col("mid"), F.lit(" (3 有用)</div></div></li>")]
+    pages = c.ratings.select("uid", F.concat(*bits).alias("row")).groupBy("uid").agg(F.concat(F.lit('<ul class="list-view">'), F.array_join(F.collect_list("row"), ""), F.lit("</ul>")).alias("html"))
+    return pages.select("uid", F.explode(list_items(F.col("html"))).alias("i")).select("uid", "i.mid", "i.rating", "i.rating_label", "i.day", "i.comment")
 
 
 @query("SELECT url, CASE WHEN y <> '' THEN y || '-' || lpad(m, 2, '0') || '-01' WHEN z <> '' THEN z || '-01-01' END AS day FROM (SELECT url, regexp_extract(u, '([0-9]{4})-([0-9]{1,2})', 1) AS y, regexp_extract(u, '([0-9]{4})-([0-9]{1,2})', 2) AS m, regexp_extract(u, '([0-9]{4})', 1) AS z FROM (SELECT url, replace(url, '/', '-') AS u FROM pages))", prelude=False)
@@ -348,6 +403,12 @@ def j3_open_tasks(c: Catalog) -> DataFrame:
     return c.persons.select("pid").join(c.directed, "pid", "left_anti").distinct()
 
 
+@query("SELECT count(*) AS n_open, (SELECT count(*) FROM persons) AS n_all FROM persons p WHERE NOT EXISTS (SELECT 1 FROM directed d WHERE d.pid = p.pid)")
+def a44_open_task_count(c: Catalog) -> DataFrame:
+    open_ = c.persons.select("pid").join(c.directed, "pid", "left_anti").agg(F.count("*").alias("n_open"))
+    return open_.select("n_open", c.persons.agg(F.count("*").alias("n")).scalar().alias("n_all"))
+
+
 @query("SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)", prelude=False)
 def j5_not_in(c: Catalog) -> DataFrame:
     c.table("part").createOrReplaceTempView("_part")

@@ -98,6 +98,28 @@ def a43_person_items(c: Catalog) -> DataFrame:
     return merged.join(c.movie_keys.select("mid", "name", "year"), "mid")
 
 
+ROLES = "e AS (SELECT pid, mid, 'director' AS role FROM directed UNION ALL SELECT pid, mid, 'actor' FROM acted)"
+
+
+def person_roles(c: Catalog) -> DataFrame:
+    """(pid, mid, roles): the sorted roles of persons in films."""
+    roles = c.directed.select("pid", "mid", F.lit("director").alias("role")).union(c.acted.select("pid", "mid", F.lit("actor")))
+    return roles.groupBy("pid", "mid").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+
+
+@query(f"WITH {ROLES}, g AS (SELECT pid, mid, count(*) FILTER (role = 'director') AS d, count(*) FILTER (role = 'actor') AS a FROM e GROUP BY 1, 2) SELECT pid, count(*) AS n_items, count(*) FILTER (d > 0) AS n_director, count(*) FILTER (a > 0) AS n_actor, count(*) FILTER (d > 0 AND a > 0) AS n_both FROM g GROUP BY pid")
+def a43_role_counts(c: Catalog) -> DataFrame:
+    has = lambda r: F.array_contains("roles", r)
+    return person_roles(c).groupBy("pid").agg(F.count("*").alias("n_items"), F.count_if(has("director")).alias("n_director"), F.count_if(has("actor")).alias("n_actor"), F.count_if(has("director") & has("actor")).alias("n_both"))
+
+
+@query(f"WITH {ROLES} SELECT pid, mid, year, k FROM (SELECT e.pid, e.mid, m.year, row_number() OVER (PARTITION BY e.pid ORDER BY m.year DESC, e.mid) AS k FROM e JOIN movies m USING (mid) WHERE role = 'director') WHERE k <= 20")
+def a43_role_filter(c: Catalog) -> DataFrame:
+    """The 20 latest films that each person directed."""
+    own = person_roles(c).filter(F.array_contains("roles", "director")).join(c.movie_keys.select("mid", "year"), "mid")
+    return own.withColumn("k", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("year"), "mid"))).filter("k <= 20").select("pid", "mid", "year", "k")
+
+
 @query("SELECT b.pid, count(DISTINCT b.mid) AS n FROM acted a JOIN acted b ON a.mid = b.mid WHERE a.pid = '3' AND b.pid <> '3' GROUP BY 1 ORDER BY n DESC, pid LIMIT 20")
 def j10_collaborators(c: Catalog) -> DataFrame:
     return G.collaborators(c.acted, "3", 20)
@@ -141,12 +163,28 @@ def g2_person_graph(c: Catalog) -> DataFrame:
     return G.neighbourhood(edges(c), "person_5", 50, 10)
 
 
-@query()
+def path_sql(edges: str, start: str, goal: str, most: int = 6) -> str:
+    """SQL (from the view und of ``edges``) of a shortest path: a level per hop, the smallest parent of each new node."""
+    levels = [edges, f"l0 AS MATERIALIZED (SELECT '{start}' AS node, CAST(NULL AS VARCHAR) AS parent)"]
+    for k in range(1, most + 1):
+        known = " UNION ALL ".join(f"SELECT node FROM l{j}" for j in range(k))
+        levels.append(f"l{k} AS MATERIALIZED (SELECT dst AS node, min(src) AS parent FROM und JOIN l{k - 1} ON src = node WHERE dst NOT IN ({known}) GROUP BY dst)")
+    hits = []
+    for k in range(most + 1):
+        joins = " ".join(f"JOIN l{j} ON l{j}.node = l{j + 1}.parent" for j in range(k - 1, -1, -1))
+        hits.append(f"SELECT {k} AS hops, [{', '.join(f'l{j}.node' for j in range(k + 1))}] AS path FROM l{k} {joins} WHERE l{k}.node = '{goal}'")
+    return f"WITH {', '.join(levels)}, found AS ({' UNION ALL '.join(hits)})"
+
+
+PEOPLE_EDGES = EDGES.replace(" UNION ALL SELECT 'movie_' || mid, 'genre_' || genre, 'HAS_GENRE' FROM genre_edges", "")
+
+
+@query(path_sql(PEOPLE_EDGES, "movie_1", "movie_2") + " SELECT hops, path FROM found")
 def g3_shortest_path(c: Catalog) -> DataFrame:
     return G.shortest_path(edges(c).filter("label <> 'HAS_GENRE'"), "movie_1", "movie_2")
 
 
-@query()
+@query(path_sql(EDGES, "person_1", "genre_red") + " SELECT CAST(p - 1 AS INTEGER) AS pos, path[p] AS src, path[p + 1] AS dst FROM (SELECT path, unnest(generate_series(1, len(path) - 1)) AS p FROM found WHERE len(list_filter(path, lambda n: split_part(n, '_', 1) NOT IN ('movie', 'person', 'genre'))) = 0)")
 def g5_path_edges(c: Catalog) -> DataFrame:
     path = G.shortest_path(edges(c), "person_1", "genre_red")
     return G.path_parts(G.public_path(path, ["movie", "person", "genre"])).select("pos", "src", "dst")
@@ -223,18 +261,37 @@ def a29_genre_profile(c: Catalog) -> DataFrame:
     return S.taste(S.positive_signals(c.ratings, c.prefs), c.genre_edges.withColumnRenamed("genre", "entity"), c.ratings, 10)
 
 
-@query(TASTE.format(s=SIGNALS, e="t.pid", t="directed"))
-def a30_director_profile(c: Catalog) -> DataFrame:
-    return S.taste(S.positive_signals(c.ratings, c.prefs), c.directed.withColumnRenamed("pid", "entity"), c.ratings, 10)
+PEOPLE_TASTE = "SELECT 'director' AS role, * FROM ({d}) UNION ALL SELECT 'actor', * FROM ({a})"
+
+
+@query(PEOPLE_TASTE.format(d=TASTE.format(s=SIGNALS, e="t.pid", t="directed").replace("WITH ", "WITH ", 1), a=TASTE.format(s=SIGNALS, e="t.pid", t="acted")), prelude=True)
+def a30_people_profile(c: Catalog) -> DataFrame:
+    """Each user's ten directors and ten actors of most liked items."""
+    likes = S.positive_signals(c.ratings, c.prefs)
+    one = lambda role, df: S.taste(likes, df.select("mid", F.col("pid").alias("entity")), c.ratings, 10).select(F.lit(role).alias("role"), "*")
+    return one("director", c.directed).union(one("actor", c.acted))
+
 
+TAGS = f"""WITH {SIGNALS}, l AS (SELECT DISTINCT uid, mid FROM signals),
+g AS (SELECT uid, 'genre' AS kind, genre AS tag, count(*) * 3 AS weight, 0 AS k FROM l JOIN genre_edges USING (mid) GROUP BY 1, 2, 3
+  UNION ALL SELECT uid, 'director', pid, count(*) * 2, row_number() OVER (PARTITION BY uid ORDER BY count(*) DESC, pid) FROM l JOIN directed USING (mid) GROUP BY 1, 2, 3
+  UNION ALL SELECT uid, 'actor', pid, count(*), row_number() OVER (PARTITION BY uid ORDER BY count(*) DESC, pid) + 1000 FROM l JOIN acted USING (mid) GROUP BY 1, 2, 3)
+SELECT uid, kind, tag, weight, row_number() OVER (PARTITION BY uid ORDER BY weight DESC, kind, tag) AS place FROM g WHERE k <= 15 OR k BETWEEN 1001 AND 1020"""
 
-@query(f"WITH {SIGNALS}, l AS (SELECT DISTINCT uid, mid FROM signals), g AS (SELECT uid, genre AS tag, count(*) * 3 AS weight FROM l JOIN genre_edges USING (mid) GROUP BY 1, 2 UNION ALL SELECT uid, pid, weight FROM (SELECT uid, pid, count(*) * 2 AS weight, row_number() OVER (PARTITION BY uid ORDER BY count(*) DESC, pid) AS k FROM l JOIN directed USING (mid) GROUP BY 1, 2) WHERE k <= 15) SELECT * FROM g")
+
+@query(TAGS)
 def a31_tag_cloud(c: Catalog) -> DataFrame:
+    """Genres three times, the first 15 directors twice and the first 20 actors once, the heaviest first."""
     likes = S.positive_signals(c.ratings, c.prefs).select("uid", "mid").distinct()
-    genres = likes.join(c.genre_edges, "mid").groupBy("uid", F.col("genre").alias("tag")).agg((F.count("*") * 3).alias("weight"))
-    people = likes.join(c.directed, "mid").groupBy("uid", "pid").agg(F.count("*").alias("n"))
-    people = people.withColumn("k", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("n"), "pid"))).filter("k <= 15")
-    return genres.union(people.select("uid", F.col("pid").alias("tag"), (F.col("n") * 2).alias("weight")))
+
+    def tags(df: DataFrame, kind: str, times: int, most: int | None) -> DataFrame:
+        n = likes.join(df, "mid").groupBy("uid", F.lit(kind).alias("kind"), "tag").agg(F.count("*").alias("n"))
+        if most:
+            n = n.withColumn("k", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("n"), "tag"))).filter(F.col("k") <= most)
+        return n.select("uid", "kind", "tag", (F.col("n") * times).alias("weight"))
+
+    rows = stacked([tags(c.genre_edges.withColumnRenamed("genre", "tag"), "genre", 3, None), tags(c.directed.withColumnRenamed("pid", "tag"), "director", 2, 15), tags(c.acted.select("mid", F.col("pid").alias("tag")), "actor", 1, 20)])
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("weight"), "kind", "tag")))
 
 
 @query(
@@ -256,10 +313,13 @@ def a26_eligible_users(c: Catalog) -> DataFrame:
     return eligible(c.ratings)
 
 
-@query("SELECT count(*) AS n_users, count(*) FILTER (is_mock) AS n_mock, (SELECT count(*) FROM ratings WHERE uid % 50 = 0) AS mock_ratings, (SELECT count(*) FROM prefs WHERE uid % 50 = 0) AS mock_prefs FROM users")
+MOCK = "(SELECT count(*) FROM {t} WHERE uid % 50 = 0) AS mock_{t}"
+
+
+@query(f"SELECT count(*) AS n_users, count(*) FILTER (is_mock) AS n_mock, count(*) FILTER (NOT is_mock) AS n_real, {MOCK.format(t='ratings')}, {MOCK.format(t='prefs')}, (SELECT count(*) FROM ratings) AS n_ratings, (SELECT count(*) FROM prefs) AS n_prefs FROM users")
 def a27_cohort_summary(c: Catalog) -> DataFrame:
-    mock = c.users.filter("is_mock").select("uid")
-    rows = lambda df, k: df.join(mock, "uid", "left_semi").select(F.lit(k).alias("k"))
-    kinds = c.users.select(F.when(F.col("is_mock"), "mock").otherwise("real").alias("k")).union(rows(c.ratings, "r")).union(rows(c.prefs, "p"))
-    n = lambda *ks: F.count_if(F.col("k").isin(*ks))
-    return kinds.agg(n("mock", "real").alias("n_users"), n("mock").alias("n_mock"), n("r").alias("mock_ratings"), n("p").alias("mock_prefs"))
+    mock = c.users.select("uid", "is_mock")
+    rows = lambda df, k: df.join(mock, "uid", "left").select(F.lit(k).alias("k"), F.coalesce("is_mock", F.lit(False)).alias("mock"))
+    kinds = c.users.select(F.lit("u").alias("k"), F.col("is_mock").alias("mock")).union(rows(c.ratings, "r")).union(rows(c.prefs, "p"))
+    n = lambda k, only=None: F.count_if((F.col("k") == k) & (F.lit(True) if only is None else F.col("mock") == only))
+    return kinds.agg(n("u").alias("n_users"), n("u", True).alias("n_mock"), n("u", False).alias("n_real"), n("r", True).alias("mock_ratings"), n("p", True).alias("mock_prefs"), n("r").alias("n_ratings"), n("p").alias("n_prefs"))

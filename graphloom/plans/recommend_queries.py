@@ -451,3 +451,19 @@ def e4_diversity(c: Catalog) -> DataFrame:
     """One minus the mean Jaccard of the tokens of each user's ten items by content."""
     top = R.content_top(seeds(c), content_tokens(c), 10, seen(c)).select("uid", "mid")
     return E.diversity(top, content_tokens(c))
+
+
+ONLINE_HOPS = HOPS.replace("'director' THEN 30 WHEN 'actor' THEN 50 WHEN 'genre' THEN 50 WHEN 'region' THEN 15 WHEN 'language' THEN 15 WHEN 'content_type' THEN 5 ELSE 10 END", "'director' THEN 12 WHEN 'actor' THEN 16 WHEN 'genre' THEN 12 ELSE 0 END")
+ONLINE_AUDIENCE = AUDIENCE.replace("k <= 200", "k <= 60").replace("k <= 120", "k <= 40")
+ONLINE_EVIDENCE = f"""{ONLINE_HOPS}, {ONLINE_AUDIENCE}, evidence AS (
+  SELECT seed, rel, mid, hits, CAST(floor((CASE WHEN rel = 'genre' THEN least(hits * 100, 300) / 3 ELSE hits * 100 END) * CASE rel WHEN 'director' THEN 20 ELSE 10 END * penalty6 / 10000) AS BIGINT) AS worth FROM hops
+  UNION ALL SELECT seed, 'shared_audience', mid, hits, CAST(floor(strength * 80 / 1000000) AS BIGINT) FROM audience)"""
+
+
+@query(f"WITH {SEEDS.replace('THEN 30', 'THEN 8').replace('THEN 10', 'THEN 4')}, {SEEN}, {ONLINE_EVIDENCE}, {PATH_TOP} SELECT uid, mid, score, rank FROM pathtop WHERE rank <= 10")
+def r29_online_paths(c: Catalog) -> DataFrame:
+    """The path ranking with the smaller settings of single requests."""
+    s = S.capped_signals(S.positive_signals(c.ratings, c.prefs), R.ONLINE_SIGNALS["kg_path"]).select("uid", "mid", "weight100")
+    audience = R.shared_audience(S.weight_index(c.ratings, c.prefs), R.ONLINE_BRIDGES, R.ONLINE_PATH_LIMITS["shared_audience"])
+    found = R.path_evidence(R.one_hop(tokens(c), R.ONLINE_PATH_LIMITS), None, audience, R.ONLINE_PATH_WEIGHTS)
+    return R.path_top(R.path_scores(s, found), 10, seen(c))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars as X
 from graphloom.operators import cohort as K
 from graphloom.operators import upserts as U
+from graphloom.operators.profiling import incomplete_films
+from graphloom.plans.base_queries import LANDED, landed_films
 from graphloom.plans.registry import query
 from graphloom.sources.catalog import Catalog
 
@@ -78,10 +80,31 @@ def sk21_reset_locks(c: Catalog) -> DataFrame:
     return tasks(c).select("id", F.when(F.col("status") == 1, 0).otherwise(F.col("status")).alias("status"))
 
 
-@query("SELECT mid, name FROM movies WHERE NOT (score IS NOT NULL AND votes >= 20 AND contains(name, 'old'))")
+@query(f"WITH {LANDED} SELECT mid, name FROM landed WHERE NOT coalesce(score IS NOT NULL AND votes >= 20 AND (cover = '' OR storyline IS NULL), false)")
 def sk20_drop_incomplete(c: Catalog) -> DataFrame:
-    bad = c.movies.filter(F.col("score").isNotNull() & (F.col("votes") >= 20) & F.contains("name", F.lit("old"))).select("mid")
-    return U.delete(c.movie_keys, bad).select("mid", "name")
+    films = landed_films(c)
+    return U.delete(films, incomplete_films(films, 20).select("mid")).select("mid", "name")
+
+
+@query(f"WITH {TASKS}, c AS (SELECT max(id) AS id FROM tasks WHERE status = 0 AND id % 7 = 3) SELECT t.id, CASE WHEN t.id = c.id THEN 1 ELSE t.status END AS status, t.id = c.id AS claimed FROM tasks t, c")
+def sk16_conditional_claim(c: Catalog) -> DataFrame:
+    """One task claimed on condition that it is still open."""
+    t = tasks(c)
+    wanted = t.filter("status = 0 AND id % 7 = 3").agg(F.max("id").alias("id")).scalar()
+    return U.claim_one(t, wanted).select("id", "status", "claimed")
+
+
+@query("SELECT DISTINCT mid, genre AS name, 'genres' AS rel FROM genre_edges")
+def sk6_lookup_edges(c: Catalog) -> DataFrame:
+    from graphloom.operators.graph import lookup_edges
+
+    return lookup_edges(c.movies.select("mid", "genres"), "mid", "genres")
+
+
+@query("SELECT count(*) AS seeds, (SELECT count(DISTINCT uid) FROM ratings) AS discovered, (SELECT count(*) FROM (SELECT uid FROM ratings GROUP BY uid HAVING count(*) >= 20)) AS screened, (SELECT count(*) FROM (SELECT uid FROM ratings GROUP BY uid HAVING count(*) >= 40)) AS selected, (SELECT count(DISTINCT uid) FROM prefs WHERE pref_type = 'like') AS imported FROM users WHERE is_mock")
+def sk28_growth_summary(c: Catalog) -> DataFrame:
+    n = c.ratings.groupBy("uid").agg(F.count("*").alias("n"))
+    return K.growth_summary(c.users.filter("is_mock"), n, n.filter("n >= 20"), n.filter("n >= 40"), c.prefs.filter("pref_type = 'like'").select("uid").distinct())
 
 
 @query("SELECT r.uid, count(*) AS n FROM ratings r WHERE r.uid NOT IN (SELECT uid FROM users WHERE starts_with(username, 'building_')) GROUP BY 1")
@@ -138,7 +161,7 @@ def x27_import_preview(c: Catalog) -> DataFrame:
     return K.import_rows(listed(c))
 
 
-@query(f"WITH {LISTED}, {ROWS} SELECT * FROM rows_ r WHERE mid IN (SELECT mid FROM movies WHERE year > 1980) AND NOT (kind = 'want_to_watch' AND EXISTS (SELECT 1 FROM rows_ q WHERE q.slug = r.slug AND q.mid = r.mid AND q.kind = 'rating'))")
+@query(f"WITH {LISTED}, {ROWS}, known AS MATERIALIZED (SELECT r.* FROM rows_ r JOIN (SELECT mid FROM movies WHERE year > 1980) m USING (mid)), rated AS MATERIALIZED (SELECT slug, mid FROM known WHERE kind = 'rating') SELECT k.* FROM known k LEFT JOIN rated q ON q.slug = k.slug AND q.mid = k.mid AND k.kind = 'want_to_watch' WHERE q.mid IS NULL")
 def pf12_known_items(c: Catalog) -> DataFrame:
     return K.known_only(K.import_rows(listed(c)), c.movie_keys.filter("year > 1980"))
 
@@ -149,12 +172,15 @@ def j21_feed_enrichment(c: Catalog) -> DataFrame:
     return K.enrich(listed(c).withColumn("happened", F.lit("day")), feed)
 
 
-@query("WITH f AS (SELECT 'u' || uid AS slug, mid, pref_type FROM prefs) SELECT slug, mid, CASE WHEN pref_type = 'like' THEN 'collect' ELSE 'wish' END AS action, CASE WHEN pref_type = 'like' THEN 'seen ' || mid ELSE 'wish ' || mid END AS title FROM f")
+@query("SELECT 'u' || uid AS slug, mid, CASE WHEN pref_type = 'like' THEN 'collect' ELSE 'wish' END AS action, CASE WHEN pref_type = 'like' THEN '看过' ELSE '想看' END || mid AS title, CASE WHEN pref_type = 'like' THEN 5.0 END AS rating, CASE WHEN pref_type = 'like' THEN 'c' || mid END AS comment, strftime(created_at + INTERVAL 8 HOURS, '%Y-%m-%d %H:%M:%S') AS happened FROM prefs")
 def sc9_feed_items(c: Catalog) -> DataFrame:
-    kind = F.when(F.col("pref_type") == "like", "seen").otherwise("wish")
-    item = F.format_string("<item><title>%s %s</title><link>https://example.org/subject/%s/</link></item>", kind, F.col("mid"), F.col("mid"))
+    """The items of users' feeds, from feeds that the preferences are written into."""
+    like = F.col("pref_type") == "like"
+    about = F.when(like, F.concat(F.lit("<p>推荐: 力荐</p><p>备注: c"), "mid", F.lit("</p>"))).otherwise("")
+    item = F.concat(F.lit("<item><title>"), F.when(like, "看过").otherwise("想看"), "mid", F.lit("</title><link>https://e.org/subject/"), "mid", F.lit("/</link><description><![CDATA["), about, F.lit("]]></description><pubDate>"), F.date_format("created_at", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate><guid>g</guid></item>"))
     feeds = c.prefs.select(F.concat(F.lit("u"), "uid").alias("slug"), item.alias("i")).groupBy("slug").agg(F.array_join(F.collect_list("i"), "\n").alias("body"))
-    return K.feed_items(feeds.select("slug", F.concat(F.lit("<rss><channel>"), "body", F.lit("</channel></rss>")).alias("xml")))
+    found = K.feed_items(feeds.select("slug", F.concat(F.lit("<rss><channel>"), "body", F.lit("</channel></rss>")).alias("xml")))
+    return found.select("slug", "mid", "action", "title", "rating", "comment", "happened")
 
 
 @query("SELECT page_id AS owner, unnest(list_distinct(regexp_extract_all(html, 'href=\"/([^\"/]+)\"', 1))) AS slug FROM pages", prelude=False)
@@ -177,12 +203,13 @@ def u9_merge_groups(c: Catalog) -> DataFrame:
     return K.merge_groups([one("A", F.min), one("R", F.max)], "k")
 
 
-@query("SELECT user_id, max(event_id) AS last_event, max(ts) AS ts FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY user_id", prelude=False)
+@query("WITH f AS (SELECT user_id, event_type AS item, max(ts) AS ts FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1, 2) SELECT user_id, item, ts, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item) AS k FROM f) WHERE k <= 120", prelude=False)
 def w15_recent_history(c: Catalog) -> DataFrame:
+    """Each user's recent items, the newest entry of each, the latest 120."""
     events = c.table("events")
-    last = events.agg(F.max("ts").alias("now"))
-    fresh = events.filter(F.col("ts") > last.scalar() - F.expr("INTERVAL 2 DAYS"))
-    return fresh.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.max("ts").alias("ts"))
+    fresh = events.filter(F.col("ts") > events.agg(F.max("ts").alias("now")).scalar() - F.expr("INTERVAL 2 DAYS"))
+    newest = fresh.groupBy("user_id", F.col("event_type").alias("item")).agg(F.max("ts").alias("ts"))
+    return newest.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "item"))).filter("k <= 120")
 
 
 @query("SELECT conv_id, string_agg(role, '>' ORDER BY p) AS roles FROM (SELECT conv_id, role, min(turn) AS p FROM conversations GROUP BY 1, 2) GROUP BY conv_id", prelude=False)

@@ -31,10 +31,14 @@ def user_specs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("s.*").filter("profile_url IS NOT NULL")
 
 
+def digit_ids(text: Column) -> Column:
+    """Array of the all-digit ids of a text, split on white space and commas; # begins a comment up to the line's end."""
+    return F.filter(F.split(F.regexp_replace(text, r"#[^\n]*", ""), r"[\s,]+"), lambda t: t.rlike("^[0-9]+$"))
+
+
 def id_list(spark: SparkSession, path: str) -> DataFrame:
-    """All-digit ids of text files, split on white space and commas; # begins a comment."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "#.*", "").alias("v"))
-    return lines.select(F.explode(F.split("v", r"[\s,]+")).alias("id")).filter(F.col("id").rlike("^[0-9]+$")).distinct()
+    """The distinct ids of text files."""
+    return spark.read.text(path).select(F.explode(digit_ids(F.col("value"))).alias("id")).distinct()
 
 
 def best_report(reports: DataFrame) -> DataFrame:

@@ -192,8 +192,8 @@ def test_pages_and_search(spark):
     html = '<h1><span>A &amp; B</span></h1> <span class="year">(1999)</span><span property="v:genre">x</span><span property="v:genre">y</span><strong property="v:average">7.5</strong><a href="https://e.org/celebrity/12/" rel="v:directedBy">Jo</a>'
     row = spark.createDataFrame([(html,)], "html string").select(*(c.alias(k) for k, c in movie_fields(F.col("html")).items())).first()
     assert (row["title"], row["year"], row["genres"], row["score"], row["director_ids"], row["votes"]) == ("A & B", 1999, "x/y", 7.5, "Jo:12", None)
-    person = spark.createDataFrame([("<h1>Jo</h1><li>Sex: F</li><li>Born: 1970-1-2</li>",)], "html string").select(*(c.alias(k) for k, c in person_fields(F.col("html")).items())).first()
-    assert (person["name"], person["sex"], person["birth"]) == ("Jo", "F", "1970-01-02")
+    person = spark.createDataFrame([("<h1>Jo</h1><ul><li><span>性别</span>: 女</li><li>出生日期：1970-1-2</li><li>更多外文名: X</li><li>外文名: Joan</li><li>职业:</li></ul>",)], "html string").select(*(c.alias(k) for k, c in person_fields(F.col("html")).items())).first()
+    assert (person["name"], person["sex"], str(person["birth"]), person["name_en"], person["profession"], person["death"]) == ("Jo", "女", "1970-01-02", "Joan", None, None)
     assert tokens("黑客帝国 the x") == ["黑客", "客帝", "帝国", "the"]
     names = spark.createDataFrame([("red ring",), ("ring",)], "name string")
     assert search(names, ["name"], "ring red").count() == 1 and search(names, ["name"], "RING").count() == 2
@@ -217,14 +217,26 @@ def test_files(spark, tmp_path):
 
 
 def test_profile_and_list_pages(spark):
-    from graphloom.functions.pages import list_items, profile_fields
-
-    html = '<h1>Ann</h1><div>Lives in: Oslo <p>2020-01-02 joined</p> 7 seen 3 wished</div>'
-    row = spark.createDataFrame([(html,)], "html string").select(*(c.alias(k) for k, c in profile_fields(F.col("html"), F.lit("ann")).items())).first()
-    assert tuple(row) == ("Ann", "Oslo", "2020-01-02", None, 3, 7)
-    page = '<ul><li class="item"><a href="https://e.org/subject/5/">T &amp; U</a><span class="rating4-t"></span>2021-05-06</li><li class="item">no link</li></ul>'
-    items = spark.createDataFrame([(page,)], "html string").select(list_items(F.col("html")).alias("i")).first()["i"]
-    assert [tuple(i) for i in items] == [("5", "T & U", 4, "2021-05-06")]
+    from graphloom.functions.pages import list_items, list_totals, profile_fields
+    from graphloom.operators.cohort import feed_items
+
+    one = lambda html, fields: spark.createDataFrame([(html,)], "html string").select(*(c.alias(k) for k, c in fields.items())).first()
+    profile = '<body><h1>ann <span>come in</span></h1><h2>ann的电影 · · ( 49部想看 · 1459部看过 )</h2><div>常居: <a>北京</a> 1912712 (a.nn) 2007-10-12加入 IP属地：上海</div></body>'
+    row = one(profile, profile_fields(F.col("html"), F.lit("a.nn")))
+    assert row.asDict() == {"display_name": "ann", "tagline": "come in", "location": "北京", "joined_at": "2007-10-12", "ip_location": "上海", "profile_id": "1912712", "n_doing": None, "n_wish": 49, "n_collect": 1459}
+    assert one("<p>nothing</p>", profile_fields(F.col("html"), F.lit("x"))).display_name == "x"
+    page = """<span class="subject-num">1-30&nbsp;/&nbsp;1459</span><ul class="list-view">
+      <li id="list12" class="item"><div class="item-show"><div class="title"><a href="https://e.org/subject/12/">One / Two</a></div><div class="date"><span class="rating4-t"></span>&nbsp; 2026-03-08</div></div>
+        <div data-cid="99" class="hide comment-item"><span class="intro">1953 / x</span></div></li>
+      <li id="list13" class="item"><div class="item-show"><div class="title"><a href="https://e.org/subject/13/">Three</a></div><div class="date">2026-03-07</div></div><div class="comment-item"><div class="comment"> good  work (3 有用)</div></div></li></ul>
+      <span class="thispage" data-total-page="49">1</span>"""
+    items = one(page, {"i": list_items(F.col("html"))})["i"]
+    assert [(i.mid, i.title, i.rating, i.rating_label, i.day, i.comment, i.intro, i.source_cid) for i in items] == [("12", "One / Two", 4.0, "推荐", "2026-03-08", None, "1953 / x", "99"), ("13", "Three", None, None, "2026-03-07", "good work", None, None)]
+    assert one(page, list_totals(F.col("html"))).asDict() == {"total_pages": 49, "total_items": 1459} and one("", list_totals(F.col("html"))).asDict() == {"total_pages": 1, "total_items": None}
+    feed = """<rss><channel><item><title>看过One</title><link>https://e.org/subject/12/</link><description><![CDATA[<p>推荐: 力荐</p><p>备注: fine</p>]]></description><pubDate>Fri, 06 Mar 2026 16:15:48 GMT</pubDate><guid>g1</guid></item>
+      <item><title>想看Two</title><link>https://e.org/subject/13/</link><description></description><pubDate>Thu, 12 Feb 2026 12:00:00 GMT</pubDate></item><item><title>听过Three</title><link>https://e.org/subject/14/</link></item></channel></rss>"""
+    rows = feed_items(spark.createDataFrame([("ann", feed)], "slug string, xml string")).orderBy("mid").collect()
+    assert [(r.mid, r.action, r.rating, r.rating_label, r.comment, r.happened, r.guid) for r in rows] == [("12", "collect", 5.0, "力荐", "fine", "2026-03-07 00:15:48", "g1"), ("13", "wish", None, None, None, "2026-02-12 20:00:00", None)]
 
 
 def test_cohort_parts(spark):
