@@ -8,14 +8,23 @@ is lost. The common shingles after the prefix that ends first are at most the re
 its set, which gives the least number of shingles that both prefixes must share for
 the similarity. The sample only changes how many pairs are tested.
 
+A set also has a sketch: SKETCH bits, each the parity of the number of its shingles
+that fall on it. Two sketches differ in at most as many bits as there are shingles in
+one set only, so that pairs whose sketches differ in too many bits are no links; no
+pair is lost by this either.
+
 Links are tested on the whole sets, and only accepted ones join groups: first those
-of near neighbours in an order of each bucket of a shingle (once for each of
-REACHES), which joins most of a large group of near copies; then all pairs of a
-bucket that are not in one group yet. The groups are the connected components of all
-pairs at or above the similarity.
+whose fingerprints of the sets meet by ball hashing (simhash.py) and those of near
+neighbours in an order of each bucket of a shingle, which together join most of
+a large group of near copies; then all pairs of a bucket that are not in one group yet
+and may be similar by their sizes and sketches. The groups are the connected
+components of all pairs at or above the similarity. A bucket of more than BLOCK nodes
+is cut into blocks by a hash, and each pair of blocks meets in a bucket of its own, so
+that a task holds two blocks at most.
 
 Equal sets are one node, named by a 64-bit hash of the set. Texts shorter than a
-shingle are one shingle; texts without words are one node.
+shingle are one shingle; texts without words are one node; an empty table gives an
+empty one. Ids are integers (or cast to them); repeated rows keep their rows.
 """
 
 from __future__ import annotations
@@ -29,17 +38,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.simhash import components
+from graphloom.llm.simhash import components, links, majority
 from graphloom.llm.store import cut
 from graphloom.llm.text import raw, rolling, slices, spans, word_hashes
 
 #: One text of so many is sampled for common shingles; those of at least LEAST sampled texts count, at most COMMON of them.
 SAMPLE, LEAST, COMMON = 16, 8, 1 << 17
-#: The distance of neighbours in each round before that of all pairs.
-REACHES = (4, 32)
+#: The distance of neighbours in the first round.
+REACH = 4
 #: Neighbours are tested that share at least one in so many of the needed shingles within reach.
 LIKELY = 4
-FLUSH = 1 << 20
+#: Bits of a sketch, in words of 64.
+SKETCH = 512
+WORDS = SKETCH // 64
+#: Nodes of a block of a large bucket; buckets of up to SMALL nodes are compared side by side.
+BLOCK, SMALL = 4096, 16
+FLUSH = 1 << 18
 
 
 def shingle_sets(batch: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -64,6 +78,12 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parities of a set's shingles by SKETCH of their bits."""
+    odd = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
     """The commonest shingles of a sample of ``texts`` (text, row), the rarest first."""
 
@@ -78,7 +98,7 @@ def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def with_prefix(texts: DataFrame, shingle: int, least: Fraction, common: np.ndarray) -> DataFrame:
-    """(doc_id, row, node, size, prefix) of every row of ``texts`` (doc_id, row, text)."""
+    """(doc_id, row, node, size, fp, sketch, prefix) of every row of ``texts`` (doc_id, row, text)."""
     order = np.argsort(common)
     known = common[order]
 
@@ -96,16 +116,29 @@ def with_prefix(texts: DataFrame, shingle: int, least: Fraction, common: np.ndar
             sets = shingle_sets(batch.column(2), shingle)
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             size = np.array([len(s) for s in sets], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(size), _lists([prefix(s) for s in sets])], ["doc_id", "row", "node", "size", "prefix"])
+            fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(node), pa.array(size), pa.array(fp), pa.array([sketch(s) for s in sets], pa.binary()), _lists([prefix(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "size", "fp", "sketch", "prefix"])
 
-    return texts.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, node long, size int, prefix array<long>")
+    return texts.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, node long, size int, fp long, sketch binary, prefix array<long>")
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of batches sorted by the first of them, cut between its values."""
+def ball_pairs(nodes: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b), a < b: pairs of ``nodes`` (node, size, fp) that may be similar enough and whose fingerprints are equal or linked, one of each fingerprint with all others of it."""
+    first = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first")), "first-nodes")
+    same = nodes.join(first, "fp").select(F.struct("node", "size").alias("x"), F.col("first").alias("y"))
+    one, two = (first.select(F.col("fp").alias(c), F.col("first").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    near = links(first.select("fp")).join(one, "a").join(two, "b").select("x", "y")
+    low, high = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    pairs = same.union(near).filter((F.col("x.node") != F.col("y.node")) & (low * least.denominator >= high * least.numerator))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Columns of batches sorted by the first of them, cut between its values: arrays, and sketches as rows of WORDS words."""
     held = None
     for batch in batches:
-        new = [c.to_numpy() for c in batch.columns]
+        new = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, WORDS) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
         at = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if at:
@@ -116,53 +149,77 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarra
 
 
 def shared(nodes: DataFrame) -> DataFrame:
-    """(key, node, size): the prefix shingles of ``nodes`` (node, size, prefix) that several nodes have."""
+    """(key, blocks, block, node, size, sketch): the prefix shingles of ``nodes`` (node, size, sketch, prefix) that several nodes have, and their blocks."""
     rows = nodes.select(F.explode("prefix").alias("key"), "node", "size")
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    found = rows.join(many, "key").select("key", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "size")
+    return cut(found, "shared-shingles").join(nodes.select("node", "sketch"), "node").select("key", "blocks", "block", "node", "size", "sketch")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_buckets(batches):
-            same = columns[0][1:] == columns[0][:-1]
-            keep = np.append(same, False) | np.append(False, same)
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["key", "node", "size"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, size int")
-
-
-def candidates(buckets: DataFrame, least: Fraction, reach: int | None = None, order: int = 0) -> DataFrame:
-    """(a, b), a < b: pairs of nodes of a bucket (key, node, size, root) with different roots that may be similar enough; only those within ``reach`` in a bucket's ``order``, if given."""
+def _pairs(least: Fraction, reach: int | None):
+    """The function that turns sorted bucket rows into pairs (a, b, needed, n) that may be similar enough."""
     up, down = least.numerator, least.denominator
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pairs: list[np.ndarray]) -> pa.RecordBatch:
-            each, n = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *pairs]), axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(each[:, k])) for k in range(3)), pa.array(n.astype(np.int64))], ["a", "b", "needed", "n"])
+    def likely(i: np.ndarray, j: np.ndarray, size: np.ndarray, root: np.ndarray, bits: np.ndarray, block: np.ndarray, cross: np.ndarray) -> np.ndarray:
+        near = (root[i] != root[j]) & (np.minimum(size[i], size[j]) * down >= np.maximum(size[i], size[j]) * up) & (~cross[i] | (block[i] != block[j]))
+        i, j, at = i[near], j[near], np.flatnonzero(near)
+        both = size[i] + size[j]
+        most = both + 2 * (-up * both // (up + down))
+        return at[np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= most]
+
+    def out(node: np.ndarray, size: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        overlap = -(-up * (size[i] + size[j]) // (up + down))
+        needed = overlap + 1 - -(-up * np.maximum(size[i], size[j]) // down)
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        order = np.lexsort((b, a))
+        a, b, needed = a[order], b[order], needed[order]
+        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else order
+        return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(needed[at]), pa.array(np.diff(np.append(at, len(a))).astype(np.int64))], ["a", "b", "needed", "n"])
 
-        for key, node, size, root in _whole_buckets(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, size, bits, root, block, cross in _whole_buckets(batches):
             size = size.astype(np.int64)
-            i, lag, pairs, held = np.arange(len(key)), 1, [], 0
-            while True:
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            count = np.diff(np.append(start, len(key)))
+            wide = np.repeat(count, count) > SMALL if reach is None else np.zeros(len(key), bool)
+            found, held, i = [], 0, np.flatnonzero(~wide)
+            for lag in range(1, (SMALL if reach is None else reach + 1)):
                 i = i[i + lag < len(key)]
                 i = i[key[i] == key[i + lag]]
                 if not len(i):
                     break
-                j = i + lag
-                near = (root[i] != root[j]) & (np.minimum(size[i], size[j]) * down >= np.maximum(size[i], size[j]) * up)
-                i_, j_ = i[near], j[near]
-                a, b = node[i_], node[j_]
-                overlap = -(-up * (size[i_] + size[j_]) // (up + down))
-                needed = overlap + 1 - -(-up * np.maximum(size[i_], size[j_]) // down)
-                pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b), needed], 1))
-                held += len(a)
-                if lag == reach:
-                    break
-                if held > FLUSH:
-                    yield out(pairs)
-                    pairs, held = [], 0
-                lag += 1
-            yield out(pairs)
-
-    rows = buckets.select("key", "node", "size", "root").repartition("key").sortWithinPartitions("key", F.xxhash64("node", F.lit(order)), "node")
-    counts = rows.mapInArrow(run, "a long, b long, needed long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("needed").alias("needed"))
+                k = likely(i, i + lag, size, root, bits, block, cross)
+                found.append((i[k], i[k] + lag))
+            held = sum(len(x) for x, _ in found)
+            for g in np.flatnonzero(count > SMALL) if reach is None else ():
+                rows = np.arange(start[g], start[g] + count[g])
+                names, which, sizes = np.unique(root[rows], return_inverse=True, return_counts=True)
+                rows = rows[np.argsort(sizes[which], kind="stable")]  # those of the largest group last, as they need no test with each other
+                for place in range(len(rows) - sizes.max()):
+                    i = np.full(len(rows) - place - 1, rows[place])
+                    k = likely(i, rows[place + 1 :], size, root, bits, block, cross)
+                    found.append((i[k], rows[place + 1 :][k]))
+                    held += len(k)
+                    if held > FLUSH:
+                        yield out(node, size, found)
+                        found, held = [], 0
+            yield out(node, size, found)
+
+    return run
+
+
+def candidates(buckets: DataFrame, least: Fraction, reach: int | None = None) -> DataFrame:
+    """(a, b), a < b: pairs of nodes of a bucket (key, blocks, block, node, size, sketch, root) with different roots that may be similar enough; only those within ``reach`` in an order of each block, if given."""
+    if reach is None:
+        mixed = buckets.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
+        rows = buckets.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "node", "size", "sketch", "root", "block", (F.col("other") != F.col("block")).alias("cross"))
+    else:
+        rows = buckets.select(F.xxhash64("key", "block").alias("bucket"), "node", "size", "sketch", "root", "block", F.lit(False).alias("cross"))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("node", F.lit(1)), "node")
+    counts = rows.mapInArrow(_pairs(least, reach), "a long, b long, needed long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("needed").alias("needed"))
     share = 1 if reach is None else LIKELY
     return counts.filter(F.col("n") * share >= F.col("needed")).select("a", "b")
 
@@ -191,17 +248,14 @@ def groups(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(doc_id, row, node, root) of every row of ``texts`` (doc_id, row, text): rows of one root are linked; ``row`` is equal for equal texts only."""
     least = Fraction(str(similarity))
     prints = cut(with_prefix(texts, shingle, least, common_shingles(texts, shingle)), "prefixes")
-    buckets = cut(shared(prints.select("node", "size", "prefix").dropDuplicates(["node"])), "shared")
-    named = cut(prints.groupBy("node").agg(F.min("row").alias("row")), "named")
-    roots = None
-    for order, reach in enumerate((*REACHES, None)):
-        labelled = buckets.withColumn("root", F.col("node"))
-        if roots is not None:
-            labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = accepted(candidates(labelled, least, reach, order), texts, named, shingle, least)
-        if roots is not None:
-            found = found.union(roots.filter("node != root").select("root", "node"))
-        roots = components(found)
+    nodes = cut(prints.select("node", "size", "sketch", "prefix").dropDuplicates(["node"]), "sets")
+    buckets = cut(shared(nodes), "buckets")
+    named = cut(prints.groupBy("node").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.min("fp").alias("fp")), "named")
+    first = candidates(buckets.withColumn("root", F.col("node")), least, REACH).union(ball_pairs(named, least)).distinct()
+    roots = components(accepted(first, texts, named, shingle, least))
+    labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = accepted(candidates(labelled, least), texts, named, shingle, least)
+    roots = components(rest.union(roots.filter("node != root").select("root", "node")))
     return prints.select("doc_id", "row", "node").join(roots, "node", "left").select("doc_id", "row", "node", F.coalesce("root", "node").alias("root"))
 
 

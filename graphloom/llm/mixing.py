@@ -39,7 +39,7 @@ PERIOD = 1000
 BLOCK = 4
 MAX_SOURCES = 5000
 #: Rows that a window of one bucket should hold at most, on average.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 256
 ADDED = ("mix_source", "block_no", "release", "deadline", "slot")
 
 

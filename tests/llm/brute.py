@@ -92,3 +92,100 @@ def pages(rows: dict) -> dict:
     for i, b in data.items():
         first[b] = min(i, first.get(b, i))
     return {i: (len(b), sha(b), *(("revisit", first[b]) if len(b) >= 100 and first[b] != i else ("response", None))) for i, b in data.items()}
+
+
+def entropy(window: str) -> float:
+    counts = collections.Counter(window)
+    return -sum(c / len(window) * math.log2(c / len(window)) for c in counts.values())
+
+
+def harmless(part: str) -> bool:
+    """Whether a part between slashes is empty, a repetition, a number, a placeholder or like words."""
+    if not part or any(len(part) % n == 0 and part.lower() == part[:n].lower() * (len(part) // n) and len(part) > n for n in (1, 2, 3, 4)):
+        return True
+    if all(c in "0123456789_=+-" for c in part) or any(w in part.lower() for w in ("example", "placeholder", "changeme", "dummy")):
+        return True
+    letters = [c for c in part if c.isalpha()]
+    if not letters or any(not c.isalpha() and c not in "_=+-" for c in part):
+        return False
+    vowels, upper = sum(c.lower() in "aeiouy" for c in letters) / len(letters), sum(c.isupper() for c in letters) / len(letters)
+    return 0.22 <= vowels <= 0.65 and (upper <= 0.3 or upper == 1)
+
+
+def entropy_spans(text: str | None) -> list[tuple[int, int]]:
+    """The added spans, each window's entropy counted anew."""
+    out = []
+    for m in re.finditer("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text or ""):
+        s = m[0]
+        if re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s):
+            continue
+        runs = set()
+        for known, least in (("0123456789abcdef", 3.0), ("0123456789ABCDEF", 3.0), (None, 3.75)):
+            open_ = None
+            for i in range(len(s) - 19):
+                w = s[i : i + 20]
+                if (known is None or all(c in known for c in w)) and entropy(w) >= least - 1e-12:
+                    if open_ and i <= open_[1]:
+                        open_ = (open_[0], i + 20)
+                    else:
+                        runs |= {open_} if open_ else set()
+                        open_ = (i, i + 20)
+            runs |= {open_} if open_ else set()
+        end = -1
+        for a, b in sorted(runs):
+            parts = s[a:b].split("/")
+            while parts and harmless(parts[0]):
+                a += len(parts.pop(0)) + 1
+            while parts and harmless(parts[-1]):
+                b -= len(parts.pop()) + 1
+            if parts and b > end and b - a >= 20:
+                out.append((m.start() + a, m.start() + b))
+                end = b
+    return out
+
+
+def all_spans(text: str | None) -> str:
+    text = text or ""
+    a = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    b = [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    c = [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    d = [(s, 3, e) for s, e in entropy_spans(text)]
+    return ",".join(f"{('assign', 'access', 'hex', 'entropy')[k]}:{s}:{e}" for s, k, e in sorted(a + b + c + d))
+
+
+def png_bytes(blob: bytes) -> bytes:
+    """The samples of an 8-bit RGB image, byte by byte."""
+    assert blob[:8] == b"\x89PNG\r\n\x1a\n"
+    at, data, width, height = 8, b"", 0, 0
+    while at < len(blob):
+        size, kind = int.from_bytes(blob[at : at + 4], "big"), blob[at + 4 : at + 8]
+        body = blob[at + 8 : at + 8 + size]
+        assert zlib.crc32(kind + body) == int.from_bytes(blob[at + 8 + size : at + 12 + size], "big")
+        if kind == b"IHDR":
+            width, height = int.from_bytes(body[:4], "big") * 3, int.from_bytes(body[4:8], "big")
+        elif kind == b"IDAT":
+            data += body
+        at += 12 + size
+    lines, rows = zlib.decompress(data), []
+    for y in range(height):
+        line = lines[y * (width + 1) : (y + 1) * (width + 1)]
+        row = bytearray(line[1:])
+        for x in range(width):
+            a, b = (row[x - 3] if x >= 3 else 0), (rows[-1][x] if rows else 0)
+            row[x] = (row[x] + (0, a, b)[line[0]]) % 256
+        rows.append(bytes(row))
+    return b"".join(rows)
+
+
+def picture_hash(data: bytes) -> str:
+    """The perceptual hash of 64-pixel rows: areas and cosines summed one by one."""
+    height = len(data) // 192
+    luma = [[(299 * data[y * 192 + 3 * x] + 587 * data[y * 192 + 3 * x + 1] + 114 * data[y * 192 + 3 * x + 2]) / 1000 for x in range(64)] for y in range(height)]
+    down = [[sum(max(0.0, min((i + 1) * height / 32, y + 1) - max(i * height / 32, y)) * luma[y][x] for y in range(math.floor(i * height / 32), math.ceil((i + 1) * height / 32))) * 32 / height for x in range(64)] for i in range(32)]
+    small = [[(row[2 * x] + row[2 * x + 1]) / 2 for x in range(32)] for row in down]
+    wave = [[math.cos(math.pi * u * (2 * x + 1) / 64) for x in range(32)] for u in range(8)]
+    half = [[sum(small[y][x] * wave[v][x] for x in range(32)) for v in range(8)] for y in range(32)]
+    low = [round(sum(half[y][v] * wave[u][y] for y in range(32)), 6) for u in range(8) for v in range(8)]
+    rest = sorted(low[1:])
+    bits = "".join("1" if x > rest[31] else "0" for x in low)
+    return f"{int(bits, 2):016x}"

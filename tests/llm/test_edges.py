@@ -1,6 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; the operators' own parts."""
 
+import glob
+import gzip
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -57,6 +60,10 @@ def test_secret_edges(docs, listed):
     rng = random.Random(1)
     key = "".join(rng.sample("ABCDEFGHJKMNPQRSTabcdefghijklmn23456789+/", 40))
     assert ("entropy", 4, 44) in secrets.scan(f"key {key} end")
+    url = "https://x.org/example/of/pages/"
+    assert any(k == "entropy" and b == len(url) + 40 for k, a, b in secrets.scan(f"see {url}{key}")) or "/" in key
+    letters = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(40))
+    assert secrets.scan(letters) == [("entropy", 0, 40)] and not secrets.scan("https://www.some-site.org/path/to/the/page/of/articles/2024/index.html getElementByIdAndParseTheDocument")
     assert not secrets.scan("see 123e4567-e89b-12d3-a456-426614174000 and " + "pqrs" * 12)
     assert secrets.scan("TOKEN='passwd: abcdefgh1") == []  # the short match uses up the second key word
     spans = secrets.scan('api_key = "AKIA' + "Z" * 16 + '"')
@@ -100,23 +107,43 @@ def test_simhash_edges(docs, listed):
     assert len(empty) == 4 and {r.component_id for r in empty} == {0}
 
 
-def test_links_lose_none(spark):
+def near_prints():
+    """Groups of fingerprints around centres, some of which share a half."""
     rng = random.Random(5)
-    base = [rng.getrandbits(64) for _ in range(40)]
-    near = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 3))) for b in base for _ in range(30)]
-    prints = sorted({*base, *near})
-    want = B.components({simhash._signed(p): p for p in prints})
+    base = [rng.getrandbits(64) for _ in range(40)] + [0x1234ABCD << 32 | rng.getrandbits(32) for _ in range(200)] + [rng.getrandbits(32) << 32 | 0x77 for _ in range(200)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 3))) for b in base[:60] for _ in range(30)]
+    return sorted({*base, *near})
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 330])
+def test_links_lose_none(spark, hot):
+    """All links are found, whether or not the variants of common halves are split."""
+    prints = near_prints()
     nodes = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
-    got = {r.node: r.root for r in simhash.components(simhash.links(nodes, simhash.HALVES, 3)).collect()}
+    assert (simhash.hot_variants(nodes, hot).count() > 0) == (hot == 330)
+    want = B.components({simhash._signed(p): p for p in prints})
+    got = {r.node: r.root for r in simhash.components(simhash.links(nodes, hot)).collect()}
     groups = {}
     for p, root in want.items():
         groups.setdefault(root, set()).add(p)
     for g in groups.values():
-        if len(g) > 1:
-            assert {got[p] for p in g} == {min(g)}
+        assert {got.get(p, p) for p in g} == {min(g)}
 
 
-def test_wide_radius_finds_near_copies(spark):
+def test_components_of_chains_and_stars(spark):
+    """The smallest node of each component, however it hangs together, with loops and repeated edges."""
+    rng = random.Random(8)
+    chain = list(range(1000, 1400))
+    star = [(5, k) for k in range(6, 300)] + [(2999, k) for k in range(3000, 3200)]
+    shuffled = rng.sample(range(5000, 5300), 300)
+    edges = [*zip(chain, chain[1:]), *star, *zip(shuffled, shuffled[1:]), (7, 7), (5, 6), (6, 5), (9000, 9000)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {k: 1000 for k in chain} | {k: 5 for k in range(5, 300)} | {k: 2999 for k in range(2999, 3200)} | {k: 5000 for k in shuffled}
+    assert got == want
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similarity_finds_near_copies(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(5000)]
     originals = [[rng.choice(words) for _ in range(300)] for _ in range(60)]
@@ -125,7 +152,7 @@ def test_wide_radius_finds_near_copies(spark):
         edited = [rng.choice(words) if rng.random() < 0.01 else x for x in w]
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, masks=simhash.PARTS, radius=14, similarity=0.8).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, similarity=0.8).collect()}
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(60)) >= 54
     assert all(got[2 * i] == 2 * i for i in range(60))
 
@@ -168,8 +195,21 @@ def test_mixing_edges(docs, listed, spark):
             assert abs(placed[s] - (t + 1) * w / 10) < 1
 
 
+def test_mixing_of_repeated_and_missing_ids(spark):
+    """Ids that many rows share, rows that repeat and columns of maps: every row is numbered once, in the order of the id's hash."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 50).alias("x"), F.create_map(F.lit("k"), F.col("id") % 40).alias("m"), F.lit(1).alias("row"))
+    rows = mixing.mix(df, "doc_id", "source", block=1).collect()
+    assert sorted(r.block_no for r in rows) == list(range(1, 3001))
+    rows.sort(key=lambda r: r.block_no)
+    digests = [hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest() for r in rows]
+    assert digests == sorted(digests)
+    many = spark.range(mixing.MAX_SOURCES + 1).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"))
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(many, "doc_id", "source")
+
+
 def test_count_weights(docs, spark):
-    got = {r.mix_source: r.weight for r in mixing.count_weights(docs, "source").collect()}
+    got = {r.mix_source: r.weight for r in mixing.count_weights(mixing.source_counts(docs, "source")).collect()}
     assert sum(got.values()) == mixing.PERIOD and min(got.values()) >= 1
 
 
@@ -203,6 +243,48 @@ def test_warc_edges(spark):
     assert warc.records(warc.read_chunks(warc.write_archives(pages.limit(0), "page_id", "url", "html"))).count() == 0
 
 
+def test_archives_are_valid_warc(spark):
+    """A plain reader of the format: mandatory fields, unique ids, lengths, digests, profiles."""
+    rows = [(1, "http://a.org/x y", "<p>" + "é" * 200), (2, "http://a.org/\r\nz", "<p>" + "é" * 200), (2, None, "short"), (2, None, "short"), (None, None, None)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html", "2024-05-06T07:08:09Z")
+    folder = manifest.first().path.rpartition("/")[0].replace("file:", "")
+    ids, kinds = [], []
+    for path in glob.glob(f"{folder}/*.warc.gz"):
+        with gzip.open(path) as f:
+            while first := f.readline():
+                assert first == b"WARC/1.1\r\n"
+                head = {}
+                while (line := f.readline()) != b"\r\n":
+                    name, _, value = line.decode("ascii").rstrip("\r\n").partition(": ")
+                    head[name] = value
+                block = f.read(int(head["Content-Length"]))
+                assert f.read(4) == b"\r\n\r\n" and head["WARC-Date"] == "2024-05-06T07:08:09Z" and head["Content-Type"] == "application/http; msgtype=response"
+                assert " " not in head["WARC-Target-URI"]
+                if head["WARC-Type"] == "response":
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(payload)}".encode() in http
+                    assert head["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
+                else:
+                    assert head["WARC-Profile"] == "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" and not block and head["X-Refers-To-Key"] == "1"
+                ids.append(head["WARC-Record-ID"])
+                kinds.append(head["WARC-Type"])
+    assert len(ids) == len(set(ids)) == 5 and kinds.count("revisit") == 1
+
+
+def test_a_damaged_payload_is_an_error(tmp_path):
+    body = b"x" * 300
+    head = warc._head(1, None, hashlib.sha256(body).hexdigest(), "http://a.org", 300, "2024-05-06T07:08:09Z")
+    for text, good in ((body, True), (b"y" + body[1:], False)):
+        path = f"{tmp_path}/{good}.warc.gz"
+        with gzip.open(path, "wb") as f:
+            f.write(head + text + b"\r\n\r\n")
+        if good:
+            assert [r[8] for r in warc.read_records(path, 100)] == [False, False, True]
+        else:
+            with pytest.raises(ValueError, match="digest"):
+                list(warc.read_records(path, 100))
+
+
 def test_toxicity_edges(docs, listed, spark):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(14)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, labels, not_mod_5())
@@ -229,6 +311,35 @@ def test_marginals_match_full_forward_backward():
     assert scorer.marginals(hits, n) == pytest.approx([want[h[0]] for h in hits])
 
 
+def test_chain_is_fitted_until_its_gradient_vanishes(monkeypatch):
+    """The gradient is that of the likelihood over all labellings, and is flat at the end."""
+    model = toxicity.Model({"0bad": 4.0, "0vile": 3.5, "0mean": 2.0})
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["ok", "day", "mean", *(["bad", "vile"] * (i % 2))]) for _ in range(rng.randint(1, 9))) for i in range(40)]
+    seen = []
+
+    def spy(value, theta):
+        at = theta + np.random.default_rng(2).normal(size=10) * 0.3
+        got, grad = value(at)
+        w, trans, total, n = at[:6], at[6:].reshape(2, 2), 0.0, 0
+        for i, t in enumerate(texts):
+            x = [f if (f := model.features(word)) is not None else np.eye(6)[0] for word in t.split()]
+            y = [int(i % 2 and model.features(word) is not None and model.features(word)[-1] >= toxicity.LABEL_ODDS) for word in t.split()]
+            score = lambda s: sum(k * (x[j] @ w) for j, k in enumerate(s)) + sum(trans[a, b] for a, b in zip(s, s[1:]))  # noqa: B023, E731
+            total += score(y) - np.log(sum(np.exp(score(s)) for s in itertools.product((0, 1), repeat=len(x))))
+            n += len(x)
+        assert got == pytest.approx(toxicity.RIDGE * at @ at / 2 - total / n)
+        assert grad == pytest.approx([(value(at + e)[0] - value(at - e)[0]) / 2e-6 for e in np.eye(10) * 1e-6], abs=1e-7)
+        best = minimum(value, theta)
+        seen.append(np.abs(value(best)[1]).max())
+        return best
+
+    minimum = toxicity._minimum
+    monkeypatch.setattr(toxicity, "_minimum", spy)
+    toxicity._fit_chain(model, texts, [i % 2 for i in range(40)])
+    assert seen[0] <= 1e-5
+
+
 def test_png_filters_and_checksums():
     data = bytes(random.Random(8).randbytes(192 * 9))
     blob = media.encode_png(data)

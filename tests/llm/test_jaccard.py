@@ -38,7 +38,7 @@ def roots(sets, least=0.8):
 
 def found(spark, texts):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    return {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, masks=simhash.PARTS, radius=14, similarity=0.8).collect()}
+    return {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, similarity=0.8).collect()}
 
 
 def edited(rng, words, times, fresh):
@@ -84,3 +84,30 @@ def test_the_stage_finds_all_pairs_down_to_the_similarity(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     kept = {r.doc_id for r in P.drop_near_duplicates(spark, df, None).collect()}
     assert kept == {i for i, r in want.items() if i == r}
+
+
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
+    """A group of near copies, outliers among them, whose buckets are cut: the same groups as all pairs give."""
+    from graphloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(24)
+    fresh = lambda r: f"w{r.randrange(10**6)}"
+    base = [fresh(rng) for _ in range(120)]
+    texts = {k: " ".join(edited(rng, base, 1 + k % 9, fresh)) for k in range(150)}
+    want = roots(sets_of(texts))
+    assert len(set(want.values())) > 10 and found(spark, texts) == want
+
+
+def test_sketches_lose_no_pair():
+    """Two sketches differ in at most as many bits as the sets in elements."""
+    import numpy as np
+
+    from graphloom.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a = rng.integers(0, 2**63, rng.integers(0, 400), dtype=np.uint64)
+        b = np.concatenate((a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(0, 100), dtype=np.uint64)))
+        bits = [np.frombuffer(jaccard.sketch(np.unique(x)), np.uint64) for x in (a, b)]
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
