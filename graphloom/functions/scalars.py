@@ -150,13 +150,28 @@ def released(year: Column, date: Column, as_of: str) -> Column:
     return F.when(year > this, False).when(year == this, date.isNotNull() & (F.substring(date, 1, 10) <= as_of)).otherwise(True)
 
 
-def reason(rel: Column, name: Column) -> Column:
-    """A sentence for a relation of a recommendation."""
-    words = {"director": "Same director: %s", "actor": "Same actor: %s", "genre": "Same genre: %s", "region": "Same region: %s", "content_type": "Same type: %s", "year_bucket": "Same period: %s"}
-    out = F.lit(None).cast("string")
-    for r, form in words.items():
-        out = F.when(rel == r, F.format_string(form, name)).otherwise(out)
-    return F.coalesce(out, F.format_string("Related: %s", name))
+# Sentences of path relations, with the name of an entity and without.
+REASONS = {
+    "director": ("与你喜欢的电影有共同导演 %s", "与你喜欢的电影有共同导演"),
+    "actor": ("有共同演员 %s", "与你喜欢的电影有共同演员"),
+    "genre": ("同属 %s 类型", "与你喜欢的电影类型相近"),
+    "actor_actor": ("通过演员关联发现 %s 参与的电影", "通过演员二跳关系发现"),
+    "region": ("与你偏好的电影同属 %s 地区", "与你偏好的电影地区相近"),
+    "language": ("与你偏好的电影同属 %s 语言", "与你偏好的电影语言相近"),
+    "content_type": ("与你偏好的电影同属 %s 内容类型", "与你偏好的电影内容类型相近"),
+    "year_bucket": ("与你偏好的电影年代接近（%s）", "与你偏好的电影年代接近"),
+}
+AUDIENCE_REASONS = ("与多位同样喜欢该类电影的用户兴趣重合", "与你喜欢的电影受众高度重合")
+OTHER_REASON = "基于知识图谱路径关联推荐"
+
+
+def reason(rel: Column, name: Column, hits: Column | None = None) -> Column:
+    """A sentence for a relation of a recommendation; ``hits`` tells how many users a shared audience has."""
+    out = F.lit(OTHER_REASON)
+    for r, (with_name, without) in REASONS.items():
+        out = F.when(rel == r, F.coalesce(F.replace(F.lit(with_name), F.lit("%s"), name), F.lit(without))).otherwise(out)
+    many = F.lit(False) if hits is None else F.coalesce(hits >= 2, F.lit(False))
+    return F.when(rel == "shared_audience", F.when(many, AUDIENCE_REASONS[0]).otherwise(AUDIENCE_REASONS[1])).otherwise(out)
 
 
 def graph_token(c: Column) -> Column:

@@ -411,9 +411,7 @@ def a44_open_task_count(c: Catalog) -> DataFrame:
 
 @query("SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)", prelude=False)
 def j5_not_in(c: Catalog) -> DataFrame:
-    c.table("part").createOrReplaceTempView("_part")
-    c.table("lineitem").createOrReplaceTempView("_lineitem")
-    return c.spark.sql("SELECT count(*) AS n FROM _part WHERE p_partkey NOT IN (SELECT l_partkey FROM _lineitem)")
+    return c.spark.sql("SELECT count(*) AS n FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lines})", part=c.table("part"), lines=c.table("lineitem"))
 
 
 @query("SELECT u.uid, u.username FROM users u WHERE EXISTS (SELECT 1 FROM ratings r WHERE r.uid = u.uid)")

@@ -467,3 +467,21 @@ def r29_online_paths(c: Catalog) -> DataFrame:
     audience = R.shared_audience(S.weight_index(c.ratings, c.prefs), R.ONLINE_BRIDGES, R.ONLINE_PATH_LIMITS["shared_audience"])
     found = R.path_evidence(R.one_hop(tokens(c), R.ONLINE_PATH_LIMITS), None, audience, R.ONLINE_PATH_WEIGHTS)
     return R.path_top(R.path_scores(s, found), 10, seen(c))
+
+
+TEXTS = " ".join(f"WHEN '{rel}' THEN replace('{form}', '%s', replace(replace(entity, '/', '-'), ' ', '-'))" for rel, (form, _) in X.REASONS.items())
+
+
+@query(f"WITH {TOKENS} SELECT DISTINCT rel, entity, CASE rel {TEXTS} END AS sentence FROM tokens")
+def x37_reason_texts(c: Catalog) -> DataFrame:
+    """The sentence of every entity that can be a reason, its name as a token of the graph."""
+    pairs = tokens(c).select("rel", "entity").distinct()
+    return pairs.select("rel", "entity", X.reason(F.col("rel"), X.graph_token(F.col("entity"))).alias("sentence"))
+
+
+@query(f"WITH {SEEDS}, {SEEN}, {AUDIENCE} SELECT DISTINCT s.uid, a.mid, CASE WHEN max(a.hits) >= 2 THEN '{X.AUDIENCE_REASONS[0]}' ELSE '{X.AUDIENCE_REASONS[1]}' END AS sentence FROM seeds s JOIN audience a ON a.seed = s.mid WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = a.mid) GROUP BY 1, 2")
+def x37_audience_texts(c: Catalog) -> DataFrame:
+    """The sentences of shared audiences."""
+    found = seeds(c).select("uid", F.col("mid").alias("seed")).join(R.shared_audience(S.weight_index(c.ratings, c.prefs)), "seed").join(seen(c), ["uid", "mid"], "left_anti")
+    hits = found.groupBy("uid", "mid").agg(F.max("hits").alias("hits"))
+    return hits.select("uid", "mid", X.reason(F.lit("shared_audience"), F.lit(None).cast("string"), F.col("hits")).alias("sentence"))

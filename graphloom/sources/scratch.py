@@ -1,25 +1,43 @@
-"""Tables between the rounds of an iterative operator, in the folder that all executors share."""
+"""Intermediate tables in the folder that the driver and all executors share.
+
+A written table cuts the lineage and survives the loss of executors. The folder is the
+session's ``spark.checkpoint.dir``. Only a local session without one gets a temporary
+folder; a cluster without one raises an error.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and read back; deleted when the application ends."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-shared-")
-        _own[app] = root
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of this session, without a closing slash."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
+        path = _own[context.applicationId]
+    return path.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back from there."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

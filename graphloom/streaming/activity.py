@@ -6,12 +6,11 @@ An addition to the batch operators. Events carry ``ts`` (a timestamp), ``user_id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.scratch import settled
+
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -39,25 +38,27 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_k", k).filter("_k = 1").drop("_k")
 
 
-def upsert_batches(events: DataFrame, path: str, checkpoint: str):
-    """Keep the latest event per user and type under ``path``, a new version of the table for each micro-batch."""
+def upsert_batches(events: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """Keep the latest event per user and type under ``path``, partitioned by a hash of the user.
+
+    A micro-batch writes the buckets that it touches anew, each once, from what the table
+    had before and the new events; a batch that is run again gives the same table, and
+    the number of batches before it doesn't matter.
+    """
+    keep, columns = ["user_id", "event_type"], ["user_id", "event_type", "event_id", "ts"]
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.select("user_id", "event_type", "event_id", "ts")
-        if number:
-            new = spark.read.parquet(f"{path}/v{number - 1}").unionByName(new)
-        latest(new, ["user_id", "event_type"], "ts").write.mode("overwrite").parquet(f"{path}/v{number}")
+        new = settled(batch.select(*columns, F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int").alias("bucket")), "batch")
+        table = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if table.getFileSystem(spark._jsc.hadoopConfiguration()).exists(table):
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+            new = settled(spark.read.parquet(path).filter(F.col("bucket").isin(touched)).select(*columns, "bucket").unionByName(new), "merged")
+        latest(new, keep, "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def cold_users(events: DataFrame, least: int = 3) -> DataFrame:
-    """Running number of events per user, with the flag that recommenders use for cold users."""
-
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)
-        state.update((n,))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "cold": [n < least]})
-
-    return events.groupBy("user_id").applyInPandasWithState(count, "user_id long, n long, cold boolean", "n long", "update", "NoTimeout")
+    """Running number of events per user, with the flag that recommenders use for cold users (in update mode)."""
+    return events.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("cold", F.col("n") < least)

@@ -107,6 +107,30 @@ def test_one_entity_relations_keep_the_last_ids(spark):
     assert values(recommend.one_hop(tokens, allowed=allowed).filter("seed = 'm038'"), "mid") == [("m000",), ("m002",)]
 
 
+def test_short_codes_and_reasons(spark):
+    import hashlib
+
+    from graphloom.functions import scalars as X
+
+    urls = [f"https://e.org/{k}" for k in range(50)]
+    want = {}
+    for u in urls:
+        bits = int(hashlib.md5(u.encode()).hexdigest()[24:32], 16) & 0x7FFFFFF
+        want[u] = "".join(X.CODE_ALPHABET[(bits >> 3 * i) & 0x3D] for i in range(9))
+    got = {r.u: r.c for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", X.short_code(F.col("u")).alias("c")).collect()}
+    assert got == want
+    rows = spark.createDataFrame([("director", "Jo", 1), ("director", None, 1), ("shared_audience", None, 2), ("shared_audience", None, 1), ("else", "x", 1)], "rel string, name string, hits int")
+    said = [r.s for r in rows.select(X.reason(F.col("rel"), F.col("name"), F.col("hits")).alias("s")).collect()]
+    assert said == [X.REASONS["director"][0].replace("%s", "Jo"), X.REASONS["director"][1], *X.AUDIENCE_REASONS, X.OTHER_REASON]
+
+
+def test_shared_folder(spark):
+    from graphloom.sources.scratch import settled, shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert settled(spark.range(3), "three").count() == 3
+
+
 def test_negatives_are_always_as_many(spark):
     """Who rated much gets the rest by rank; who has fewer unrated items than asked for is left out."""
     catalogue = spark.range(30).select(F.concat(F.lit("m"), "id").alias("mid"))
@@ -164,7 +188,7 @@ def test_streams(spark, tmp_path):
     source = str(tmp_path / "in/*")
     query = activity.upsert_batches(activity.event_stream(spark, source, 100), str(tmp_path / "t"), str(tmp_path / "c"))
     assert query.awaitTermination(60)
-    out = spark.read.parquet(str(tmp_path / "t/v0"))
+    out = spark.read.parquet(str(tmp_path / "t"))
     assert out.count() == 6 and out.agg(F.max("event_id")).first()[0] == 23
     query = activity.cold_users(activity.event_stream(spark, source, 100)).writeStream.format("memory").queryName("cold").outputMode("update").trigger(availableNow=True).start()
     assert query.awaitTermination(60)
