@@ -1,37 +1,13 @@
-"""Intermediate tables in the folder that the driver and all executors share.
-
-A written table cuts the lineage and survives the loss of executors. The folder
-is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a
-temporary one is made.
-"""
+"""Tables between the steps of an operator, in the folder that all executors share (see sources.scratch)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, without a closing slash."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        app = spark.sparkContext.applicationId
-        path = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-shared-")
-        _own[app] = path
-    return path.rstrip("/")
-
+from graphloom.sources.scratch import fresh_path, settled, shared_dir
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that is deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+__all__ = ["cut", "fresh_path", "hashable", "shared_dir"]
 
 
 def hashable(df: DataFrame) -> list[Column]:
@@ -41,6 +17,4 @@ def hashable(df: DataFrame) -> list[Column]:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read back from there."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return settled(df, name)
