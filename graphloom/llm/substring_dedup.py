@@ -12,9 +12,9 @@
    hash that it has more than once is known to repeat, and one row stands for
    all of them, so that a hot window sends a row per task. Rows of a hash meet
    sorted in one partition and are compared with their neighbours in a stream.
-3. The starts of repeated windows are gathered as 64-bit blocks in the tasks that
-   find them, then per document, and joined to the texts, whose covered words are
-   dropped.
+3. The starts of repeated windows are combined to blocks of 64 bits, first in the
+   tasks that find them, then gathered per document and joined to the texts, whose
+   covered words are dropped.
 
 A wider sketch than the data needs costs memory, a narrower one sends more rows
 to the exact pass; the result is the same. Null and empty texts have no words; an
@@ -131,24 +131,8 @@ def _set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _blocks(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Runs of n starts as the bits of blocks of 64 words."""
-    n = n.astype(np.int64)
-    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    doc, mark, block = np.repeat(doc, n), np.repeat(mark, n), at >> 6
-    order = np.lexsort((block, mark, doc))
-    doc, mark, block, bit = doc[order], mark[order], block[order], np.uint64(1) << (at[order] & 63).astype(np.uint64)
-    new = np.append(True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (block[1:] != block[:-1])) if len(doc) else np.zeros(0, bool)
-    k = np.flatnonzero(new)
-    bits = np.bitwise_or.reduceat(bit, k) if len(k) else bit
-    return pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(mark[k]), pa.array(block[k].astype(np.int32)), pa.array(bits.view(np.int64))], ["doc_id", "mark", "block", "bits"])
-
-
 def repeated_starts(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, mark, block, bits) of ``texts`` (doc_id, mark, text): the window starts 64 * block + bit, in words of the text, whose windows also start elsewhere.
-
-    A block may have several rows, whose bits are to be joined; a null doc_id is NO_ID.
-    """
+    """(doc_id, mark, start, n) of ``texts`` (doc_id, mark, text): runs of n window starts, in words of the text, whose windows also start elsewhere; a null doc_id is NO_ID."""
     bits = texts.sparkSession.sparkContext.broadcast(sketch(texts, width))
     names = ["h1", "h2", "doc_id", "mark", "start", "n"]
 
@@ -202,8 +186,6 @@ def repeated_starts(texts: DataFrame, width: int = WIDTH) -> DataFrame:
         # A row is judged with both neighbours, so a batch's last row waits for the
         # next batch and takes the row before it along.
         held: list[np.ndarray] | None = None
-        found: list[list[np.ndarray]] = []
-        n = 0
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             if not len(cols[0]):
@@ -212,29 +194,24 @@ def repeated_starts(texts: DataFrame, width: int = WIDTH) -> DataFrame:
             if held is not None:
                 low = len(held[0]) - 1
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            found.append(_settled(cols, low, len(cols[0]) - 1))
-            n += int(found[-1][3].sum())
-            if n >= FLUSH:
-                yield _blocks(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                found, n = [], 0
+            yield _settled(cols, low, len(cols[0]) - 1)
             held = [c[-2:] for c in cols]
         if held is not None:
-            found.append(_settled(held, len(held[0]) - 1, len(held[0])))
-            yield _blocks(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield _settled(held, len(held[0]) - 1, len(held[0]))
 
     rows = texts.mapInArrow(find, "h1 long, h2 long, doc_id long, mark long, start int, n int")
     rows = rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-    return rows.mapInArrow(meet, "doc_id long, mark long, block int, bits long")
+    return rows.mapInArrow(meet, "doc_id long, mark long, start int, n int")
 
 
-def _settled(cols: list[np.ndarray], low: int, high: int) -> list[np.ndarray]:
+def _settled(cols: list[np.ndarray], low: int, high: int) -> pa.RecordBatch:
     """(doc_id, mark, start, n) of repeated starts among the rows low..high of sorted rows; the rows around serve as neighbours."""
     h1, h2, doc, mark, start, n = cols
     same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]) & (n[1:] >= 0) & (n[:-1] >= 0)
     twin = np.append(False, same) | np.append(same, False)
     take = (n < 0) | (twin & (n == 1))
     take[:low], take[high:] = False, False
-    return [doc[take], mark[take], start[take], np.abs(n[take])]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[take], mark[take], start[take], np.abs(n[take]))], ["doc_id", "mark", "start", "n"])
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -243,8 +220,8 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     again = own.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
     mark = F.when(F.col("doc_id").isNull() | F.col("again").isNotNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(0)
     texts = own.join(cut(again, "repeated-ids"), F.col("doc_id") == F.col("again"), "left").select("doc_id", "text", mark.alias("mark"))
-    found = repeated_starts(texts, width).repartition("doc_id", "mark")
-    blocks = found.groupBy("doc_id", "mark", "block").agg(F.bit_or("bits").alias("bits"))
+    each = repeated_starts(texts, width).select("doc_id", "mark", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("start"))
+    blocks = each.groupBy("doc_id", "mark", F.shiftright("start", 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, start & 63)")).alias("bits"))
     blocks = blocks.groupBy(F.col("doc_id").alias("run_id"), F.col("mark").alias("run_mark")).agg(F.collect_list(F.struct("block", "bits")).alias("blocks"))
     known = F.coalesce("doc_id", F.lit(NO_ID))
     joined = texts.join(blocks, (known == F.col("run_id")) & (F.col("mark") == F.col("run_mark")), "left").select("doc_id", "text", "blocks")
