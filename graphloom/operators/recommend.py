@@ -368,8 +368,8 @@ def path_reasons(evidence: DataFrame, top: int = 3) -> DataFrame:
     return ranked.select("uid", "mid", "rel", F.col("b.seed").alias("seed"), (-F.col("b.w")).alias("worth"), "k")
 
 
-def shortlist_paths(seeds: DataFrame, tokens: DataFrame, pairs: DataFrame, audience: DataFrame | None = None, limits: dict[str, int] = PATH_LIMITS, weights: dict[str, int] = PATH_WEIGHTS) -> DataFrame:
-    """(uid, mid, raw, paths): path scores of candidates (uid, mid), the shortlist held before each seed's best are taken.
+def shortlist_evidence(seeds: DataFrame, tokens: DataFrame, pairs: DataFrame, audience: DataFrame | None = None) -> DataFrame:
+    """(uid, seed, weight100, rel, mid, hits, strength, penalty): path evidence of candidates (uid, mid), whatever the relations' weights are.
 
     ``audience`` has (seed, mid, strength, hits) without a limit per seed.
     """
@@ -381,13 +381,20 @@ def shortlist_paths(seeds: DataFrame, tokens: DataFrame, pairs: DataFrame, audie
     first = F.slice("es", 1, 5)
     penalty = F.floor(F.aggregate(first, F.lit(0).cast("long"), lambda a, e: a + e["idf6"]) / F.size(first)).cast("long")
     strength = F.when(F.col("rel") == "genre", F.least(F.col("hits") * 100, F.lit(300)) / 3).otherwise(F.col("hits") * 100)
-    rows = grouped.select("uid", "seed", "weight100", "rel", "mid", "hits", F.floor(strength * _cap(weights) * penalty / 10000).cast("long").alias("worth"))
+    rows = grouped.select("uid", "seed", "weight100", "rel", "mid", "hits", strength.cast("double").alias("strength"), penalty.alias("penalty"))
     if audience is not None:
         near = seeds.select("uid", F.col("mid").alias("seed"), "weight100").join(audience, "seed").join(pairs.select("uid", "mid"), ["uid", "mid"])
-        rows = rows.union(near.select("uid", "seed", "weight100", F.lit("shared_audience"), "mid", "hits", F.floor(F.col("strength") * weights.get("shared_audience", 0) / 1000000).cast("long")))
+        rows = rows.union(near.select("uid", "seed", "weight100", F.lit("shared_audience"), "mid", "hits", F.col("strength").cast("double"), F.lit(None).cast("long")))
+    return rows
+
+
+def shortlist_paths(evidence: DataFrame, limits: dict[str, int] = PATH_LIMITS, weights: dict[str, int] = PATH_WEIGHTS) -> DataFrame:
+    """(uid, mid, raw, paths): path scores from shortlist_evidence, the best of each seed and relation."""
+    worth = F.when(F.col("penalty").isNull(), F.col("strength") * weights.get("shared_audience", 0) / 1000000).otherwise(F.col("strength") * _cap(weights) * F.col("penalty") / 10000)
+    rows = evidence.withColumn("worth", F.floor(worth).cast("long")).filter("worth > 0")
     by = F.when(F.col("rel") == "shared_audience", F.col("worth")).otherwise(F.col("hits"))
     order = Window.partitionBy("uid", "seed", "rel").orderBy(F.desc(by), F.desc("hits"), F.desc("mid"))
-    kept = rows.filter("worth > 0").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= _cap(limits))
+    kept = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= _cap(limits))
     return kept.groupBy("uid", "mid").agg(F.sum(F.col("weight100") * F.col("worth")).alias("raw"), F.sum("hits").alias("paths"))
 
 

@@ -393,34 +393,48 @@ def drawn_users(t: DataFrame, n: int, part: str) -> DataFrame:
     return own.orderBy(E.draw(F.lit(42), F.col("uid")), "uid").limit(n)
 
 
-def shortlist_scores(c: Catalog, t: DataFrame, sampled: DataFrame, configs: dict[str, dict]) -> dict[str, DataFrame]:
-    """Scores (uid, mid, score) of the shortlists by each algorithm named in ``configs`` with its settings."""
+#: A user of a draw is a user of its own: the id times this, and the number of the draw.
+DRAWS = 100
+
+
+def suite_rows(c: Catalog, t: DataFrame, negatives: int, draws: tuple[int, ...], configs: dict[str, dict]) -> DataFrame:
+    """(algorithm, seed, metrics) of every configuration and draw of negatives for the test users (uid, test_mid).
+
+    ``configs`` maps 'algorithm' or 'algorithm:label' to settings. All draws are scored
+    in one plan per configuration, and what doesn't depend on it is made once.
+    """
+    t = settled(t, "tests")
+    of_draw = lambda df, d: df.withColumn("uid", F.col("uid") * DRAWS + d)
+    every = lambda df: df.withColumn("uid", F.explode(F.array(*(F.col("uid") * DRAWS + d for d in range(len(draws))))))
+    sampled = None
+    for d, seed in enumerate(draws):
+        one = of_draw(E.negatives(t, c.movie_keys, c.ratings, negatives, seed), d)
+        sampled = one if sampled is None else sampled.union(one)
+    sampled, tests_ = settled(sampled, "sampled"), settled(every(t), "tests")
     visible = settled(visible_ratings(c, t), "visible")
-    s, toks = settled(known_seeds(c, visible).join(t.select("uid"), "uid", "left_semi"), "seeds"), tokens(c)
-    pairs = settled(E.shortlists(t, sampled), "shortlists")
-    sims = R.item_similarity(visible).join(s.select(F.col("mid").alias("a")).distinct(), "a", "left_semi")
-    cf = R.item_cf(s, sims).join(pairs, ["uid", "mid"], "left_semi").select("uid", "mid", F.col("raw").cast("double").alias("score"))
-    audience = R.shared_audience(S.weight_index(visible, c.prefs), per_seed=1 << 30)
-    parts = settled(R.embedding_components(pairs, s, vectors(c)), "parts")
-    overlap = settled(R.overlap_scores(R.overlap_taste(s, toks), toks, pairs), "overlap")
-    embed = lambda w: R.fuse_embedding(pairs, parts, overlap, w)
-    scaled = lambda df: df.withColumn("score", X.rounded(F.col("score") / F.max("score").over(Window.partitionBy("uid"))))
+    s = settled(every(known_seeds(c, visible).join(t.select("uid"), "uid", "left_semi")), "seeds")
+    toks, pairs = settled(tokens(c), "tokens"), settled(E.shortlists(tests_, sampled), "shortlists")
+    names = {name.partition(":")[0] for name in configs}
+    rescaled = lambda df: df.withColumn("score", X.rounded(F.col("score") / F.max("score").over(Window.partitionBy("uid"))))
+    if names & {"item_cf", "cfkg"}:
+        cf = settled(R.item_cf(s, R.item_similarity(visible)).join(pairs, ["uid", "mid"], "left_semi").select("uid", "mid", F.col("raw").cast("double").alias("score")), "cf")
+    if names & {"kg_embed", "cfkg"}:
+        parts = settled(R.embedding_components(pairs, s, vectors(c)), "parts")
+        overlap = settled(R.overlap_scores(R.overlap_taste(s, toks), toks, pairs), "overlap")
+    if "kg_path" in names:
+        near = settled(R.shortlist_evidence(s, toks, pairs, R.shared_audience(S.weight_index(visible, c.prefs), per_seed=1 << 30)), "evidence")
     make = {
         "content": lambda k: R.content_scores(s, content_tokens(c), pairs),
         "item_cf": lambda k: cf,
-        "kg_path": lambda k: R.shortlist_paths(s, toks, pairs, audience, weights=k.get("weights", R.PATH_WEIGHTS)).select("uid", "mid", F.col("raw").cast("double").alias("score")),
-        "kg_embed": lambda k: embed(k.get("weights", R.EMBED_WEIGHTS)),
-        "cfkg": lambda k: R.fuse_branches(scaled(embed(R.EMBED_WEIGHTS)), scaled(cf), **(R.FUSED | k.get("weights", {}))).select("uid", "mid", F.col("raw").alias("score")),
+        "kg_path": lambda k: R.shortlist_paths(near, weights=k.get("weights", R.PATH_WEIGHTS)).select("uid", "mid", F.col("raw").cast("double").alias("score")),
+        "kg_embed": lambda k: R.fuse_embedding(pairs, parts, overlap, k.get("weights", R.EMBED_WEIGHTS)),
+        "cfkg": lambda k: R.fuse_branches(rescaled(R.fuse_embedding(pairs, parts, overlap)), rescaled(cf), **(R.FUSED | k.get("weights", {}))).select("uid", "mid", F.col("raw").alias("score")),
     }
-    return {name: make[name.partition(":")[0]](config) for name, config in configs.items()}
-
-
-def suite_rows(c: Catalog, t: DataFrame, negatives: int, draws: tuple[int, ...], configs: dict[str, dict]) -> DataFrame:
-    """Metrics of every configuration and draw."""
-    t = settled(t, "tests")
-    sampled = {d: settled(E.negatives(t, c.movie_keys, c.ratings, negatives, d), "sampled") for d in draws}
-    scores = {(name, d): df for d in draws for name, df in shortlist_scores(c, t, sampled[d], configs).items()}
-    return E.suite(scores, t, sampled)
+    ranked = None
+    for name, config in configs.items():
+        one = settled(E.ranks(tests_, sampled, make[name.partition(":")[0]](config)), "ranks").select(F.lit(name).alias("algorithm"), F.get(F.array(*map(F.lit, draws)), (F.col("uid") % DRAWS).cast("int")).alias("seed"), "rank")
+        ranked = one if ranked is None else ranked.union(one)
+    return E.metrics(ranked, ["algorithm", "seed"])
 
 
 @query()

@@ -150,7 +150,7 @@ def test_shortlist_paths_match_the_evidence(spark):
     seeds = spark.createDataFrame([(1, "m0", 100), (1, "m5", 70)], "uid long, mid string, weight100 long")
     pairs = spark.range(12).select(F.lit(1).cast("long").alias("uid"), F.concat(F.lit("m"), "id").alias("mid"))
     full = values(recommend.path_scores(seeds, recommend.path_evidence(recommend.one_hop(tokens))), "mid", "raw", "paths")
-    assert values(recommend.shortlist_paths(seeds, tokens, pairs), "mid", "raw", "paths") == full
+    assert values(recommend.shortlist_paths(recommend.shortlist_evidence(seeds, tokens, pairs)), "mid", "raw", "paths") == full
 
 
 def test_metrics_of_perfect_ranking(spark):
