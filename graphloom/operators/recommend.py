@@ -138,11 +138,14 @@ def one_hop(tokens: DataFrame, limits: dict[str, int] = PATH_LIMITS, allowed: Da
     left = seed_entities(tokens, most_degree).join(idf, ["rel", "entity"]).select("rel", "entity", F.col("mid").alias("seed"), "idf6")
     reached = tokens if allowed is None else tokens.join(allowed, "mid", "left_semi")
     shared = left.filter(F.col("rel").isin(*PEOPLE)).join(reached, ["rel", "entity"]).filter("seed != mid")
-    grouped = shared.groupBy("seed", "rel", "mid").agg(F.count("*").alias("hits"), F.array_sort(F.collect_list(F.struct("entity", "idf6"))).alias("es"))
+    hits = shared.groupBy("seed", "rel", "mid").agg(F.count("*").alias("hits"))
+    order = Window.partitionBy("seed", "rel").orderBy(F.desc("hits"), F.desc("mid"))
+    best = hits.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cap).drop("k")
+    # What they share is only read for the best.
+    both = best.join(left, ["seed", "rel"]).join(reached, ["mid", "rel", "entity"])
+    grouped = both.groupBy("seed", "rel", "mid", "hits").agg(F.array_sort(F.collect_list(F.struct("entity", "idf6"))).alias("es"))
     first = F.slice("es", 1, 5)
     people = grouped.select("seed", "rel", "mid", "hits", F.floor(F.aggregate(first, F.lit(0).cast("long"), lambda a, e: a + e["idf6"]) / F.size(first)).cast("long").alias("penalty6"))
-    order = Window.partitionBy("seed", "rel").orderBy(F.desc("hits"), F.desc("mid"))
-    people = people.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cap).drop("k")
     last = Window.partitionBy("rel", "entity").orderBy(F.desc("mid"))
     listed = reached.filter(F.col("rel").isin(*SINGLE)).withColumn("k", F.row_number().over(last)).filter(F.col("k") <= cap + 1).select("rel", "entity", "mid")
     single = left.filter(F.col("rel").isin(*SINGLE)).join(listed, ["rel", "entity"]).filter("seed != mid")
@@ -236,13 +239,16 @@ def overlap_scores(taste: DataFrame, tokens: DataFrame, pairs: DataFrame) -> Dat
     return pairs.select("uid", "mid").join(tokens, "mid").join(taste, ["uid", "rel", "entity"]).groupBy("uid", "mid").agg(F.sum("t").alias("overlap"))
 
 
-def overlap_recall(taste: DataFrame, tokens: DataFrame, n: int = 400) -> DataFrame:
-    """(uid, mid): each user's ``n`` candidates that share most with the seeds by people; ties by id.
+def overlap_recall(taste: DataFrame, tokens: DataFrame, n: int = 400, per_person: int = 20) -> DataFrame:
+    """(uid, mid): each user's ``n`` candidates that share most with the seeds by people, of each of whom the last ``per_person`` films are looked at; ties by id.
 
-    Directors and actors are few films each; genres, regions and periods, of which
-    everyone has some, only add to the scores of candidates that are found.
+    Genres, regions and periods, of which everyone has some, only add to the scores of
+    candidates that are found. The work is linear in the users' tastes, however many
+    films a person has.
     """
-    found = taste.join(tokens.filter(F.col("rel").isin(*PEOPLE)), ["rel", "entity"]).groupBy("uid", "mid").agg(F.sum("t").alias("s"))
+    last = Window.partitionBy("rel", "entity").orderBy(F.desc("mid"))
+    listed = tokens.filter(F.col("rel").isin(*PEOPLE)).withColumn("p", F.row_number().over(last)).filter(F.col("p") <= per_person)
+    found = taste.join(listed, ["rel", "entity"]).groupBy("uid", "mid").agg(F.sum("t").alias("s"))
     order = Window.partitionBy("uid").orderBy(F.desc("s"), "mid")
     return found.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).select("uid", "mid")
 

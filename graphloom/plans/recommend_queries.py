@@ -133,7 +133,7 @@ def r12_kg_path(c: Catalog) -> DataFrame:
 
 OVER = """valued AS (SELECT t.mid, t.rel, t.entity, CASE t.rel WHEN 'director' THEN 100 WHEN 'actor' THEN 60 WHEN 'genre' THEN 40 WHEN 'region' THEN 20 WHEN 'language' THEN 20 ELSE 10 END * idf6 AS v FROM tokens t JOIN idfs i ON i.rel = t.rel AND i.entity = t.entity),
 liking AS (SELECT uid, rel, entity, CAST(sum(weight100 * v) AS BIGINT) AS t FROM seeds JOIN valued USING (mid) GROUP BY 1, 2, 3),
-recalled AS MATERIALIZED (SELECT uid, mid FROM (SELECT uid, mid, row_number() OVER (PARTITION BY uid ORDER BY s DESC, mid) AS k FROM (SELECT l.uid, k.mid, CAST(sum(l.t) AS BIGINT) AS s FROM liking l JOIN tokens k ON k.rel = l.rel AND k.entity = l.entity WHERE l.rel IN ('director', 'actor') GROUP BY 1, 2)) WHERE k <= 400),
+recalled AS MATERIALIZED (SELECT uid, mid FROM (SELECT uid, mid, row_number() OVER (PARTITION BY uid ORDER BY s DESC, mid) AS k FROM (SELECT l.uid, k.mid, CAST(sum(l.t) AS BIGINT) AS s FROM liking l JOIN (SELECT *, row_number() OVER (PARTITION BY rel, entity ORDER BY mid DESC) AS p FROM tokens WHERE rel IN ('director', 'actor')) k ON k.rel = l.rel AND k.entity = l.entity WHERE k.p <= 20 GROUP BY 1, 2)) WHERE k <= 400),
 overlap_ AS MATERIALIZED (SELECT r.uid, r.mid, CAST(sum(l.t) AS BIGINT) AS overlap FROM recalled r JOIN tokens k ON k.mid = r.mid JOIN liking l ON l.uid = r.uid AND l.rel = k.rel AND l.entity = k.entity GROUP BY 1, 2)"""
 
 
