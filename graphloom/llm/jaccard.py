@@ -54,6 +54,8 @@ WORDS = SKETCH // 64
 #: Nodes of a block of a large bucket; buckets of up to SMALL nodes are compared side by side.
 BLOCK, SMALL = 4096, 16
 FLUSH = 1 << 18
+#: Bytes of text that a task turns into sets at a time.
+SLICE = 1 << 18
 
 
 def shingle_sets(batch: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -88,7 +90,7 @@ def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
     """The commonest shingles of a sample of ``texts`` (text, row), the rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch.column(0), shingle)).view(np.int64))], ["h"])
 
     found = texts.filter(F.pmod("row", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
@@ -112,7 +114,7 @@ def with_prefix(texts: DataFrame, shingle: int, least: Fraction, common: np.ndar
         return s[:take]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column(2), shingle)
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             size = np.array([len(s) for s in sets], np.int32)
@@ -228,7 +230,7 @@ def accepted(pairs: DataFrame, texts: DataFrame, named: DataFrame, shingle: int,
     """The pairs (a, b) whose sets are at least so similar; ``named`` (node, row) has a row of ``texts`` for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column(0), shingle)
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node), _lists(sets)], ["node", "shingles"])

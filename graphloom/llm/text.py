@@ -42,7 +42,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``most_bytes`` of text; a longer text is a slice of its own."""
+    """The same rows in slices of about ``most_bytes`` of text; a longer text is a slice of its own. At the end Arrow's unused memory is given back, as workers wait for further tasks."""
     for batch in batches:
         size = np.cumsum(np.diff(raw(batch.column(batch.schema.get_field_index(text)))[1]))
         at, done = 0, 0
@@ -50,6 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 <<
             end = max(at + 1, int(np.searchsorted(size, done + most_bytes, "right")))
             yield batch.slice(at, end - at)
             at, done = end, int(size[end - 1])
+    pa.default_memory_pool().release_unused()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

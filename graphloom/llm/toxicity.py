@@ -47,7 +47,7 @@ LEAST_ODDS, LABEL_ODDS = 1.5, 3.0
 EDGE = ".,;:!?\"'()[]{}<>«»*#-"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KINDS = (0, 4, 5, 6)
-CACHE = 200_000
+CACHE = 50_000
 
 
 def forms(word: str) -> list[str]:
@@ -294,7 +294,7 @@ def tag(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.scorer()
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text, 1 << 18):
             got = [scorer.tag(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             tagged = pa.array([{"score": s, "spans": [{"start": a, "end": b, "p": p} for a, b, p in x]} for s, x in got], _ARROW)
             yield pa.RecordBatch.from_arrays([*batch.columns, tagged], schema.names)
