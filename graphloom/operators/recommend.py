@@ -239,20 +239,6 @@ def overlap_scores(taste: DataFrame, tokens: DataFrame, pairs: DataFrame) -> Dat
     return pairs.select("uid", "mid").join(tokens, "mid").join(taste, ["uid", "rel", "entity"]).groupBy("uid", "mid").agg(F.sum("t").alias("overlap"))
 
 
-def overlap_recall(taste: DataFrame, tokens: DataFrame, n: int = 400, per_person: int = 20) -> DataFrame:
-    """(uid, mid): each user's ``n`` candidates that share most with the seeds by people, of each of whom the last ``per_person`` films are looked at; ties by id.
-
-    Genres, regions and periods, of which everyone has some, only add to the scores of
-    candidates that are found. The work is linear in the users' tastes, however many
-    films a person has.
-    """
-    last = Window.partitionBy("rel", "entity").orderBy(F.desc("mid"))
-    listed = tokens.filter(F.col("rel").isin(*PEOPLE)).withColumn("p", F.row_number().over(last)).filter(F.col("p") <= per_person)
-    found = taste.join(listed, ["rel", "entity"]).groupBy("uid", "mid").agg(F.sum("t").alias("s"))
-    order = Window.partitionBy("uid").orderBy(F.desc("s"), "mid")
-    return found.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).select("uid", "mid")
-
-
 #: Vectors are whole numbers of so many parts of their length, so that every engine gets the same products.
 PARTS = 10_000
 

@@ -11,6 +11,7 @@ from graphloom.functions import scalars as X
 from graphloom.operators import evaluate as E
 from graphloom.operators import recommend as R
 from graphloom.operators import signals as S
+from graphloom.operators.exact_rank import embed_top
 from graphloom.operators.graph import triples
 from graphloom.operators.transe import train
 from graphloom.plans.graph_queries import INDEX, SIGNALS, TOKENS, tokens
@@ -133,25 +134,19 @@ def r12_kg_path(c: Catalog) -> DataFrame:
 
 OVER = """valued AS (SELECT t.mid, t.rel, t.entity, CASE t.rel WHEN 'director' THEN 100 WHEN 'actor' THEN 60 WHEN 'genre' THEN 40 WHEN 'region' THEN 20 WHEN 'language' THEN 20 ELSE 10 END * idf6 AS v FROM tokens t JOIN idfs i ON i.rel = t.rel AND i.entity = t.entity),
 liking AS (SELECT uid, rel, entity, CAST(sum(weight100 * v) AS BIGINT) AS t FROM seeds JOIN valued USING (mid) GROUP BY 1, 2, 3),
-recalled AS MATERIALIZED (SELECT uid, mid FROM (SELECT uid, mid, row_number() OVER (PARTITION BY uid ORDER BY s DESC, mid) AS k FROM (SELECT l.uid, k.mid, CAST(sum(l.t) AS BIGINT) AS s FROM liking l JOIN (SELECT *, row_number() OVER (PARTITION BY rel, entity ORDER BY mid DESC) AS p FROM tokens WHERE rel IN ('director', 'actor')) k ON k.rel = l.rel AND k.entity = l.entity WHERE k.p <= 20 GROUP BY 1, 2)) WHERE k <= 400),
-overlap_ AS MATERIALIZED (SELECT r.uid, r.mid, CAST(sum(l.t) AS BIGINT) AS overlap FROM recalled r JOIN tokens k ON k.mid = r.mid JOIN liking l ON l.uid = r.uid AND l.rel = k.rel AND l.entity = k.entity GROUP BY 1, 2)"""
-
-
-@query(f"WITH {SEEDS}, {TOKENS}, {IDF}, {OVER} SELECT uid, mid, overlap FROM overlap_")
-def r19_entity_overlap(c: Catalog) -> DataFrame:
-    taste = R.overlap_taste(seeds(c), tokens(c))
-    return R.overlap_scores(taste, tokens(c), R.overlap_recall(taste, tokens(c)))
+recalled AS MATERIALIZED (SELECT u.uid, v.mid FROM (SELECT DISTINCT s.uid FROM seeds s JOIN vecs USING (mid)) u CROSS JOIN vecs v WHERE NOT EXISTS (SELECT 1 FROM seen n WHERE n.uid = u.uid AND n.mid = v.mid)),
+overlap_ AS MATERIALIZED (SELECT l.uid, k.mid, CAST(sum(l.t) AS BIGINT) AS overlap FROM liking l JOIN tokens k ON l.rel = k.rel AND l.entity = k.entity WHERE k.mid IN (SELECT mid FROM vecs) GROUP BY 1, 2)"""
 
 
 def vectors(c: Catalog) -> DataFrame:
-    """(mid, vec): item vectors of length R.PARTS in whole numbers."""
-    return R.whole_vectors(c.table("embeddings").select(F.col("vec_id").cast("string").alias("mid"), F.col("embedding").alias("vec")))
+    """(mid, vec): vectors of the catalogue's items, of length R.PARTS in whole numbers."""
+    return R.whole_vectors(c.table("embeddings").join(c.table("part"), F.col("vec_id") == F.col("p_partkey"), "left_semi").select(F.col("vec_id").cast("string").alias("mid"), F.col("embedding").alias("vec")))
 
 
-EMBED = """raws AS (SELECT CAST(vec_id AS VARCHAR) AS mid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+VECS = """raws AS (SELECT CAST(vec_id AS VARCHAR) AS mid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part)),
 lens AS (SELECT mid, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM raws),
-vecs AS MATERIALIZED (SELECT mid, list_transform(v, lambda x: floor(x / greatest(n, 1e-12) * 10000 + 0.5)) AS v FROM lens),
-own AS (SELECT s.uid, s.weight100 AS w, v.v, sqrt(list_dot_product(v.v, v.v)) AS n FROM seeds s JOIN vecs v USING (mid)),
+vecs AS MATERIALIZED (SELECT mid, list_transform(v, lambda x: floor(x / greatest(n, 1e-12) * 10000 + 0.5)) AS v FROM lens)"""
+EMBED = """own AS (SELECT s.uid, s.weight100 AS w, v.v, sqrt(list_dot_product(v.v, v.v)) AS n FROM seeds s JOIN vecs v USING (mid)),
 dims AS (SELECT uid, i, sum(w * v[i]) AS x FROM own, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY 1, 2),
 centre AS (SELECT uid, list(x ORDER BY i) AS v FROM dims GROUP BY 1),
 cands AS (SELECT r.uid, r.mid, v.v, sqrt(list_dot_product(v.v, v.v)) AS n FROM recalled r JOIN vecs v USING (mid)),
@@ -160,38 +155,37 @@ most AS (SELECT k.uid, k.mid, max(CAST(greatest(floor(list_dot_product(k.v, o.v)
 parts AS MATERIALIZED (SELECT uid, mid, centroid6, CAST(most_seed6 AS BIGINT) AS most_seed6 FROM cent JOIN most USING (uid, mid))"""
 
 
-def embed_parts(c: Catalog, users: DataFrame | None = None, v: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The recalled candidates, their embedding components, and their overlap."""
-    s, t = seeds(c), tokens(c)
-    taste = R.overlap_taste(s, t)
-    pairs = settled(R.overlap_recall(taste, t), "recalled")
-    return pairs, R.embedding_components(pairs, s, vectors(c) if v is None else v, users), R.overlap_scores(taste, t, pairs)
-
-
-@query(f"WITH {SEEDS}, {TOKENS}, {IDF}, {OVER}, {EMBED} SELECT uid, mid, centroid6, most_seed6 FROM parts")
-def r16_embedding_components(c: Catalog) -> DataFrame:
-    return embed_parts(c)[1].select("uid", "mid", "centroid6", "most_seed6")
-
-
 def _scaled(column: str) -> str:
     w = "OVER (PARTITION BY uid)"
-    return f"CASE WHEN max({column}) {w} > min({column}) {w} THEN CAST({column} - min({column}) {w} AS DOUBLE) / (max({column}) {w} - min({column}) {w}) ELSE 0.0 END"
+    return f"CASE WHEN max({column}) {w} > min({column}) {w} THEN CAST({column} - min({column}) {w} AS DOUBLE) / (max({column}) {w} - min({column}) {w}) WHEN {column} > 0 THEN 1.0 ELSE 0.0 END"
 
 
 KG = f"""gathered AS (SELECT r.uid, r.mid, coalesce(centroid6, 0) AS centroid6, coalesce(most_seed6, 0) AS most_seed6, coalesce(overlap, 0) AS overlap FROM recalled r LEFT JOIN parts p ON p.uid = r.uid AND p.mid = r.mid LEFT JOIN overlap_ o ON o.uid = r.uid AND o.mid = r.mid),
-kgraw AS (SELECT uid, mid, floor((0.0 + 0.0 * 0.0 + {_scaled('centroid6')} * 0.4 + {_scaled('most_seed6')} * 0.2 + {_scaled('overlap')} * 0.4) * 10000.0 + 0.5) / 10000.0 AS score FROM gathered),
-kgfresh AS (SELECT k.* FROM kgraw k WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = k.uid AND seen.mid = k.mid)),
-kg AS (SELECT uid, mid, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS rank FROM (SELECT uid, mid, floor(score / max(score) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score FROM kgfresh) WHERE score > 0)"""
+kgraw AS (SELECT *, floor((0.0 + {_scaled('centroid6')} * 0.4 + {_scaled('most_seed6')} * 0.2 + {_scaled('overlap')} * 0.4) * 10000.0 + 0.5) / 10000.0 AS score FROM gathered),
+kg AS (SELECT uid, mid, score, centroid6, most_seed6, overlap, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS rank FROM kgraw WHERE score > 0)"""
 
 
-def kg_embed(c: Catalog, n: int, users: DataFrame | None = None, v: DataFrame | None = None, weights: dict[str, float] = R.EMBED_WEIGHTS) -> DataFrame:
-    pairs, parts, overlap = embed_parts(c, users, v)
-    return R.top_per_user(R.fuse_embedding(pairs, parts, overlap, weights), n, "score", seen(c))
+def kg_embed(c: Catalog, n: int, users: DataFrame | None = None, v: DataFrame | None = None, weights: dict[str, float] = R.EMBED_WEIGHTS, s: DataFrame | None = None) -> DataFrame:
+    """(uid, mid, components, score, rank): each user's best films of all that have a vector."""
+    s, t = seeds(c) if s is None else s, tokens(c)
+    return embed_top(s, R.overlap_taste(s, t), t, vectors(c) if v is None else v, n, seen(c), users, weights)
 
 
-@query(f"WITH {SEEDS}, {SEEN}, {TOKENS}, {IDF}, {OVER}, {EMBED}, {KG} SELECT uid, mid, score, rank FROM kg WHERE rank <= 10")
+@query(f"WITH {SEEDS}, {SEEN}, {TOKENS}, {IDF}, {VECS}, {OVER}, {EMBED}, {KG} SELECT uid, mid, score, rank FROM kg WHERE rank <= 10")
 def r18_kg_embed(c: Catalog) -> DataFrame:
-    return kg_embed(c, 10)
+    return kg_embed(c, 10).select("uid", "mid", "score", "rank")
+
+
+@query(f"WITH {SEEDS}, {SEEN}, {TOKENS}, {IDF}, {VECS}, {OVER}, {EMBED}, {KG} SELECT uid, mid, centroid6, most_seed6, rank FROM kg WHERE rank <= 20")
+def r16_embedding_components(c: Catalog) -> DataFrame:
+    """What each user's 20 best films owe to the vectors."""
+    return kg_embed(c, 20).select("uid", "mid", "centroid6", "most_seed6", "rank")
+
+
+@query(f"WITH {SEEDS}, {SEEN}, {TOKENS}, {IDF}, {VECS}, {OVER}, sized AS (SELECT r.uid, r.mid, coalesce(overlap, 0) AS overlap FROM recalled r LEFT JOIN overlap_ o ON o.uid = r.uid AND o.mid = r.mid), scored AS (SELECT *, floor((0.0 + {_scaled('overlap')} * 1.0) * 10000.0 + 0.5) / 10000.0 AS score FROM sized) SELECT uid, mid, overlap, rank FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS rank FROM scored WHERE score > 0) WHERE rank <= 20")
+def r19_entity_overlap(c: Catalog) -> DataFrame:
+    """Each user's 20 best films by the entities that they share with the seeds."""
+    return kg_embed(c, 20, weights={"overlap": 1.0}).select("uid", "mid", "overlap", "rank")
 
 
 CF_BRANCH = "cfall AS (SELECT uid, mid, floor(raw / max(raw) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score FROM (SELECT s.* FROM scores s WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid))), cf AS (SELECT uid, mid, score AS c FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS k FROM cfall WHERE score > 0) WHERE k <= 400)"
@@ -214,7 +208,7 @@ def main_ranking(c: Catalog, n: int) -> DataFrame:
     return R.fused_top(R.fuse_branches(kg_embed(c, R.RECALL["kg_embed"]), cf), n, R.content_top(seeds(c), content_tokens(c), n, seen(c)))
 
 
-MAIN = f"""{SEEDS}, {SEEN}, {SIM}, {CF_SCORES}, {CF_BRANCH}, {TOKENS}, {IDF}, {OVER}, {EMBED}, {KG}, kgb AS (SELECT uid, mid, score AS k FROM kg WHERE rank <= 300), {FUSE}, {CONTENT},
+MAIN = f"""{SEEDS}, {SEEN}, {SIM}, {CF_SCORES}, {CF_BRANCH}, {TOKENS}, {IDF}, {VECS}, {OVER}, {EMBED}, {KG}, kgb AS (SELECT uid, mid, score AS k FROM kg WHERE rank <= 300), {FUSE}, {CONTENT},
 conall AS (SELECT s.uid, s.mid, s.score, row_number() OVER (PARTITION BY s.uid ORDER BY score DESC, mid) AS rank FROM cosine s WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid)),
 contop AS (SELECT uid, mid, floor(score / max(score) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score, 'content' AS sources, rank FROM conall WHERE rank <= 10 AND uid NOT IN (SELECT uid FROM fused)),
 main AS (SELECT * FROM fused WHERE rank <= 10 UNION ALL SELECT * FROM contop)"""
