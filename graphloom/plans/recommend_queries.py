@@ -82,7 +82,7 @@ def r9_one_hop(c: Catalog) -> DataFrame:
     return R.one_hop(tokens(c))
 
 
-TWO = """billed AS (SELECT mid, pid, ord FROM acted WHERE ord <= 1), deg AS (SELECT pid, count(*) AS d FROM billed GROUP BY 1),
+TWO = """billed AS (SELECT mid, pid, ord FROM acted WHERE ord <= 5), deg AS (SELECT pid, count(*) AS d FROM billed GROUP BY 1),
 kept AS (SELECT mid, pid FROM (SELECT a.mid, a.pid, row_number() OVER (PARTITION BY a.mid ORDER BY d, a.ord, a.pid) AS k FROM billed a JOIN deg USING (pid)) WHERE k <= 3),
 reach AS MATERIALIZED (SELECT s.mid AS seed, z.pid AS b, min(y.mid) AS low, max(y.mid) AS high FROM kept s JOIN billed y ON y.pid = s.pid AND y.mid <> s.mid JOIN kept z ON z.mid = y.mid AND z.pid <> s.pid GROUP BY 1, 2),
 far AS (SELECT seed, mid, count(*) AS hits FROM reach JOIN billed k ON k.pid = b WHERE k.mid <> seed AND (low <> high OR k.mid <> low) GROUP BY 1, 2),
@@ -92,8 +92,8 @@ twohop AS (SELECT seed, mid, hits, CAST(floor(CAST(sum(idf6) AS DOUBLE) / count(
 
 
 def first_billed(c: Catalog) -> DataFrame:
-    """(mid, pid, ord) of the actors that two-hop paths use; the domain's items have many of each position."""
-    return c.acted.filter("ord <= 1").select("mid", "pid", "ord")
+    """(mid, pid, ord) of the actors that two-hop paths use: the first five."""
+    return c.acted.filter("ord <= 5").select("mid", "pid", "ord")
 
 
 @query(f"WITH {TWO} SELECT * FROM twohop")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,8 +52,10 @@ class Catalog:
 
     @cached_property
     def acted(self) -> DataFrame:
+        """Credits with distinct billing positions in each film, by the largest line number, then the person's id."""
         keys = [F.col("l_suppkey").cast("string").alias("pid"), F.col("l_partkey").cast("string").alias("mid")]
-        return self.table("lineitem").groupBy(*keys).agg(F.max("l_linenumber").alias("ord"))
+        credits = self.table("lineitem").groupBy(*keys).agg(F.max("l_linenumber").alias("line"))
+        return credits.select("pid", "mid", F.row_number().over(Window.partitionBy("mid").orderBy("line", "pid")).alias("ord"))
 
     @cached_property
     def directed(self) -> DataFrame:
@@ -89,7 +91,7 @@ WITH movies AS (
 genre_edges AS (SELECT DISTINCT mid, unnest(string_split(genres, '/')) AS genre FROM movies),
 persons AS (SELECT CAST(s_suppkey AS VARCHAR) AS pid, s_name AS name, n_name AS birthplace, r_name AS profession
             FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-acted AS (SELECT CAST(l_suppkey AS VARCHAR) AS pid, CAST(l_partkey AS VARCHAR) AS mid, max(l_linenumber) AS ord FROM lineitem GROUP BY 1, 2),
+acted AS (SELECT pid, mid, row_number() OVER (PARTITION BY mid ORDER BY line, pid) AS ord FROM (SELECT CAST(l_suppkey AS VARCHAR) AS pid, CAST(l_partkey AS VARCHAR) AS mid, max(l_linenumber) AS line FROM lineitem GROUP BY 1, 2)),
 directed AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS pid, CAST(l_partkey AS VARCHAR) AS mid FROM lineitem WHERE l_linenumber = 1),
 users AS (SELECT c_custkey AS uid, lower(c_mktsegment) || '_' || c_custkey AS username, c_custkey % 50 = 0 AS is_mock FROM customer),
 ratings AS (SELECT o_custkey AS uid, CAST(l_partkey AS VARCHAR) AS mid, CAST(floor((max(l_quantity) + 4) / 5) AS INTEGER) AS h, max(o_orderdate) AS rated_at
