@@ -27,7 +27,7 @@ def _sha(c) -> F.Column:
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", secrets.secret_spans(F.col("text")).alias("s"))
+    docs = secrets.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), out="s").drop("text")
     base = F.filter("s", lambda x: x["kind"] != "entropy")
     n = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long")
     return docs.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), _sha(secrets.joined(base)).alias("base_sha256"), secrets.joined(F.col("s")).alias("spans"))

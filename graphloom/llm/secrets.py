@@ -17,20 +17,23 @@ parts are allowed.
 Null and empty texts have no spans; an empty table gives an empty one. Repeated
 rows each give their row. Spans are in code points, the end exclusive. Only the text
 column is read or replaced, whatever other columns are named. Long texts are scanned
-whole; memory is a few times the longest text of a batch.
+whole; a task holds a slice of SLICE_BYTES of text or the longest text, a few times.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.text import slices
+
 #: Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -51,6 +54,7 @@ LETTERS = re.compile(r"[A-Za-z_=+-]+")
 #: Parts of letters read like words with a share of vowels within these limits, and few or all letters in upper case.
 VOWELS, LEAST_VOWELS, MOST_VOWELS, MOST_UPPER = frozenset("aeiouyAEIOUY"), 0.22, 0.65, 0.3
 
+SLICE_BYTES = 1 << 20
 UNIT = 1 << 40
 _XLOGX = [0, *(round(c * math.log2(c) * UNIT) for c in range(1, 257))]
 
@@ -136,16 +140,28 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_ARROW = pa.struct([pa.field("kind", pa.string()), pa.field("start", pa.int32()), pa.field("end", pa.int32())])
+
 
+def _spans(texts: list[str | None]) -> pa.Array:
+    """One list of spans for each text, without a Python object per field."""
+    found = [scan(t) for t in texts]
+    kinds, starts, ends = zip(*itertools.chain.from_iterable(found)) if any(found) else ((), (), ())
+    values = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], fields=list(_ARROW))
+    return pa.ListArray.from_arrays(pa.array(itertools.accumulate(map(len, found), initial=0), pa.int32()), values)
 
-@F.pandas_udf(SPANS)
-def _scan(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"kind": k, "start": a, "end": b} for k, a, b in scan(t)])
 
+def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
+    """``df`` with the array of spans of ``text`` as the column ``out``; a column of that name is replaced."""
+    kept = df.select([df[f"`{c}`"] for c in df.columns if c != out or c == text])
+    schema = T.StructType([*(f for f in kept.schema if f.name != out), T.StructField(out, SPANS)])
 
-def secret_spans(text: Column) -> Column:
-    """The array of spans of a text column."""
-    return _scan(F.coalesce(text, F.lit("")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, SLICE_BYTES):
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in schema if f.name != out]
+            yield pa.RecordBatch.from_arrays([*columns, _spans(batch.column(batch.schema.get_field_index(text)).to_pylist())], schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def joined(spans: Column) -> Column:
@@ -164,11 +180,14 @@ def mask(text: str | None) -> str | None:
     return "".join([*out, text[done:]]) if out else text
 
 
-@F.pandas_udf(T.StringType())
-def _mask(texts: pd.Series) -> pd.Series:
-    return texts.map(mask)
-
-
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with every span of ``text`` replaced by ``[SECRET]``; a null text stays null."""
-    return df.withColumn(text, _mask(F.col(text)))
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, SLICE_BYTES):
+            at = batch.schema.get_field_index(text)
+            masked = pa.array([mask(t) for t in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([masked if i == at else batch.column(i) for i in range(batch.num_columns)], schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -55,7 +55,7 @@ def test_words_match_the_pattern(listed):
 
 
 def test_secret_edges(docs, listed):
-    assert len(docs.select("doc_id", secrets.secret_spans(F.col("text")).alias("s")).collect()) == len(listed)
+    assert len(secrets.with_spans(docs.select("doc_id", "text"), out="s").collect()) == len(listed)
     assert secrets.scan(None) == [] and secrets.scan("") == []
     rng = random.Random(1)
     key = "".join(rng.sample("ABCDEFGHJKMNPQRSTabcdefghijklmn23456789+/", 40))
