@@ -13,8 +13,8 @@ twice, so a long word without spaces takes time in proportion to its length.
 
 Characters that no joining piece holds (digits, line ends) and the beginnings of
 runs of spaces after other characters are never inside a piece, so texts are cut
-there first, which is exact too; each Python worker keeps bounded caches of the ids
-of such parts and of compatible pairs. A symbol that is no piece becomes its UTF-8
+there first, which is exact too; each Python worker keeps the ids of the latest
+parts (two generations of CACHE) and which pairs are compatible. A symbol that is no piece becomes its UTF-8
 bytes.
 
 Null and empty texts have the begin and end ids only. Repeated rows each give their
@@ -79,12 +79,16 @@ class Pieces:
             self.parts = re.compile(f"{SPACE}*[{_ranges(inside)}]+|{SPACE}+|.", re.S) if inside else re.compile(f"{SPACE}+|.", re.S)
         whole = {p for p in self.id_of if len(p) == 1 or self.merged(p) == [p]}
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in whole), p[:1] if len(p) > 1 else "") for p in whole}
+        self.most = max(map(len, whole))
         self.found = ahocorasick.Automaton()
         for p in whole:
-            self.found.add_word(p, p)
+            self.found.add_word(p, (len(p) - 1, p))
         self.found.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.packed_of = {p: i.to_bytes(4, "little") for p, i in self.id_of.items()}
+        self.packed_byte = [i.to_bytes(4, "little") for i in self.byte_id]
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The symbols of a short text by joining the best pair again and again."""
@@ -113,49 +117,63 @@ class Pieces:
         """The pieces of a text by backtracking over the longest pieces."""
         if len(part) == 1 or part in self.shorter:
             return [part]
-        longest: list[str] = list(part)  # a character that is no piece stands for itself
-        for end, piece in self.found.iter(part):
-            if len(piece) > len(longest[at := end + 1 - len(piece)]):
-                longest[at] = piece
-        failed = bytearray(len(part) // 8 + 1)
+        size, search, known, shorter_of, compatible = len(part), self.found.iter_long, self.pairs.get, self.shorter.get, self.compatible
         out: list[str] = []
-        at, piece = 0, longest[0]
+        at, last = 0, ""
+        for end, (back, piece) in search(part):  # the longest piece at each place, as long as all fit together
+            if end - back != at or last and not (known((last, piece)) or compatible(last, piece)):
+                break
+            out.append(piece)
+            at, last = end + 1, piece
+        if at == size:
+            return out
+        longest: dict[int, str] = {}
+
+        def longest_at(place: int) -> str:
+            for end, (back, piece) in search(part[place : place + self.most]):
+                if end == back:
+                    return piece
+                break
+            return part[place]  # a character that is no piece stands for itself
+
+        failed = bytearray((size >> 3) + 1)
+        piece = longest_at(at)
         while True:
             end = at + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], piece)):
+            if not failed[end >> 3] >> (end & 7) & 1 and (not last or known((last, piece)) or compatible(last, piece)):
                 out.append(piece)
-                if end == len(part):
+                if end == size:
                     return out
-                at, piece = end, longest[end]
-            elif shorter := self.shorter.get(piece, ""):
+                at, last = end, piece
+                piece = longest.get(end) or longest.setdefault(end, longest_at(end))
+            elif shorter := shorter_of(piece, ""):
                 piece = shorter
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError("the model's pieces contradict each other")
                 piece = out.pop()
+                last = out[-1] if out else ""
                 at -= len(piece)
 
     def _packed(self, part: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.split(part):
-            i = self.id_of.get(piece)
-            ids += [i] if i is not None else [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return np.array(ids, "<u4").tobytes()
+        packed_of = self.packed_of.get
+        return b"".join([packed_of(p) or b"".join(self.packed_byte[b] for b in p.encode("utf-8", "surrogatepass")) for p in self.split(part)])
+
+    def _of(self, part: str) -> bytes:
+        """The ids of a part that is not among the latest ones: from the older ones, else by splitting."""
+        packed = self.old.get(part) or self._packed(part)
+        if len(part) <= 64:
+            if len(self.cache) >= CACHE:
+                self.cache, self.old = {}, self.cache
+            self.cache[part] = packed
+        return packed
 
     def encode(self, text: str | None, begin: bool = True, end: bool = True) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         out = [self.begin.to_bytes(4, "little")] if begin else []
-        cache = self.cache
         for part in self.parts.findall(self.prefix + text.replace(" ", SPACE)) if text else ():
-            packed = cache.get(part)
-            if packed is None:
-                packed = self._packed(part)
-                if len(part) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[part] = packed
-            out.append(packed)
+            out.append(self.cache.get(part) or self._of(part))
         if end:
             out.append(self.end.to_bytes(4, "little"))
         return b"".join(out)
