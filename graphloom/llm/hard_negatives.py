@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.store import cut
 
-SAMPLE, TILES, BLOCK, LEAF, FAN, ANCHORS, BOXES = 16_384, 1024, 4096, 64, 8, 1024, 512
+SAMPLE, TILES, BLOCK, LEAF, FAN, ANCHORS, BOXES = 16_384, 1024, 4096, 256, 4, 1024, 512
 NEVER = -(1 << 62)
 
 
@@ -108,7 +108,10 @@ class Tree:
     """Boxes over packed vectors: level 0 are the leaves, each further level joins FAN boxes, the last is the root."""
 
     def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors = vectors
+        # Products of whole numbers below 2^53 are exact as doubles, and faster.
+        most = int(np.abs(vectors).max(initial=0))
+        self.vectors = vectors = vectors.astype(np.float64) if most and most * most * vectors.shape[1] < 1 << 52 else vectors
+        self.most = most
         low = np.minimum.reduceat(vectors, np.arange(0, len(vectors), LEAF))
         high = np.maximum.reduceat(vectors, np.arange(0, len(vectors), LEAF))
         self.levels = [(low, high)]
