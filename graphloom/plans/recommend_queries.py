@@ -16,8 +16,9 @@ from graphloom.operators.graph import triples
 from graphloom.operators.transe import train
 from graphloom.plans.graph_queries import INDEX, SIGNALS, TOKENS, tokens
 from graphloom.plans.registry import query
+from graphloom.sources import embedding_store
 from graphloom.sources.catalog import Catalog
-from graphloom.sources.scratch import settled
+from graphloom.sources.scratch import settled, shared_dir
 
 SEEDS = f"{SIGNALS}, seeds AS (SELECT uid, mid, weight100 FROM (SELECT *, row_number() OVER (PARTITION BY uid, kind ORDER BY weight100 DESC, at_ DESC, mid) AS k FROM signals) WHERE k <= CASE kind WHEN 'rating' THEN 30 WHEN 'like' THEN 10 ELSE 0 END)"
 SEEN = "seen AS (SELECT uid, mid FROM ratings UNION SELECT uid, mid FROM prefs)"
@@ -310,22 +311,37 @@ def graph_facts(c: Catalog, ratings: DataFrame) -> DataFrame:
     return triples(relations, inverse=False)
 
 
+#: Settings of training that a stored version is named by.
+TRAINING = {"size": 64, "rounds": 8, "epochs": 5, "block": 8192}
+
+
+def stored_vectors(c: Catalog, ratings: DataFrame, holdout: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vectors, held-out pairs) of the version for these ratings, trained at most once in the shared folder."""
+    root = f"{shared_dir(c.spark)}/embedding-store"
+    name = embedding_store.ensure(root, "expanded", graph_facts(c, ratings), lambda t: train(t, **TRAINING)[0], holdout, TRAINING)
+    return embedding_store.load(c.spark, root, name)
+
+
+def trained_parts(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mid, vec) of items and (uid, vec) of where each user's relation to items leads, in whole numbers."""
+    items = stored.filter(F.startswith("name", F.lit("movie_"))).select(F.substring("name", 7, 100).alias("mid"), "vec")
+    rated = stored.filter("name = 'RATED_POSITIVE'").select(F.lit("user").alias("kind"), F.col("vec").alias("r"))
+    users = stored.filter(F.startswith("name", F.lit("user_"))).select(F.lit("user").alias("kind"), F.substring("name", 6, 100).cast("long").alias("uid"), "vec")
+    moved = users.join(F.broadcast(rated), "kind").select("uid", F.zip_with("vec", "r", lambda u, r: u + r).alias("vec"))  # one row
+    return R.whole_vectors(items), R.whole_vectors(moved)
+
+
 @query()
 def r14_transe(c: Catalog) -> DataFrame:
     """Vectors of all entities and relations, trained until the validation tenth gets no better."""
-    vectors_, _ = train(graph_facts(c, c.ratings))
-    return vectors_.select("name", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return stored_vectors(c, c.ratings)[0].select("name", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query()
 def r18_trained_embed(c: Catalog) -> DataFrame:
     """The embedding ranking on trained vectors, with the users' own relation to items."""
-    trained, _ = train(graph_facts(c, c.ratings))
-    trained = settled(trained, "trained")
-    v = R.whole_vectors(trained.filter(F.startswith("name", F.lit("movie_"))).select(F.substring("name", 7, 100).alias("mid"), "vec"))
-    rated = trained.filter("name = 'RATED_POSITIVE'").select(F.col("vec").alias("r"))
-    users = trained.filter(F.startswith("name", F.lit("user_"))).select(F.substring("name", 6, 100).cast("long").alias("uid"), F.zip_with("vec", rated.scalar(), lambda u, r: u + r).alias("vec"))
-    return kg_embed(c, 10, R.whole_vectors(users), v, R.ABLATIONS["kg_embed"]["full"])
+    items, users = trained_parts(stored_vectors(c, c.ratings)[0])
+    return kg_embed(c, 10, users, items, R.ABLATIONS["kg_embed"]["full"]).select("uid", "mid", "score", "rank")
 
 
 @query(f"WITH {TOKENS}, deg AS (SELECT entity, count(*) AS d FROM tokens WHERE rel = 'genre' GROUP BY 1) SELECT mid, entity FROM (SELECT t.mid, t.entity, row_number() OVER (PARTITION BY t.mid ORDER BY d > 25, d, t.entity) AS k FROM tokens t JOIN deg USING (entity) WHERE rel = 'genre') WHERE k <= 1")

@@ -204,7 +204,7 @@ def test_transe_stops_and_tells_triples_apart(spark):
 
     rows = [(f"m{k}", r, f"{r}{k % 6}") for k in range(120) for r in "gcl"]
     triples = spark.createDataFrame(rows, "h string, r string, t string")
-    vectors, losses = train(triples, size=16, rounds=8, check_every=1, patience=2)
+    vectors, losses = train(triples, size=16, rounds=8, patience=2, epochs=3, block=40)
     assert len(losses) <= 8 and min(losses) < losses[0]
     assert vectors.count() == 120 + 3 + 18 and validation(triples, vectors, numbered_ends(triples, 1), 1)[1] > 0.75
 
