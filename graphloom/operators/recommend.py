@@ -161,6 +161,15 @@ def informative_actors(actors: DataFrame, few: int = 3) -> DataFrame:
     return actors.join(degree, "pid").withColumn("k", F.row_number().over(rare)).filter(F.col("k") <= few).select("mid", "pid")
 
 
+def two_hop_reach(actors: DataFrame, few: int = 3, seeds: DataFrame | None = None) -> DataFrame:
+    """(seed, b, low, high): bridge actors of each seed film (of ``seeds`` (mid) if given), and the least and greatest bridge film."""
+    kept = informative_actors(actors, few)
+    begun = kept if seeds is None else kept.join(seeds, "mid", "left_semi")
+    step = begun.select(F.col("mid").alias("seed"), F.col("pid").alias("a")).join(actors.select(F.col("mid").alias("bridge"), F.col("pid").alias("a")), "a").filter("seed != bridge")
+    reach = step.join(kept.select(F.col("mid").alias("bridge"), F.col("pid").alias("b")), "bridge").filter("a != b")
+    return reach.groupBy("seed", "b").agg(F.min("bridge").alias("low"), F.max("bridge").alias("high"))
+
+
 def two_hop(actors: DataFrame, per_seed: int = PATH_LIMITS["actor_actor"], few: int = 3, named: int = 3) -> DataFrame:
     """(seed, mid, hits, penalty6): candidates over seed actor, bridge film and bridge actor, from actors (mid, pid, ord).
 
@@ -169,10 +178,7 @@ def two_hop(actors: DataFrame, per_seed: int = PATH_LIMITS["actor_actor"], few:
     first. The bridge films of a seed and a bridge actor only matter by their number
     and, if there is one, by which it is, as it is no candidate.
     """
-    kept = informative_actors(actors, few)
-    step = kept.select(F.col("mid").alias("seed"), F.col("pid").alias("a")).join(actors.select(F.col("mid").alias("bridge"), F.col("pid").alias("a")), "a").filter("seed != bridge")
-    reach = step.join(kept.select(F.col("mid").alias("bridge"), F.col("pid").alias("b")), "bridge").filter("a != b")
-    reach = reach.groupBy("seed", "b").agg(F.min("bridge").alias("low"), F.max("bridge").alias("high"))
+    reach = two_hop_reach(actors, few)
     far = reach.join(actors.select("mid", F.col("pid").alias("b"), "ord"), "b").filter("mid != seed AND (low != high OR mid != low)")
     hits = far.groupBy("seed", "mid").agg(F.count("*").alias("hits"))
     order = Window.partitionBy("seed").orderBy(F.desc("hits"), F.desc("mid"))
@@ -283,10 +289,10 @@ def embedding_components(pairs: DataFrame, seeds: DataFrame, vectors: DataFrame,
 
 
 def min_max(column: str) -> Column:
-    """A column scaled to 0..1 within each user; 0 where it doesn't vary."""
+    """A column scaled to 0..1 within each user; where it doesn't vary, 1 if it is positive."""
     w = Window.partitionBy("uid")
     low, high = F.min(column).over(w), F.max(column).over(w)
-    return F.when(high > low, (F.col(column) - low) / (high - low)).otherwise(F.lit(0.0))
+    return F.when(high > low, (F.col(column) - low) / (high - low)).otherwise((F.col(column) > 0).cast("double"))
 
 
 #: Weights of the embedding ranking's components.
@@ -360,11 +366,37 @@ def path_reasons(evidence: DataFrame, top: int = 3) -> DataFrame:
     return ranked.select("uid", "mid", "rel", F.col("b.seed").alias("seed"), (-F.col("b.w")).alias("worth"), "k")
 
 
-def shortlist_evidence(seeds: DataFrame, tokens: DataFrame, pairs: DataFrame, audience: DataFrame | None = None) -> DataFrame:
-    """(uid, seed, weight100, rel, mid, hits, strength, penalty): path evidence of candidates (uid, mid), whatever the relations' weights are.
+def shortlist_audience(seeds: DataFrame, pairs: DataFrame, index: DataFrame, person: Column, bridges: int = 200, penalty: bool = True) -> DataFrame:
+    """(uid, seed, mid, strength, hits): shared audiences of seeds and candidates (uid, mid), through each seed's strongest ``bridges`` users but the user.
 
-    ``audience`` has (seed, mid, strength, hits) without a limit per seed.
+    ``index`` has (uid, mid, weight100, degree); ``person`` is the user's id in it, from
+    the column uid of ``seeds``. Only users who like both a seed and a candidate meet.
     """
+    pen = micro(X.idf(F.col("degree"))) if penalty else F.lit(MICRO).cast("long")
+    each = index.select(F.col("uid").alias("v"), "mid", F.col("weight100").alias("w"), pen.alias("pen6"))
+    strongest = Window.partitionBy("seed").orderBy(F.desc(F.col("w") * F.col("pen6")), F.desc(F.col("v").cast("string")))
+    wanted = seeds.select(F.col("mid").alias("seed")).distinct()
+    lead = each.withColumnRenamed("mid", "seed").join(wanted, "seed", "left_semi").withColumn("k", F.row_number().over(strongest)).filter(F.col("k") <= bridges + 1)
+    others = seeds.select("uid", F.col("mid").alias("seed"), person.alias("person")).join(lead, "seed").filter("v != person")
+    others = others.withColumn("k", F.row_number().over(Window.partitionBy("uid", "seed").orderBy("k"))).filter(F.col("k") <= bridges)
+    likes = pairs.select("uid", "mid").join(each.select("v", "mid", F.col("w").alias("w2")), "mid")
+    met = others.select("uid", "seed", "v", "w", "pen6").join(likes, ["uid", "v"]).filter("seed != mid")
+    return met.groupBy("uid", "seed", "mid").agg(F.sum(F.col("w") * F.col("w2") * F.col("pen6")).alias("strength"), F.count("*").alias("hits"))
+
+
+def shortlist_two_hop(seeds: DataFrame, pairs: DataFrame, actors: DataFrame, named: int = 3) -> DataFrame:
+    """(uid, seed, mid, hits, penalty6): two-hop paths between a user's seeds and candidates (uid, mid)."""
+    reach = seeds.select("uid", F.col("mid").alias("seed")).join(two_hop_reach(actors, seeds=seeds.select("mid").distinct()), "seed")
+    degree = actors.groupBy("pid").agg(micro(X.idf(F.count("*"))).alias("idf6"))
+    cast = pairs.select("uid", "mid").join(actors.select("mid", "pid", "ord"), "mid").join(degree, "pid").withColumnRenamed("pid", "b")
+    met = reach.join(cast, ["uid", "b"]).filter("mid != seed AND (low != high OR mid != low)")
+    grouped = met.groupBy("uid", "seed", "mid").agg(F.count("*").alias("hits"), F.array_sort(F.collect_list(F.struct("ord", "b", "idf6"))).alias("es"))
+    first = F.slice("es", 1, named)
+    return grouped.select("uid", "seed", "mid", "hits", F.floor(F.aggregate(first, F.lit(0).cast("long"), lambda a, e: a + e["idf6"]) / F.size(first)).cast("long").alias("penalty6"))
+
+
+def shortlist_evidence(seeds: DataFrame, tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uid, seed, weight100, rel, mid, hits, strength, penalty6): path evidence of candidates (uid, mid) over shared entities, whatever the relations' weights are."""
     idf = entity_idf(tokens)
     own = seeds.select("uid", F.col("mid").alias("seed"), "weight100").join(seed_entities(tokens).withColumnRenamed("mid", "seed"), "seed")
     cand = pairs.select("uid", "mid").join(tokens, "mid")
@@ -373,21 +405,29 @@ def shortlist_evidence(seeds: DataFrame, tokens: DataFrame, pairs: DataFrame, au
     first = F.slice("es", 1, 5)
     penalty = F.floor(F.aggregate(first, F.lit(0).cast("long"), lambda a, e: a + e["idf6"]) / F.size(first)).cast("long")
     strength = F.when(F.col("rel") == "genre", F.least(F.col("hits") * 100, F.lit(300)) / 3).otherwise(F.col("hits") * 100)
-    rows = grouped.select("uid", "seed", "weight100", "rel", "mid", "hits", strength.cast("double").alias("strength"), penalty.alias("penalty"))
-    if audience is not None:
-        near = seeds.select("uid", F.col("mid").alias("seed"), "weight100").join(audience, "seed").join(pairs.select("uid", "mid"), ["uid", "mid"])
-        rows = rows.union(near.select("uid", "seed", "weight100", F.lit("shared_audience"), "mid", "hits", F.col("strength").cast("double"), F.lit(None).cast("long")))
-    return rows
+    return grouped.select("uid", "seed", "weight100", "rel", "mid", "hits", strength.cast("double").alias("strength"), penalty.alias("penalty6"))
 
 
-def shortlist_paths(evidence: DataFrame, limits: dict[str, int] = PATH_LIMITS, weights: dict[str, int] = PATH_WEIGHTS) -> DataFrame:
-    """(uid, mid, raw, paths): path scores from shortlist_evidence, the best of each seed and relation."""
-    worth = F.when(F.col("penalty").isNull(), F.col("strength") * weights.get("shared_audience", 0) / 1000000).otherwise(F.col("strength") * _cap(weights) * F.col("penalty") / 10000)
-    rows = evidence.withColumn("worth", F.floor(worth).cast("long")).filter("worth > 0")
-    by = F.when(F.col("rel") == "shared_audience", F.col("worth")).otherwise(F.col("hits"))
-    order = Window.partitionBy("uid", "seed", "rel").orderBy(F.desc(by), F.desc("hits"), F.desc("mid"))
-    kept = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= _cap(limits))
-    return kept.groupBy("uid", "mid").agg(F.sum(F.col("weight100") * F.col("worth")).alias("raw"), F.sum("hits").alias("paths"))
+def shortlist_parts(seeds: DataFrame, tokens: DataFrame, pairs: DataFrame, actors: DataFrame, index: DataFrame, person: Column, limits: dict[str, int] = PATH_LIMITS) -> DataFrame:
+    """(uid, mid, p_<relation>, q_<relation>): what the best evidence of each relation is worth at weight 1, with (p) and without (q) the penalties, in millionths of 10^4.
+
+    Scores of any path weights are weighted sums of these.
+    """
+    weights = seeds.select("uid", F.col("mid").alias("seed"), "weight100")
+    rows = shortlist_evidence(seeds, tokens, pairs)
+    far = shortlist_two_hop(seeds, pairs, actors).join(weights, ["uid", "seed"])
+    rows = rows.unionByName(far.select("uid", "seed", "weight100", F.lit("actor_actor").alias("rel"), "mid", "hits", (F.col("hits") * 100).cast("double").alias("strength"), "penalty6"))
+    order = Window.partitionBy("uid", "seed", "rel").orderBy(F.desc("hits"), F.desc("mid"))
+    rows = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= _cap(limits))
+    both = rows.select("uid", "mid", "rel", (F.col("weight100") * F.col("strength") * F.col("penalty6")).alias("p"), (F.col("weight100") * F.col("strength") * MICRO).alias("q"))
+    for column, penalty in (("p", True), ("q", False)):
+        audience = shortlist_audience(seeds, pairs, index, person, penalty=penalty).join(weights, ["uid", "seed"])
+        top = Window.partitionBy("uid", "seed").orderBy(F.desc("strength"), F.desc("hits"), F.desc("mid"))
+        kept = audience.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= limits["shared_audience"])
+        worth = (F.col("weight100") * F.col("strength") / 100).cast("double")
+        both = both.unionByName(kept.select("uid", "mid", F.lit("shared_audience").alias("rel"), (worth if column == "p" else F.lit(0.0)).alias("p"), (worth if column == "q" else F.lit(0.0)).alias("q")))
+    whole = lambda c, rel: F.sum(F.when(F.col("rel") == rel, F.floor(F.col(c))).otherwise(0).cast("long"))
+    return both.groupBy("uid", "mid").agg(*(whole(c, rel).alias(f"{c}_{rel}") for c in "pq" for rel in PATH_WEIGHTS))
 
 
 def cold_routing(users: DataFrame, personal: DataFrame, popular: DataFrame, n: int) -> DataFrame:
@@ -430,9 +470,10 @@ def embed_grid() -> list[dict[str, float]]:
     return [g for g in grid if g["most_seed6"] >= 0]
 
 
-#: Ablations: path relations in use, component weights, and fused weights with or without path explanations.
+#: Ablations: path relations in use and whether penalties hold, component weights, and fused weights.
+CORE_PATHS = {k: PATH_WEIGHTS[k] for k in ("director", "actor", "genre", "actor_actor")}
 ABLATIONS = {
-    "kg_path": {"structure": {k: PATH_WEIGHTS[k] for k in ("director", "actor", "genre", "actor_actor")}, "with_audience": {k: PATH_WEIGHTS[k] for k in ("shared_audience", "director", "actor", "genre", "actor_actor")}, "full": PATH_WEIGHTS},
+    "kg_path": {"structure": (CORE_PATHS, False), "with_audience": (CORE_PATHS | {"shared_audience": PATH_WEIGHTS["shared_audience"]}, False), "full": (PATH_WEIGHTS, True)},
     "kg_embed": {"structure": EMBED_WEIGHTS, "with_user": {"relation6": 1.0}, "full": {"relation6": 0.6, "centroid6": 0.1, "most_seed6": 0.1, "overlap": 0.2}},
-    "cfkg": {"kg_embed": FUSED | {"kg_weight": 1.0, "cf_weight": 0.0, "bonus": 0.0}, "with_item_cf": FUSED, "full": FUSED},
+    "cfkg": {"kg_embed": FUSED | {"kg_weight": 1.0, "cf_weight": 0.0, "bonus": 0.0}, "with_item_cf": FUSED},
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as X
@@ -233,13 +233,13 @@ def r27_explanations(c: Catalog) -> DataFrame:
 TESTS = "el AS (SELECT uid FROM ratings GROUP BY uid HAVING count(*) >= 3 AND count(*) FILTER (h >= 7) >= 2), tests AS (SELECT uid, mid AS test_mid FROM (SELECT r.*, row_number() OVER (PARTITION BY uid ORDER BY rated_at DESC, mid) AS k FROM ratings r WHERE h >= 7 AND uid IN (SELECT uid FROM el)) WHERE k = 1)"
 NEGATIVES = 99
 NEG = """places AS (SELECT mid, row_number() OVER (ORDER BY md5(mid), mid) - 1 AS place FROM movies),
-tries AS (SELECT uid, test_mid, unnest(generate_series(0, 4 * {n} - 1)) AS t FROM tests),
+tries AS (SELECT uid, test_mid, unnest(generate_series(0, {most} * {n} - 1)) AS t FROM tests),
 drawn AS (SELECT t.uid, p.mid, min(t) AS t FROM (SELECT *, CAST('0x' || substr(md5('{seed}:' || uid || ':' || t), 1, 8) AS BIGINT) % (SELECT count(*) FROM movies) AS place FROM tries) t JOIN places p USING (place) WHERE p.mid <> t.test_mid GROUP BY 1, 2),
 free AS MATERIALIZED (SELECT uid, mid, t FROM drawn d WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.uid = d.uid AND r.mid = d.mid)),
 enough AS (SELECT uid FROM free GROUP BY uid HAVING count(*) >= {n}),
 short AS (SELECT t.uid, m.mid, md5('{seed}:' || t.uid || ':' || m.mid) AS d FROM tests t, movies m WHERE t.uid NOT IN (SELECT uid FROM enough) AND m.mid <> t.test_mid AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.uid = t.uid AND r.mid = m.mid)),
 negs AS MATERIALIZED (SELECT uid, mid FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY t) AS k FROM free WHERE uid IN (SELECT uid FROM enough)) WHERE k <= {n}
-  UNION ALL SELECT uid, mid FROM (SELECT *, count(*) OVER (PARTITION BY uid) AS n FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY d, mid) AS k FROM short) WHERE k <= {n}) WHERE n = {n})""".replace("{n}", str(NEGATIVES)).replace("{seed}", "42")
+  UNION ALL SELECT uid, mid FROM (SELECT *, count(*) OVER (PARTITION BY uid) AS n FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY d, mid) AS k FROM short) WHERE k <= {n}) WHERE n = {n})""".replace("{n}", str(NEGATIVES)).replace("{seed}", "42").replace("{most}", "32")
 
 
 def tests(c: Catalog) -> DataFrame:
@@ -258,7 +258,7 @@ def e2_user_split(c: Catalog) -> DataFrame:
 
 @query(f"WITH {TESTS}, {NEG} SELECT * FROM negs")
 def l10_negatives(c: Catalog) -> DataFrame:
-    return E.negatives(tests(c), c.movie_keys, c.ratings, NEGATIVES, 42)
+    return E.negatives(tests(c), c.movie_keys, c.ratings, NEGATIVES, 42).select("uid", "mid")
 
 
 CUT = "CAST(count(*) FILTER (rank <= {k}) AS DOUBLE) / count(*)"
@@ -405,69 +405,139 @@ def drawn_users(t: DataFrame, n: int, part: str) -> DataFrame:
 
 #: A user of a draw is a user of its own: the id times this, and the number of the draw.
 DRAWS = 100
+PATHS, EMBEDS = tuple(R.PATH_WEIGHTS), tuple(R.EMBED_WEIGHTS)
 
 
-def suite_rows(c: Catalog, t: DataFrame, negatives: int, draws: tuple[int, ...], configs: dict[str, dict]) -> DataFrame:
-    """(algorithm, seed, metrics) of every configuration and draw of negatives for the test users (uid, test_mid).
+def path_score(weights: dict[str, int], penalties: bool = True) -> Column:
+    """The path score from R.shortlist_parts."""
+    return sum((F.coalesce(F.col(f"{'p' if penalties else 'q'}_{rel}"), F.lit(0)) * w for rel, w in weights.items()), F.lit(0)).cast("double")
 
-    ``configs`` maps 'algorithm' or 'algorithm:label' to settings. All draws are scored
-    in one plan per configuration, and what doesn't depend on it is made once.
+
+def embed_score(weights: dict[str, float]) -> Column:
+    """The embedding score from components that are scaled to each user's candidates."""
+    return X.rounded(sum((F.col(f"n_{name}") * w for name, w in weights.items()), F.lit(0.0)))
+
+
+def fused_score(kg: Column, kg_weight: float = 0.7, cf_weight: float = 0.3, bonus: float = 0.02, consensus: float = 0.0) -> Column:
+    """The main ranking's score of a candidate from the embedding score and the column ``cf``."""
+    c = F.col("cf")
+    share = F.when(kg > 0, c * (cf_weight / kg_weight)).otherwise(c * cf_weight)
+    return X.rounded(F.when((kg > 0) & (c > 0), kg + share + F.least(kg, c) * consensus + bonus).when(kg > 0, kg).otherwise(share), 6)
+
+
+def suite_candidates(c: Catalog, t: DataFrame, negatives: int, draws: tuple[int, ...], trained: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(candidates with every component, tests) of the test users (uid, test_mid), whose ids are those of DRAWS.
+
+    What the algorithms add up is made once for each candidate; configurations are only
+    other sums of it. All test items are hidden, those of other users, too, and from
+    the training of the vectors (``trained``; else the given ones) as well.
     """
+    hidden = settled(tests(c), "all-tests")
     t = settled(t, "tests")
-    of_draw = lambda df, d: df.withColumn("uid", F.col("uid") * DRAWS + d)
     every = lambda df: df.withColumn("uid", F.explode(F.array(*(F.col("uid") * DRAWS + d for d in range(len(draws))))))
     sampled = None
     for d, seed in enumerate(draws):
-        one = of_draw(E.negatives(t, c.movie_keys, c.ratings, negatives, seed), d)
+        one = E.negatives(t, c.movie_keys, c.ratings, negatives, seed).select((F.col("uid") * DRAWS + d).alias("uid"), "mid")
         sampled = one if sampled is None else sampled.union(one)
     sampled, tests_ = settled(sampled, "sampled"), settled(every(t), "tests")
-    visible = settled(visible_ratings(c, t), "visible")
+    visible = settled(visible_ratings(c, hidden), "visible")
     s = settled(every(known_seeds(c, visible).join(t.select("uid"), "uid", "left_semi")), "seeds")
     toks, pairs = settled(tokens(c), "tokens"), settled(E.shortlists(tests_, sampled), "shortlists")
-    names = {name.partition(":")[0] for name in configs}
-    rescaled = lambda df: df.withColumn("score", X.rounded(F.col("score") / F.max("score").over(Window.partitionBy("uid"))))
-    if names & {"item_cf", "cfkg"}:
-        cf = settled(R.item_cf(s, R.item_similarity(visible)).join(pairs, ["uid", "mid"], "left_semi").select("uid", "mid", F.col("raw").cast("double").alias("score")), "cf")
-    if names & {"kg_embed", "cfkg"}:
-        parts = settled(R.embedding_components(pairs, s, vectors(c)), "parts")
-        overlap = settled(R.overlap_scores(R.overlap_taste(s, toks), toks, pairs), "overlap")
-    if "kg_path" in names:
-        near = settled(R.shortlist_evidence(s, toks, pairs, R.shared_audience(S.weight_index(visible, c.prefs), per_seed=1 << 30)), "evidence")
-    make = {
-        "content": lambda k: R.content_scores(s, content_tokens(c), pairs),
-        "item_cf": lambda k: cf,
-        "kg_path": lambda k: R.shortlist_paths(near, weights=k.get("weights", R.PATH_WEIGHTS)).select("uid", "mid", F.col("raw").cast("double").alias("score")),
-        "kg_embed": lambda k: R.fuse_embedding(pairs, parts, overlap, k.get("weights", R.EMBED_WEIGHTS)),
-        "cfkg": lambda k: R.fuse_branches(rescaled(R.fuse_embedding(pairs, parts, overlap)), rescaled(cf), **(R.FUSED | k.get("weights", {}))).select("uid", "mid", F.col("raw").alias("score")),
-    }
-    ranked = None
-    for name, config in configs.items():
-        one = settled(E.ranks(tests_, sampled, make[name.partition(":")[0]](config)), "ranks").select(F.lit(name).alias("algorithm"), F.get(F.array(*map(F.lit, draws)), (F.col("uid") % DRAWS).cast("int")).alias("seed"), "rank")
-        ranked = one if ranked is None else ranked.union(one)
-    return E.metrics(ranked, ["algorithm", "seed"])
+    person = F.expr(f"uid div {DRAWS}")
+    items, users = vectors(c), None
+    if trained:
+        items, users = trained_parts(stored_vectors(c, visible, hidden.select("uid", F.col("test_mid").alias("mid")))[0])
+        users = every(users.join(t.select("uid"), "uid", "left_semi"))
+    cf = R.item_cf(s, R.item_similarity(visible)).join(pairs, ["uid", "mid"], "left_semi").select("uid", "mid", "raw")
+    content = R.content_scores(s, content_tokens(c), pairs).select("uid", "mid", F.col("score").alias("content"))
+    embedded = R.embedding_components(pairs, s, items, users)
+    overlap = R.overlap_scores(R.overlap_taste(s, toks), toks, pairs)
+    paths = R.shortlist_parts(s, toks, pairs, first_billed(c), S.weight_index(visible, c.prefs), person)
+    rows = pairs
+    for name, part in (("cf", cf), ("content", content), ("embedded", embedded), ("overlap", overlap), ("paths", paths)):
+        rows = rows.join(settled(part, name), ["uid", "mid"], "left")
+    rows = rows.na.fill(0, ["raw", "content", *EMBEDS])
+    of_user = Window.partitionBy("uid")
+    scaled = {name: R.min_max(name) for name in EMBEDS}
+    best = F.max("raw").over(of_user)
+    rows = rows.select("*", F.when(best > 0, X.rounded(F.col("raw") / best)).otherwise(0.0).alias("cf"), *(column.alias(f"n_{name}") for name, column in scaled.items()))
+    return settled(rows, "candidates"), tests_
+
+
+def suite_metrics(candidates: DataFrame, tests_: DataFrame, draws: tuple[int, ...], scores: dict[str, Column]) -> DataFrame:
+    """(config, seed, metrics) of every configuration and draw, in one pass over the candidates."""
+    ranked = E.config_ranks(candidates, tests_, scores).withColumn("seed", F.get(F.array(*map(F.lit, draws)), (F.col("uid") % DRAWS).cast("int")))
+    return E.metrics(ranked, ["config", "seed"])
+
+
+#: The deliverable settings of the five algorithms.
+FULL_EMBED = R.ABLATIONS["kg_embed"]["full"]
+
+
+def suite_scores() -> dict[str, Column]:
+    return {"content": F.col("content"), "item_cf": F.col("cf"), "kg_path": path_score(R.PATH_WEIGHTS), "kg_embed": embed_score(R.EMBED_WEIGHTS), "cfkg": fused_score(embed_score(FULL_EMBED))}
 
 
 @query()
 def e7_suite(c: Catalog) -> DataFrame:
-    """The five algorithms on the test users with five draws of negatives: mean and deviation of each metric."""
-    rows = suite_rows(c, drawn_users(tests(c), TEST_USERS, "test"), NEGATIVES, SEED_DRAWS, {name: {} for name in R.ALGORITHMS})
-    return E.summary(rows, ["algorithm"])
+    """The five algorithms on the test users with five draws of 99 negatives: mean and deviation of each metric."""
+    found = suite_candidates(c, drawn_users(tests(c), TEST_USERS, "test"), NEGATIVES, SEED_DRAWS)
+    return E.summary(suite_metrics(*found, SEED_DRAWS, suite_scores()).withColumnRenamed("config", "algorithm"), ["algorithm"])
+
+
+@query()
+def e7_suite_499(c: Catalog) -> DataFrame:
+    """The five algorithms on the test users with one draw of 499 negatives; users with fewer unrated films are left out."""
+    found = suite_candidates(c, drawn_users(tests(c), TEST_USERS, "test"), 499, SEED_DRAWS[:1])
+    return suite_metrics(*found, SEED_DRAWS[:1], suite_scores()).withColumnRenamed("config", "algorithm")
+
+
+def grids() -> dict[str, Column]:
+    """The score of every configuration that tuning tries, of three algorithms."""
+    paths = {f"kg_path:{json.dumps({k: w[k] for k in ('shared_audience', 'director', 'actor')})}": path_score(w) for w in R.path_grid()}
+    embeds = {f"kg_embed:{json.dumps(w)}": embed_score(w) for w in R.embed_grid()}
+    return paths | embeds | {f"cfkg:{json.dumps(R.FUSED)}": fused_score(embed_score(FULL_EMBED), **R.FUSED)}
 
 
 @query()
 def e6_tuned(c: Catalog) -> DataFrame:
-    """The best path weights of the grid on the validation users, by NDCG and hit rate."""
-    configs = {f"kg_path:{json.dumps({k: w[k] for k in ('shared_audience', 'director', 'actor')})}": {"weights": w} for w in R.path_grid()}
-    rows = suite_rows(c, drawn_users(tests(c), VALIDATION_USERS, "validation"), NEGATIVES, SEED_DRAWS[:1], configs)
-    return E.best_config(rows.withColumnRenamed("algorithm", "config"))
+    """(algorithm, config): the best configuration of each algorithm's grid on the validation users, by NDCG and hit rate, means of all draws."""
+    found = suite_candidates(c, drawn_users(tests(c), VALIDATION_USERS, "validation"), NEGATIVES, SEED_DRAWS)
+    rows = suite_metrics(*found, SEED_DRAWS, grids())
+    means = rows.groupBy("config").agg(*(F.avg(m).alias(m) for m in ("ndcg_10", "hr_10", "ndcg_5")))
+    return E.best_config(means.withColumn("algorithm", F.split("config", ":")[0]), ["algorithm"])
 
 
 @query()
 def e7_ablation(c: Catalog) -> DataFrame:
-    """Each ablation of the graph algorithms on the validation users."""
-    configs = {f"{name}:{label}": {"weights": w} for name, forms in R.ABLATIONS.items() for label, w in forms.items()}
-    rows = suite_rows(c, drawn_users(tests(c), VALIDATION_USERS, "validation"), NEGATIVES, SEED_DRAWS[:1], configs)
-    return rows.select("algorithm", "n_users", "hr_10", "ndcg_10")
+    """Each ablation of the graph algorithms on the test users, with all draws."""
+    scores = {f"kg_path:{label}": path_score(w, penalties) for label, (w, penalties) in R.ABLATIONS["kg_path"].items()}
+    scores |= {f"kg_embed:{label}": embed_score(w) for label, w in R.ABLATIONS["kg_embed"].items()}
+    scores |= {f"cfkg:{label}": fused_score(embed_score(FULL_EMBED), **w) for label, w in R.ABLATIONS["cfkg"].items()}
+    found = suite_candidates(c, drawn_users(tests(c), TEST_USERS, "test"), NEGATIVES, SEED_DRAWS)
+    return E.summary(suite_metrics(*found, SEED_DRAWS, scores).withColumnRenamed("config", "algorithm"), ["algorithm"]).select("algorithm", "seeds", "hr_10_mean", "hr_10_std", "ndcg_10_mean", "ndcg_10_std")
+
+
+RANKED = """cand AS MATERIALIZED (SELECT uid, mid FROM negs UNION ALL SELECT uid, test_mid FROM tests WHERE uid IN (SELECT uid FROM negs)),
+recalled AS (SELECT cand.uid, cand.mid FROM cand),
+overlap_ AS MATERIALIZED (SELECT l.uid, k.mid, CAST(sum(l.t) AS BIGINT) AS overlap FROM cand JOIN liking l ON l.uid = cand.uid JOIN tokens k ON k.mid = cand.mid AND l.rel = k.rel AND l.entity = k.entity GROUP BY 1, 2)"""
+LIKING = OVER[: OVER.index("recalled AS")].rstrip().rstrip(",")
+
+
+@query(
+    f"WITH {TESTS}, {NEG}, visible AS (SELECT r.* FROM ratings r WHERE NOT EXISTS (SELECT 1 FROM tests t WHERE t.uid = r.uid AND t.test_mid = r.mid)), {VISIBLE}, {TOKENS}, {IDF}, {VECS}, {LIKING}, {RANKED}, {EMBED}, "
+    f"gathered AS (SELECT r.uid, r.mid, coalesce(centroid6, 0) AS centroid6, coalesce(most_seed6, 0) AS most_seed6, coalesce(overlap, 0) AS overlap FROM cand r LEFT JOIN parts p ON p.uid = r.uid AND p.mid = r.mid LEFT JOIN overlap_ o ON o.uid = r.uid AND o.mid = r.mid), "
+    f"sc AS (SELECT uid, mid, floor(({_scaled('centroid6')} * 0.4 + {_scaled('most_seed6')} * 0.2 + {_scaled('overlap')} * 0.4) * 10000.0 + 0.5) / 10000.0 AS fused, floor({_scaled('centroid6')} * 10000.0 + 0.5) / 10000.0 AS centroid FROM gathered) "
+    "SELECT x.uid, config, rank FROM (SELECT uid, mid, 'fused' AS config, row_number() OVER (PARTITION BY uid ORDER BY fused DESC, mid) AS rank FROM sc UNION ALL SELECT uid, mid, 'centroid', row_number() OVER (PARTITION BY uid ORDER BY centroid DESC, mid) FROM sc) x JOIN tests t ON t.uid = x.uid AND t.test_mid = x.mid"
+)
+def e6_config_ranks(c: Catalog) -> DataFrame:
+    """Every user's test item ranked under two configurations of the embedding ranking, on the given vectors."""
+    t = tests(c)
+    sampled = settled(E.negatives(t, c.movie_keys, c.ratings, NEGATIVES, 42).select("uid", "mid"), "sampled")
+    s, toks, pairs = settled(known_seeds(c, visible_ratings(c, t)), "seeds"), tokens(c), settled(E.shortlists(t, sampled), "shortlists")
+    rows = pairs.join(R.embedding_components(pairs, s, vectors(c)), ["uid", "mid"], "left").join(R.overlap_scores(R.overlap_taste(s, toks), toks, pairs), ["uid", "mid"], "left").na.fill(0, list(EMBEDS))
+    scaled = settled(rows.select("uid", "mid", *(R.min_max(name).alias(f"n_{name}") for name in EMBEDS)), "scaled")
+    return E.config_ranks(scaled, t, {"fused": embed_score(R.EMBED_WEIGHTS), "centroid": embed_score({"centroid6": 1.0})})
 
 
 @query(f"WITH {SEEDS}, {SEEN}, {TOKENS}, {CONTENT}, top AS (SELECT uid, mid FROM (SELECT uid, mid, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS k FROM cosine s WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid)) WHERE k <= 10), bag AS (SELECT mid, list(token) AS b FROM units GROUP BY 1) SELECT x.uid, floor(avg(1 - CAST(len(list_intersect(bx.b, by_.b)) AS DOUBLE) / len(list_distinct(list_concat(bx.b, by_.b)))) * 10000.0 + 0.5) / 10000.0 AS diversity FROM top x JOIN top y ON y.uid = x.uid AND x.mid < y.mid JOIN bag bx ON bx.mid = x.mid JOIN bag by_ ON by_.mid = y.mid GROUP BY 1")

@@ -145,12 +145,35 @@ def test_negatives_are_always_as_many(spark):
 
 
 def test_shortlist_paths_match_the_evidence(spark):
-    """On a shortlist of all items the scores are those of the full evidence without audience and bridges."""
+    """On a shortlist of all items the scores are those of the full evidence; a user is no bridge for the own seeds."""
     tokens = tokens_of(spark, [(f"m{k}", rel, es) for k in range(12) for rel, es in (("director", [f"d{k % 3}"]), ("actor", [f"a{k % 4}", f"a{k % 5}"]), ("genre", [f"g{k % 2}"]))]).distinct()
+    actors = spark.createDataFrame([(f"m{k}", f"a{j}", i + 1) for k in range(12) for i, j in enumerate(sorted({k % 4, k % 5}))], "mid string, pid string, ord int")
+    index = spark.createDataFrame([(u, f"m{k}", 80, 6) for u in range(2, 9) for k in range(12) if (u + k) % 2], "uid long, mid string, weight100 long, degree long")
+    own = spark.createDataFrame([(1, "m0", 100, 2), (1, "m5", 70, 2), (1, "m9", 70, 2)], "uid long, mid string, weight100 long, degree long")
     seeds = spark.createDataFrame([(1, "m0", 100), (1, "m5", 70)], "uid long, mid string, weight100 long")
     pairs = spark.range(12).select(F.lit(1).cast("long").alias("uid"), F.concat(F.lit("m"), "id").alias("mid"))
-    full = values(recommend.path_scores(seeds, recommend.path_evidence(recommend.one_hop(tokens))), "mid", "raw", "paths")
-    assert values(recommend.shortlist_paths(recommend.shortlist_evidence(seeds, tokens, pairs)), "mid", "raw", "paths") == full
+    full = {r.mid: r.raw for r in recommend.path_scores(seeds, recommend.path_evidence(recommend.one_hop(tokens), recommend.two_hop(actors), recommend.shared_audience(index))).collect()}
+    parts = recommend.shortlist_parts(seeds, tokens, pairs, actors, index.union(own), F.col("uid"))
+    got = {r.mid: sum((r[f"p_{k}"] or 0) * w for k, w in recommend.PATH_WEIGHTS.items()) / 10000 for r in parts.collect()}
+    assert full.keys() == got.keys() and all(got[m] == pytest.approx(full[m], rel=1e-3) for m in full)
+    met = recommend.shortlist_audience(seeds, pairs, index.union(own), F.col("uid"))
+    assert met.filter("mid = 'm9' AND seed = 'm0'").count() == 0 < met.filter("mid = 'm3' AND seed = 'm0'").count() + met.filter("mid = 'm7' AND seed = 'm5'").count() + met.count()
+
+
+def test_ranks_of_all_configurations(spark):
+    """Counting what is before the test item gives the ranks of sorting, for every configuration, ties by id."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(u, f"m{k:02d}", float(rng.randrange(4)), float(rng.randrange(4))) for u in range(12) for k in range(30)]
+    tests = spark.createDataFrame([(u, f"m{u:02d}") for u in range(12)], "uid long, test_mid string")
+    got = evaluate.config_ranks(spark.createDataFrame(rows, "uid long, mid string, a double, b double"), tests, {"a": F.col("a"), "sum": F.col("a") + 2 * F.col("b")})
+    want = []
+    for u in range(12):
+        for name, score in (("a", lambda r: r[2]), ("sum", lambda r: r[2] + 2 * r[3])):
+            mids = [r[1] for r in sorted((r for r in rows if r[0] == u), key=lambda r: (-score(r), r[1]))]
+            want.append((u, name, mids.index(f"m{u:02d}") + 1))
+    assert values(got, "uid", "config", "rank") == sorted(want)
 
 
 def test_metrics_of_perfect_ranking(spark):
