@@ -86,30 +86,62 @@ def neighbourhood(edges: DataFrame, centre: str, node_limit: int, per_node: int)
     return near.select(F.lit(1).alias("hop"), "src", "dst").union(far.select(F.lit(2), "src", "dst"))
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 6) -> DataFrame:
-    """One row (hops, path) of a shortest undirected path of at most ``most`` edges; no row if there is none.
-
-    The undirected edges are written once. A frontier grows from the start a level at a
-    time; each new node keeps its smallest parent. The loop stops when the goal is in the
-    frontier; the path is read back over one row of each level.
+def shortest_paths(edges: DataFrame, asked: DataFrame, most: int = 6) -> DataFrame:
+    """(start, goal, hops, path) of a shortest undirected path of at most ``most`` edges for each asked pair (start, goal); no row where there is none.
+
+    All pairs are searched at once from both sides: a frontier row says which pair it is
+    of. In each step the side with fewer rows grows by one level, so hubs in the middle
+    are reached by the cheaper side. A pair is done when its sides meet, and takes no part in further
+    steps. Of several shortest paths the one is chosen that, read from the goal
+    back, takes the smallest node of each level, as a search from the start alone would.
     """
-    spark = edges.sparkSession
     both = settled(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "undirected")
-    levels = [spark.range(1).select(F.lit(start).alias("node"), F.lit(None).cast("string").alias("parent"))]
-    seen = levels[0].select("node")
-    for hops in range(most + 1):
-        row = levels[-1].filter(F.col("node") == goal).first()
-        if row is not None:
-            path = [goal]
-            for level in reversed(levels[:-1]):
-                path.append(row["parent"])
-                row = level.filter(F.col("node") == row["parent"]).first()
-            return spark.createDataFrame([(hops, path[::-1])], "hops int, path array<string>")
-        if hops < most:
-            step = both.join(levels[-1].select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-            levels.append(settled(step.join(seen, "node", "left_anti"), "frontier"))
-            seen = seen.union(levels[-1].select("node"))
-    return spark.createDataFrame([], "hops int, path array<string>")
+    pairs = settled(asked.select("start", "goal").filter("start IS NOT NULL AND goal IS NOT NULL").distinct(), "asked")
+    key = ["start", "goal"]
+    same = pairs.filter("start = goal").select(*key, F.lit(0).alias("hops"), F.array("start").alias("path"))
+    live = pairs.filter("start <> goal")
+    sides = {"start": [settled(live.select(*key, F.col("start").alias("node")), "frontier")], "goal": [settled(live.select(*key, F.col("goal").alias("node")), "frontier")]}
+    seen = {name: levels[0] for name, levels in sides.items()}
+    sizes = dict.fromkeys(sides, 1)
+    out = same
+    for hops in range(1, most + 1):
+        grown, rest = sorted(sides, key=lambda name: (sizes[name], name != "start"))
+        step = sides[grown][-1].join(both.withColumnRenamed("src", "node"), "node").select(*key, F.col("dst").alias("node")).distinct()
+        level = settled(step.join(seen[grown], [*key, "node"], "left_anti"), "frontier")
+        met = settled(level.join(sides[rest][-1], [*key, "node"]), "met")
+        sides[grown].append(level)
+        found = settled(met.select(*key).distinct(), "found")
+        if found.limit(1).count():
+            out = out.union(_paths(both, {name: [x.join(found, key, "left_semi") for x in levels] for name, levels in sides.items()}, met, hops))
+            sides = {name: [*levels[:-1], settled(levels[-1].join(found, key, "left_anti"), "frontier")] for name, levels in sides.items()}
+        seen[grown] = seen[grown].union(sides[grown][-1])
+        sizes = {name: levels[-1].count() for name, levels in sides.items()}
+        if not all(sizes.values()):
+            break
+    return out
+
+
+def _paths(both: DataFrame, sides: dict[str, list[DataFrame]], met: DataFrame, hops: int) -> DataFrame:
+    """The chosen paths of pairs whose sides met in the nodes of ``met``."""
+    key = ["start", "goal"]
+    half = len(sides["start"]) - 1
+    beside = lambda df, name: df.join(both.withColumnRenamed("src", "node"), "node").select(*key, F.col("dst").alias(name))
+    # From the meeting nodes towards the goal: which nodes of each level lie on a shortest path.
+    on_path = [met.select(*key, "node")]
+    for level in reversed(sides["goal"][:-1]):
+        on_path.append(settled(beside(on_path[-1], "node").distinct().join(level, [*key, "node"]), "on-path"))
+    levels = [*sides["start"][:half], *on_path]  # the place of a level is its distance from the start
+    walked = sides["goal"][0].select(*key, F.col("node").alias("at"), F.array("node").alias("path"))
+    for level in reversed(levels[:-1]):
+        step = walked.join(both.select(F.col("src").alias("at"), F.col("dst").alias("node")), "at").join(level, [*key, "node"])
+        walked = step.groupBy(*key, "path").agg(F.min("node").alias("at")).select(*key, "at", F.concat(F.array("at"), "path").alias("path"))
+    return settled(walked.select(*key, F.lit(hops).alias("hops"), "path"), "paths")
+
+
+def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 6) -> DataFrame:
+    """One row (hops, path) of a shortest undirected path between two nodes; no row if there is none."""
+    asked = edges.sparkSession.createDataFrame([(start, goal)], "start string, goal string")
+    return shortest_paths(edges, asked, most).select("hops", "path")
 
 
 def path_parts(path: DataFrame) -> DataFrame:

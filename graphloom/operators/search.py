@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.segment import query_words
+from graphloom.sources.scratch import settled
+
 
 def tokens(q: str) -> list[str]:
     """Query tokens of two or more characters; runs of Han characters as bigrams."""
@@ -24,15 +27,20 @@ def phrase(columns: list[str], q: str) -> Column:
     return hit
 
 
-def search(df: DataFrame, columns: list[str], q: str) -> DataFrame:
-    """Rows with the phrase; if there is none, rows in one of whose columns all tokens occur."""
-    exact = df.filter(phrase(columns, q))
-    if exact.take(1):
-        return exact
-    parts, hit = tokens(q), F.lit(False)
+def search(df: DataFrame, columns: list[str], q: str, words: DataFrame | None = None) -> DataFrame:
+    """Rows with the phrase; if there is none, rows in one of whose columns all tokens occur (of Han text the words of a dictionary, if given).
+
+    The table is read once: rows that match either way are written, then told apart.
+    """
+    parts, loose = tokens(q) if words is None else query_words(words, q), F.lit(False)
     for c in columns:
         every = F.lit(bool(parts))
         for t in parts:
             every &= F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(t))
-        hit |= every
-    return df.filter(hit)
+        loose |= every
+    flag = "exact"
+    while flag in df.columns:
+        flag = f"_{flag}"
+    hits = settled(df.withColumn(flag, phrase(columns, q)).filter(F.col(flag) | loose), "hits")
+    exact = hits.filter(flag)
+    return (exact if exact.limit(1).count() else hits).drop(flag)

@@ -437,7 +437,7 @@ def a33_role_merge(c: Catalog) -> DataFrame:
 def pf2_title_search(c: Catalog) -> DataFrame:
     from graphloom.operators.search import search
 
-    return search(c.movie_keys.select("mid", "name"), ["name", "content_type"], "ring, RED")
+    return search(c.movie_keys.select("mid", "name", "content_type"), ["name", "content_type"], "ring, RED").select("mid", "name")
 
 
 @query("SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<h1>((?s:.)*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title FROM pages", prelude=False)
@@ -445,3 +445,21 @@ def x20_page_headings(c: Catalog) -> DataFrame:
     from graphloom.functions.pages import inner
 
     return c.table("pages").select("page_id", inner(F.col("html"), "h1").alias("title"))
+
+
+#: Titles without their spaces, and all ways to cut them into the titles' own words; one title has few.
+SEGMENTS = """w AS (SELECT word, CAST(floor(ln(CAST(sum(count(*)) OVER () AS DOUBLE) / count(*)) * 1000000 + 0.5) AS BIGINT) AS cost FROM (SELECT unnest(string_split(name, ' ')) AS word FROM movies) WHERE len(word) BETWEEN 1 AND 16 GROUP BY word),
+runs AS (SELECT DISTINCT replace(name, ' ', '') AS run FROM movies),
+ways AS (SELECT run, 0 AS at_, CAST(0 AS BIGINT) AS cost, CAST([] AS VARCHAR[]) AS words, CAST([] AS INTEGER[]) AS backs FROM runs
+  UNION ALL SELECT run, at_ + len(w.word), ways.cost + w.cost, list_append(words, w.word), list_append(backs, -at_) FROM ways JOIN w ON substr(run, at_ + 1, len(w.word)) = w.word WHERE at_ < len(run)),
+best AS (SELECT run, words FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY cost, len(words), list_reverse(backs)) AS k FROM ways WHERE at_ = len(run)) WHERE k = 1)"""
+
+
+@query(f"WITH RECURSIVE {SEGMENTS} SELECT run, list_aggregate(words, 'string_agg', ' ') AS words FROM best")
+def pf2_segmented_titles(c: Catalog) -> DataFrame:
+    """Every title written without spaces, cut into words again by a dictionary of the titles' words."""
+    from graphloom.operators import segment as G
+
+    titles = c.table("part").select(F.col("p_name").alias("name"))
+    words = G.dictionary(titles.select(F.explode(F.split("name", " ")).alias("word")))
+    return G.segment(titles.select(F.replace("name", F.lit(" "), F.lit("")).alias("run")), words).select("run", F.array_join("words", " ").alias("words"))

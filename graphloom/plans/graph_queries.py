@@ -184,6 +184,31 @@ def g3_shortest_path(c: Catalog) -> DataFrame:
     return G.shortest_path(edges(c).filter("label <> 'HAS_GENRE'"), "movie_1", "movie_2")
 
 
+def paths_sql(edges: str, asked: str, most: int = 4) -> str:
+    """SQL of shortest paths for many pairs (the view asked), a level per hop for all starts, the smallest parent of each new node."""
+    levels = [edges, asked, "l0 AS MATERIALIZED (SELECT DISTINCT start, start AS node, CAST(NULL AS VARCHAR) AS parent FROM asked)"]
+    for k in range(1, most + 1):
+        known = " UNION ALL ".join(f"SELECT start, node FROM l{j}" for j in range(k))
+        levels.append(f"l{k} AS MATERIALIZED (SELECT start, dst AS node, min(src) AS parent FROM und JOIN l{k - 1} ON src = node WHERE NOT EXISTS (SELECT 1 FROM ({known}) s WHERE s.start = l{k - 1}.start AND s.node = dst) GROUP BY 1, 2)")
+    hits = []
+    for k in range(most + 1):
+        joins = " ".join(f"JOIN l{j} ON l{j}.start = a.start AND l{j}.node = l{j + 1}.parent" for j in range(k - 1, -1, -1))
+        hits.append(f"SELECT a.start, a.goal, {k} AS hops, [{', '.join(f'l{j}.node' for j in range(k + 1))}] AS path FROM asked a JOIN l{k} ON l{k}.start = a.start AND l{k}.node = a.goal {joins}")
+    return f"WITH {', '.join(levels)} {' UNION ALL '.join(hits)}"
+
+
+ASKED = "asked AS (SELECT 'movie_' || a.mid AS start, CASE WHEN CAST(a.mid AS BIGINT) % 3 = 0 THEN 'person_' ELSE 'movie_' END || CAST(CAST(a.mid AS BIGINT) * 7 % 89 + 1 AS VARCHAR) AS goal FROM movies a WHERE CAST(a.mid AS BIGINT) <= 100)"
+
+
+@query(paths_sql(EDGES, ASKED))
+def g3_path_pairs(c: Catalog) -> DataFrame:
+    """Shortest paths between a hundred pairs of nodes, all in one search over the whole graph."""
+    n = F.col("mid").cast("long")
+    goal = F.concat(F.when(n % 3 == 0, "person_").otherwise("movie_"), (n * 7 % 89 + 1).cast("string"))
+    asked = c.movie_keys.filter(n <= 100).select(F.concat(F.lit("movie_"), "mid").alias("start"), goal.alias("goal"))
+    return G.shortest_paths(edges(c), asked, 4)
+
+
 @query(path_sql(EDGES, "person_1", "genre_red") + " SELECT CAST(p - 1 AS INTEGER) AS pos, path[p] AS src, path[p + 1] AS dst FROM (SELECT path, unnest(generate_series(1, len(path) - 1)) AS p FROM found WHERE len(list_filter(path, lambda n: split_part(n, '_', 1) NOT IN ('movie', 'person', 'genre'))) = 0)")
 def g5_path_edges(c: Catalog) -> DataFrame:
     path = G.shortest_path(edges(c), "person_1", "genre_red")

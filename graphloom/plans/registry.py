@@ -18,7 +18,11 @@ def query(sql: str | None = None, prelude: bool = True) -> Callable:
     def register(f: Callable[[Catalog], DataFrame]) -> Callable[[Catalog], DataFrame]:
         QUERIES[f.__name__] = lambda spark, folder: f(Catalog(spark, folder))
         if sql is not None:
-            ORACLES[f.__name__] = PRELUDE + (", " + sql.strip()[5:] if sql.strip()[:5].upper() == "WITH " else sql) if prelude else sql
+            own, begin = sql.strip(), "WITH"
+            if own.upper().startswith("WITH RECURSIVE "):
+                own, begin = f"WITH {own[15:]}", "WITH RECURSIVE"
+            shared = PRELUDE.replace("WITH", begin, 1) + (f", {own[5:]}" if own[:5].upper() == "WITH " else own)
+            ORACLES[f.__name__] = shared if prelude else sql
         return f
 
     return register

@@ -292,3 +292,68 @@ def test_cohort_parts(spark):
     totals = spark.createDataFrame([(5, 2), (50, 10), (600, 10), (2000, 900), (30, 0)], "c int, w int")
     got = values(cohort.classify(totals, F.col("c"), F.col("w")).na.fill(-1, ["max_collect", "max_wish"]), "c", "category", "max_collect", "max_wish")
     assert got == [(5, "too_light", -1, -1), (30, "light_native", 30, -1), (50, "light_native", 50, 10), (600, "medium_native", 300, 10), (2000, "heavy_capped", 300, 200)]
+
+
+def test_words_of_text_without_spaces(spark):
+    """The cheapest path against all paths, unknown characters, and search words of mixed Latin and Han queries."""
+    import itertools
+
+    from graphloom.operators import segment as G
+    from graphloom.operators.search import search
+
+    counts = {"黑客": 8, "帝国": 9, "黑客帝国": 3, "客": 1, "帝": 2, "国": 5, "王": 4, "国王": 2, "的": 30, "演讲": 3, "国王的演讲": 1}
+    words = G.dictionary(spark.createDataFrame([(w,) for w, n in counts.items() for _ in range(n)], "word string"))
+    cost = {r.word: r.cost for r in words.collect()}
+
+    def best(text):
+        ways = []
+        for cuts in itertools.product((0, 1), repeat=len(text) - 1):
+            ends = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(text)]
+            parts = [text[a:b] for a, b in zip(ends, ends[1:])]
+            if all(p in cost or len(p) == 1 for p in parts):
+                ways.append((sum(cost.get(p, G.UNKNOWN) for p in parts), len(parts), [-e for e in reversed(ends[:-1])], parts))
+        return min(ways)[3]
+
+    texts = ["黑客帝国", "国王的演讲", "黑客的帝国王", "外星黑客", "国", "王国王国"]
+    got = {r.run: r.words for r in G.segment(spark.createDataFrame([(t,) for t in [*texts, "", None, "国"]], "run string"), words).collect()}
+    assert got == {t: best(t) for t in texts}
+    assert G.query_words(words, "The 黑客帝国 x2!") == ["the", "黑客", "黑客帝国", "帝国", "x2"] or set(G.query_words(words, "The 黑客帝国 x2!")) == {"the", "黑客", "黑客帝国", "帝国", "x2"}
+    films = spark.createDataFrame([("黑客与帝国", 1), ("黑客 Reloaded", 2), ("帝国时代", 3)], "name string, exact int")
+    assert [r.name for r in search(films, ["name"], "帝国 黑客", words).collect()] == ["黑客与帝国"]
+    assert [r.name for r in search(films, ["name"], "帝国时代", words).collect()] == ["帝国时代"]
+    assert G.segment(spark.createDataFrame([], "run string"), words).count() == 0
+
+
+def test_two_sided_paths(spark):
+    """Many pairs at once on random graphs: the paths of a search from one side with smallest parents."""
+    import random
+
+    rng = random.Random(17)
+    links = {tuple(rng.sample([f"n{i:02d}" for i in range(60)], 2)) for _ in range(75)} | {("hub", f"n{i:02d}") for i in range(0, 12)} | {("x", "y")}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def one_sided(start, goal, most):
+        parent, frontier = {start: None}, [start]
+        for _ in range(most):
+            step = {}
+            for a in sorted(frontier):
+                for b in near.get(a, ()):
+                    if b not in parent:
+                        step[b] = min(step.get(b, a), a)
+            parent |= step
+            frontier = list(step)
+        if goal not in parent:
+            return None
+        path = [goal]
+        while parent[path[-1]] is not None:
+            path.append(parent[path[-1]])
+        return path[::-1]
+
+    asked = {(rng.choice(sorted(near)), rng.choice(sorted(near))) for _ in range(80)} | {("n01", "n01"), ("n01", "x"), ("x", "y"), ("n01", "absent")}
+    want = {(a, b): one_sided(a, b, 5) if a != b else [a] for a, b in asked}
+    frame = spark.createDataFrame([*asked, ("n01", "n01"), (None, "x")], "start string, goal string")
+    got = {(r.start, r.goal): (r.hops, r.path) for r in graph.shortest_paths(spark.createDataFrame(sorted(links), "src string, dst string"), frame, 5).collect()}
+    assert got == {k: (len(p) - 1, p) for k, p in want.items() if p}
