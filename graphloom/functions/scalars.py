@@ -119,6 +119,21 @@ def slug_of(url: Column) -> Column:
     return F.when(~F.contains(url, F.lit("://")), F.btrim(url, F.lit("/ "))).otherwise(F.nullif(F.regexp_extract(url, "/people/([^/]+)/?", 1), F.lit("")))
 
 
+def profile_url(slug: Column, host: str) -> Column:
+    """The address of a user's profile on a host."""
+    return F.concat(F.lit(f"{host}/people/"), slug, F.lit("/"))
+
+
+def list_url(slug: Column, kind: str, start: Column, host: str) -> Column:
+    """The address of a page of a user's list, the latest first, from the item ``start``."""
+    return F.concat(F.lit(f"{host}/people/"), slug, F.lit(f"/{kind}?sort=time&start="), start.cast("string"), F.lit("&filter=all&mode=list"))
+
+
+def feed_url(slug: Column, host: str) -> Column:
+    """The address of a user's feed."""
+    return F.concat(F.lit(f"{host}/feed/people/"), slug, F.lit("/interests"))
+
+
 def local_time(slug: Column, mid: Column, kind: str, day: Column) -> Column:
     """A stable time of day for an event of which only the day is known."""
     n = F.conv(F.substring(F.sha2(F.concat_ws(":", slug, mid, F.lit(kind), day), 256), 1, 8), 16, 10).cast("long")

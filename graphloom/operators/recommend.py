@@ -54,9 +54,9 @@ def item_similarity(ratings: DataFrame, least_common: int = 2) -> DataFrame:
 
 
 def item_cf(seeds: DataFrame, similarity: DataFrame) -> DataFrame:
-    """(uid, mid, raw, best_seed): weighted similarities summed over a user's seeds (uid, mid, weight100)."""
+    """(uid, mid, raw, best_seed): weighted similarities summed over a user's seeds (uid, mid, weight100), and the most similar seed, ties by the larger weight, then id."""
     joined = seeds.select("uid", F.col("mid").alias("a"), "weight100").join(similarity, "a")
-    best = F.max(F.struct("sim6", "a"))["a"]
+    best = F.min(F.struct((-F.col("sim6")).alias("s"), (-F.col("weight100")).alias("w"), "a"))["a"]
     return joined.groupBy("uid", F.col("b").alias("mid")).agg(F.sum(F.col("weight100") * F.col("sim6")).alias("raw"), best.alias("best_seed"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of likes and wishes; ratings weigh their share of five stars.
@@ -24,6 +24,12 @@ def positive_signals(ratings: DataFrame, prefs: DataFrame, excluded: DataFrame |
     return rated.unionByName(free.select("uid", "mid", F.col("pref_type").alias("kind"), weight.alias("weight100"), F.col("created_at").alias("at")))
 
 
+def signal_weight(signal: Column, rating: Column, raw: bool = False) -> Column:
+    """A signal's weight, at least 0; without one the rating's share of five stars, or (``raw``, as content ranking has it) the stars."""
+    stars = rating.cast("double") / (1.0 if raw else 5.0)
+    return F.greatest(F.coalesce(signal.cast("double"), stars, F.lit(0.0)), F.lit(0.0))
+
+
 def capped_signals(signals: DataFrame, caps: dict[str, int]) -> DataFrame:
     """The strongest and latest signals of each kind, at most ``caps[kind]`` per user."""
     order = Window.partitionBy("uid", "kind").orderBy(F.desc("weight100"), F.desc("at"), "mid")

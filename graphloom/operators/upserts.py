@@ -51,6 +51,12 @@ def release_stale(tasks: DataFrame, now: Column, minutes: int = 30) -> DataFrame
     return tasks.withColumn("status", F.when(stale, 0).otherwise(F.col("status"))).withColumn("locked_at", F.when(~stale, F.col("locked_at")))
 
 
+def reopen(tasks: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    """All tasks; those with a key in ``keys`` are open again, whatever their status."""
+    marks = keys.select(F.col(keys.columns[0]).alias(key), F.lit(True).alias("_again")).distinct()
+    return tasks.join(marks, key, "left").withColumn("status", F.when(F.col("_again"), 0).otherwise(F.col("status"))).drop("_again")
+
+
 def finish(tasks: DataFrame, done: DataFrame, failed: DataFrame, key: str = "id") -> DataFrame:
     """Claimed tasks become done (2) or failed (3); failure wins."""
     marks = done.select(key, F.lit(2).alias("_m")).union(failed.select(key, F.lit(3))).groupBy(key).agg(F.max("_m").alias("_m"))

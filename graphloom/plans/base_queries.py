@@ -280,10 +280,14 @@ def pf8_incomplete_items(c: Catalog) -> DataFrame:
 
 @query("SELECT pid FROM persons WHERE CAST(pid AS BIGINT) % 3 = 0 AND starts_with(profession, 'A') AND contains(birthplace, 'I')")
 def pf9_incomplete_persons(c: Catalog) -> DataFrame:
+    return P.incomplete_persons(landed_persons(c)).select("pid")
+
+
+def landed_persons(c: Catalog) -> DataFrame:
+    """Persons with four facts each, some of them blank."""
     drop = lambda name, hit: F.when(~hit, F.col(name))
     number = F.col("pid").cast("long") % 3 == 0
-    people = c.persons.withColumns({"sex": F.when(~number, "x"), "biography": F.when(number, "").otherwise(F.col("name")), "profession": drop("profession", F.startswith("profession", F.lit("A"))), "birthplace": drop("birthplace", F.contains("birthplace", F.lit("I")))})
-    return P.incomplete_persons(people).select("pid")
+    return c.persons.withColumns({"sex": F.when(~number, "x"), "biography": F.when(number, "").otherwise(F.col("name")), "profession": drop("profession", F.startswith("profession", F.lit("A"))), "birthplace": drop("birthplace", F.contains("birthplace", F.lit("I")))})
 
 
 @query("SELECT o_orderkey, CASE WHEN year(o_orderdate) > 1998 THEN false WHEN year(o_orderdate) = 1998 THEN strftime(o_orderdate, '%Y-%m-%d') <= '1998-06-30' ELSE true END AS released FROM orders", prelude=False)
@@ -372,13 +376,13 @@ def x20_person_pages(c: Catalog) -> DataFrame:
     return made.select("pid", *(fields[k].alias(k) for k in ("name", "sex", "birthplace", "profession", "biography")), F.date_format(fields["birth"], "yyyy-MM-dd").alias("born"))
 
 
-@query("SELECT uid, 'U' || uid AS display_name, 'hi' AS tagline, split_part(username, '_', 1) AS location, '2007-10-12' AS joined_at, CAST(uid AS VARCHAR) AS profile_id, CAST((SELECT count(*) FROM ratings r WHERE r.uid = users.uid) AS INTEGER) AS n_collect FROM users")
+@query("SELECT uid, 'U' || uid AS display_name, 'hi' AS tagline, split_part(username, '_', 1) AS location, '2011-03-04' AS joined_at, CAST(uid AS VARCHAR) AS profile_id, CAST((SELECT count(*) FROM ratings r WHERE r.uid = users.uid) AS INTEGER) AS n_collect FROM users")
 def x24_profile_pages(c: Catalog) -> DataFrame:
     """The fields of a user's profile page, from pages that the users are written into."""
     n = c.ratings.groupBy("uid").agg(F.count("*").alias("n"))
     users = c.users.join(n, "uid", "left").na.fill(0, ["n"])
     slug = F.concat(F.lit("u"), "uid")
-    bits = [F.lit("<h1>U"), F.col("uid"), F.lit(" <span>hi</span></h1><h2>U的电影 · ( "), F.col("n"), F.lit("部看过 )</h2><div>常居: <a>"), F.split("username", "_")[0], F.lit("</a> "), F.col("uid"), F.lit(" ("), slug, F.lit(") 2007-10-12加入</div>")]
+    bits = [F.lit("<h1>U"), F.col("uid"), F.lit(" <span>hi</span></h1><h2>U的电影 · ( "), F.col("n"), F.lit("部看过 )</h2><div>常居: <a>"), F.split("username", "_")[0], F.lit("</a> "), F.col("uid"), F.lit(" ("), slug, F.lit(") 2011-03-04加入</div>")]
     made = users.select("uid", slug.alias("slug"), F.concat(*bits).alias("html"))
     fields = profile_fields(F.col("html"), F.col("slug"))
     return made.select("uid", *(fields[k].alias(k) for k in ("display_name", "tagline", "location", "joined_at", "profile_id", "n_collect")))
@@ -463,3 +467,11 @@ def pf2_segmented_titles(c: Catalog) -> DataFrame:
     titles = c.table("part").select(F.col("p_name").alias("name"))
     words = G.dictionary(titles.select(F.explode(F.split("name", " ")).alias("word")))
     return G.segment(titles.select(F.replace("name", F.lit(" "), F.lit("")).alias("run")), words).select("run", F.array_join("words", " ").alias("words"))
+
+
+@query("SELECT username, 'https://example.org/people/' || username || '/' AS profile, 'https://example.org/people/' || username || '/collect?sort=time&start=' || (uid % 5 * 30) || '&filter=all&mode=list' AS list, 'https://example.org/feed/people/' || username || '/interests' AS feed FROM users")
+def x23_addresses(c: Catalog) -> DataFrame:
+    """The addresses of every user's profile, a page of the list, and the feed, from the slug in a profile address."""
+    host = "https://example.org"
+    slug = X.slug_of(F.concat(F.lit(f"{host}/people/"), "username", F.lit("/?from=x")))
+    return c.users.select("username", X.profile_url(slug, host).alias("profile"), X.list_url(slug, "collect", F.col("uid") % 5 * 30, host).alias("list"), X.feed_url(slug, host).alias("feed"))

@@ -265,6 +265,14 @@ def r3_capped_signals(c: Catalog) -> DataFrame:
     return S.capped_signals(S.positive_signals(c.ratings, c.prefs), {"rating": 30, "like": 10, "want_to_watch": 0}).select("uid", "mid", "kind", "weight100")
 
 
+@query("SELECT coalesce(r.uid, p.uid) AS uid, coalesce(r.mid, p.mid) AS mid, coalesce(signal, r.h / 2.0, 0) AS content_weight, coalesce(signal, r.h / 2.0 / 5, 0) AS weight FROM ratings r FULL JOIN (SELECT uid, mid, max(CASE WHEN pref_type = 'like' THEN 0.7 ELSE 0.25 END) AS signal FROM prefs GROUP BY 1, 2) p ON p.uid = r.uid AND p.mid = r.mid")
+def x33_signal_weights(c: Catalog) -> DataFrame:
+    """What a mark or rating weighs for content ranking and for the others."""
+    marks = c.prefs.groupBy("uid", "mid").agg(F.max(F.when(F.col("pref_type") == "like", S.LIKE).otherwise(S.WISH)).alias("signal"))
+    both = c.ratings.select("uid", "mid", (F.col("h") / 2).alias("rating")).join(marks, ["uid", "mid"], "full")
+    return both.select("uid", "mid", S.signal_weight(F.col("signal"), F.col("rating"), raw=True).alias("content_weight"), S.signal_weight(F.col("signal"), F.col("rating")).alias("weight"))
+
+
 @query("SELECT uid, mid FROM ratings UNION SELECT uid, mid FROM prefs")
 def r4_seen_items(c: Catalog) -> DataFrame:
     return S.seen_items(c.ratings, c.prefs)

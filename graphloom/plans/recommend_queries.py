@@ -53,6 +53,13 @@ def r7_item_cf(c: Catalog) -> DataFrame:
     return R.top_per_user(R.item_cf(seeds(c), R.item_similarity(c.ratings)), 10, "raw", seen(c))
 
 
+@query(f"WITH {SEEDS}, {SEEN}, {SIM}, per AS (SELECT s.uid, b AS mid, sim6, weight100, s.mid AS seed FROM seeds s JOIN similarity ON a = s.mid), scores AS (SELECT uid, mid, CAST(sum(weight100 * sim6) AS BIGINT) AS raw FROM per GROUP BY 1, 2), ranked AS (SELECT * FROM (SELECT uid, mid, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, mid) AS rank FROM (SELECT uid, mid, floor(raw / max(raw) OVER (PARTITION BY uid) * 10000 + 0.5) / 10000 AS score FROM scores s WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = s.uid AND seen.mid = s.mid)) WHERE score > 0) WHERE rank <= 5) SELECT uid, mid, rank, seed AS best_seed FROM (SELECT r.uid, r.mid, r.rank, p.seed, row_number() OVER (PARTITION BY r.uid, r.mid ORDER BY sim6 DESC, weight100 DESC, seed) AS k FROM ranked r JOIN per p ON p.uid = r.uid AND p.mid = r.mid) WHERE k = 1")
+def w8_best_seed(c: Catalog) -> DataFrame:
+    """Each user's five best items by co-rating, with the seed that is most similar: the reason to show."""
+    scored = settled(R.item_cf(seeds(c), R.item_similarity(c.ratings)), "scored")
+    return R.top_per_user(scored, 5, "raw", seen(c)).join(scored.select("uid", "mid", "best_seed"), ["uid", "mid"]).select("uid", "mid", "rank", "best_seed")
+
+
 CONTENT = f"""units AS (SELECT mid, token, CAST(floor(10000 / sqrt(CAST(count(*) OVER (PARTITION BY mid) AS DOUBLE)) + 0.5) AS BIGINT) AS u4 FROM (SELECT DISTINCT mid, rel || ':' || entity AS token FROM tokens WHERE rel IN ('genre', 'region', 'year_bucket'))),
 taste AS (SELECT uid, token, CAST(sum(weight100 * u4) AS BIGINT) AS t FROM seeds JOIN units USING (mid) GROUP BY 1, 2),
 norm AS (SELECT uid, CAST(sum(t * t) AS BIGINT) AS n2 FROM taste GROUP BY 1),

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars as X
 from graphloom.operators import cohort as K
 from graphloom.operators import upserts as U
-from graphloom.operators.profiling import incomplete_films
-from graphloom.plans.base_queries import LANDED, landed_films
+from graphloom.operators.profiling import incomplete_films, incomplete_persons
+from graphloom.plans.base_queries import LANDED, landed_films, landed_persons
 from graphloom.plans.registry import query
 from graphloom.sources.catalog import Catalog
 
@@ -86,6 +86,19 @@ def sk20_drop_incomplete(c: Catalog) -> DataFrame:
     return U.delete(films, incomplete_films(films, 20).select("mid")).select("mid", "name")
 
 
+@query(f"WITH {TASKS}, {LANDED} SELECT id, CASE WHEN id IN (SELECT CAST(mid AS BIGINT) FROM landed WHERE score IS NOT NULL AND votes >= 20 AND (cover = '' OR storyline IS NULL)) THEN 0 ELSE status END AS status FROM tasks")
+def sk20_reset_queue(c: Catalog) -> DataFrame:
+    """The queue with the tasks of incomplete films open again, as before these are deleted."""
+    again = incomplete_films(landed_films(c), 20).select(F.col("mid").cast("long").alias("id"))
+    return U.reopen(tasks(c), again).select("id", "status")
+
+
+@query("SELECT pid, name FROM persons WHERE NOT (CAST(pid AS BIGINT) % 3 = 0 AND starts_with(profession, 'A') AND contains(birthplace, 'I'))")
+def sk20_drop_persons(c: Catalog) -> DataFrame:
+    people = landed_persons(c)
+    return U.delete(people, incomplete_persons(people).select("pid")).select("pid", "name")
+
+
 @query(f"WITH {TASKS}, c AS (SELECT max(id) AS id FROM tasks WHERE status = 0 AND id % 7 = 3) SELECT t.id, CASE WHEN t.id = c.id THEN 1 ELSE t.status END AS status, t.id = c.id AS claimed FROM tasks t, c")
 def sk16_conditional_claim(c: Catalog) -> DataFrame:
     """One task claimed on condition that it is still open."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,22 +21,41 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def write_embeddings(vectors: DataFrame, path: str) -> None:
-    """Vectors partitioned by their column ``scope``; other scopes under the path stay."""
-    vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope").parquet(path)
+def report_suffix(chosen: list[str], all_names: list[str], negatives: int, usual: int = 499) -> str:
+    """What tells a report's name apart: the algorithms if not all, the number of negatives if not the usual one."""
+    parts = [*(chosen if chosen and chosen != all_names else []), *([f"neg{negatives}"] if negatives != usual else [])]
+    return "_" + "_".join(parts) if parts else ""
 
 
-def scope_name(expanded: bool, profile: str | None) -> str:
-    """The scope of an embedding: its relations, and a digest of the profile it was trained for."""
-    import hashlib
+def next_free(spark: SparkSession, path: str) -> str:
+    """``path``, or with the first number behind its name that is not taken."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found, number = path, 0
+    while fs.exists(hadoop(found)):
+        number += 1
+        found = f"{path}_{number}"
+    return found
 
-    name = "expanded" if expanded else "core"
-    return f"{name}-{hashlib.sha1(profile.encode()).hexdigest()[:12]}" if profile else name
 
+def write_report(main: DataFrame, legacy: DataFrame, folder: str, stamp: str, suffix: str = "") -> list[str]:
+    """The paths of the current report and its legacy form, overwritten, and of copies of both under ``history`` that overwrite nothing.
 
-def write_report(metrics: DataFrame, path: str) -> None:
-    """Metrics as JSON lines in one file."""
-    metrics.coalesce(1).write.mode("append").json(path)
+    Each is a folder with one file of JSON lines; reports are small.
+    """
+    spark, name = main.sparkSession, f"eval_results{suffix}"
+    old = "eval_results_legacy" if not suffix else f"{name}_legacy"
+    paths = []
+    for df, base in ((main, name), (legacy, old)):
+        for path, mode in ((f"{folder}/{base}", "overwrite"), (next_free(spark, f"{folder}/history/{stamp}_{base}"), "error")):
+            df.coalesce(1).write.mode(mode).json(path)
+            paths.append(path)
+    return paths
+
+
+def markdown_report(title: str, sections: dict[str, DataFrame], most: int = 1000) -> str:
+    """A whole report: a heading and a table of at most ``most`` rows for each small result."""
+    return "\n\n".join([f"# {title}", *(f"## {name}\n\n{markdown_table(df, most)}" for name, df in sections.items())]) + "\n"
 
 
 def markdown_table(metrics: DataFrame, most: int = 1000) -> str:

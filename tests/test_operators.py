@@ -260,7 +260,11 @@ def test_files(spark, tmp_path):
     assert writers.duplicate_keys(df, ["k"]).count() == 1 and writers.markdown_table(df).count("\n") == 3
     writers.write_nodes(df, "k", str(tmp_path / "nodes"))
     assert spark.read.parquet(str(tmp_path / "nodes")).count() == 1
-    assert writers.scope_name(True, "x").startswith("expanded-")
+    for turn in (1, 2):
+        paths = writers.write_report(df, df.limit(1), f"{tmp_path}/reports", "2030-01-02_030405", writers.report_suffix(["a"], ["a", "b"], 99))
+        assert [spark.read.json(p).count() for p in paths] == [2, 2, 1, 1]
+        assert paths[0].endswith("/eval_results_a_neg99") and paths[1].endswith("history/2030-01-02_030405_eval_results_a_neg99" + ("_1" if turn == 2 else ""))
+    assert writers.report_suffix(["a", "b"], ["a", "b"], 499) == "" and writers.markdown_report("All", {"One": df, "Two": df}).count("## ") == 2
 
 
 def test_profile_and_list_pages(spark):
@@ -268,22 +272,22 @@ def test_profile_and_list_pages(spark):
     from graphloom.operators.cohort import feed_items
 
     one = lambda html, fields: spark.createDataFrame([(html,)], "html string").select(*(c.alias(k) for k, c in fields.items())).first()
-    profile = '<body><h1>ann <span>come in</span></h1><h2>ann的电影 · · ( 49部想看 · 1459部看过 )</h2><div>常居: <a>北京</a> 1912712 (a.nn) 2007-10-12加入 IP属地：上海</div></body>'
+    profile = '<body><h1>ann <span>come in</span></h1><h2>ann的电影 · · ( 31部想看 · 2716部看过 )</h2><div>常居: <a>杭州</a> 5550123 (a.nn) 2011-03-04加入 IP属地：成都</div></body>'
     row = one(profile, profile_fields(F.col("html"), F.lit("a.nn")))
-    assert row.asDict() == {"display_name": "ann", "tagline": "come in", "location": "北京", "joined_at": "2007-10-12", "ip_location": "上海", "profile_id": "1912712", "n_doing": None, "n_wish": 49, "n_collect": 1459}
+    assert row.asDict() == {"display_name": "ann", "tagline": "come in", "location": "杭州", "joined_at": "2011-03-04", "ip_location": "成都", "profile_id": "5550123", "n_doing": None, "n_wish": 31, "n_collect": 2716}
     assert one("<p>nothing</p>", profile_fields(F.col("html"), F.lit("x"))).display_name == "x"
-    page = """<span class="subject-num">1-30&nbsp;/&nbsp;1459</span><ul class="list-view">
-      <li id="list12" class="item"><div class="item-show"><div class="title"><a href="https://e.org/subject/12/">One / Two</a></div><div class="date"><span class="rating4-t"></span>&nbsp; 2026-03-08</div></div>
+    page = """<span class="subject-num">1-30&nbsp;/&nbsp;2716</span><ul class="list-view">
+      <li id="list12" class="item"><div class="item-show"><div class="title"><a href="https://e.org/subject/12/">One / Two</a></div><div class="date"><span class="rating4-t"></span>&nbsp; 2032-05-04</div></div>
         <div data-cid="99" class="hide comment-item"><span class="intro">1953 / x</span></div></li>
-      <li id="list13" class="item"><div class="item-show"><div class="title"><a href="https://e.org/subject/13/">Three</a></div><div class="date">2026-03-07</div></div><div class="comment-item"><div class="comment"> good  work (3 有用)</div></div></li></ul>
+      <li id="list13" class="item"><div class="item-show"><div class="title"><a href="https://e.org/subject/13/">Three</a></div><div class="date">2032-05-03</div></div><div class="comment-item"><div class="comment"> good  work (3 有用)</div></div></li></ul>
       <span class="thispage" data-total-page="49">1</span>"""
     items = one(page, {"i": list_items(F.col("html"))})["i"]
-    assert [(i.mid, i.title, i.rating, i.rating_label, i.day, i.comment, i.intro, i.source_cid) for i in items] == [("12", "One / Two", 4.0, "推荐", "2026-03-08", None, "1953 / x", "99"), ("13", "Three", None, None, "2026-03-07", "good work", None, None)]
-    assert one(page, list_totals(F.col("html"))).asDict() == {"total_pages": 49, "total_items": 1459} and one("", list_totals(F.col("html"))).asDict() == {"total_pages": 1, "total_items": None}
-    feed = """<rss><channel><item><title>看过One</title><link>https://e.org/subject/12/</link><description><![CDATA[<p>推荐: 力荐</p><p>备注: fine</p>]]></description><pubDate>Fri, 06 Mar 2026 16:15:48 GMT</pubDate><guid>g1</guid></item>
-      <item><title>想看Two</title><link>https://e.org/subject/13/</link><description></description><pubDate>Thu, 12 Feb 2026 12:00:00 GMT</pubDate></item><item><title>听过Three</title><link>https://e.org/subject/14/</link></item></channel></rss>"""
+    assert [(i.mid, i.title, i.rating, i.rating_label, i.day, i.comment, i.intro, i.source_cid) for i in items] == [("12", "One / Two", 4.0, "推荐", "2032-05-04", None, "1953 / x", "99"), ("13", "Three", None, None, "2032-05-03", "good work", None, None)]
+    assert one(page, list_totals(F.col("html"))).asDict() == {"total_pages": 49, "total_items": 2716} and one("", list_totals(F.col("html"))).asDict() == {"total_pages": 1, "total_items": None}
+    feed = """<rss><channel><item><title>看过One</title><link>https://e.org/subject/12/</link><description><![CDATA[<p>推荐: 力荐</p><p>备注: fine</p>]]></description><pubDate>Tue, 10 Feb 2032 17:20:31 GMT</pubDate><guid>g1</guid></item>
+      <item><title>想看Two</title><link>https://e.org/subject/13/</link><description></description><pubDate>Wed, 18 Feb 2032 09:00:00 GMT</pubDate></item><item><title>听过Three</title><link>https://e.org/subject/14/</link></item></channel></rss>"""
     rows = feed_items(spark.createDataFrame([("ann", feed)], "slug string, xml string")).orderBy("mid").collect()
-    assert [(r.mid, r.action, r.rating, r.rating_label, r.comment, r.happened, r.guid) for r in rows] == [("12", "collect", 5.0, "力荐", "fine", "2026-03-07 00:15:48", "g1"), ("13", "wish", None, None, None, "2026-02-12 20:00:00", None)]
+    assert [(r.mid, r.action, r.rating, r.rating_label, r.comment, r.happened, r.guid) for r in rows] == [("12", "collect", 5.0, "力荐", "fine", "2032-02-11 01:20:31", "g1"), ("13", "wish", None, None, None, "2032-02-18 17:00:00", None)]
 
 
 def test_cohort_parts(spark):
