@@ -38,14 +38,35 @@ def top_per_user(scores: DataFrame, n: int, score: str = "score", seen: DataFram
     return scaled.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("uid", "mid", "score", "rank")
 
 
-def item_similarity(ratings: DataFrame, least_common: int = 2) -> DataFrame:
+#: Items of a block of a user's list.
+LIST_BLOCK = 2048
+
+
+def block_pairs(lists: DataFrame, key: str, item: str, size: int = LIST_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Left and right sides with the columns i and j, so that an equi-join on (key, i, j) makes all pairs of a key's items with the left one smaller, or both in one block.
+
+    Each key's items are cut into blocks in the order of ``item``; a block goes once to
+    each block of the same key that follows, and to itself. So the pairs of a long list
+    are shared out over many groups of at most ``size`` times ``size``; lists of one
+    block, which most are, go nowhere else.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(item)) - 1
+    last = F.count("*").over(Window.partitionBy(key)) - 1
+    cut = lists.withColumn("i", F.floor(place / size).cast("int")).withColumn("j", F.floor(last / size).cast("int"))
+    left = cut.withColumn("j", F.explode(F.sequence("i", "j")))
+    right = cut.withColumn("j", F.col("i")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i"))))
+    return left, right
+
+
+def item_similarity(ratings: DataFrame, least_common: int = 2, size: int = LIST_BLOCK) -> DataFrame:
     """(a, b, sim6): cosine over co-raters of items with enough of them, both ways round.
 
-    The work is the sum of squares of the users' list lengths; heavy users are split by skew joins.
+    The work is the sum of squares of the users' list lengths, in pairs of blocks of ``size`` items.
     """
     norms = ratings.groupBy("mid").agg(F.sum(F.col("h").cast("long") * F.col("h")).alias("n"))
-    one, two = ratings.select("uid", F.col("mid").alias("a"), F.col("h").alias("ha")), ratings.select("uid", F.col("mid").alias("b"), F.col("h").alias("hb"))
-    both = one.join(two, "uid").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ha").cast("long") * F.col("hb")).alias("dot"), F.count("*").alias("common"))
+    one, two = block_pairs(ratings.select("uid", "mid", "h"), "uid", "mid", size)
+    one, two = one.select("uid", "i", "j", F.col("mid").alias("a"), F.col("h").alias("ha")), two.select("uid", "i", "j", F.col("mid").alias("b"), F.col("h").alias("hb"))
+    both = one.join(two, ["uid", "i", "j"]).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ha").cast("long") * F.col("hb")).alias("dot"), F.count("*").alias("common"))
     both = both.filter(F.col("common") >= least_common)
     both = both.join(norms.select(F.col("mid").alias("a"), F.col("n").alias("na")), "a").join(norms.select(F.col("mid").alias("b"), F.col("n").alias("nb")), "b")
     sim = micro(F.col("dot") / F.sqrt(F.col("na") * F.col("nb"))).alias("sim6")

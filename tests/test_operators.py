@@ -361,3 +361,15 @@ def test_two_sided_paths(spark):
     frame = spark.createDataFrame([*asked, ("n01", "n01"), (None, "x")], "start string, goal string")
     got = {(r.start, r.goal): (r.hops, r.path) for r in graph.shortest_paths(spark.createDataFrame(sorted(links), "src string, dst string"), frame, 5).collect()}
     assert got == {k: (len(p) - 1, p) for k, p in want.items() if p}
+
+
+def test_pairs_of_a_long_list_are_shared_out(spark):
+    """A user of 20,000 films: no group of the join holds more than a block on either side, and no pair is lost or made twice."""
+    long = spark.range(20_000).select(F.lit(1).cast("long").alias("uid"), F.format_string("m%05d", "id").alias("mid"), (F.col("id") % 10 + 1).cast("int").alias("h"))
+    left, right = recommend.block_pairs(long, "uid", "mid", 1000)
+    for side in (left, right):
+        assert side.groupBy("uid", "i", "j").count().agg(F.max("count")).first()[0] == 1000
+    assert left.count() == right.count() == 210 * 1000
+    few = long.filter("mid < 'm00090'").union(spark.createDataFrame([(2, f"m{k:05d}", k % 10 + 1) for k in range(0, 90, 3)], "uid long, mid string, h int"))
+    whole, cut = (values(recommend.item_similarity(few, size=n), "a", "b", "sim6") for n in (1000, 7))
+    assert whole == cut and len(whole) == 30 * 29
