@@ -319,7 +319,7 @@ def graph_facts(c: Catalog, ratings: DataFrame) -> DataFrame:
 
 
 #: Settings of training that a stored version is named by.
-TRAINING = {"size": 64, "rounds": 8, "epochs": 5, "block": 8192}
+TRAINING = {"size": 64, "rounds": 5, "epochs": 5, "block": 8192}
 
 
 def stored_vectors(c: Catalog, ratings: DataFrame, holdout: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
