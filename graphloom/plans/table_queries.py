@@ -11,7 +11,10 @@ from graphloom.operators import upserts as U
 from graphloom.operators.profiling import incomplete_films, incomplete_persons
 from graphloom.plans.base_queries import LANDED, landed_films, landed_persons
 from graphloom.plans.registry import query
+from graphloom.sources import writers
 from graphloom.sources.catalog import Catalog
+from graphloom.sources.scratch import fresh_path
+from graphloom.streaming import expiry
 
 
 @query("SELECT uid, mid, h FROM ratings WHERE NOT EXISTS (SELECT 1 FROM prefs p WHERE p.uid = ratings.uid AND p.mid = ratings.mid AND p.pref_type = 'like') UNION ALL SELECT uid, mid, 10 FROM prefs WHERE pref_type = 'like'")
@@ -291,3 +294,35 @@ def l8_truncation(c: Catalog) -> DataFrame:
 
     first, about = truncated(c.directed.select("pid", "mid"), 100, "pid", "mid")
     return first.select("pid", "mid", about.select("n").scalar().alias("n"), about.select("truncated").scalar().alias("truncated"))
+
+
+@query(
+    "WITH e AS (SELECT 'ACTED_IN' AS rel, l_suppkey AS s, l_partkey AS d FROM lineitem UNION ALL SELECT 'DIRECTED', l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 1), g AS (SELECT rel, s, d, count(*) AS n FROM e GROUP BY ALL), "
+    "f AS (SELECT *, s NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey > 2) AS ms, d NOT IN (SELECT p_partkey FROM part WHERE p_size > 10) AS md FROM g) "
+    "SELECT 'Movie' AS name, (SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) - count(DISTINCT l_partkey) FROM lineitem) AS n_duplicates, NULL AS missing_pid, NULL AS missing_mid, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS n_written "
+    "UNION ALL SELECT rel, CAST(sum(n) AS BIGINT), CAST(sum(n - 1) AS BIGINT), count(*) FILTER (ms), count(*) FILTER (md), count(*) FILTER (NOT ms AND NOT md) FROM f GROUP BY rel",
+    prelude=False,
+)
+def sk9_write_checks(c: Catalog) -> DataFrame:
+    """Nodes and edges written with their checks: rows, duplicates, missing ends and rows that were written."""
+    lines = c.table("lineitem").select(F.col("l_suppkey").alias("pid"), F.col("l_partkey").alias("mid"), "l_linenumber")
+    nodes = writers.write_nodes(lines.select("mid", "l_linenumber"), "mid", fresh_path(c.spark, "nodes"))
+    edges = lines.select("pid", "mid", F.lit("ACTED_IN").alias("rel")).unionByName(lines.filter("l_linenumber = 1").select("pid", "mid", F.lit("DIRECTED").alias("rel")))
+    ends = {"pid": c.table("supplier").filter("s_nationkey > 2").select(F.col("s_suppkey").alias("pid")), "mid": c.table("part").filter("p_size > 10").select(F.col("p_partkey").alias("mid"))}
+    found = writers.write_edges(edges, ["rel", "pid", "mid"], fresh_path(c.spark, "edges"), ends, ["ACTED_IN", "DIRECTED"])
+    rows = [("Movie", nodes["rows"], nodes["duplicates"], None, None, nodes["written"]), *((r, n["rows"], n["duplicates"], n["missing_pid"], n["missing_mid"], n["written"]) for r, n in found.items())]
+    return c.spark.createDataFrame(rows, "name string, n_rows bigint, n_duplicates bigint, missing_pid bigint, missing_mid bigint, n_written bigint")
+
+
+@query(
+    "WITH e AS (SELECT user_id AS id, ts, event_type IN ('error', 'purchase') AS finished FROM events), "
+    "f AS (SELECT *, lead(ts) OVER w AS next_ts, lead(finished) OVER w AS next_finished FROM e WINDOW w AS (PARTITION BY id ORDER BY ts, finished)) "
+    "SELECT id, ts AS claimed_at, ts + INTERVAL 30 MINUTE AS ended_at, 'expired' AS reason FROM f WHERE NOT finished AND (next_ts > ts + INTERVAL 30 MINUTE OR next_ts IS NULL AND epoch_us(ts) // 1000 + 1800001 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events)) "
+    "UNION ALL SELECT id, ts, next_ts, 'finished' FROM f WHERE NOT finished AND next_finished AND next_ts <= ts + INTERVAL 30 MINUTE",
+    prelude=False,
+)
+def sk18_lock_expiry(c: Catalog) -> DataFrame:
+    """Locks that end, from users' events as a stream: errors and purchases end a lock, other events claim or renew it."""
+    raw = c.spark.readStream.schema(c.table("events").schema).parquet(f"{c.folder}/{{events}}.parquet")  # a stream takes a folder or a pattern
+    events = raw.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").isin("error", "purchase").alias("finished"))
+    return expiry.run_available(expiry.lock_ends(events), "locks").withColumns({k: F.col(k).cast("timestamp_ntz") for k in ("claimed_at", "ended_at")})
