@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.pages import feed_item
+from graphloom.functions.pages import FEED_PARTS, feed_fields, feed_item
 
 #: Fixed thresholds of the cohort's classes and the caps for capped users.
 USABLE_COLLECT, USABLE_TOTAL = 20, 80
@@ -77,7 +77,15 @@ def harvest_complete(df: DataFrame) -> Column:
 def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """(slug and the fields of pages.feed_item) of the items of landed RSS feeds (slug, xml) that have a title, a known action and a film."""
     rows = feeds.select("slug", F.explode(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<item\b[^>]*>(.*?)</item>"), F.lit(1))).alias("item"))
-    fields = rows.select("slug", *(c.alias(k) for k, c in feed_item(F.col("item")).items()))
+    return _usable(rows.select("slug", *(c.alias(k) for k, c in feed_item(F.col("item")).items())))
+
+
+def landed_feed_items(items: DataFrame) -> DataFrame:
+    """The same from ``readers.feed_rows`` with a column ``slug``, in batch or as a stream."""
+    return _usable(items.select("slug", *(c.alias(k) for k, c in feed_fields({t: F.col(t) for t in FEED_PARTS}).items())))
+
+
+def _usable(fields: DataFrame) -> DataFrame:
     return fields.filter("title IS NOT NULL AND action IS NOT NULL AND mid IS NOT NULL")
 
 

@@ -11,7 +11,7 @@ from graphloom.operators import upserts as U
 from graphloom.operators.profiling import incomplete_films, incomplete_persons
 from graphloom.plans.base_queries import LANDED, landed_films, landed_persons
 from graphloom.plans.registry import query
-from graphloom.sources import writers
+from graphloom.sources import readers, writers
 from graphloom.sources.catalog import Catalog
 from graphloom.sources.scratch import fresh_path
 from graphloom.streaming import expiry
@@ -188,7 +188,10 @@ def j21_feed_enrichment(c: Catalog) -> DataFrame:
     return K.enrich(listed(c).withColumn("happened", F.lit("day")), feed)
 
 
-@query("SELECT 'u' || uid AS slug, mid, CASE WHEN pref_type = 'like' THEN 'collect' ELSE 'wish' END AS action, CASE WHEN pref_type = 'like' THEN '看过' ELSE '想看' END || mid AS title, CASE WHEN pref_type = 'like' THEN 5.0 END AS rating, CASE WHEN pref_type = 'like' THEN 'c' || mid END AS comment, strftime(created_at + INTERVAL 8 HOURS, '%Y-%m-%d %H:%M:%S') AS happened FROM prefs")
+FEED_ITEMS = "SELECT 'u' || uid AS slug, mid, CASE WHEN pref_type = 'like' THEN 'collect' ELSE 'wish' END AS action, CASE WHEN pref_type = 'like' THEN '看过' ELSE '想看' END || mid AS title, CASE WHEN pref_type = 'like' THEN 5.0 END AS rating, CASE WHEN pref_type = 'like' THEN 'c' || mid END AS comment, strftime(created_at + INTERVAL 8 HOURS, '%Y-%m-%d %H:%M:%S') AS happened FROM prefs"
+
+
+@query(FEED_ITEMS)
 def sc9_feed_items(c: Catalog) -> DataFrame:
     """The items of users' feeds, from feeds that the preferences are written into."""
     like = F.col("pref_type") == "like"
@@ -326,3 +329,20 @@ def sk18_lock_expiry(c: Catalog) -> DataFrame:
     raw = c.spark.readStream.schema(c.table("events").schema).parquet(f"{c.folder}/{{events}}.parquet")  # a stream takes a folder or a pattern
     events = raw.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").isin("error", "purchase").alias("finished"))
     return expiry.run_available(expiry.lock_ends(events), "locks").withColumns({k: F.col(k).cast("timestamp_ntz") for k in ("claimed_at", "ended_at")})
+
+
+@query(FEED_ITEMS)
+def sc9_landed_feeds(c: Catalog) -> DataFrame:
+    """The items of users' feeds from landed files, which the reader takes item by item; the guid tells the user."""
+    like = F.col("pref_type") == "like"
+    item = {
+        "title": F.concat(F.when(like, "看过").otherwise("想看"), "mid"),
+        "link": F.concat(F.lit("https://e.org/subject/"), "mid", F.lit("/")),
+        "description": F.when(like, F.concat(F.lit("<p>推荐: 力荐</p><p>备注: c"), "mid", F.lit("</p>"))).otherwise(""),
+        "pubDate": F.concat(F.date_format("created_at", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")),
+        "guid": F.concat(F.lit("u"), "uid"),
+    }
+    path = fresh_path(c.spark, "feeds")
+    c.prefs.select(*(v.alias(k) for k, v in item.items())).write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    found = K.landed_feed_items(readers.feed_rows(c.spark, path).withColumn("slug", F.col("guid")))
+    return found.select("slug", "mid", "action", "title", "rating", "comment", "happened")

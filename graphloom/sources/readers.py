@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.pages import FEED_PARTS
+
 
 def database_table(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, properties: dict[str, str]) -> DataFrame:
     """A database table read in ranges of an integer key, with the given connection properties."""
@@ -59,3 +61,14 @@ def xml_feeds(spark: SparkSession, path: str, slug: Column) -> DataFrame:
     """(slug, xml) of landed feed files; ``slug`` is made from the column ``file``."""
     raw = spark.read.text(path, wholetext=True)
     return raw.select("value", F.col("_metadata.file_name").alias("file")).select(slug.alias("slug"), F.col("value").alias("xml"))
+
+
+def feed_rows(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int = 1000) -> DataFrame:
+    """(title, link, description, pubDate, guid, file) of the items of landed feeds, in batch or as a stream of new files.
+
+    Each file is one document with a root, read by one task item by item, never held as
+    one text.
+    """
+    source = spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if stream else spark.read
+    raw = source.format("xml").option("rowTag", "item").schema(", ".join(f"{tag} string" for tag in FEED_PARTS)).load(path)
+    return raw.select(*FEED_PARTS, F.col("_metadata.file_name").alias("file"))

@@ -1,10 +1,11 @@
-"""Checks while writing, and locks that open without a further event."""
+"""Checks while writing, locks that open without a further event, and landed feeds."""
 
 import datetime as dt
 
 from pyspark.sql import functions as F
 
-from graphloom.sources import writers
+from graphloom.operators import cohort
+from graphloom.sources import readers, writers
 from graphloom.streaming import expiry
 
 SCHEMA = "id string, ts timestamp, finished boolean, extra int"
@@ -59,3 +60,20 @@ def test_edges_are_checked_while_written(spark, tmp_path):
     }
     back = spark.read.parquet(str(tmp_path / "edges")).select("rel", "h", "t", "w")
     assert sorted(map(tuple, back.collect())) == [("other", "a", "x", 5), ("r", "a", "x", 0)]
+
+
+def test_landed_feeds_in_batch_and_as_a_stream(spark, tmp_path):
+    row = '<item><title>{0}</title><link>https://e.org/subject/{1}/</link><description><![CDATA[<p>备注: {2} & more</p>]]></description><pubDate>Tue, 3 Mar 2020 20:00:00 GMT</pubDate><guid isPermaLink="false">g{1}</guid></item>'
+    rows = [("看过 A", 7, "good"), ("想看 B", 8, "x" * 100_000), ("other", 9, "")]
+    for name, part in (("ann", rows), ("bob", rows[:1]), ("empty", [])):
+        (tmp_path / f"{name}.xml").write_text('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"><channel><title>t</title>' + "\n".join(row.format(*r) for r in part) + "</channel></rss>")
+    slug = F.regexp_extract("file", r"^(.*)\.xml$", 1)
+    batch = cohort.landed_feed_items(readers.feed_rows(spark, str(tmp_path)).withColumn("slug", slug))
+    whole = cohort.feed_items(readers.xml_feeds(spark, str(tmp_path), slug))
+    got = sorted(map(tuple, batch.collect()), key=repr)
+    assert [(r[0], r[1], r[2]) for r in got] == [("ann", "7", "collect"), ("ann", "8", "wish"), ("bob", "7", "collect")]
+    assert got == sorted(map(tuple, whole.collect()), key=repr)
+    stream = cohort.landed_feed_items(readers.feed_rows(spark, str(tmp_path), stream=True, files_per_trigger=1).withColumn("slug", slug))
+    assert got == sorted(map(tuple, expiry.run_available(stream, "feeds").collect()), key=repr)
+    split = cohort.capped_items(batch, "slug", ["mid"], 1).orderBy("slug").collect()
+    assert [(r.slug, r.mid, r.capped) for r in split] == [("ann", "7", True), ("bob", "7", False)]
