@@ -8,7 +8,8 @@ same order of merges. Pre-tokens repeat, so each Python worker keeps a bounded
 cache of their ids.
 
 Null texts count as empty (no ids). The special token's string in a text is one
-id. Decoding gives back the text exactly. Texts are encoded whole.
+id. Decoding gives back the text exactly. Texts are encoded whole, of any length.
+Repeated rows are encoded each; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ scores of words that it has met, as words repeat.
 Null and empty texts are one end token. With no training documents the prior
 scores hold and all counts are 0; an empty table gives an empty one. Repeated rows
 are scored, and counted, each. Only the id and the text are read, whatever other
-columns are named.
+columns are named. Texts of any length are scored whole, in time linear in them.
 """
 
 from __future__ import annotations

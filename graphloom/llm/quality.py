@@ -11,7 +11,9 @@ rejecting ordinary documents.
 
 Null texts have no words. Texts without words fail the base rule. Repeated rows
 are judged each. Null languages and sources are groups of their own. Empty
-tables give empty results.
+tables give empty results. Only the id, the text, the language and the source are
+read, whatever other columns are named. Texts are judged whole: the work is linear in
+their length but for sorting the windows of a text that repeats some.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ three bits differ (20 keys of 16 or 17 bits). So a bucket holds at most HOT node
 Null and empty texts have the fingerprint 0 and link like any other; an empty table
 gives an empty one. Ids are integers (or cast to them). Repeated ids keep their rows
 and take the smallest component of their fingerprint. Only the id and the text are
-read, whatever other columns are named.
+read, whatever other columns are named. Texts of any length are hashed whole.
 
 Texts of a given Jaccard similarity need more than this: see jaccard.py.
 """

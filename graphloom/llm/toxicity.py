@@ -19,7 +19,8 @@
 Null and empty texts have no tokens and get the score of none. Without labels of
 both kinds every score is the smoothed share of toxic labels; an empty table gives an
 empty one. If an id has several labels the largest counts. Repeated rows are scored
-each. Extra columns pass through, whatever they are named.
+each. Texts of any length are tagged whole, in time linear in them. Extra columns
+pass through, whatever they are named.
 """
 
 from __future__ import annotations
