@@ -111,3 +111,37 @@ def test_sketches_lose_no_pair():
         b = np.concatenate((a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(0, 100), dtype=np.uint64)))
         bits = [np.frombuffer(jaccard.sketch(np.unique(x)), np.uint64) for x in (a, b)]
         assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_a_pair_is_made_once_not_once_per_shared_shingle(spark, monkeypatch):
+    """Near copies share many shingles of their prefixes; the buckets make each pair about once, and none is lost."""
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    from graphloom.llm import jaccard
+
+    rng = random.Random(25)
+    fresh = lambda r: f"w{r.randrange(10**6)}"
+    texts = {}
+    for g in range(100):
+        a = [fresh(rng) for _ in range(500)]
+        texts |= {10 * g: " ".join(a), 10 * g + 1: " ".join(edited(rng, a, 3, fresh))}
+    made, build = spark.sparkContext.accumulator(0), jaccard._pairs
+
+    def counted(*given):
+        run = build(*given)
+
+        def count(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return count
+
+    monkeypatch.setattr(jaccard, "_pairs", counted)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").select("doc_id", F.col("doc_id").alias("row"), "text")
+    least = Fraction("0.8")
+    nodes = jaccard.with_prefix(rows, 5, least, jaccard.common_shingles(rows, 5)).drop("doc_id", "row")
+    pairs = jaccard.candidates(jaccard.shared(nodes).withColumn("root", F.col("node")), least)
+    assert pairs.count() == 100 and made.value <= 120
