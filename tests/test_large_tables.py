@@ -44,3 +44,28 @@ def test_similarity_makes_no_row_per_pair_of_a_list(spark):
         found = R.item_similarity(ratings, size=size, most_raters=raters)
         assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "hb" not in plan(found) and "MapInArrow" in plan(found)
+
+
+def test_one_hop_makes_no_row_per_pair_of_films(spark, monkeypatch):
+    """Films over shared people, with lists in several blocks and batches cut: the same as by all pairs."""
+    import random
+
+    from graphloom.functions import scalars as X
+    from graphloom.operators import recommend as R
+
+    monkeypatch.setattr(R, "ENTITY_BLOCK", 4)
+    monkeypatch.setattr(R, "ADDED", 16)
+    rng = random.Random(6)
+    tokens = sorted({(f"m{m}", rel, f"p{rng.randrange(25)}") for m in range(60) for rel in R.PEOPLE for _ in range(rng.randrange(9))})
+    rows = spark.createDataFrame(tokens, "mid string, rel string, entity string")
+    limits, idf = {"director": 6, "actor": 9}, {(r.rel, r.entity): r.idf6 for r in R.entity_idf(rows).collect()}
+    own = {}
+    for m, rel, e in tokens:
+        own.setdefault((m, rel), set()).add(e)
+    want = set()
+    for (seed, rel), es in own.items():
+        met = sorted(((len(es & fs), m, sorted(es & fs)[:5]) for (m, r), fs in own.items() if r == rel and m != seed and es & fs), reverse=True)
+        want |= {(seed, rel, m, hits, sum(idf[rel, e] for e in first) // len(first)) for hits, m, first in met[: limits[rel]]}
+    found = R.one_hop(rows, limits)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "MapInArrow" in plan(found)
