@@ -69,3 +69,33 @@ def test_one_hop_makes_no_row_per_pair_of_films(spark, monkeypatch):
     found = R.one_hop(rows, limits)
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "MapInArrow" in plan(found)
+
+
+def test_content_makes_no_row_per_user_and_class(spark, monkeypatch):
+    """Classes met in several groups and blocks, with ties and seen items: the same as by all pairs."""
+    import random
+
+    from graphloom.operators import recommend as R
+
+    monkeypatch.setattr(R, "TASTED", 3)
+    monkeypatch.setattr(R, "CLASSED", 5)
+    rng = random.Random(8)
+    bags = {f"m{m:02d}": sorted(rng.sample("abcdef", rng.randrange(1, 4))) for m in range(70)}
+    likes = [(u, m, rng.choice((70, 80, 100))) for u in range(20) for m in rng.sample(sorted(bags), rng.randrange(1, 5))]
+    known = sorted({(u, m) for u, m, _ in likes} | {(u, m) for u in range(20) for m in rng.sample(sorted(bags), 12)})
+    unit = {m: int(10000 / len(b) ** 0.5 + 0.5) for m, b in bags.items()}
+    want = set()
+    for u in range(20):
+        taste = dict.fromkeys("abcdef", 0)
+        for v, m, w in likes:
+            for t in bags[m] if u == v else ():
+                taste[t] += w * unit[m]
+        long = sum(t * t for t in taste.values()) ** 0.5
+        scores = [(-int(sum(taste[t] for t in b) * unit[m] / long / 10000.0 * 10000.0 + 0.5) / 10000.0, m) for m, b in bags.items() if (u, m) not in known]
+        want |= {(u, m, -s, k) for k, (s, m) in enumerate(sorted(x for x in scores if x[0] < 0)[:7], 1)}
+    seeds, seen = spark.createDataFrame(likes, "uid long, mid string, weight100 long"), spark.createDataFrame(known, "uid long, mid string")
+    tokens = spark.createDataFrame([(m, t) for m, b in bags.items() for t in b], "mid string, token string")
+    for users, classes in ((8192, 1 << 20), (6, 9)):
+        found = R.content_top(seeds, tokens, 7, seen, users, classes)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "FlatMapCoGroupsInPandas" in plan(found)
