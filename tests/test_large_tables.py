@@ -99,3 +99,33 @@ def test_content_makes_no_row_per_user_and_class(spark, monkeypatch):
         found = R.content_top(seeds, tokens, 7, seen, users, classes)
         assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "FlatMapCoGroupsInPandas" in plan(found)
+
+
+def test_two_hop_makes_no_row_per_step(spark):
+    """Seeds in several groups: the same as by walking all paths."""
+    import random
+
+    from graphloom.functions import scalars as X
+    from graphloom.operators import recommend as R
+
+    rng = random.Random(9)
+    billed = {f"m{m:02d}": rng.sample([f"p{p:02d}" for p in range(18)], rng.randrange(1, 6)) for m in range(50)}
+    actors = spark.createDataFrame([(m, p, k) for m, ps in billed.items() for k, p in enumerate(ps, 1)], "mid string, pid string, ord int")
+    idf = {r.pid: r.v for r in actors.groupBy("pid").agg(R.micro(X.idf(F.count("*"))).alias("v")).collect()}
+    degree = {p: sum(p in ps for ps in billed.values()) for p in idf}
+    kept = {m: sorted(ps, key=lambda p: (degree[p], ps.index(p), p))[:3] for m, ps in billed.items()}
+    want = set()
+    for seed in billed:
+        reach = {}
+        for a in kept[seed]:
+            for bridge in billed:
+                for b in kept[bridge] if bridge != seed and a in billed[bridge] else ():
+                    if a != b:
+                        reach.setdefault(b, set()).add(bridge)
+        over = {m: [b for b in ps if reach.get(b, set()) - {m}] for m, ps in billed.items() if m != seed}
+        best = sorted(((len(bs), m) for m, bs in over.items() if bs), reverse=True)[:4]
+        want |= {(seed, m, n, sum(idf[b] for b in over[m][:3]) // len(over[m][:3])) for n, m in best}
+    for group in (8192, 7):
+        found = R.two_hop(actors, 4, group=group)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "FlatMapCoGroupsInPandas" in plan(found)
