@@ -129,3 +129,45 @@ def test_two_hop_makes_no_row_per_step(spark):
         found = R.two_hop(actors, 4, group=group)
         assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "FlatMapCoGroupsInPandas" in plan(found)
+
+
+def test_negatives_make_no_row_per_draw(spark):
+    """Draws are lists; a user with few unrated items and a test item outside the catalogue get what draws one by one give."""
+    import hashlib
+
+    from graphloom.operators import evaluate as E
+
+    mids = [f"m{k:02d}" for k in range(40)]
+    rated = {u: set(mids[u : u + 3 * u]) for u in range(12)} | {12: set(mids[:36])}
+    tests = {u: sorted(r)[0] if r else "gone" for u, r in rated.items()}
+    numbered = sorted(mids, key=lambda m: (hashlib.md5(m.encode()).hexdigest(), m))
+    draw = lambda *p: hashlib.md5(":".join(map(str, p)).encode()).hexdigest()
+    want = set()
+    for u, out in rated.items():
+        for tries in (10, 160):
+            free = dict.fromkeys(numbered[int(draw(3, u, t)[:8], 16) % 40] for t in range(tries))
+            free = [m for m in free if m not in out and m != tests[u]][:5]
+            if len(free) == 5:
+                want |= {(u, m, k) for k, m in enumerate(free, 1)}
+                break
+    ratings = spark.createDataFrame([(u, m) for u, r in rated.items() for m in r], "uid long, mid string")
+    found = E.negatives(spark.createDataFrame(list(tests.items()), "uid long, test_mid string"), spark.createDataFrame([(m,) for m in mids], "mid string"), ratings, 5, 3)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_candidates_make_no_row_per_shared_key(spark):
+    """What candidates share with users' tastes, in several groups; those that share nothing have no row."""
+    import random
+
+    from graphloom.operators import recommend as R
+
+    rng = random.Random(3)
+    taste = {(u, k): rng.randrange(1, 10**9) for u in range(15) for k in rng.sample(range(30), 6)}
+    held = [(f"m{m}", rng.randrange(30)) for m in range(25) for _ in range(rng.randrange(5))]
+    pairs = sorted({(rng.randrange(17), f"m{rng.randrange(27)}") for _ in range(150)})
+    want = {(u, m, sum(taste[u, k] for x, k in held if x == m and (u, k) in taste)) for u, m in pairs if any(x == m and (u, k) in taste for x, k in held)}
+    rows = [spark.createDataFrame(r, s) for r, s in (([(*k, t) for k, t in taste.items()], "uid long, key long, t long"), (held, "mid string, key long"), (pairs, "uid long, mid string"))]
+    for users in (1024, 2):
+        found = R.shared_worth(*rows, users)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "FlatMapCoGroupsInPandas" in plan(found)
