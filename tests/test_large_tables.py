@@ -171,3 +171,63 @@ def test_candidates_make_no_row_per_shared_key(spark):
         found = R.shared_worth(*rows, users)
         assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "FlatMapCoGroupsInPandas" in plan(found)
+
+
+def test_shared_audience_makes_no_row_per_pair_of_items(spark):
+    """Seeds whose bridge users' lists come in several batches: the same as by all pairs; what users get are the unseen items."""
+    import random
+    from collections import defaultdict
+
+    from graphloom.functions import scalars as X
+    from graphloom.operators import recommend as R
+
+    rng = random.Random(11)
+    likes = {u: {f"m{m}": rng.choice((70, 80, 100)) for m in rng.sample(range(30), rng.randrange(1, 12))} for u in range(40)}
+    index = spark.createDataFrame([(u, m, w, len(own)) for u, own in likes.items() for m, w in own.items()], "uid long, mid string, weight100 long, degree long")
+    pen = {r.degree: r.v for r in index.select("degree", R.micro(X.idf(F.col("degree"))).alias("v")).distinct().collect()}
+    want = set()
+    for seed in {m for own in likes.values() for m in own}:
+        lead = sorted(((own[seed] * pen[len(own)], str(u), u) for u, own in likes.items() if seed in own), reverse=True)[:5]
+        found = defaultdict(lambda: [0, 0])
+        for worth, _, u in lead:
+            for m, w in likes[u].items():
+                if m != seed:
+                    found[m][0] += worth * w
+                    found[m][1] += 1
+        want |= {(seed, m, s, n) for s, n, m in sorted(((s, n, m) for m, (s, n) in found.items()), reverse=True)[:6]}
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        audience = R.shared_audience(index, 5, 6)
+        assert sorted(map(tuple, audience.collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert "MapInArrow" in plan(audience)
+    seeds = [(u, m) for u, own in likes.items() for m in sorted(own)[:3]]
+    seen = sorted({(u, m) for u, own in likes.items() for m in own} | {(u, f"m{rng.randrange(30)}") for u in range(45)})
+    met = defaultdict(int)
+    for u, seed in seeds:
+        for s, m, _, n in want:
+            if s == seed and (u, m) not in seen:
+                met[u, m] = max(met[u, m], n)
+    hits = R.audience_hits(spark.createDataFrame(seeds, "uid long, mid string"), audience, spark.createDataFrame(seen, "uid long, mid string"), 5000)
+    assert sorted(map(tuple, hits.collect())) == sorted((u, m, n) for (u, m), n in met.items())
+    assert "LeftAnti" not in plan(hits)
+
+
+def test_co_rating_ranks_users_without_a_row_per_candidate(spark):
+    """The best unseen items with their best seeds: the same as by joining seeds and similar items."""
+    import random
+
+    from graphloom.operators import recommend as R
+
+    rng = random.Random(12)
+    rated = {u: {f"m{m}": rng.randrange(1, 11) for m in rng.sample(range(35), rng.randrange(2, 15))} for u in range(40)}
+    ratings = spark.createDataFrame([(u, m, h) for u, own in rated.items() for m, h in own.items()], "uid long, mid string, h int")
+    seeds = spark.createDataFrame([(u, m, h * 10) for u, own in rated.items() for m, h in own.items() if h >= 7], "uid long, mid string, weight100 long")
+    seen = ratings.select("uid", "mid").union(spark.createDataFrame([(u, f"m{rng.randrange(40)}") for u in range(50)], "uid long, mid string")).distinct()
+    all_ = R.item_cf(seeds, R.item_similarity(ratings))
+    want = R.top_per_user(all_, 6, "raw", seen).join(all_.select("uid", "mid", "best_seed"), ["uid", "mid"])
+    found = R.item_cf_top(seeds, ratings, 6, seen)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "LeftAnti" not in plan(found) and "MapInArrow" in plan(found)
