@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.lists import first_of_each, in_lists, list_sums, numbered
+from graphloom.sources.scratch import settled
+
 #: Weights of likes and wishes; ratings weigh their share of five stars.
 LIKE, WISH = 0.7, 0.25
 #: Half-stars from which a rating is positive.
@@ -64,9 +69,35 @@ def weight_index(ratings: DataFrame, prefs: DataFrame, holdout: DataFrame | None
     return best.withColumn("degree", F.count("*").over(Window.partitionBy("uid")))
 
 
+def _most_liked(top: int | None):
+    """The function that keeps each user's entities of most items."""
+
+    def finish(users: np.ndarray, place: np.ndarray, entity: np.ndarray, total: np.ndarray, n: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((entity, -n, place))
+        if top is not None:
+            order = order[first_of_each(place[order], top)]
+        columns = [pa.array(users[place[order]]), pa.array(entity[order].astype(np.int32)), pa.array(n[order]), pa.array(total[order] >> 32), pa.array(total[order] & 0xFFFFFFFF)]
+        return pa.RecordBatch.from_arrays(columns, ["uid", "id", "n", "rated", "total"])
+
+    return finish
+
+
+def liked_entities(likes: DataFrame, tokens: DataFrame, top: int | None) -> DataFrame:
+    """(uid, entity, n, avg_h): each user's ``top`` entities (all if None) by number of items, from (uid, mid, h) with h null where unrated, and (mid, entity).
+
+    An item and its entity are no row: an item carries the numbers of its entities, in
+    the order of their names, as a list to its users.
+    """
+    names = settled(numbered(tokens.select("entity").distinct().orderBy("entity")), "entities")
+    lists = in_lists(tokens.join(names, "entity").select("mid", "id"), "mid", ["id"])
+    rated = F.coalesce(F.col("h").cast("long") + F.lit(1 << 32), F.lit(0)).alias("w")
+    rows = likes.select("uid", "mid", rated).join(lists, "mid").select(F.col("uid").cast("long").alias("key"), "w", F.lit(0).alias("of"), F.col("id").alias("ids"))
+    best = list_sums(rows, _most_liked(top), "uid long, id int, n long, rated long, total long")
+    mean = F.when(F.col("rated") > 0, F.floor(F.col("total") / F.col("rated") * 100 + 0.5) / 100).alias("avg_h")
+    return best.join(names, "id").select("uid", "entity", "n", mean)
+
+
 def taste(signals: DataFrame, tokens: DataFrame, ratings: DataFrame, top: int) -> DataFrame:
     """(uid, entity, n, avg_h): each user's ``top`` entities by number of liked items, with the mean half-stars of rated ones."""
-    joined = signals.select("uid", "mid").distinct().join(tokens, "mid").join(ratings.select("uid", "mid", "h"), ["uid", "mid"], "left")
-    grouped = joined.groupBy("uid", "entity").agg(F.count("*").alias("n"), (F.floor(F.avg("h") * 100 + 0.5) / 100).alias("avg_h"))
-    order = Window.partitionBy("uid").orderBy(F.desc("n"), "entity")
-    return grouped.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= top).drop("k")
+    likes = signals.select("uid", "mid").distinct().join(ratings.select("uid", "mid", "h"), ["uid", "mid"], "left")
+    return liked_entities(likes, tokens, top)

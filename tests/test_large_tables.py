@@ -231,3 +231,27 @@ def test_co_rating_ranks_users_without_a_row_per_candidate(spark):
     found = R.item_cf_top(seeds, ratings, 6, seen)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert "LeftAnti" not in plan(found) and "MapInArrow" in plan(found)
+
+
+def test_profiles_make_no_row_per_item_and_entity(spark):
+    """Counts and means of rated items per entity, with ties and unrated items: the same as by all pairs."""
+    import random
+
+    from graphloom.operators import signals as S
+
+    rng = random.Random(13)
+    held = {f"m{m}": rng.sample([f"p{p}" for p in range(14)], rng.randrange(5)) for m in range(30)}
+    likes = [(u, m, rng.choice((None, 7, 8, 9, 10))) for u in range(25) for m in rng.sample(sorted(held), rng.randrange(1, 12))]
+    want = set()
+    for u in range(25):
+        found = {}
+        for v, m, h in likes:
+            for e in held[m] if u == v else ():
+                found.setdefault(e, []).append(h)
+        for e, hs in sorted(found.items(), key=lambda x: (-len(x[1]), x[0]))[:6]:
+            rated = [h for h in hs if h is not None]
+            want.add((u, e, len(hs), int(sum(rated) / len(rated) * 100 + 0.5) / 100 if rated else None))
+    tokens = spark.createDataFrame([(m, e) for m, es in held.items() for e in es], "mid string, entity string")
+    found = S.liked_entities(spark.createDataFrame(likes, "uid long, mid string, h int"), tokens, 6)
+    assert set(map(tuple, found.collect())) == want and found.count() == len(want)
+    assert "MapInArrow" in plan(found)
