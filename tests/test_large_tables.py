@@ -255,3 +255,17 @@ def test_profiles_make_no_row_per_item_and_entity(spark):
     found = S.liked_entities(spark.createDataFrame(likes, "uid long, mid string, h int"), tokens, 6)
     assert set(map(tuple, found.collect())) == want and found.count() == len(want)
     assert "MapInArrow" in plan(found)
+
+
+def test_pages_are_read_in_pieces(spark, monkeypatch):
+    """Elements of few pages are held at a time: pieces of a batch, and null and empty pages, give the same elements; a user's rows are pages of at most PER_PAGE."""
+    import pandas as pd
+
+    from graphloom.functions import markup
+
+    monkeypatch.setattr(markup, "LETTERS", 40)
+    picks = (markup.Pick("b", "b"),)
+    pages = pd.Series(["<b>x</b>" * (k % 4) for k in range(30)] + [None, ""])
+    pieces = list(markup._reader(picks).func(iter([pages, pages.iloc[:1]])))
+    assert len(pieces) > 5
+    assert pd.concat(pieces).to_list() == [None if p is None else markup.elements(p, picks) for p in [*pages, pages[0]]]
