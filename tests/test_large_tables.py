@@ -269,3 +269,23 @@ def test_pages_are_read_in_pieces(spark, monkeypatch):
     pieces = list(markup._reader(picks).func(iter([pages, pages.iloc[:1]])))
     assert len(pieces) > 5
     assert pd.concat(pieces).to_list() == [None if p is None else markup.elements(p, picks) for p in [*pages, pages[0]]]
+
+
+def test_listed_tastes_rank_as_rows_do(spark):
+    """Tastes as lists, without entities that no film with a vector has: the same ranking; no aggregate per user and entity."""
+    import random
+
+    from graphloom.operators import recommend as R
+    from graphloom.operators.exact_rank import embed_top
+
+    rng = random.Random(14)
+    films = [f"m{m:02d}" for m in range(30)]
+    tokens = spark.createDataFrame([(m, rel, f"e{e}") for m in films for rel in ("director", "genre") for e in rng.sample(range(9), 2)], "mid string, rel string, entity string")
+    vectors = spark.createDataFrame([(m, [rng.randrange(-9, 10) for _ in range(4)] + [1]) for m in films[:20]], "mid string, vec array<int>")
+    rows = [(u, m, rng.choice((70, 90))) for u in range(12) for m in rng.sample(films, 4)]
+    seeds = spark.createDataFrame(rows, "uid long, mid string, weight100 long")
+    seen = seeds.select("uid", "mid")
+    rank = lambda taste: sorted(map(tuple, embed_top(seeds, taste, tokens, vectors, 5, seen, None, R.EMBED_WEIGHTS, 8, 5).collect()))
+    listed = R.listed_taste(seeds, tokens, vectors)
+    assert rank(listed) == rank(R.overlap_taste(seeds, tokens))
+    assert listed.count() == len({u for u, m, _ in rows if m in films[:20]})
