@@ -289,3 +289,26 @@ def test_listed_tastes_rank_as_rows_do(spark):
     listed = R.listed_taste(seeds, tokens, vectors)
     assert rank(listed) == rank(R.overlap_taste(seeds, tokens))
     assert listed.count() == len({u for u, m, _ in rows if m in films[:20]})
+
+
+def test_paths_make_no_row_per_pair_and_hub_neighbour(spark, monkeypatch):
+    """Pairs that come over the same hubs share the rows of their neighbours; the paths are those of each pair alone."""
+    from graphloom.operators import graph as G
+
+    links = [(f"f{k:03d}", f"g{k % 2}") for k in range(200)] + [(f"f{k:03d}", "h") for k in (0, 101)] + [("f001", "f150")]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    asked = [(f"f{k:03d}", f"f{k + 101:03d}") for k in range(80)]
+    kept, settled = {}, G.settled
+
+    def keep(df, name):
+        kept.setdefault(name, []).append(settled(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(G, "settled", keep)
+    rows = {(r.start, r.goal): (r.hops, r.path) for r in G.shortest_paths(edges, spark.createDataFrame(asked, "start string, goal string"), 6).collect()}
+    assert max(df.count() for df in kept["frontier"]) <= 2 * 203  # two words of pairs, 203 nodes
+    monkeypatch.undo()
+    assert len(rows) == 80 and rows["f000", "f101"] == (2, ["f000", "h", "f101"]) and rows["f002", "f103"] == (5, ["f002", "g0", "f150", "f001", "g1", "f103"])
+    for a, b in (("f049", "f150"), ("f079", "f180")):
+        alone = G.shortest_path(edges, a, b).first()
+        assert rows[a, b] == (alone.hops, alone.path)
