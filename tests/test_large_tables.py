@@ -312,3 +312,16 @@ def test_paths_make_no_row_per_pair_and_hub_neighbour(spark, monkeypatch):
     for a, b in (("f049", "f150"), ("f079", "f180")):
         alone = G.shortest_path(edges, a, b).first()
         assert rows[a, b] == (alone.hops, alone.path)
+
+
+def test_ratings_have_tasks_as_many_as_lines_need(spark, tmp_path, monkeypatch):
+    """More lines make more tasks, not larger ones; the rows are the same."""
+    from graphloom.sources import catalog
+
+    spark.range(4000).select("id", (F.col("id") % 800).alias("l_orderkey"), (F.col("id") % 300).alias("l_partkey"), (F.col("id") % 50 + 1).cast("double").alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(800).select(F.col("id").alias("o_orderkey"), (F.col("id") % 90).alias("o_custkey"), F.lit("2020-01-01").cast("date").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    few = catalog.Catalog(spark, str(tmp_path)).ratings
+    monkeypatch.setattr(catalog, "LINES", 100)
+    many = catalog.Catalog(spark, str(tmp_path)).ratings
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    assert many.rdd.getNumPartitions() == 40 and many.columns == few.columns and many.schema == few.schema
